@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from doselab.llm.license_scan import op9_license_scan
-from doselab.llm import line_dedup, topk_search
+from doselab.llm import line_dedup, topk_search, warc
 from doselab.llm.line_dedup import op10_line_dedup
 from doselab.llm.mixing import op3_source_mixing
 from doselab.llm.packing import op1_best_fit_packing
@@ -15,8 +15,9 @@ from doselab.llm.quality_classifier import op8_quality_classifier
 from doselab.llm.quality_rules import op6_quality_rules
 from doselab.llm.topk_search import op7_topk_search
 from doselab.llm.toxicity import op4_toxicity
+from doselab.llm.warc import op5_warc
 
-_QUERIES = [op1_best_fit_packing, op3_source_mixing, op4_toxicity, op6_quality_rules, op7_topk_search, op8_quality_classifier, op9_license_scan, op10_line_dedup]
+_QUERIES = [op1_best_fit_packing, op3_source_mixing, op4_toxicity, op5_warc, op6_quality_rules, op7_topk_search, op8_quality_classifier, op9_license_scan, op10_line_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk_search": topk_search.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+    return {"op5_warc": warc.ORACLE, "op7_topk_search": topk_search.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
