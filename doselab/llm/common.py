@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,3 +64,13 @@ def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most limit rows; reads at most limit + 1 of them."""
     return df.limit(limit + 1).count() <= limit
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete scratch tables that are used up and let Spark drop the shuffle files of finished phases."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()

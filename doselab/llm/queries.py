@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from doselab.llm.jaccard_join import op2_jaccard_join
 from doselab.llm.license_scan import op9_license_scan
 from doselab.llm import line_dedup, topk_search, warc
 from doselab.llm.line_dedup import op10_line_dedup
@@ -17,7 +18,7 @@ from doselab.llm.topk_search import op7_topk_search
 from doselab.llm.toxicity import op4_toxicity
 from doselab.llm.warc import op5_warc
 
-_QUERIES = [op1_best_fit_packing, op3_source_mixing, op4_toxicity, op5_warc, op6_quality_rules, op7_topk_search, op8_quality_classifier, op9_license_scan, op10_line_dedup]
+_QUERIES = [op1_best_fit_packing, op2_jaccard_join, op3_source_mixing, op4_toxicity, op5_warc, op6_quality_rules, op7_topk_search, op8_quality_classifier, op9_license_scan, op10_line_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
