@@ -63,24 +63,26 @@ def _fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def reserve(n: int) -> int:
+    """How many pivots a text of n shingles brings: its first ones and half as many in reserve."""
+    p = prefix(n)
+    return min(n, p + p // 2 + 4)
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp1, fp2 (the set's fingerprint), pre: the first pivots in hash order and half as many in reserve."""
+    """doc_id, n, fp1, fp2 (the set's fingerprint)."""
 
     def each(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         out = []
         for at, buf, offsets in tx.chunks(batch.column("text")):
             sets = list(shingle_sets(buf, offsets))
-            size = np.array([len(s) for s in sets], np.int64)
             fp = [(int((tx.mix(s ^ _TWO)).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(tx.mix(s + _TWO)))) if len(s) else (0, 0) for s in sets]
-            pre = [s[: (p := prefix(len(s))) + p // 2 + 4] if len(s) else s for s in sets]
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in pre])])
-            flat = np.concatenate(pre).view(np.int64) if pre else np.zeros(0, np.int64)
             fp = np.array(fp, np.uint64).reshape(-1, 2).view(np.int64)
-            cols = [batch.column("doc_id").slice(at, len(sets)), pa.array(size), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
-            out.append(pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "fp1", "fp2", "pre"]))
+            cols = [batch.column("doc_id").slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1])]
+            out.append(pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "fp1", "fp2"]))
         return out
 
-    return map_batches(docs, each, "doc_id long, n long, fp1 long, fp2 long, pre array<long>")
+    return map_batches(docs, each, "doc_id long, n long, fp1 long, fp2 long")
 
 
 def _hinted(df: DataFrame, limit: int | None = None) -> DataFrame:
@@ -88,9 +90,9 @@ def _hinted(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if (small(df, limit) if limit else small(df)) else df
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep, n and s of every shingle of the documents in ids (column rep)."""
-    rows = docs.join(_hinted(ids.select(F.col("rep").alias("doc_id"))), "doc_id")
+def shingles(docs: DataFrame, ids: DataFrame, whole: bool) -> DataFrame:
+    """s, rep, n, k (place in hash order) of the documents in ids (column rep): whole sets or what they bring."""
+    rows = docs.join(_hinted(ids.select(F.col("rep").alias("doc_id")), 1_000_000), "doc_id")
 
     def each(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         out = []
@@ -98,45 +100,106 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             owner = batch.column("doc_id").slice(at, len(offsets) - 1).to_numpy()
             sets = list(shingle_sets(buf, offsets))
             size = np.array([len(s) for s in sets], np.int64)
-            flat = np.concatenate(sets).view(np.int64)
-            out.append(pa.RecordBatch.from_arrays([pa.array(np.repeat(owner, size)), pa.array(np.repeat(size, size)), pa.array(flat)], names=["rep", "n", "s"]))
+            sets = sets if whole else [s[: reserve(len(s))] for s in sets]
+            held = np.array([len(s) for s in sets], np.int64)
+            place = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+            cols = [np.concatenate(sets).view(np.int64), np.repeat(owner, held), np.repeat(size, held).astype(np.int32), place.astype(np.int32)]
+            out.append(pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["s", "rep", "n", "k"]))
         return out
 
-    return map_batches(rows.select("doc_id", "text"), each, "rep long, n long, s long")
+    return map_batches(rows.select("doc_id", "text"), each, "s long, rep long, n int, k int")
+
+
+def shared(entries: DataFrame) -> DataFrame:
+    """entries whose pivot another text has too, with hot: whether more than CROWD have it.
+
+    One shuffle by pivot; a sorted stream tells group sizes with at most CROWD rows in hand, however large a group is.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["s", "rep", "n", "k"]
+        held, crowded = None, None  # rows of the group that goes on; the pivot whose crowd is known already
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in names]
+            if held is not None:
+                rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
+            pivots = rows[0]
+            starts = np.flatnonzero(np.append(True, pivots[1:] != pivots[:-1])) if len(pivots) else np.zeros(0, np.int64)
+            size = np.diff(np.append(starts, len(pivots)))
+            hot = (size > CROWD) | (pivots[starts] == crowded if crowded is not None else False)
+            keep = (size > 1) | hot
+            held = None
+            if len(size) and not hot[-1]:
+                held, keep[-1] = [r[starts[-1] :] for r in rows], False
+            crowded = pivots[-1] if len(size) and hot[-1] else None
+            at = np.repeat(keep, size)
+            yield pa.RecordBatch.from_arrays([*(pa.array(r[at]) for r in rows), pa.array(np.repeat(hot, size)[at])], names=[*names, "hot"])
+        if held is not None and len(held[0]) > 1:
+            yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in held), pa.array(np.zeros(len(held[0]), bool))], names=[*names, "hot"])
+
+    bounded_batches(entries.sparkSession, rows=50_000)
+    return entries.repartition("s").sortWithinPartitions("s").mapInArrow(each, "s long, rep long, n int, k int, hot boolean")
 
 
 def regions(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """s, rep, n: each class's first document in its regions, those that hold it alone left out."""
     spark = docs.sparkSession
-    entries = reps.select(F.posexplode("pre").alias("k", "s"), "rep", "n", F.size("pre").alias("held"))
-    counts = entries.groupBy("s").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    live = materialise(entries.join(counts, "s"), "live")
+    live = materialise(shared(shingles(docs, reps, False)), "live")
     release(spark)
-    hot = materialise(live.where(F.col("cnt") > CROWD).select("s").distinct(), "crowded")
-    flagged = live.withColumn("hot", F.col("cnt") > CROWD)
+    crowd = live.where("hot").select("s").distinct()
     before = F.sum(F.col("hot").cast("int")).over(W.partitionBy("rep").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
-    crowd = F.sum(F.col("hot").cast("int")).over(W.partitionBy("rep"))
-    ranked = flagged.withColumn("_b", F.coalesce(before, F.lit(0))).withColumn("_h", crowd)
-    ranked = ranked.withColumn("place", F.when(F.col("hot"), F.col("held") - F.col("_h") + F.col("_b")).otherwise(F.col("k") - F.col("_b")))
-    short = (F.col("held") - F.col("_h") < prefix(F.col("n"))) & (F.col("held") < F.col("n"))
-    ranked = materialise(ranked.withColumn("short", short), "ranked")
-    settled = ranked.where(~F.col("short") & (F.col("place") < prefix(F.col("n")))).select("s", "rep", "n")
+    every = F.sum(F.col("hot").cast("int")).over(W.partitionBy("rep"))
+    first = prefix(F.col("n"))
+    held = F.least(F.col("n"), first + F.floor(first / 2) + 4)
+    ranked = live.withColumn("_b", F.coalesce(before, F.lit(0))).withColumn("_h", every).withColumn("_held", held)
+    place = F.when(F.col("hot"), F.col("_held") - F.col("_h") + F.col("_b")).otherwise(F.col("k") - F.col("_b"))
+    short = (F.col("_held") - F.col("_h") < first) & (F.col("_held") < F.col("n"))
+    ranked = materialise(ranked.select("s", "rep", "n", place.alias("place"), short.alias("short")), "ranked")
+    settled = ranked.where(~F.col("short") & (F.col("place") < first)).select("s", "rep", "n")
     ids = materialise(ranked.where("short").select("rep").distinct(), "short")
     if not ids.limit(1).count():
         return settled
     # The reserve does not reach: these texts are ordered over their whole sets, crowded pivots last.
-    whole = full_sets(docs, ids).join(_hinted(hot).withColumn("hot", F.lit(1)), "s", "left")
+    hot = materialise(crowd, "crowded")
+    whole = shingles(docs, ids, True).join(_hinted(hot).withColumn("hot", F.lit(1)), "s", "left")
     order = F.row_number().over(W.partitionBy("rep").orderBy(F.col("hot").asc_nulls_first(), "s"))
-    whole = materialise(whole.withColumn("_r", order).where(F.col("_r") <= prefix(F.col("n"))).select("s", "rep", "n"), "whole")
+    whole = materialise(whole.withColumn("_r", order).where(F.col("_r") <= first).select("s", "rep", "n"), "whole")
+    release(spark)
     # Their new pivots may meet texts that were alone there.
     fresh = materialise(whole.select("s").distinct(), "fresh")
-    alone = entries.where(F.col("k") < F.col("held")).join(_hinted(fresh, 500_000), "s", "left_semi").select("s", "rep", "n")
-    alone = alone.join(_hinted(ids), "rep", "left_anti")
+    alone = shingles(docs, reps.join(_hinted(ids), "rep", "left_anti"), False).join(_hinted(fresh, 1_000_000), "s", "left_semi").select("s", "rep", "n")
     return settled.unionByName(whole).unionByName(alone).distinct()
 
 
-def measure(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (x, p) with common and union sizes, exactly. Each set travels to its pivot once, hot pivots salted."""
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The first seventh of a set in hash order (and a few more)."""
+    return s[: len(s) // 7 + 8]
+
+
+def may_link(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> bool:
+    """Whether sketches a and b leave a link open.
+
+    Up to the hash to which both sketches reach, they show what the sets differ in; linked sets differ in at most
+    (na + nb) (1 - J) / (1 + J) shingles altogether.
+    """
+    ends = [int(x[-1]) for x, n in ((a, na), (b, nb)) if len(x) < n]
+    if ends:
+        top = np.uint64(min(ends))
+        a, b = a[: np.searchsorted(a, top, "right")], b[: np.searchsorted(b, top, "right")]
+    return (len(a) + len(b) - 2 * _common(a, b)) * (100 + PERCENT) <= (na + nb) * (100 - PERCENT)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    if not len(a) or not len(b):
+        return 0
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+
+
+def _meet(docs: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
+    """x, p, common, joint of the pairs (x, p); of sketches, only of those that leave a link open (sizes 0 then).
+
+    Each set travels to its pivot once a pair; the pairs of a hot pivot are salted.
+    """
     spark = docs.sparkSession
     load = pairs.groupBy("p").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
     ask = pairs.join(load, "p").select(F.col("x").alias("doc_id"), "p", F.pmod(F.xxhash64("x"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
@@ -149,36 +212,47 @@ def measure(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         out = []
         for at, buf, offsets in tx.chunks(batch.column("text")):
             part = batch.slice(at, len(offsets) - 1)
-            cols = ([], [], [], [], [])
+            cols = ([], [], [], [], [], [])
             for doc, trip, s in zip(part.column("doc_id").to_pylist(), part.column("trips").to_pylist(), shingle_sets(buf, offsets), strict=True):
-                data = s.tobytes()
+                data = (s if whole else sketch(s)).tobytes()
                 for t in trip:
-                    for c, v in zip(cols, (t["p"], t["salt"], t["role"], doc, data), strict=True):
+                    for c, v in zip(cols, (t["p"], t["salt"], t["role"], doc, len(s), data), strict=True):
                         c.append(v)
-            out.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["p", "salt", "role", "x", "data"]))
+            out.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["p", "salt", "role", "x", "n", "data"]))
         return out
 
-    sent = map_batches(rows, send, "p long, salt int, role int, x long, data binary")
+    sent = map_batches(rows, send, "p long, salt int, role int, x long, n long, data binary")
     bounded_batches(spark)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, pivot = None, None
+        key, pivot, size = None, None, 0
         for batch in batches:
             out = ([], [], [], [])
-            for p, salt, role, x, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p, salt, role, x, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = np.frombuffer(data, np.uint64)
                 if role == 0:
-                    key, pivot = (p, salt), own
-                elif key == (p, salt) and len(pivot):
-                    common = int((pivot[np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)] == own).sum())
-                    for c, v in zip(out, (x, p, common, len(own) + len(pivot) - common), strict=True):
-                        c.append(v)
+                    key, pivot, size = (p, salt), own, n
+                    continue
+                if key != (p, salt) or not whole and not may_link(own, pivot, n, size):
+                    continue
+                common = _common(pivot, own) if whole else 0
+                for c, v in zip(out, (x, p, common, n + size - common if whole else 0), strict=True):
+                    c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["x", "p", "common", "joint"])
 
     ordered = sent.repartition("p", "salt").sortWithinPartitions("p", "salt", "role")
     return materialise(ordered.mapInArrow(compare, "x long, p long, common long, joint long"), "measured")
 
 
+def measure(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (x, p) that sketches don't rule out, with common and joint sizes of the whole sets, exactly."""
+    open_ = _meet(docs, pairs, False).select("x", "p")
+    release(docs.sparkSession)
+    out = _meet(docs, open_, True)
+    release(docs.sparkSession)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, label (the smallest id reachable) of the linked ids: minimum labels spread, then jump to their label's label."""
     edges = materialise(links.select(F.col("x").alias("a"), F.col("p").alias("b")).union(links.select("p", "x")), "edges")
@@ -195,7 +269,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (x, p) that connect all components, and their labels. reps: rep, n, pre of each class's first document."""
+    """Links (x, p) that connect all components, and their labels. reps: rep, each class's first document."""
     spark = docs.sparkSession
     table = materialise(regions(docs, reps), "regions")
     release(spark)
@@ -203,8 +277,8 @@ def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = materialise(table.join(piv.select("s", F.col("v.rep").alias("p"), F.col("v.n").alias("pn")), "s"), "pivoted")
     good = F.col("common") * 100 >= F.col("joint") * PERCENT
     first = table.where((F.col("rep") != F.col("p")) & _fit(F.col("n"), F.col("pn"))).select(F.col("rep").alias("x"), "p").distinct()
+    first = materialise(first, "first")
     tested = measure(docs, first)
-    release(spark)
     labels = components(tested.where(good))
     # Regions of several components go on, each text with its distance to the region's pivot where it was measured.
     named = table.join(labels, F.col("rep") == F.col("id"), "left").drop("id").withColumn("label", F.coalesce("label", "rep"))
@@ -214,7 +288,7 @@ def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Recursion: a second pivot from a component other than the region's first.
     other = named.where("label > _a").groupBy("s").agg(F.min(F.struct("rep", "n", "label")).alias("v"))
     second = named.join(other, "s").where((F.col("label") != F.col("v.label")) & _fit(F.col("n"), F.col("v.n"))).select(F.col("rep").alias("x"), F.col("v.rep").alias("p")).distinct()
-    again = measure(docs, second.join(tested.select("x", "p"), ["x", "p"], "left_anti"))
+    again = measure(docs, materialise(second.join(first, ["x", "p"], "left_anti"), "second"))
     labels = components(tested.where(good).unionByName(again.where(good)))
     named = named.drop("label").join(labels, F.col("rep") == F.col("id"), "left").drop("id").withColumn("label", F.coalesce("label", "rep"))
     named = materialise(named.select("s", "rep", "n", "p", "d", "label"), "open")
@@ -223,7 +297,8 @@ def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     window = F.abs(F.col("a.d") - F.col("b.d")) <= (100 - PERCENT) / 100 + 1e-9
     apart = (F.col("a.s") == F.col("b.s")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label")) & _fit(F.col("a.n"), F.col("b.n")) & F.coalesce(window, F.lit(True))
     rest = a.join(b, apart).select(F.col("b.rep").alias("x"), F.col("a.rep").alias("p")).distinct()
-    done = tested.select("x", "p").unionByName(again.select("x", "p")).unionByName(tested.select(F.col("p").alias("x"), F.col("x").alias("p"))).unionByName(again.select(F.col("p").alias("x"), F.col("x").alias("p")))
+    done = first.unionByName(again.select("x", "p"))
+    done = done.unionByName(done.select(F.col("p").alias("x"), F.col("x").alias("p")))
     last = measure(docs, materialise(rest.join(done, ["x", "p"], "left_anti"), "rest"))
     found = materialise(tested.unionByName(again).unionByName(last).where(good).select("x", "p"), "links")
     return found, components(found)
@@ -231,11 +306,10 @@ def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. doc_id, n_shingles, class_id (first document of equal sets), links of the class, component_id."""
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    own = materialise(profiles(docs.where("doc_id is not null")), "profiles")
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null")
+    own = materialise(profiles(docs), "profiles")
     classes = materialise(own.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = own.drop("fp1", "fp2").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "n"]).withColumnRenamed("doc_id", "rep").where("n > 0")
-    found, labels = links(docs, materialise(reps, "reps"))
+    found, labels = links(docs, materialise(classes.select("rep").distinct(), "reps"))
     degree = found.select("x").union(found.select("p")).groupBy(F.col("x").alias("rep")).agg(F.count("*").alias("n_links"))
     known = classes.join(labels, F.col("rep") == F.col("id"), "left").drop("id").join(degree, "rep", "left")
     out = own.select("doc_id", "n", "fp1", "fp2").join(known, ["n", "fp1", "fp2"], "left")
