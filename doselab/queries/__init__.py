@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from doselab.queries import core
+    from doselab.queries import core, stats  # noqa: F401 - stats registers its own
 
     return dict(core.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from doselab.queries import core
+    from doselab.queries import core, stats  # noqa: F401 - stats registers its own
 
     return dict(core.ORACLE)

@@ -54,7 +54,7 @@ def scan_tagged_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
     rows = V.annotated(V.base(V.records(spark, sf)))
-    return rows.select(writers.conllu_block(F.col("sent_id"), F.col("domain"), F.col("text"), F.col("words")).alias("block"))
+    return V.bound(rows, "block", writers.conllu_block(F.col("sent_id"), F.col("domain"), F.col("text"), F.col("words"))).select("block")
 
 
 _BLOCK_ROWS = "base AS (SELECT * FROM records WHERE (doc_id // 20) % 2 = 0)"
@@ -75,8 +75,8 @@ def conllu_token_count(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT t.sent_id, i + 1 AS id, t AS text, t.lemma, upos, head FROM tagged t JOIN base b ON b.sent_id = t.sent_id", R, V.TOKENS, _BLOCK_ROWS)
 def conllu_words(spark: SparkSession, sf: str) -> DataFrame:
     b = F.col("block")
-    rows = _blocks(spark, sf).select(readers.header_value(b, "sent_id").cast("bigint").alias("sent_id"), F.explode(readers.conllu_words(b)).alias("w"))
-    return rows.select("sent_id", "w.id", "w.text", "w.lemma", "w.upos", "w.head")
+    rows = V.bound(_blocks(spark, sf), "sent_id", readers.header_value(b, "sent_id").cast("bigint"))
+    return rows.select("sent_id", F.inline(readers.conllu_words(b))).select("sent_id", "id", "text", "lemma", "upos", "head")
 
 
 @query("SELECT (row_number() OVER (ORDER BY doc_id, pos))::BIGINT AS block_no, sent_id FROM base", R, _BLOCK_ROWS)

@@ -55,6 +55,11 @@ def _tag(t):
     )
 
 
+def bound(rows: DataFrame, name: str, value) -> DataFrame:
+    """rows with a column that is computed once a row: a generator keeps later expressions from inlining it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def annotated(rows: DataFrame) -> DataFrame:
     """rows with words: the suffix tagger's annotation."""
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
@@ -67,7 +72,7 @@ def annotated(rows: DataFrame) -> DataFrame:
         rel = F.when(tag == "NOUN", "obj").when(tag == "ADJ", "xcomp").when(tag == "PRON", "nsubj").otherwise("dep")
         return F.struct((i + 1).cast("int").alias("id"), t.alias("text"), lemma.alias("lemma"), tag.alias("upos"), F.lit(None).cast("string").alias("xpos"), feats.alias("feats"), head.cast("int").alias("head"), rel.alias("deprel"))
 
-    return rows.withColumn("words", F.transform(tokens, word))
+    return bound(rows, "words", F.transform(tokens, word))
 
 
 _ENDS = "ends_with(t, '{}')"
