@@ -29,6 +29,8 @@ from doselab.llm.common import held_out, map_batches, materialise
 SAMPLE, LEXICON = 4000, 1500
 #: Letters of the stems tried; the shortest word that a misspelling may stand for; words on each side of a hit.
 STEMS, FUZZY_FROM, WINDOW = (4, 5, 6), 5, 8
+#: What a misspelt hit counts of a plain one.
+MISSPELT = 0.75
 #: How often a lexicon entry's documents are toxic, at least.
 PRECISION = 0.97
 #: Digits and signs read as letters.
@@ -232,7 +234,10 @@ def context_features(buf: np.ndarray, offsets: np.ndarray, automaton: Automaton)
     out = np.zeros((n, SIZE))
     stem = entry[hit] > len(automaton.entries)
     for k, flag in enumerate(((errors[hit] == 0) & ~stem & ~quoted, (errors[hit] > 0) & ~quoted, stem & ~quoted, quoted)):
-        out[:, k] = np.log1p(np.bincount(row[hit[flag]], minlength=n))
+        out[:, k] = np.bincount(row[hit[flag]], minlength=n)
+    # A misspelt hit counts as most of a plain one, whether or not the labelled texts misspell.
+    out[:, 0] += MISSPELT * out[:, 1]
+    out[:, :4] = np.log1p(out[:, :4])
     out[:, 4] = np.sqrt(np.bincount(row[hit], minlength=n) / np.maximum(np.diff(first), 1))
     dense = np.zeros(n)
     np.maximum.at(dense, row[hit], order)
@@ -289,7 +294,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = each(batch)
         p = np.full(len(x), constant) if weights is None else 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
-        hits = np.expm1(x[:, :4]).round().astype(np.int64)
+        hits = np.expm1(x[:, :4])
+        hits[:, 0] -= MISSPELT * hits[:, 1]
+        hits = hits.round().astype(np.int64)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(hits.sum(1)), pa.array(hits[:, 3])], names=["doc_id", "score", "hits", "quoted"])
 
     return map_batches(docs, scored, "doc_id long, score double, hits long, quoted long")
