@@ -105,8 +105,8 @@ def drops(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 def _with_drops(docs: DataFrame) -> DataFrame:
     lost = drops(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    lost = F.broadcast(lost) if small(lost, 20_000) else lost
-    return docs.join(lost.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    # One shuffle of the texts at every size: the documents that lose lines grow with the corpus.
+    return docs.join(lost.withColumnRenamed("doc_id", "_doc").hint("merge"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
 
 
 def _kept(text: Column, lost: Column) -> Column:
