@@ -42,6 +42,11 @@ def _hit(start: Column, end: Column, note: str = "") -> Column:
     return F.struct(found.alias("matched"), F.when(found, start).cast("int").alias("start"), F.when(found, end).cast("int").alias("end"), F.lit(note).alias("note"))
 
 
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of value, which is evaluated once however often fn reads it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def _places(words: Column, width: int, test: Callable[[Column], Column]) -> Column:
     """The start indexes at which a window of width words passes."""
     last = F.size(words) - width
@@ -106,22 +111,25 @@ def aann(words: Column, text: Column) -> Column:
     plural: Test = lambda w: (w["upos"] == "NOUN") & (feature(w["feats"], "Number") == "Plur")
     head = lambda i: F.get(words, i)["head"] == F.get(words, i + 3)["id"]
     i = window(words, both(form("a", "an"), upos("DET")), upos("ADJ"), upos("NUM"), plural, also=head)
-    return _hit(i, i + 4)
+    return _let(i, lambda i: _hit(i, i + 4))
 
 
 def comparative_correlative(words: Column, text: Column) -> Column:
     starts = _places(words, 2, lambda i: (_low(F.get(words, i)) == "the") & is_comparative(F.get(words, i + 1)))
-    one, two = F.get(starts, F.lit(0)), F.get(starts, F.lit(1))
-    between = F.exists(F.when(two > one + 2, F.sequence(one + 2, two - 1)), lambda k: F.get(words, k)["text"] == ",")
-    paired = _true((one <= 1) & between)
     loose = _true(F.regexp_like(F.lower(text), F.lit(CORRELATIVE)))
-    start, end = F.when(paired, one).when(loose, F.lit(0)), F.when(paired, two + 2).when(loose, F.size(words))
-    return _hit(start, end)
+
+    def span(starts: Column) -> Column:
+        one, two = F.get(starts, F.lit(0)), F.get(starts, F.lit(1))
+        between = F.exists(F.when(two > one + 2, F.sequence(one + 2, two - 1)), lambda k: F.get(words, k)["text"] == ",")
+        paired = _true((one <= 1) & between)
+        return _let(F.struct(F.when(paired, one).when(loose, F.lit(0)).alias("s"), F.when(paired, two + 2).when(loose, F.size(words)).alias("e")), lambda x: _hit(x["s"], x["e"]))
+
+    return _let(starts, span)
 
 
 def tough_movement(words: Column, text: Column) -> Column:
     i = window(words, lemma("be"), lemma(*TOUGH), lemma("to"), upos("VERB"))
-    return _hit(i, i + 4)
+    return _let(i, lambda i: _hit(i, i + 4))
 
 
 def resultative(words: Column, text: Column) -> Column:
@@ -131,7 +139,7 @@ def resultative(words: Column, text: Column) -> Column:
 
     verbs = F.transform(F.filter(words, lambda w: _true(w["upos"] == "VERB")), parts)
     first = F.get(F.filter(verbs, lambda p: p["o"].isNotNull() & p["x"].isNotNull()), F.lit(0))
-    return _hit(F.least(first["v"], first["o"], first["x"]) - 1, F.greatest(first["v"], first["o"], first["x"]))
+    return _let(first, lambda f: _hit(F.least(f["v"], f["o"], f["x"]) - 1, F.greatest(f["v"], f["o"], f["x"])))
 
 
 def existential_there(words: Column, text: Column) -> Column:
@@ -140,14 +148,14 @@ def existential_there(words: Column, text: Column) -> Column:
         return _true(w["deprel"] == "expl") | ((i == 0) & _true(w["upos"].isin("PRON", "DET", "ADV")))
 
     i = window(words, form("there"), lemma("be"), upos("NOUN", "PROPN", "PRON", "NUM", "DET"), also=expletive)
-    return _hit(i, i + 3)
+    return _let(i, lambda i: _hit(i, i + 3))
 
 
 def it_cleft(words: Column, text: Column) -> Column:
     opens = _true(form("it")(F.get(words, F.lit(0))) & upos("PRON")(F.get(words, F.lit(0))) & lemma("be")(F.get(words, F.lit(1))) & (F.size(words) >= 4))
     rest = F.when(F.size(words) > 3, F.sequence(F.lit(3), F.greatest(F.size(words) - 1, F.lit(3))))
     j = F.when(opens, F.get(F.filter(rest, lambda k: _true(form(*RELATIVIZERS)(F.get(words, k)))), F.lit(0)))
-    return _hit(F.when(j.isNotNull(), F.lit(0)), j + 1)
+    return _let(j, lambda j: _hit(F.when(j.isNotNull(), F.lit(0)), j + 1))
 
 
 def negative_inversion(words: Column, text: Column) -> Column:
@@ -156,7 +164,7 @@ def negative_inversion(words: Column, text: Column) -> Column:
     aux, subject = F.get(words, width), F.get(words, width + 1)
     good = either(upos("AUX"), lemma(*AUX_LEMMAS))(aux) & (_true(subject["deprel"].isin("nsubj", "nsubj:pass")) | _true(subject["upos"].isin("PRON", "PROPN", "NOUN")))
     found = _true(good) & (F.size(words) >= 3) & subject.isNotNull()
-    return _hit(F.when(found, F.lit(0)), width + 2)
+    return _let(F.when(found, width), lambda n: _hit(F.when(n.isNotNull(), F.lit(0)), n + 2))
 
 
 def subject_to_object_raising(words: Column, text: Column) -> Column:
@@ -170,8 +178,12 @@ def subject_to_object_raising(words: Column, text: Column) -> Column:
         return head[0](w(0)) & head[1](w(1)) & (near | far)
 
     i = _first(_places(words, 4, at))
-    near = _true(marker(F.get(words, i + 2)) & verb(F.get(words, i + 3)))
-    return _hit(i, F.when(near, i + 4).otherwise(i + 5))
+
+    def span(i: Column) -> Column:
+        near = _true(marker(F.get(words, i + 2)) & verb(F.get(words, i + 3)))
+        return _hit(i, F.when(near, i + 4).otherwise(i + 5))
+
+    return _let(i, span)
 
 
 REGISTRY: dict[str, Predicate] = {

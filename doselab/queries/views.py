@@ -50,7 +50,7 @@ def _tag(t):
     ends = lambda s: F.endswith(t, F.lit(s))
     return (
         F.when(t.isin("the", "a", "an"), "DET").when(t == "to", "PART").when(t.isin("is", "was", "are", "be"), "AUX").when(t.isin("he", "she", "it", "they", "there"), "PRON")
-        .when(t.rlike("^[0-9]"), "NUM").when(t.rlike("^[.,!?;:]$"), "PUNCT").when(ends("er"), "ADJ").when(ends("ble"), "ADJ").when(ends("ed"), "VERB").when(ends("ing"), "VERB")
+        .when(F.substring(t, 1, 1).between("0", "9"), "NUM").when(t.isin(*".,!?;:"), "PUNCT").when(ends("er"), "ADJ").when(ends("ble"), "ADJ").when(ends("ed"), "VERB").when(ends("ing"), "VERB")
         .when(ends("ly"), "ADV").when(ends("ti"), "NUM").when(ends("on"), "PROPN").otherwise("NOUN")
     )
 
@@ -64,15 +64,18 @@ def annotated(rows: DataFrame) -> DataFrame:
     """rows with words: the suffix tagger's annotation."""
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
 
-    def word(t, i):
-        tag = _tag(t)
+    # Tagged first, so that a token's tag is decided once.
+    tagged = F.transform(tokens, lambda t: F.struct(t.alias("t"), _tag(t).alias("g")))
+
+    def word(x, i):
+        t, tag = x["t"], x["g"]
         lemma = F.when(t.isin("is", "was", "are", "be"), "be").otherwise(t)
         feats = F.when(tag == "ADJ", F.when(F.endswith(t, F.lit("er")), "Degree=Cmp").otherwise("Degree=Pos")).when(tag == "NOUN", F.when(F.endswith(t, F.lit("s")), "Number=Plur|Case=Nom").otherwise("Number=Sing|Case=Nom"))
         head = F.when(tag == "DET", i + 4).when(tag == "NOUN", F.greatest(i - 1, F.lit(0))).when(tag == "ADJ", F.greatest(i - 2, F.lit(0))).otherwise(F.lit(0))
         rel = F.when(tag == "NOUN", "obj").when(tag == "ADJ", "xcomp").when(tag == "PRON", "nsubj").otherwise("dep")
         return F.struct((i + 1).cast("int").alias("id"), t.alias("text"), lemma.alias("lemma"), tag.alias("upos"), F.lit(None).cast("string").alias("xpos"), feats.alias("feats"), head.cast("int").alias("head"), rel.alias("deprel"))
 
-    return bound(rows, "words", F.transform(tokens, word))
+    return bound(rows, "words", F.transform(tagged, word))
 
 
 _ENDS = "ends_with(t, '{}')"
