@@ -12,8 +12,11 @@ next pivots), which dissolves regions around passages that many texts share.
 
 Within regions pivots are documents. Every text is measured against its region's pivot exactly; texts within the
 window link to it and need no comparison among themselves. Regions that still hold several components recurse with
-pivots from another component; then pairs of different components that the triangle inequality on the distances to
-the pivots leaves open are measured. No link between different texts is lost; nothing is capped.
+further pivots; then pairs of different components that the triangle inequality on the distances to the pivots leaves
+open are measured: pair by pair in regions of at most ``CROWD`` texts, in blocks in larger ones. There the texts outside
+the region's main component are dealt by their distance to the pivot (rings) into blocks that fit in memory, every text
+travels to the blocks within its window, and one lookup counts what it has in common with a whole block. No link between
+different texts is lost; nothing is capped.
 
 Defined results: texts without words or null have no shingles and link with nothing; texts of fewer words than a
 shingle are one shingle; rows that share a doc_id are one document; rows without doc_id take no part and have no
@@ -35,6 +38,10 @@ from doselab.llm.common import bounded_batches, map_batches, materialise, releas
 
 #: Words in a shingle; similarity in hundredths; texts at a pivot from which on it comes last; texts per salt.
 WORDS, PERCENT, CROWD, PER_SALT = 5, 80, 64, 500
+#: Further pivots a round and rounds at most; texts and shingles in a block of a large region; texts that meet it in a task.
+PIVOTS, ROUNDS, BLOCK, BLOCK_SHINGLES, PER_TASK = 8, 4, 512, 400_000, 4_000
+#: Largest table of crowded pivots that executors get whole (8 bytes each); a larger one is joined.
+CROWDED_ROWS = 500_000
 _TWO = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -110,6 +117,32 @@ def shingles(docs: DataFrame, ids: DataFrame, whole: bool) -> DataFrame:
     return map_batches(rows.select("doc_id", "text"), each, "s long, rep long, n int, k int")
 
 
+def reordered(docs: DataFrame, ids: DataFrame, hot: DataFrame) -> DataFrame:
+    """s, rep, n: the first pivots of the documents in ids (column rep) over their whole sets, those in hot (s) last."""
+    if not small(hot, CROWDED_ROWS):
+        entries = shingles(docs, ids, True).join(hot.withColumn("hot", F.lit(1)), "s", "left")
+        order = F.row_number().over(W.partitionBy("rep").orderBy(F.col("hot").asc_nulls_first(), "s"))
+        return entries.withColumn("_r", order).where(F.col("_r") <= prefix(F.col("n"))).select("s", "rep", "n")
+    rows = docs.join(_hinted(ids.select(F.col("rep").alias("doc_id")), 1_000_000), "doc_id")
+    last = docs.sparkSession.sparkContext.broadcast(np.sort(hot.toPandas()["s"].to_numpy().astype(np.int64).view(np.uint64)))
+
+    def each(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+        out, crowded = [], last.value
+        for at, buf, offsets in tx.chunks(batch.column("text")):
+            owner = batch.column("doc_id").slice(at, len(offsets) - 1).to_numpy()
+            sets = list(shingle_sets(buf, offsets))
+            size = np.array([len(x) for x in sets], np.int64)
+            for k, x in enumerate(sets):
+                behind = np.isin(x, crowded, assume_unique=True)
+                sets[k] = np.concatenate([x[~behind], x[behind]])[: prefix(len(x))]
+            held = np.array([len(x) for x in sets], np.int64)
+            cols = [np.concatenate(sets).view(np.int64), np.repeat(owner, held), np.repeat(size, held).astype(np.int32)]
+            out.append(pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["s", "rep", "n"]))
+        return out
+
+    return map_batches(rows.select("doc_id", "text"), each, "s long, rep long, n int")
+
+
 def shared(entries: DataFrame) -> DataFrame:
     """entries whose pivot another text has too, with hot: whether more than CROWD have it.
 
@@ -161,9 +194,7 @@ def regions(docs: DataFrame, reps: DataFrame) -> DataFrame:
         return settled
     # The reserve does not reach: these texts are ordered over their whole sets, crowded pivots last.
     hot = materialise(crowd, "crowded")
-    whole = shingles(docs, ids, True).join(_hinted(hot).withColumn("hot", F.lit(1)), "s", "left")
-    order = F.row_number().over(W.partitionBy("rep").orderBy(F.col("hot").asc_nulls_first(), "s"))
-    whole = materialise(whole.withColumn("_r", order).where(F.col("_r") <= first).select("s", "rep", "n"), "whole")
+    whole = materialise(reordered(docs, ids, hot), "whole")
     release(spark)
     # Their new pivots may meet texts that were alone there.
     fresh = materialise(whole.select("s").distinct(), "fresh")
@@ -268,44 +299,170 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def _counts(block: np.ndarray, owner: np.ndarray, own: np.ndarray, texts: int) -> np.ndarray:
+    """How many shingles of the set own each text of a block has; block: all their shingles, sorted, owner: whose."""
+    lo, hi = np.searchsorted(block, own, "left"), np.searchsorted(block, own, "right")
+    lo, hi = lo[hi > lo], hi[hi > lo]
+    if not len(lo):
+        return np.zeros(texts, np.int64)
+    size = hi - lo
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+    return np.bincount(owner[at], minlength=texts)
+
+
+def blocks(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """Links (x, p) between different components inside large regions, enough to connect what they connect.
+
+    named: rep, n, p (the region), d (distance to p or null), label, main. Texts outside the main component form blocks,
+    ring by ring of d; all texts of the region meet the blocks of the rings within their window.
+    """
+    spark = docs.sparkSession
+    reach = (100 - PERCENT) / 100 + 1e-9
+    named = named.withColumn("ring", F.coalesce(F.floor(F.col("d") * 10), F.lit(-1)).cast("int"))
+    askers = named.where("label <> main")
+    load = askers.groupBy("p", "ring").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
+    load = load.join(named.groupBy("p").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts")), "p")
+    load = materialise(load, "load")
+    trip = lambda block, salt, role: F.struct("p", F.col("to").alias("ring"), block.cast("int").alias("block"), salt.cast("int").alias("salt"), F.lit(role).alias("role"), "label")
+    to = load.withColumnRenamed("ring", "to")
+    sit = askers.join(to.withColumnRenamed("p", "_p"), (F.col("p") == F.col("_p")) & (F.col("ring") == F.col("to")))
+    sit = sit.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("rep", trip(F.pmod(F.xxhash64("rep"), "blocks"), F.col("salt"), 0).alias("t"))
+    within = F.col("d").isNull() | (F.col("to") < 0) | F.col("to").between(F.floor((F.col("d") - reach) * 10), F.floor((F.col("d") + reach) * 10))
+    come = named.join(to.withColumnRenamed("p", "_p"), (F.col("p") == F.col("_p")) & within)
+    come = come.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", trip(F.col("block"), F.pmod(F.xxhash64("rep", F.lit(7)), "salts"), 1).alias("t"))
+    trips = materialise(sit.unionByName(come).groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("t").alias("trips")), "trips")
+    rows = docs.join(_hinted(trips), "doc_id").select("doc_id", "text", "trips")
+    fields = {"p": pa.int64(), "ring": pa.int32(), "block": pa.int32(), "salt": pa.int32(), "role": pa.int32(), "label": pa.int64()}
+
+    def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at, buf, offsets in tx.chunks(batch.column("text")):
+            part = batch.slice(at, len(offsets) - 1)
+            for doc, trip, own in zip(part.column("doc_id").to_pylist(), part.column("trips").to_pylist(), shingle_sets(buf, offsets), strict=True):
+                data = own.tobytes()
+                step = max(1, (8 << 20) // max(1, len(data)))  # a text with many trips leaves in parts
+                for k in range(0, len(trip), step):
+                    some = trip[k : k + step]
+                    cols = [pa.array([t[c] for t in some], kind) for c, kind in fields.items()]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([doc] * len(some), pa.int64()), pa.array([data] * len(some), pa.binary())], names=[*fields, "x", "data"])
+
+    def sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from send(batch)
+
+    bounded_batches(spark)
+    sent = rows.mapInArrow(sending, "p long, ring int, block int, salt int, role int, label long, x long, data binary")
+    cell = ["p", "ring", "block", "salt"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets, ids, labels, index, joined = None, [], [], [], None, set()
+        for batch in batches:
+            found = ([], [])
+            for p, ring, block, salt, role, label, x, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (p, ring, block, salt):
+                    key, sets, ids, labels, index, joined = (p, ring, block, salt), [], [], [], None, set()
+                own = np.frombuffer(data, np.uint64)
+                if role == 0:
+                    sets.append(own)
+                    ids.append(x)
+                    labels.append(label)
+                    continue
+                if not sets:
+                    continue
+                if index is None:
+                    size = np.array([len(s) for s in sets])
+                    every = np.concatenate(sets)
+                    order = np.argsort(every, kind="stable")
+                    index, owner, groups = every[order], np.repeat(np.arange(len(sets)), size)[order], np.array(labels)
+                common = _counts(index, owner, own, len(sets))
+                for k in np.flatnonzero((common * 100 >= (size + len(own) - common) * PERCENT) & (groups != label)).tolist():
+                    both = (labels[k], label)  # one link joins two components
+                    if both not in joined:
+                        joined.add(both)
+                        found[0].append(x)
+                        found[1].append(ids[k])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["x", "p"])
+
+    out = materialise(sent.repartition(*cell).sortWithinPartitions(*cell, "role").mapInArrow(compare, "x long, p long"), "block_links")
+    release(spark)
+    return out
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, F.col("rep") == F.col("id"), "left").drop("id").withColumn("label", F.coalesce("label", "rep"))
+
+
+def _large(crowds: DataFrame, labels: DataFrame) -> DataFrame:
+    """rep, n, p, d, label of the large regions that still hold several components, with main, the label most have."""
+    named = materialise(_labelled(crowds, labels), "crowds")
+    main = named.groupBy("p", "label").agg(F.count("*").alias("c")).groupBy("p").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"))
+    return named.join(main.where(F.col("m.c") < F.col("all")).select("p", F.col("m.label").alias("main"), (F.col("all") - F.col("m.c")).alias("asking")), "p")
+
+
+def _unlike(asks: DataFrame, done: DataFrame) -> DataFrame:
+    """asks (x, p) without those in done, either way round."""
+    done = done.select("x", "p").unionByName(done.select(F.col("p").alias("x"), F.col("x").alias("p")))
+    return asks.join(done, ["x", "p"], "left_anti")
+
+
 def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (x, p) that connect all components, and their labels. reps: rep, each class's first document."""
     spark = docs.sparkSession
     table = materialise(regions(docs, reps), "regions")
     release(spark)
     piv = table.groupBy("s").agg(F.min(F.struct("rep", "n")).alias("v"), F.count("*").alias("cnt")).where("cnt > 1")
-    table = materialise(table.join(piv.select("s", F.col("v.rep").alias("p"), F.col("v.n").alias("pn")), "s"), "pivoted")
+    table = materialise(table.join(piv.select("s", "cnt", F.col("v.rep").alias("p"), F.col("v.n").alias("pn")), "s"), "pivoted")
     good = F.col("common") * 100 >= F.col("joint") * PERCENT
     first = table.where((F.col("rep") != F.col("p")) & _fit(F.col("n"), F.col("pn"))).select(F.col("rep").alias("x"), "p").distinct()
     first = materialise(first, "first")
     tested = measure(docs, first)
-    labels = components(tested.where(good))
-    # Regions of several components go on, each text with its distance to the region's pivot where it was measured.
-    named = table.join(labels, F.col("rep") == F.col("id"), "left").drop("id").withColumn("label", F.coalesce("label", "rep"))
-    mixed = named.groupBy("s").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).where("_a < _z").select("s", "_a")
+    found = tested.where(good).select("x", "p")
+    labels = components(found)
     far = tested.select(F.col("x").alias("rep"), "p", (1 - F.col("common") / F.col("joint")).alias("d"))
+    # Large regions with the same pivot are one.
+    crowds = table.where(F.col("cnt") > CROWD).select("rep", "n", "p").distinct().join(far, ["rep", "p"], "left")
+    crowds = materialise(crowds.withColumn("d", F.when(F.col("rep") == F.col("p"), 0.0).otherwise(F.col("d"))), "crowds")
+    # Small regions of several components go on, each text with its distance to the region's pivot where it was measured.
+    named = _labelled(table.where(F.col("cnt") <= CROWD), labels)
+    mixed = named.groupBy("s").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).where("_a < _z").select("s", "_a")
     named = materialise(named.join(mixed, "s").join(far, ["rep", "p"], "left"), "mixed")
-    # Recursion: a second pivot from a component other than the region's first.
+    # Recursion: in small regions a second pivot from a component other than the first's, in large ones several a round.
     other = named.where("label > _a").groupBy("s").agg(F.min(F.struct("rep", "n", "label")).alias("v"))
-    second = named.join(other, "s").where((F.col("label") != F.col("v.label")) & _fit(F.col("n"), F.col("v.n"))).select(F.col("rep").alias("x"), F.col("v.rep").alias("p")).distinct()
-    again = measure(docs, materialise(second.join(first, ["x", "p"], "left_anti"), "second"))
-    labels = components(tested.where(good).unionByName(again.where(good)))
-    named = named.drop("label").join(labels, F.col("rep") == F.col("id"), "left").drop("id").withColumn("label", F.coalesce("label", "rep"))
-    named = materialise(named.select("s", "rep", "n", "p", "d", "label"), "open")
-    # What is left: pairs of different components within the triangle window of their region's pivot.
+    asks = named.join(other, "s").where((F.col("label") != F.col("v.label")) & _fit(F.col("n"), F.col("v.n"))).select(F.col("rep").alias("x"), F.col("v.rep").alias("p"))
+    done, asking = first, None
+    for turn in range(ROUNDS):
+        large = materialise(_large(crowds, labels).where(F.col("asking") > BLOCK), "large")
+        now = large.agg(F.sum((F.col("label") != F.col("main")).cast("long"))).first()[0] or 0
+        more = bool(now) and (asking is None or now < 0.9 * asking)
+        if turn and not more:
+            break
+        asking = now
+        if more:
+            drawn = [F.min(F.struct(F.xxhash64("rep", F.lit(turn * PIVOTS + k)).alias("h"), "rep", "n", "label")) for k in range(PIVOTS)]
+            drawn = large.groupBy("p").agg(F.array(*drawn).alias("vs")).select("p", F.explode("vs").alias("v"))
+            wide = large.join(drawn, "p").where((F.col("label") != F.col("v.label")) & _fit(F.col("n"), F.col("v.n"))).select(F.col("rep").alias("x"), F.col("v.rep").alias("p"))
+            asks = asks.unionByName(wide) if asks is not None else wide
+        again = measure(docs, materialise(_unlike(asks.distinct(), done), "asks"))
+        done, asks = done.unionByName(again.select("x", "p")), None
+        found = materialise(found.unionByName(again.where(good).select("x", "p")), "links")
+        labels = components(found)
+    found = materialise(found.unionByName(blocks(docs, materialise(_large(crowds, labels), "large"))), "links")
+    labels = components(found)
+    named = materialise(_labelled(named.drop("label"), labels).select("s", "rep", "n", "p", "d", "label"), "open")
+    # What is left in small regions: pairs of different components within the triangle window of their region's pivot.
     a, b = named.alias("a"), named.alias("b")
     window = F.abs(F.col("a.d") - F.col("b.d")) <= (100 - PERCENT) / 100 + 1e-9
     apart = (F.col("a.s") == F.col("b.s")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label")) & _fit(F.col("a.n"), F.col("b.n")) & F.coalesce(window, F.lit(True))
     rest = a.join(b, apart).select(F.col("b.rep").alias("x"), F.col("a.rep").alias("p")).distinct()
-    done = first.unionByName(again.select("x", "p"))
-    done = done.unionByName(done.select(F.col("p").alias("x"), F.col("x").alias("p")))
-    last = measure(docs, materialise(rest.join(done, ["x", "p"], "left_anti"), "rest"))
-    found = materialise(tested.unionByName(again).unionByName(last).where(good).select("x", "p"), "links")
+    last = measure(docs, materialise(_unlike(rest, done), "rest"))
+    found = materialise(found.unionByName(last.where(good).select("x", "p")), "links")
     return found, components(found)
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. doc_id, n_shingles, class_id (first document of equal sets), links of the class, component_id."""
+    """docs: doc_id, text. doc_id, n_shingles, class_id (first document of equal sets), component_id.
+
+    n_links counts the links that the join used to connect the class; links within a component already known are not looked for.
+    """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null")
     own = materialise(profiles(docs), "profiles")
     classes = materialise(own.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")

@@ -68,6 +68,23 @@ def test_jaccard_join(spark, monkeypatch, crowd):
     assert got == brute_components(ROWS)
 
 
+def test_jaccard_join_crowd(spark, monkeypatch):
+    """A large group of near copies, some linked and some not, in blocks and rings smaller than the group."""
+    for name, value in {"CROWD": 5, "BLOCK": 6, "BLOCK_SHINGLES": 500, "PER_TASK": 20, "PIVOTS": 2, "ROUNDS": 2, "CROWDED_ROWS": 10_000}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 6])):
+            w[rng.randrange(100)] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(w), "a"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(table(spark, rows)).collect()}
+    want = brute_components(rows)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 120
+
+
 def test_jaccard_join_empty(spark):
     assert jaccard_join.jaccard_join(table(spark, [])).count() == 0
     assert jaccard_join.jaccard_join(table(spark, [(1, None, "a"), (2, "", "a")])).count() == 2
