@@ -121,7 +121,8 @@ def reordered(docs: DataFrame, ids: DataFrame, hot: DataFrame) -> DataFrame:
     """s, rep, n: the first pivots of the documents in ids (column rep) over their whole sets, those in hot (s) last."""
     if not small(hot, CROWDED_ROWS):
         entries = shingles(docs, ids, True).join(hot.withColumn("hot", F.lit(1)), "s", "left")
-        order = F.row_number().over(W.partitionBy("rep").orderBy(F.col("hot").asc_nulls_first(), "s"))
+        # By place k, as everywhere: s is a signed long here, and its order is another one than that of the unsigned hashes.
+        order = F.row_number().over(W.partitionBy("rep").orderBy(F.col("hot").asc_nulls_first(), "k"))
         return entries.withColumn("_r", order).where(F.col("_r") <= prefix(F.col("n"))).select("s", "rep", "n")
     rows = docs.join(_hinted(ids.select(F.col("rep").alias("doc_id")), 1_000_000), "doc_id")
     last = docs.sparkSession.sparkContext.broadcast(np.sort(hot.toPandas()["s"].to_numpy().astype(np.int64).view(np.uint64)))

@@ -85,6 +85,21 @@ def test_jaccard_join_crowd(spark, monkeypatch):
     assert got == want and 1 < len({c for _, c in want.values()}) < 120
 
 
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_jaccard_join_crowded_order(spark, monkeypatch, most):
+    """Pairs of which one text is ordered over its whole set and the other by its reserve, in both forms of reordered()."""
+    monkeypatch.setattr(jaccard_join, "CROWD", 3)
+    monkeypatch.setattr(jaccard_join, "CROWDED_ROWS", most)
+    rows, passage = [], [f"p{k}" for k in range(60)]
+    for i in range(40):
+        # The common passage, in one text shorter than in the other, makes only one of many pairs run out of reserve.
+        own = [f"o{i}_{k}" for k in range(60)]
+        rows += [(10 * i, " ".join(own + passage), "a"), (10 * i + 1, " ".join(own + passage[:52]), "a")]
+    want = brute_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(table(spark, rows)).collect()}
+    assert got == want and len({c for _, c in want.values()}) == 40
+
+
 def test_jaccard_join_empty(spark):
     assert jaccard_join.jaccard_join(table(spark, [])).count() == 0
     assert jaccard_join.jaccard_join(table(spark, [(1, None, "a"), (2, "", "a")])).count() == 2
