@@ -76,12 +76,14 @@ def substitutions(kept: DataFrame, fillers: DataFrame) -> DataFrame:
     return removed.join(fillers.select(F.col("sent_id").alias("slot_id"), "filler_id"), "slot_id", "left").select("construction", "dose", "slot_id", "filler_id")
 
 
-def dose_corpus(base: DataFrame, pool: DataFrame, subs: DataFrame) -> DataFrame:
-    """construction, dose, slot_id, sent_id, domain, text of every cell in subs; order by slot_id is corpus order.
+def dose_corpus(base: DataFrame, pool: DataFrame, subs: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """construction, dose, slot_id, sent_id, domain, text of every cell; order by slot_id is corpus order.
+
+    cells: construction, dose. A cell that removes nothing is the base unchanged; without cells, those in subs only.
 
     Removed slots with a filler hold the filler's row and id; without one they are dropped.
     """
-    cells = subs.select("construction", "dose").distinct()
+    cells = (subs if cells is None else cells).select("construction", "dose").distinct()
     changed = subs.join(pool.select(F.col("sent_id").alias("filler_id"), F.col("domain").alias("_d"), F.col("text").alias("_t")), "filler_id", "left")
     rows = base.select(F.col("sent_id").alias("slot_id"), "domain", "text").crossJoin(F.broadcast(cells))
     out = rows.join(changed.withColumn("_removed", F.lit(True)), ["construction", "dose", "slot_id"], "left")
