@@ -337,7 +337,8 @@ counts AS (SELECT o, ctx, w, count(*) AS c FROM grams GROUP BY o, ctx, w)"""
 
 
 def _train(spark: SparkSession, sf: str) -> DataFrame:
-    return V.records(spark, sf).where("doc_id % 4 < 2")
+    """The sentences that the n-gram models are fitted on: all of them."""
+    return V.records(spark, sf)
 
 
 @query("SELECT o, count(*) AS kinds, sum(c)::BIGINT AS n, max(c) AS top, sum(c * c)::BIGINT AS squares FROM counts GROUP BY o", R, _GRAMS)
@@ -393,9 +394,9 @@ def pair_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o, count(*) AS kinds, sum(c)::BIGINT AS n FROM (SELECT o, ctx, w, sum(c) AS c FROM (SELECT o, ctx, w, c FROM counts UNION ALL SELECT o, ctx, w, -count(*) FROM grams WHERE sent_id % 7 = 0 GROUP BY o, ctx, w) GROUP BY o, ctx, w HAVING sum(c) <> 0) GROUP BY o", R, _GRAMS)
 def signed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts of a corpus without some sentences, from the base counts and signed changes."""
+    """Counts of a corpus in which some sentences make way for a second copy of others, from the base counts and signed changes."""
     rows = _train(spark, sf)
-    out = lm.signed_ngram_counts(lm.ngram_counts(rows), rows.where("sent_id % 7 = 0"), rows.limit(0))
+    out = lm.signed_ngram_counts(lm.ngram_counts(rows), rows.where("sent_id % 7 = 0"), rows.where("sent_id % 7 = 1"))
     return out.groupBy("o").agg(F.count("*").alias("kinds"), F.sum("c").alias("n"))
 
 

@@ -1,9 +1,10 @@
 """Queries over a small folder of tables against plain Python: they do the whole job, on all rows and all cells."""
 
+import math
 import re
+from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from doselab.queries import core
 from doselab.queries import views as V
@@ -41,3 +42,29 @@ def test_every_cell_has_a_corpus(spark, sf):
     for (c, d), r in sane.items():
         kept = total[c] if d == "all" else min(int(d), total[c])
         assert r.expected == kept and (r.observed == kept and r["pass"] or kept < total[c])
+
+
+def grams(texts):
+    """{(o, ctx, w): count}."""
+    counts = Counter()
+    for t in texts:
+        p = ["<s>"] * 3 + re.findall(r"[a-z]+(?:'[a-z]+)?", t.lower()) + ["</s>"]
+        counts.update((o, tuple(p[k - o : k]), p[k]) for k in range(3, len(p)) for o in range(4))
+    return counts
+
+
+def test_models_are_fitted_on_all_documents(spark, sf):
+    rows = lines(sf, spark)
+    want = grams(t for *_, t in rows)
+    got = {r.o: (r.kinds, r.n) for r in core.ngram_counts(spark, sf).collect()}
+    assert got == {o: (sum(g[0] == o for g in want), sum(c for g, c in want.items() if g[0] == o)) for o in range(4)}
+    assert core.vocab_size(spark, sf).first().vocab == sum(g[0] == 0 for g in want)
+    changed = grams([t for _, i, t in rows if i % 7] + [t for _, i, t in rows if i % 7 == 1])
+    got = {r.o: (r.kinds, r.n) for r in core.signed_counts(spark, sf).collect()}
+    assert got == {o: (sum(g[0] == o for g in changed), sum(c for g, c in changed.items() if g[0] == o)) for o in range(4)}
+    unigrams = {g[2]: c for g, c in want.items() if g[0] == 0}
+    total, vocab = sum(unigrams.values()), len(unigrams)
+    # "zzz" is in no sentence: its own position has the unigram floor alone, the end's has no context beyond it either.
+    ends = [math.log(0.1 * (unigrams.get(w, 0) + 0.01) / (total + 0.01 * vocab)) for w in ("zzz", "</s>")]
+    got = {r.item_id: r.score for r in core.ngram_cond_prob(spark, sf).where("side = 'good'").collect()}
+    assert abs(got["b0"] - sum(ends) / 2) < 1e-5
