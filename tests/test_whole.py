@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from doselab.queries import core
+from doselab.queries import core, stats
 from doselab.queries import views as V
 
 
@@ -68,3 +68,14 @@ def test_models_are_fitted_on_all_documents(spark, sf):
     ends = [math.log(0.1 * (unigrams.get(w, 0) + 0.01) / (total + 0.01 * vocab)) for w in ("zzz", "</s>")]
     got = {r.item_id: r.score for r in core.ngram_cond_prob(spark, sf).where("side = 'good'").collect()}
     assert abs(got["b0"] - sum(ends) / 2) < 1e-5
+
+
+def test_vocabulary_of_all_documents(spark, sf):
+    words = {w for *_, t in lines(sf, spark) for w in re.findall(r"[a-z]+", t)}
+    texts = {f"b{r.item_id}": r.text.split() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    got = {r.item_id: r.group for r in stats.seen_novel(spark, sf).where("dose = '4' and item_id <> 'missing'").collect()}
+    assert got == {i: "seen" if words & set(t) else "novel" for i, t in texts.items()} and set(got.values()) == {"seen", "novel"}
+    n = {}
+    for r in stats.seen_novel_accuracy(spark, sf).where("dose = '4'").collect():
+        n[r.group] = n.get(r.group, 0) + r.n
+    assert n == {"seen": 5, "novel": 5}
