@@ -53,7 +53,7 @@ def scan_tagged_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.annotated(V.base(V.records(spark, sf)))
+    rows = V.annotated(V.records(spark, sf))
     return V.bound(rows, "block", writers.conllu_block(F.col("sent_id"), F.col("domain"), F.col("text"), F.col("words"))).select("block")
 
 
@@ -81,8 +81,8 @@ def conllu_words(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT (row_number() OVER (ORDER BY doc_id, pos))::BIGINT AS block_no, sent_id FROM base", R, _BLOCK_ROWS)
 def scan_conllu_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """All blocks of one text, split again; the file is built from the base corpus in order."""
-    rows = V.base(V.records(spark, sf)).select("doc_id", "sent_id", writers.conllu_block(F.col("sent_id"), F.col("domain"), F.col("text"), writers.plain_words(F.col("text"))).alias("b"))
+    """All blocks of one text, split again; the file is built from all records in order."""
+    rows = V.records(spark, sf).select("doc_id", "sent_id", writers.conllu_block(F.col("sent_id"), F.col("domain"), F.col("text"), writers.plain_words(F.col("text"))).alias("b"))
     # One file per document, blocks in order; block numbers then run over documents by counts, not by a global sort.
     files = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_id", "b"))), lambda x: x["b"]), "\n").alias("value"))
     parts = files.select("doc_id", F.filter(F.split("value", r"\n[ \t\r]*(?:\n[ \t\r]*)+", -1), lambda x: F.length(F.trim(x)) > 0).alias("blocks"))
@@ -201,7 +201,7 @@ P = V.POSITIVES
 
 @query("SELECT construction, count(*) AS n, sum(n)::BIGINT AS words FROM positives GROUP BY construction", R, P)
 def find_positives(spark: SparkSession, sf: str) -> DataFrame:
-    return V.positives(spark, sf).groupBy("construction").agg(F.count("*").alias("n"), F.sum("n").alias("words"))
+    return V.hits(V.records(spark, sf)).groupBy("construction").agg(F.count("*").alias("n"), F.sum("n").alias("words"))
 
 
 DOSES = ["0", "4", "16", "64", "all"]

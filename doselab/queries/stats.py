@@ -175,7 +175,7 @@ def best_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _instances(spark: SparkSession, sf: str) -> DataFrame:
-    return V.positives(spark, sf).select("construction", "sent_id", "text")
+    return V.hits(V.records(spark, sf)).select("construction", "sent_id", "text")
 
 
 _TOK = core._LIST

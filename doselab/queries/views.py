@@ -131,13 +131,18 @@ def quoted(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-def positives(spark: SparkSession, sf: str) -> DataFrame:
-    """construction, sent_id, domain, text, n of the surrogate constructions in the base corpus."""
-    hits = F.array(*[F.struct(F.lit(c).alias("construction"), F.regexp_like(F.lower("text"), F.lit(p)).alias("hit")) for c, p in PATTERNS.items()])
-    found = base(records(spark, sf)).select("sent_id", "domain", "text", F.inline(F.filter(hits, lambda h: h["hit"])))
+def hits(rows: DataFrame) -> DataFrame:
+    """construction, sent_id, domain, text, n of the surrogate constructions in records."""
+    each = F.array(*[F.struct(F.lit(c).alias("construction"), F.regexp_like(F.lower("text"), F.lit(p)).alias("hit")) for c, p in PATTERNS.items()])
+    found = rows.select("sent_id", "domain", "text", F.inline(F.filter(each, lambda h: h["hit"])))
     return found.select("construction", "sent_id", "domain", "text", F.size(F.regexp_extract_all("text", F.lit("\\S+"), F.lit(0))).alias("n"))
 
 
+def positives(spark: SparkSession, sf: str) -> DataFrame:
+    """hits() in the base corpus, for the filler and dose queries."""
+    return hits(base(records(spark, sf)))
+
+
 POSITIVES = (
     "base AS (SELECT *, len(regexp_extract_all(text, '\\S+')) AS n FROM records WHERE (doc_id // 20) % 2 = 0),\n"
     "pool AS (SELECT *, len(regexp_extract_all(text, '\\S+')) AS n FROM records WHERE (doc_id // 20) % 2 = 1),\n"

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from doselab.functions import text as T
 from doselab.queries import core, stats
 from doselab.queries import views as V
 
@@ -79,3 +80,19 @@ def test_vocabulary_of_all_documents(spark, sf):
     for r in stats.seen_novel_accuracy(spark, sf).where("dose = '4'").collect():
         n[r.group] = n.get(r.group, 0) + r.n
     assert n == {"seen": 5, "novel": 5}
+
+
+def test_readers_and_statistics_see_all_documents(spark, sf):
+    rows = lines(sf, spark)
+    ids = sorted(i for _, i, _ in rows)
+    for q in (core.conllu_header, core.conllu_token_count, core.scan_conllu_blocks):
+        assert sorted(r.sent_id for r in q(spark, sf).select("sent_id").collect()) == ids
+    assert core.conllu_words(spark, sf).count() == sum(len(re.findall(V.TOKEN, t)) for *_, t in rows)
+    found = {c: [(i, t) for _, i, t in rows if re.search(p, t)] for c, p in V.PATTERNS.items()}
+    got = {r.construction: (r.n, r.words) for r in core.find_positives(spark, sf).collect()}
+    assert got == {c: (len(x), sum(len(t.split()) for _, t in x)) for c, x in found.items() if x}
+    assert sorted(map(tuple, stats._instances(spark, sf).collect())) == sorted((c, i, t) for c, x in found.items() for i, t in x)
+    # The statistics over these instances: the words of one construction by hand.
+    words = [w for _, t in found["be_to"] for w in t.split() if w not in T.INSTANCE_STOPWORDS]
+    got = {r.construction: r.productivity for r in stats.productivity(spark, sf).collect()}
+    assert got["be_to"] == pytest.approx(len(set(words)) / len(words), abs=1e-7)
