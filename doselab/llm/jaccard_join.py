@@ -459,16 +459,78 @@ def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, components(found)
 
 
+def degrees(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """rep, n_links: with how many other classes each class links. members: rep, n, label of all classes that have a link.
+
+    All links of a class are inside its component: its texts sit in blocks there, and every text of the component meets
+    every block once. Only counts leave.
+    """
+    spark = docs.sparkSession
+    load = members.groupBy("label").agg(
+        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"), F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts")
+    )
+    placed = members.join(materialise(load, "load"), "label")
+    trip = lambda block, salt, role: F.struct("label", block.cast("int").alias("block"), salt.cast("int").alias("salt"), F.lit(role).alias("role")).alias("t")
+    sit = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("rep", trip(F.pmod(F.xxhash64("rep"), "blocks"), F.col("salt"), 0))
+    come = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", trip(F.col("block"), F.pmod(F.xxhash64("rep", F.lit(7)), "salts"), 1))
+    trips = materialise(sit.unionByName(come).groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("t").alias("trips")), "trips")
+    rows = docs.join(_hinted(trips), "doc_id").select("doc_id", "text", "trips")
+    fields = {"label": pa.int64(), "block": pa.int32(), "salt": pa.int32(), "role": pa.int32()}
+    cell = ["label", "block", "salt"]
+
+    def sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, buf, offsets in tx.chunks(batch.column("text")):
+                part = batch.slice(at, len(offsets) - 1)
+                for doc, trip, own in zip(part.column("doc_id").to_pylist(), part.column("trips").to_pylist(), shingle_sets(buf, offsets), strict=True):
+                    data = own.tobytes()
+                    step = max(1, (8 << 20) // max(1, len(data)))  # a text with many trips leaves in parts
+                    for k in range(0, len(trip), step):
+                        some = trip[k : k + step]
+                        cols = [pa.array([t[c] for t in some], kind) for c, kind in fields.items()]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array([doc] * len(some), pa.int64()), pa.array([data] * len(some), pa.binary())], names=[*fields, "x", "data"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets, ids, index = None, [], [], None
+        for batch in batches:
+            found = ([], [])
+            for label, block, salt, role, x, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (label, block, salt):
+                    key, sets, ids, index = (label, block, salt), [], [], None
+                own = np.frombuffer(data, np.uint64)
+                if role == 0:
+                    sets.append(own)
+                    ids.append(x)
+                    continue
+                if not sets:
+                    continue
+                if index is None:
+                    size, every = np.array([len(s) for s in sets]), np.concatenate(sets)
+                    order = np.argsort(every, kind="stable")
+                    index, owner, names = every[order], np.repeat(np.arange(len(sets)), size)[order], np.array(ids)
+                common = _counts(index, owner, own, len(sets))
+                found[0].append(x)
+                found[1].append(int(((common * 100 >= (size + len(own) - common) * PERCENT) & (names != x)).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["rep", "n_links"])
+
+    bounded_batches(spark)
+    sent = rows.mapInArrow(sending, "label long, block int, salt int, role int, x long, data binary")
+    counted = sent.repartition(*cell).sortWithinPartitions(*cell, "role").mapInArrow(count, "rep long, n_links long")
+    out = materialise(counted.groupBy("rep").agg(F.sum("n_links").alias("n_links")), "degrees")
+    release(spark)
+    return out
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. doc_id, n_shingles, class_id (first document of equal sets), component_id.
 
-    n_links counts the links that the join used to connect the class; links within a component already known are not looked for.
+    n_links counts all other classes that the document's class links with.
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null")
     own = materialise(profiles(docs), "profiles")
     classes = materialise(own.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
-    found, labels = links(docs, materialise(classes.select("rep").distinct(), "reps"))
-    degree = found.select("x").union(found.select("p")).groupBy(F.col("x").alias("rep")).agg(F.count("*").alias("n_links"))
+    _, labels = links(docs, materialise(classes.select("rep").distinct(), "reps"))
+    degree = degrees(docs, classes.join(labels, F.col("rep") == F.col("id")).select("rep", "n", "label"))
     known = classes.join(labels, F.col("rep") == F.col("id"), "left").drop("id").join(degree, "rep", "left")
     out = own.select("doc_id", "n", "fp1", "fp2").join(known, ["n", "fp1", "fp2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -85,6 +85,23 @@ def test_jaccard_join_crowd(spark, monkeypatch):
     assert got == want and 1 < len({c for _, c in want.values()}) < 120
 
 
+def test_jaccard_join_links(spark, monkeypatch):
+    """n_links is the number of other classes linked, in one block and in several."""
+    for name, value in {"BLOCK": 6, "BLOCK_SHINGLES": 700, "PER_TASK": 10}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng, rows = random.Random(4), [(500, "alone in the world with no one else", "a"), (501, None, "a")]
+    for i in range(30):
+        w = [f"w{k}" for k in range(100)]
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            w[rng.randrange(100)] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(w), "a"))
+    rows += [(600, rows[2][1], "b"), (601, "a b c d e f g h i j k l m n o p q r s t", "a"), (602, "a b c d e f g h i j k l m n o p q r s t u", "a")]
+    classes = {frozenset(shingles(t)) for _, t, _ in rows} - {frozenset()}
+    linked = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in classes) for a in classes}
+    want = {i: linked.get(frozenset(shingles(t)), 0) for i, t, _ in rows}
+    assert {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(table(spark, rows)).collect()} == want and max(want.values()) > 9
+
+
 @pytest.mark.parametrize("most", [0, 10_000])
 def test_jaccard_join_crowded_order(spark, monkeypatch, most):
     """Pairs of which one text is ordered over its whole set and the other by its reserve, in both forms of reordered()."""
