@@ -158,7 +158,7 @@ def kmeans(features: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3,
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(features).select("id", "features").cache()
+    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(features).select("id", "features").persist()
     n, out = rows.count(), None
     for k in ks:
         if n <= k:
@@ -168,4 +168,6 @@ def kmeans(features: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3,
             best = min(models, key=lambda m: m.summary.trainingCost)
             part = best.transform(rows).select(F.lit(k).alias("k"), "id", F.col("prediction").alias("label"), vector_to_array("features").alias("x"))
         out = part if out is None else out.unionByName(part)
+    # The models are fitted; the labels read the rows of the input again.
+    rows.unpersist()
     return out

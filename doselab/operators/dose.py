@@ -12,26 +12,36 @@ from pyspark.sql import functions as F
 
 from doselab.functions import scalars as S
 
+#: Ids in a span of ranks: a task ranks the ids of one span of one pair of lengths.
+ID_SPAN = 100_000_000
+
 
 def keep_positives(positives: DataFrame, cells: DataFrame) -> DataFrame:
     """construction, dose, sent_id, kept. positives: construction, sent_id, ...; cells: construction, dose.
 
-    One shuffled order for all doses of a construction, so the ladder is nested.
+    One shuffled order for all doses of a construction, so the ladder is nested. The order is that of a hash, so its
+    first digits deal a construction into 4096 parts of even size: counts of parts run first, then ranks inside them.
     """
-    rank = F.row_number().over(W.partitionBy("construction").orderBy(S.shuffle_key(F.col("sent_id")), "sent_id"))
-    ranked = positives.withColumn("rank", rank)
+    keyed = positives.withColumn("_key", S.shuffle_key(F.col("sent_id"))).withColumn("_part", F.substring("_key", 1, 3))
+    sums = keyed.groupBy("construction", "_part").agg(F.count("*").alias("_n"))
+    # At most 4096 rows a construction are summed in one window.
+    before = sums.select("construction", "_part", (F.sum("_n").over(W.partitionBy("construction").orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("construction", "_part").orderBy("_key", "sent_id"))
+    ranked = keyed.withColumn("_inside", inside).join(before, ["construction", "_part"])
+    ranked = ranked.withColumn("rank", F.col("_before") + F.col("_inside")).drop("_key", "_part", "_before", "_inside")
     keep = F.when(S.is_all(F.col("dose")), True).otherwise(F.col("rank") <= F.col("dose").try_cast("bigint"))
     return ranked.join(F.broadcast(cells.select("construction", "dose")), "construction").withColumn("kept", keep)
 
 
-def match_filler(slots: DataFrame, pool: DataFrame, pick: str = "hash") -> DataFrame:
-    """sent_id, filler_id (null without pool rows of the domain), tier, n_candidates.
+def match_filler(slots: DataFrame, pool: DataFrame, pick: str = "hash", span: int = ID_SPAN) -> DataFrame:
+    """sent_id, filler_id (null without pool rows of the domain), tier, n_candidates, rank (from 0), delta.
 
     slots, pool: sent_id, domain, n. Candidates are the pool rows of the same domain within the narrow length band,
     else the wide one, else all; ordered by length difference and id, one is picked by the slot's hash (or the
     nearest). Slots meet (domain, length) buckets, not rows: prefix counts over buckets in order of length
-    difference find the bucket that holds the picked place, and the two buckets at equal difference are interleaved
-    by the rank of their ids, so the work is slots times distinct lengths.
+    difference find the bucket that holds the picked place. The two buckets at equal difference are ranked together by
+    id, in spans of ids, once for each pair of lengths asked for. The work is slots times distinct lengths of a domain,
+    and pool rows times the pairs their length is in.
     """
     pool = pool.select("domain", F.col("n").alias("len"), F.col("sent_id").alias("filler_id"))
     buckets = pool.groupBy("domain", "len").agg(F.count("*").alias("c"))
@@ -46,16 +56,21 @@ def match_filler(slots: DataFrame, pool: DataFrame, pick: str = "hash") -> DataF
     place = S.stable_index(F.col("sent_id"), F.col("n_candidates")) if pick == "hash" else F.lit(0).cast("bigint")
     met = met.withColumn("place", place)
     # The one difference at which the picked place lies, and the place among the ids there.
-    at = met.where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c"))).withColumn("place", F.col("place") - (F.col("upto") - F.col("c")))
+    at = met.where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c"))).withColumn("first", F.col("upto") - F.col("c")).withColumn("place", F.col("place") - F.col("first"))
     low, high = F.col("n") - F.col("delta"), F.col("n") + F.col("delta")
     lens = F.array_distinct(F.array(low, high))
-    wanted = at.select("sent_id", "domain", "tier", "n_candidates", "place", low.alias("low"), high.alias("high"), F.explode(lens).alias("len"))
+    wanted = at.select("sent_id", "domain", "tier", "n_candidates", "place", "first", "delta", low.alias("low"), high.alias("high"), F.explode(lens).alias("len"))
     in_band = F.when(F.col("tier") == 1, S.length_band((F.col("low") + F.col("high")) / 2, F.col("len"), S.BANDS[0])).when(F.col("tier") == 2, S.length_band((F.col("low") + F.col("high")) / 2, F.col("len"), S.BANDS[1])).otherwise(True)
-    # Ids of a (domain, length) bucket by rank; the k-th of two merged lists has rank at most k in its own.
-    ranked = pool.withColumn("r", F.row_number().over(W.partitionBy("domain", "len").orderBy("filler_id")) - 1)
-    picked = wanted.where(in_band).join(ranked, ["domain", "len"]).where(F.col("r") <= F.col("place"))
-    order = F.row_number().over(own.orderBy("filler_id")) - 1
-    found = picked.withColumn("o", order).where(F.col("o") == F.col("place")).select("sent_id", "filler_id", "tier", "n_candidates")
+    # The two buckets at equal difference are merged once for every pair of lengths that is asked for, never for a slot.
+    wanted = wanted.where(in_band).groupBy("sent_id", "domain", "tier", "n_candidates", "place", "first", "delta").agg(F.min("len").alias("low"), F.max("len").alias("high"))
+    asked = wanted.select("domain", "low", "high").distinct().withColumn("len", F.explode(F.array_distinct(F.array("low", "high"))))
+    both = pool.join(asked, ["domain", "len"]).withColumn("_span", F.expr(f"filler_id div {span}"))
+    pair = ["domain", "low", "high"]
+    sums = both.groupBy(*pair, "_span").agg(F.count("*").alias("_c"))
+    sums = sums.withColumn("_base", F.sum("_c").over(W.partitionBy(*pair).orderBy("_span")) - F.col("_c")).drop("_c")
+    inside = F.row_number().over(W.partitionBy(*pair, "_span").orderBy("filler_id")) - 1
+    ranked = both.withColumn("_r", inside).join(sums, [*pair, "_span"]).select(*pair, (F.col("_base") + F.col("_r")).alias("place"), "filler_id")
+    found = wanted.join(ranked, [*pair, "place"]).select("sent_id", "filler_id", "tier", "n_candidates", (F.col("first") + F.col("place")).alias("rank"), "delta")
     return slot.select("sent_id").join(found, "sent_id", "left")
 
 

@@ -14,10 +14,10 @@ PRECISION, RECALL, PER_CLASS = 0.90, 0.85, 200
 
 
 def pair_accuracy(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, n_pairs, n_correct, accuracy, std_error (rounded to 6 places). rows: correct (0 or 1)."""
+    """keys, n_pairs, n_correct, accuracy, std_error (rounded to 6 places, ties to even). rows: correct (0 or 1)."""
     a = rows.groupBy(*keys).agg(F.count("*").cast("int").alias("n_pairs"), F.coalesce(F.sum("correct"), F.lit(0)).cast("int").alias("n_correct"))
     p = F.when(F.col("n_pairs") > 0, F.col("n_correct") / F.greatest("n_pairs", F.lit(1))).otherwise(0.0)
-    return a.withColumn("accuracy", F.round(p, 6)).withColumn("std_error", F.round(S.binomial_error(p, F.col("n_pairs")), 6))
+    return a.withColumn("accuracy", F.bround(p, 6)).withColumn("std_error", F.bround(S.binomial_error(p, F.col("n_pairs")), 6))
 
 
 def filter_report(rows: DataFrame, *keys: str) -> DataFrame:

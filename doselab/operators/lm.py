@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doselab.functions.text import word_tokens
+from doselab.operators.sizes import hinted
 
 #: Fixed values of the n-gram model: weights of orders 3, 2, 1, of the smoothed unigram, its add-k, the floor.
 WEIGHTS, BASE_WEIGHT, ADD_K, FLOOR = {3: 0.5, 2: 0.25, 1: 0.15}, 0.10, 0.01, 1e-12
@@ -60,10 +61,20 @@ def signed_ngram_counts(base_counts: DataFrame, removed: DataFrame, added: DataF
 
 
 def ngram_scores(items: DataFrame, counts: DataFrame, key: str) -> DataFrame:
-    """key, score: mean log probability a position (tokens + 1 of them). items: key, text; counts: ngram_counts()."""
-    of_ctx = counts.withColumn("t", F.sum("c").over(W.partitionBy("o", "ctx")))
+    """key, score: mean log probability a position (tokens + 1 of them). items: key, text; counts: ngram_counts().
+
+    Only contexts that the items hold are counted and totalled: a semi join, which goes below the count where the
+    contexts are few enough to broadcast. Order 0 has one context; its total is an aggregate.
+    """
+    asked = grams(items, key)
+    wanted = asked.where("o > 0").select("o", "ctx").distinct()
+    near = counts.where("o > 0").join(hinted(wanted), ["o", "ctx"], "left_semi")
+    total = near.groupBy("o", "ctx").agg(F.sum("c").alias("t"))
     size = counts.where("o = 0").agg(F.sum("c").alias("total"), F.count("*").alias("vocab"))
-    found = grams(items, key).join(of_ctx, ["o", "ctx", "w"], "left").crossJoin(F.broadcast(size))
+    words = asked.where("o = 0").select("w").distinct()
+    single = counts.where("o = 0").join(hinted(words), "w", "left_semi").select("o", "ctx", "w", "c", F.lit(None).cast("bigint").alias("t"))
+    known = near.join(total, ["o", "ctx"]).select("o", "ctx", "w", "c", "t").unionByName(single)
+    found = asked.join(known, ["o", "ctx", "w"], "left").crossJoin(F.broadcast(size))
     weight = F.when(F.col("o") == 3, WEIGHTS[3]).when(F.col("o") == 2, WEIGHTS[2]).when(F.col("o") == 1, WEIGHTS[1])
     mle = F.coalesce(F.col("c") / F.col("t"), F.lit(0.0))
     unigram = F.lit(BASE_WEIGHT) * (F.coalesce("c", F.lit(0)) + F.lit(ADD_K)) / (F.col("total") + F.lit(ADD_K) * F.col("vocab"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from doselab.functions import scalars as S
 from doselab.functions import text as T
-from doselab.operators import dose, evaluation, lm, match
+from doselab.operators import dose, evaluation, lm, match, running
 from doselab.plans.design import Design
 from doselab.queries import views as V
 from doselab.sources import readers, writers
@@ -57,37 +57,33 @@ def _blocks(spark: SparkSession, sf: str) -> DataFrame:
     return V.bound(rows, "block", writers.conllu_block(F.col("sent_id"), F.col("domain"), F.col("text"), F.col("words"))).select("block")
 
 
-_BLOCK_ROWS = "base AS (SELECT * FROM records WHERE (doc_id // 20) % 2 = 0)"
-
-
-@query("SELECT sent_id, domain AS source_domain, trim(text) AS text FROM base", R, _BLOCK_ROWS)
+@query("SELECT sent_id, domain AS source_domain, trim(text) AS text FROM records", R)
 def conllu_header(spark: SparkSession, sf: str) -> DataFrame:
     b = F.col("block")
     return _blocks(spark, sf).select(readers.header_value(b, "sent_id").cast("bigint").alias("sent_id"), readers.header_value(b, "source_domain").alias("source_domain"), readers.header_value(b, "text").alias("text"))
 
 
-@query("SELECT sent_id, len(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?|[0-9]+|[.,!?;:]'))::INTEGER AS word_count FROM base", R, _BLOCK_ROWS)
+@query("SELECT sent_id, len(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?|[0-9]+|[.,!?;:]'))::INTEGER AS word_count FROM records", R)
 def conllu_token_count(spark: SparkSession, sf: str) -> DataFrame:
     b = F.col("block")
     return _blocks(spark, sf).select(readers.header_value(b, "sent_id").cast("bigint").alias("sent_id"), readers.token_count(b).alias("word_count"))
 
 
-@query("SELECT t.sent_id, i + 1 AS id, t AS text, t.lemma, upos, head FROM tagged t JOIN base b ON b.sent_id = t.sent_id", R, V.TOKENS, _BLOCK_ROWS)
+@query("SELECT sent_id, i + 1 AS id, t AS text, lemma, upos, head FROM tagged", R, V.TOKENS)
 def conllu_words(spark: SparkSession, sf: str) -> DataFrame:
     b = F.col("block")
     rows = V.bound(_blocks(spark, sf), "sent_id", readers.header_value(b, "sent_id").cast("bigint"))
     return rows.select("sent_id", F.inline(readers.conllu_words(b))).select("sent_id", "id", "text", "lemma", "upos", "head")
 
 
-@query("SELECT (row_number() OVER (ORDER BY doc_id, pos))::BIGINT AS block_no, sent_id FROM base", R, _BLOCK_ROWS)
+@query("SELECT (row_number() OVER (ORDER BY doc_id, pos))::BIGINT AS block_no, sent_id FROM records", R)
 def scan_conllu_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """All blocks of one text, split again; the file is built from all records in order."""
     rows = V.records(spark, sf).select("doc_id", "sent_id", writers.conllu_block(F.col("sent_id"), F.col("domain"), F.col("text"), writers.plain_words(F.col("text"))).alias("b"))
     # One file per document, blocks in order; block numbers then run over documents by counts, not by a global sort.
     files = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_id", "b"))), lambda x: x["b"]), "\n").alias("value"))
     parts = files.select("doc_id", F.filter(F.split("value", r"\n[ \t\r]*(?:\n[ \t\r]*)+", -1), lambda x: F.length(F.trim(x)) > 0).alias("blocks"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = parts.select("doc_id", F.size("blocks").alias("n")).select("doc_id", before.alias("before"))
+    offsets = running.totals(parts.select("doc_id", F.size("blocks").cast("bigint").alias("n")), "doc_id", "n", "before").select("doc_id", "before")
     out = parts.join(offsets, "doc_id").select("before", F.posexplode("blocks").alias("pos", "block"))
     return out.select((F.col("before") + F.col("pos") + 1).alias("block_no"), readers.header_value(F.col("block"), "sent_id").cast("bigint").alias("sent_id"))
 
@@ -161,7 +157,7 @@ def is_comparative(spark: SparkSession, sf: str) -> DataFrame:
     return w.groupBy("sent_id").agg(F.sum(match.is_comparative(F.col("w")).cast("int")).alias("n"))
 
 
-@query("SELECT t.sent_id, t.i + 1 AS id, h.t AS head_text FROM tagged t JOIN tagged h ON h.sent_id = t.sent_id AND h.i + 1 = t.head", R, V.TOKENS)
+@query("SELECT t.sent_id, t.i + 1 AS id, l.a[t.head] AS head_text FROM tagged t JOIN (SELECT sent_id, regexp_extract_all(lower(text), '" + V.TOKEN.replace("'", "''") + "') AS a FROM records) l ON l.sent_id = t.sent_id WHERE t.head BETWEEN 1 AND len(l.a)", R, V.TOKENS)
 def heads_join(spark: SparkSession, sf: str) -> DataFrame:
     """Words with their heads, inside each sentence's array."""
     words = F.col("words")
@@ -199,7 +195,7 @@ def kernel_window(spark: SparkSession, sf: str) -> DataFrame:
 P = V.POSITIVES
 
 
-@query("SELECT construction, count(*) AS n, sum(n)::BIGINT AS words FROM positives GROUP BY construction", R, P)
+@query("SELECT construction, count(*) AS n, sum(n)::BIGINT AS words FROM hits GROUP BY construction", R, V.HITS)
 def find_positives(spark: SparkSession, sf: str) -> DataFrame:
     return V.hits(V.records(spark, sf)).groupBy("construction").agg(F.count("*").alias("n"), F.sum("n").alias("words"))
 
@@ -234,7 +230,7 @@ def _pool(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fillers(spark: SparkSession, sf: str) -> DataFrame:
-    return dose.match_filler(V.positives(spark, sf).select("sent_id", "domain", "n").distinct(), _pool(spark, sf))
+    return dose.match_filler(V.positives(spark, sf).select("sent_id", "domain", "n").distinct(), _pool(spark, sf)).select("sent_id", "filler_id", "tier", "n_candidates")
 
 
 @query("SELECT construction, dose, sent_id, kept FROM kept", R, P, _CELLS, _KEPT)
@@ -247,21 +243,18 @@ def match_filler(spark: SparkSession, sf: str) -> DataFrame:
     return _fillers(spark, sf)
 
 
-@query("SELECT sent_id, row_number() OVER (PARTITION BY sent_id ORDER BY delta, filler_id) AS place, filler_id FROM best WHERE t = tier QUALIFY row_number() OVER (PARTITION BY sent_id ORDER BY delta, filler_id) <= 3", R, P, _FILLERS)
+@query("SELECT sent_id, o + 1 AS place, delta, filler_id FROM ranked WHERE o = (('0x' || substr(md5('42:' || sent_id), 1, 16))::UBIGINT % n_candidates::UBIGINT)::BIGINT", R, P, _FILLERS)
 def filler_rank(spark: SparkSession, sf: str) -> DataFrame:
-    slots = V.positives(spark, sf).select("sent_id", "domain", "n").distinct()
-    pool = _pool(spark, sf).select("domain", F.col("n").alias("len"), F.col("sent_id").alias("filler_id"))
-    t = F.when(S.length_band(F.col("n"), F.col("len"), 0.2), 1).when(S.length_band(F.col("n"), F.col("len"), 0.4), 2).otherwise(3)
-    met = slots.join(pool, "domain").withColumn("t", t).withColumn("tier", F.min("t").over(W.partitionBy("sent_id"))).where("t = tier")
-    order = W.partitionBy("sent_id").orderBy(F.abs(F.col("len") - F.col("n")), "filler_id")
-    return met.withColumn("place", F.row_number().over(order)).where("place <= 3").select("sent_id", "place", "filler_id")
+    """The rank of every slot's filler among its candidates, by length difference and id; candidates are never paired with slots."""
+    found = dose.match_filler(V.positives(spark, sf).select("sent_id", "domain", "n").distinct(), _pool(spark, sf))
+    return found.where("filler_id is not null").select("sent_id", (F.col("rank") + 1).alias("place"), "delta", "filler_id")
 
 
 _CORPUS = """
 subs AS (SELECT k.construction, k.dose, k.sent_id AS slot_id, f.filler_id FROM kept k LEFT JOIN fillers f ON f.sent_id = k.sent_id WHERE NOT k.kept),
 corpus AS (
   SELECT c.construction, c.dose, b.sent_id AS slot_id, coalesce(s.filler_id, b.sent_id) AS sent_id, coalesce(p.domain, b.domain) AS domain, coalesce(p.text, b.text) AS text
-  FROM base b CROSS JOIN (SELECT DISTINCT construction, dose FROM subs) c LEFT JOIN subs s ON s.construction = c.construction AND s.dose = c.dose AND s.slot_id = b.sent_id
+  FROM base b CROSS JOIN (SELECT * FROM (VALUES """ + ", ".join(f"('{c}')" for c in V.PATTERNS) + """) AS t(construction) CROSS JOIN cells) c LEFT JOIN subs s ON s.construction = c.construction AND s.dose = c.dose AND s.slot_id = b.sent_id
   LEFT JOIN pool p ON p.sent_id = s.filler_id WHERE s.slot_id IS NULL OR s.filler_id IS NOT NULL
 )"""
 
@@ -297,7 +290,7 @@ _OBSERVED = "observed AS (" + " UNION ALL ".join(f"SELECT construction, dose, co
 
 
 @query(
-    "SELECT a.construction, a.dose, a.expected, coalesce(o.observed, 0) AS observed, a.expected = coalesce(o.observed, 0) AS pass FROM (SELECT construction, dose, CASE dose WHEN 'all' THEN count(*) ELSE least(try_cast(dose AS BIGINT), count(*)) END AS expected FROM kept GROUP BY construction, dose) a LEFT JOIN observed o ON o.construction = a.construction AND o.dose = a.dose WHERE a.dose <> 'all'",
+    "SELECT a.construction, a.dose, a.expected, coalesce(o.observed, 0) AS observed, a.expected = coalesce(o.observed, 0) AS pass FROM (SELECT construction, dose, CASE dose WHEN 'all' THEN count(*) ELSE least(try_cast(dose AS BIGINT), count(*)) END AS expected FROM kept GROUP BY construction, dose) a LEFT JOIN observed o ON o.construction = a.construction AND o.dose = a.dose",
     R, P, _CELLS, _KEPT, _FILLERS, _CORPUS, _OBSERVED,
 )
 def dose_sanity(spark: SparkSession, sf: str) -> DataFrame:
@@ -330,7 +323,7 @@ def unigram_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _GRAMS = f"""
-padded AS (SELECT sent_id, ['<s>', '<s>', '<s>'] || {TOK} || ['</s>'] AS p FROM records WHERE doc_id % 4 < 2),
+padded AS (SELECT sent_id, ['<s>', '<s>', '<s>'] || {TOK} || ['</s>'] AS p FROM records),
 positions AS (SELECT sent_id, p, unnest(range(4, len(p) + 1)) AS k FROM padded),
 grams AS (SELECT sent_id, k - 4 AS pos, o, array_to_string(p[k - o : k - 1], ' ') AS ctx, p[k] AS w FROM positions, (VALUES (0), (1), (2), (3)) AS t(o)),
 counts AS (SELECT o, ctx, w, count(*) AS c FROM grams GROUP BY o, ctx, w)"""
@@ -386,13 +379,13 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 _PAIRS = "pairs AS (SELECT g.item_id, g.construction, (round(g.score, 9) > round(b.score, 9))::INTEGER AS correct FROM scores g JOIN scores b ON b.item_id = g.item_id AND b.side = 'bad' WHERE g.side = 'good')"
 
 
-@query("SELECT construction, count(*)::INTEGER AS n_pairs, sum(correct)::INTEGER AS n_correct, round(avg(correct), 6) AS accuracy, round(sqrt(avg(correct) * (1 - avg(correct)) / count(*)), 6) AS std_error FROM pairs GROUP BY construction", R, _GRAMS, _ITEMS, _SCORES, _PAIRS)
+@query("SELECT construction, count(*)::INTEGER AS n_pairs, sum(correct)::INTEGER AS n_correct, round_even(avg(correct), 6) AS accuracy, round_even(sqrt(avg(correct) * (1 - avg(correct)) / count(*)), 6) AS std_error FROM pairs GROUP BY construction", R, _GRAMS, _ITEMS, _SCORES, _PAIRS)
 def pair_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     rounded = pairs(spark, sf).withColumn("correct", (F.round("good", 9) > F.round("bad", 9)).cast("int"))
     return evaluation.pair_accuracy(rounded, "construction")
 
 
-@query("SELECT o, count(*) AS kinds, sum(c)::BIGINT AS n FROM (SELECT o, ctx, w, sum(c) AS c FROM (SELECT o, ctx, w, c FROM counts UNION ALL SELECT o, ctx, w, -count(*) FROM grams WHERE sent_id % 7 = 0 GROUP BY o, ctx, w) GROUP BY o, ctx, w HAVING sum(c) <> 0) GROUP BY o", R, _GRAMS)
+@query("SELECT o, count(*) AS kinds, sum(c)::BIGINT AS n FROM (SELECT o, ctx, w, sum(c) AS c FROM (SELECT o, ctx, w, c FROM counts UNION ALL SELECT o, ctx, w, -count(*) FROM grams WHERE sent_id % 7 = 0 GROUP BY o, ctx, w UNION ALL SELECT o, ctx, w, count(*) FROM grams WHERE sent_id % 7 = 1 GROUP BY o, ctx, w) GROUP BY o, ctx, w HAVING sum(c) <> 0) GROUP BY o", R, _GRAMS)
 def signed_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of a corpus in which some sentences make way for a second copy of others, from the base counts and signed changes."""
     rows = _train(spark, sf)
@@ -430,10 +423,9 @@ def word_budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 def prefix_by_budget(rows: DataFrame, budget: int) -> DataFrame:
     """Records in order of sent_id until the next would exceed the budget. Running sums go by document first, so no
-    task holds more than a document's records; only document totals are summed in one place."""
+    task holds more than a document's records."""
     docs = rows.groupBy("doc_id").agg(F.sum("n").alias("_t"))
-    before = docs.select("doc_id", (F.sum("_t").over(W.orderBy("doc_id")) - F.col("_t")).alias("_b"))
-    before = before.where(F.col("_b") <= budget)
+    before = running.totals(docs, "doc_id", "_t", "_b").select("doc_id", "_b").where(F.col("_b") <= budget)
     inside = rows.join(before, "doc_id").withColumn("_u", F.col("_b") + F.sum("n").over(W.partitionBy("doc_id").orderBy("sent_id")))
     return inside.where(F.col("_u") <= budget).select("sent_id", "n")
 
@@ -442,7 +434,7 @@ def prefix_by_budget(rows: DataFrame, budget: int) -> DataFrame:
 def heldout_tail(spark: SparkSession, sf: str) -> DataFrame:
     rows = V.records(spark, sf).select("sent_id", "doc_id", T.space_count(F.col("text")).cast("bigint").alias("n"))
     docs = rows.groupBy("doc_id").agg(F.sum("n").alias("_t"))
-    after = docs.select("doc_id", (F.sum("_t").over(W.orderBy(F.desc("doc_id"))) - F.col("_t")).alias("_a")).where("_a < 20000")
+    after = running.totals(docs, "doc_id", "_t", "_a", descending=True).select("doc_id", "_a").where("_a < 20000")
     taken = F.col("_a") + F.coalesce(F.sum("n").over(W.partitionBy("doc_id").orderBy(F.desc("sent_id")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return rows.join(after, "doc_id").withColumn("_k", taken).where("_k < 20000").select("sent_id", "n")
 
@@ -452,7 +444,7 @@ def sentence_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Global running ids in two passes: counts by document, then places within it."""
     rows = V.records(spark, sf).select("sent_id", "doc_id")
     docs = rows.groupBy("doc_id").agg(F.count("*").alias("_n"))
-    before = docs.select("doc_id", (F.sum("_n").over(W.orderBy("doc_id")) - F.col("_n")).alias("_b"))
+    before = running.totals(docs, "doc_id", "_n", "_b").select("doc_id", "_b")
     return rows.join(before, "doc_id").select("sent_id", (F.col("_b") + F.row_number().over(W.partitionBy("doc_id").orderBy("sent_id"))).alias("running"))
 
 

@@ -181,23 +181,23 @@ def _instances(spark: SparkSession, sf: str) -> DataFrame:
 _TOK = core._LIST
 
 
-@query(f"SELECT construction, round(count(DISTINCT w)::DOUBLE / count(*), 8) AS productivity FROM (SELECT construction, unnest({_TOK}) AS w FROM positives) GROUP BY construction", V.RECORDS, V.POSITIVES)
+@query(f"SELECT construction, round(count(DISTINCT w)::DOUBLE / count(*), 8) AS productivity FROM (SELECT construction, unnest({_TOK}) AS w FROM hits) GROUP BY construction", V.RECORDS, V.HITS)
 def productivity(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.productivity(_instances(spark, sf)).withColumn("productivity", F.round("productivity", 8))
 
 
 @query(f"""
 SELECT construction, round(avg(lp / greatest(1, n)), 6) AS surface FROM (
-  SELECT p.construction, p.sent_id, any_value(len({_TOK})) AS n, sum(ln(c.c::DOUBLE / t.total)) AS lp FROM (SELECT *, unnest({core.TOK}) AS w FROM positives) p
-  JOIN (SELECT construction, w, count(*) AS c FROM (SELECT construction, unnest({core.TOK}) AS w FROM positives) GROUP BY 1, 2) c ON c.construction = p.construction AND c.w = p.w
-  JOIN (SELECT construction, count(*) AS total FROM (SELECT construction, unnest({core.TOK}) AS w FROM positives) GROUP BY 1) t ON t.construction = p.construction GROUP BY 1, 2) GROUP BY construction""", V.RECORDS, V.POSITIVES)
+  SELECT p.construction, p.sent_id, any_value(len({_TOK})) AS n, sum(ln(c.c::DOUBLE / t.total)) AS lp FROM (SELECT *, unnest({core.TOK}) AS w FROM hits) p
+  JOIN (SELECT construction, w, count(*) AS c FROM (SELECT construction, unnest({core.TOK}) AS w FROM hits) GROUP BY 1, 2) c ON c.construction = p.construction AND c.w = p.w
+  JOIN (SELECT construction, count(*) AS total FROM (SELECT construction, unnest({core.TOK}) AS w FROM hits) GROUP BY 1) t ON t.construction = p.construction GROUP BY 1, 2) GROUP BY construction""", V.RECORDS, V.HITS)
 def surface_predictability(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.surface_predictability(_instances(spark, sf)).withColumn("surface", F.round("surface", 6))
 
 
 @query(f"""
-SELECT a.construction, round(coalesce(sum(b.n * len(list_intersect(a.v, b.v))::DOUBLE / len(list_distinct(a.v || b.v))), 0), 6) AS density FROM (SELECT construction, count(DISTINCT sent_id) AS n, list(DISTINCT w) AS v FROM (SELECT construction, sent_id, unnest({_TOK}) AS w FROM positives) GROUP BY 1) a
-JOIN (SELECT construction, count(DISTINCT sent_id) AS n, list(DISTINCT w) AS v FROM (SELECT construction, sent_id, unnest({_TOK}) AS w FROM positives) GROUP BY 1) b ON a.construction <> b.construction GROUP BY a.construction""", V.RECORDS, V.POSITIVES)
+SELECT a.construction, round(coalesce(sum(b.n * len(list_intersect(a.v, b.v))::DOUBLE / len(list_distinct(a.v || b.v))), 0), 6) AS density FROM (SELECT construction, count(DISTINCT sent_id) AS n, list(DISTINCT w) AS v FROM (SELECT construction, sent_id, unnest({_TOK}) AS w FROM hits) GROUP BY 1) a
+JOIN (SELECT construction, count(DISTINCT sent_id) AS n, list(DISTINCT w) AS v FROM (SELECT construction, sent_id, unnest({_TOK}) AS w FROM hits) GROUP BY 1) b ON a.construction <> b.construction GROUP BY a.construction""", V.RECORDS, V.HITS)
 def neighbor_density(spark: SparkSession, sf: str) -> DataFrame:
     rows = _instances(spark, sf)
     return analysis.neighbor_density(rows, rows.groupBy("construction").agg(F.countDistinct("sent_id").alias("n"))).withColumn("density", F.round("density", 6))
@@ -311,7 +311,7 @@ def _seen(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.seen_novel(labelled, vocab, ["dose"])
 
 
-_SEEN = f"vocab AS (SELECT DISTINCT w FROM (SELECT unnest({core.TOK}) AS w FROM records WHERE doc_id % 50 = 7) WHERE w NOT IN ({core.STOP1})), labelled AS (SELECT s.*, CASE WHEN dose = '4' AND EXISTS (SELECT 1 FROM (SELECT unnest(regexp_extract_all(lower(s.sentence), '[a-z]+(?:''[a-z]+)?')) AS w) x WHERE x.w IN (SELECT w FROM vocab)) THEN 'seen' ELSE 'novel' END AS grp FROM sentences s)"
+_SEEN = f"vocab AS (SELECT DISTINCT w FROM (SELECT unnest({core.TOK}) AS w FROM records) WHERE w NOT IN ({core.STOP1})), labelled AS (SELECT s.*, CASE WHEN dose = '4' AND EXISTS (SELECT 1 FROM (SELECT unnest(regexp_extract_all(lower(s.sentence), '[a-z]+(?:''[a-z]+)?')) AS w) x WHERE x.w IN (SELECT w FROM vocab)) THEN 'seen' ELSE 'novel' END AS grp FROM sentences s)"
 
 
 @query("SELECT eval_construction AS construction, item_id, dose, grp AS \"group\" FROM labelled", V.RECORDS, core._ITEMS, _PER, _SEEN)
@@ -345,7 +345,7 @@ def hill_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def hill_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return curves.hill_bootstrap(series(spark).where("seed = 42"), draws=100)
+    return curves.hill_bootstrap(series(spark))
 
 
 @query()
@@ -353,20 +353,24 @@ def curve_models(spark: SparkSession, sf: str) -> DataFrame:
     return curves.curve_models(series(spark).where("is_core"))
 
 
+def _clusters(spark: SparkSession, ks: tuple[int, ...]) -> DataFrame:
+    rows = analysis.zscore(analysis.curve_features(fits(spark)), ["E0", "Emax", "log_E50", "n"]).withColumn("id", F.concat_ws("_", "construction", "seed"))
+    return curves.kmeans(rows, ["E0_z", "Emax_z", "log_E50_z", "n_z"], ks)
+
+
 @query()
 def kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    rows = analysis.zscore(analysis.curve_features(fits(spark)), ["E0", "Emax", "log_E50", "n"]).withColumn("id", F.concat_ws("_", "construction", "seed"))
-    return curves.kmeans(rows, ["E0_z", "Emax_z", "log_E50_z", "n_z"], ks=(2, 3), restarts=3).select("k", "id", "label")
+    return _clusters(spark, (2, 3, 4)).select("k", "id", "label")
 
 
 @query()
 def bootstrap_mean_ci(spark: SparkSession, sf: str) -> DataFrame:
     own = results(spark).where("model_construction = eval_construction").withColumn("cell", F.concat_ws("_", "model_construction", "dose"))
-    return analysis.bootstrap_mean_ci(own, "cell", "accuracy", draws=200)
+    return analysis.bootstrap_mean_ci(own, "cell", "accuracy")
 
 
 @query()
 def decision(spark: SparkSession, sf: str) -> DataFrame:
     models = analysis.closed_form_models(series(spark).where("is_core")).unionByName(curves.curve_models(series(spark).where("is_core")))
-    sil = spark.createDataFrame([(2, 0.4)], "k int, silhouette double")
+    sil = analysis.silhouette(_clusters(spark, (2,)))
     return analysis.decision(fits(spark), models, results(spark), sil)

@@ -143,6 +143,7 @@ def positives(spark: SparkSession, sf: str) -> DataFrame:
     return hits(base(records(spark, sf)))
 
 
+HITS = "hits AS (\n" + "\n  UNION ALL\n".join(f"  SELECT '{c}' AS construction, sent_id, domain, text, len(regexp_extract_all(text, '\\S+')) AS n FROM records WHERE regexp_matches(lower(text), '{p}')" for c, p in PATTERNS.items()) + "\n)"
 POSITIVES = (
     "base AS (SELECT *, len(regexp_extract_all(text, '\\S+')) AS n FROM records WHERE (doc_id // 20) % 2 = 0),\n"
     "pool AS (SELECT *, len(regexp_extract_all(text, '\\S+')) AS n FROM records WHERE (doc_id // 20) % 2 = 1),\n"
