@@ -18,14 +18,18 @@ the region's main component are dealt by their distance to the pivot (rings) int
 travels to the blocks within its window, and one lookup counts what it has in common with a whole block. No link between
 different texts is lost; nothing is capped.
 
+Texts are tokenised once: their sets are written with a row number, and all that follows reads sets. Shingles that a
+sample shows to be crowded are known as such and need not meet; other keys with many rows are split over tasks.
+
 Defined results: texts without words or null have no shingles and link with nothing; texts of fewer words than a
-shingle are one shingle; rows that share a doc_id are one document; rows without doc_id take no part and have no
-component; extra columns are ignored.
+shingle are one shingle; texts of any length are whole sets; rows are texts of their own: those that share a doc_id link
+each by its own text, repeated rows are one class; rows without doc_id take part by their text and name no component
+(theirs is null if no row in it has a doc_id); an empty table gives an empty result; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +38,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doselab.llm import textnp as tx
-from doselab.llm.common import bounded_batches, map_batches, materialise, release, small
+from doselab.llm.common import bounded_batches, discard, map_batches, materialise, release, small, split_join, split_keys, whole_rows, without
 
 #: Words in a shingle; similarity in hundredths; texts at a pivot from which on it comes last; texts per salt.
-WORDS, PERCENT, CROWD, PER_SALT = 5, 80, 64, 500
+WORDS, PERCENT, CROWD, PER_SALT = 5, 80, 64, 64
 #: Further pivots a round and rounds at most; texts and shingles in a block of a large region; texts that meet it in a task.
-PIVOTS, ROUNDS, BLOCK, BLOCK_SHINGLES, PER_TASK = 8, 4, 512, 400_000, 4_000
+PIVOTS, ROUNDS, BLOCK, BLOCK_SHINGLES, PER_TASK = 8, 4, 2048, 800_000, 4_000
 #: Largest table of crowded pivots that executors get whole (8 bytes each); a larger one is joined.
 CROWDED_ROWS = 500_000
+#: Rows of two numbers from which on a key's are dealt over tasks.
+LEAST = 100_000
+#: Texts that crowded pivots are looked for in beforehand; parts that these are dealt in; rows from which lists of trips are shuffled.
+SAMPLE, PARTS, TRIPS = 20_000, 1024, 200_000
+#: Texts of a block from which a shingle is counted in a table of bytes; bytes of that table at most.
+DENSE, DENSE_BYTES = 16, 64 << 20
 _TWO = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -58,9 +68,9 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> Iterat
             yield tx.ngrams(words[a:b], b - a) if b > a else np.zeros(0, tx.U64)
 
 
-def prefix(n: Column | int) -> Column | int:
+def prefix(n: Column | np.ndarray) -> Column | np.ndarray:
     """How many first pivots a text of n shingles is replicated to: n - ceil(J n) + 1."""
-    if isinstance(n, int):
+    if not isinstance(n, Column):
         return n - (PERCENT * n + 99) // 100 + 1
     return n - F.floor((F.lit(PERCENT) * n + 99) / 100) + 1
 
@@ -70,26 +80,37 @@ def _fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def reserve(n: int) -> int:
-    """How many pivots a text of n shingles brings: its first ones and half as many in reserve."""
-    p = prefix(n)
-    return min(n, p + p // 2 + 4)
-
-
-def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp1, fp2 (the set's fingerprint)."""
+def set_table(docs: DataFrame) -> DataFrame:
+    """row (a number of its own), doc_id, text_hash, n, fp1, fp2 (the set's fingerprint), data (the sorted set)."""
 
     def each(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         out = []
         for at, buf, offsets in tx.chunks(batch.column("text")):
             sets = list(shingle_sets(buf, offsets))
-            fp = [(int((tx.mix(s ^ _TWO)).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(tx.mix(s + _TWO)))) if len(s) else (0, 0) for s in sets]
-            fp = np.array(fp, np.uint64).reshape(-1, 2).view(np.int64)
-            cols = [batch.column("doc_id").slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1])]
-            out.append(pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "fp1", "fp2"]))
+            size = np.array([len(s) for s in sets], np.int64)
+            every = np.concatenate(sets)
+            edges = np.concatenate([[0], np.cumsum(size)])
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tx.mix(every ^ _TWO), dtype=np.uint64)])
+            folds = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(tx.mix(every + _TWO))])
+            fp = [(sums[edges[1:]] - sums[edges[:-1]]).view(np.int64), (folds[edges[1:]] ^ folds[edges[:-1]]).view(np.int64)]
+            data = pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer((edges * 8).astype(np.int32)), pa.py_buffer(every)])
+            cols = [batch.column("doc_id").slice(at, len(sets)), batch.column("text_hash").slice(at, len(sets)), pa.array(size), *map(pa.array, fp), data]
+            out.append(pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "n", "fp1", "fp2", "data"]))
         return out
 
-    return map_batches(docs, each, "doc_id long, n long, fp1 long, fp2 long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    sets = map_batches(rows, each, "doc_id long, text_hash long, n long, fp1 long, fp2 long, data binary")
+    return materialise(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+
+
+def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All sets of a column, one after the other, and the place at which each begins (n + 1)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]] if edges[-1] > edges[0] else np.zeros(0, np.uint8)
+    return data.view(np.uint64), (edges - edges[0]) // 8
 
 
 def _hinted(df: DataFrame, limit: int | None = None) -> DataFrame:
@@ -97,61 +118,72 @@ def _hinted(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if (small(df, limit) if limit else small(df)) else df
 
 
-def shingles(docs: DataFrame, ids: DataFrame, whole: bool) -> DataFrame:
-    """s, rep, n, k (place in hash order) of the documents in ids (column rep): whole sets or what they bring."""
-    rows = docs.join(_hinted(ids.select(F.col("rep").alias("doc_id")), 1_000_000), "doc_id")
+def _with_sets(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """rep, data of the rows in ids (column rep)."""
+    return sets.select(F.col("row").alias("rep"), "data").join(_hinted(ids.select("rep"), 1_000_000), "rep")
 
-    def each(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-        out = []
-        for at, buf, offsets in tx.chunks(batch.column("text")):
-            owner = batch.column("doc_id").slice(at, len(offsets) - 1).to_numpy()
-            sets = list(shingle_sets(buf, offsets))
-            size = np.array([len(s) for s in sets], np.int64)
-            sets = sets if whole else [s[: reserve(len(s))] for s in sets]
-            held = np.array([len(s) for s in sets], np.int64)
-            place = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
-            cols = [np.concatenate(sets).view(np.int64), np.repeat(owner, held), np.repeat(size, held).astype(np.int32), place.astype(np.int32)]
-            out.append(pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["s", "rep", "n", "k"]))
-        return out
 
-    return map_batches(rows.select("doc_id", "text"), each, "s long, rep long, n int, k int")
+def shingles(sets: DataFrame, ids: DataFrame, whole: bool, known: np.ndarray | None = None) -> DataFrame:
+    """s, rep, n, k (place in hash order), part of the rows in ids (column rep): whole sets or what they bring.
+
+    part is 0, or tells the rows of a pivot in known apart.
+    """
+    share = sets.sparkSession.sparkContext.broadcast(known if known is not None else np.zeros(0, np.uint64))
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        every, edges = _read(batch.column("data"))
+        owner, size = np.asarray(batch.column("rep")), np.diff(edges)
+        first = prefix(size)
+        held = size if whole else np.minimum(size, first + first // 2 + 4)
+        place = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+        s = every[np.repeat(edges[:-1], held) + place]
+        part = np.where(np.isin(s, share.value), np.repeat(owner % PARTS + 1, held), 0) if len(share.value) else np.zeros(len(s), np.int64)
+        cols = [s.view(np.int64), np.repeat(owner, held), np.repeat(size, held).astype(np.int32), place.astype(np.int32), part.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["s", "rep", "n", "k", "part"])
+
+    return map_batches(_with_sets(sets, ids), each, "s long, rep long, n int, k int, part int")
+
 
+def crowded_sample(sets: DataFrame, ids: DataFrame) -> np.ndarray:
+    """Pivots that more than CROWD of SAMPLE texts bring, so surely crowded. SAMPLE bounds what comes to the driver."""
+    some = ids.orderBy(F.xxhash64("rep")).limit(SAMPLE)
+    found = shingles(sets, some, False).groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("s").toPandas()
+    return np.sort(found["s"].to_numpy().astype(np.int64).view(np.uint64))
 
-def reordered(docs: DataFrame, ids: DataFrame, hot: DataFrame) -> DataFrame:
-    """s, rep, n: the first pivots of the documents in ids (column rep) over their whole sets, those in hot (s) last."""
+
+def reordered(sets: DataFrame, ids: DataFrame, hot: DataFrame) -> DataFrame:
+    """s, rep, n: the first pivots of the rows in ids (column rep) over their whole sets, those in hot (s) last."""
     if not small(hot, CROWDED_ROWS):
-        entries = shingles(docs, ids, True).join(hot.withColumn("hot", F.lit(1)), "s", "left")
+        entries = shingles(sets, ids, True).drop("part").join(hot.withColumn("hot", F.lit(1)), "s", "left")
         # By place k, as everywhere: s is a signed long here, and its order is another one than that of the unsigned hashes.
         order = F.row_number().over(W.partitionBy("rep").orderBy(F.col("hot").asc_nulls_first(), "k"))
         return entries.withColumn("_r", order).where(F.col("_r") <= prefix(F.col("n"))).select("s", "rep", "n")
-    rows = docs.join(_hinted(ids.select(F.col("rep").alias("doc_id")), 1_000_000), "doc_id")
-    last = docs.sparkSession.sparkContext.broadcast(np.sort(hot.toPandas()["s"].to_numpy().astype(np.int64).view(np.uint64)))
+    last = sets.sparkSession.sparkContext.broadcast(np.sort(hot.toPandas()["s"].to_numpy().astype(np.int64).view(np.uint64)))
 
-    def each(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-        out, crowded = [], last.value
-        for at, buf, offsets in tx.chunks(batch.column("text")):
-            owner = batch.column("doc_id").slice(at, len(offsets) - 1).to_numpy()
-            sets = list(shingle_sets(buf, offsets))
-            size = np.array([len(x) for x in sets], np.int64)
-            for k, x in enumerate(sets):
-                behind = np.isin(x, crowded, assume_unique=True)
-                sets[k] = np.concatenate([x[~behind], x[behind]])[: prefix(len(x))]
-            held = np.array([len(x) for x in sets], np.int64)
-            cols = [np.concatenate(sets).view(np.int64), np.repeat(owner, held), np.repeat(size, held).astype(np.int32)]
-            out.append(pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["s", "rep", "n"]))
-        return out
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        every, edges = _read(batch.column("data"))
+        size = np.diff(edges)
+        owner = np.repeat(np.arange(len(size)), size)
+        behind = np.isin(every, last.value)
+        # A stable sort by (text, crowded) keeps hash order inside both parts.
+        order = np.argsort(owner * 2 + behind, kind="stable")
+        place = np.arange(len(every)) - np.repeat(edges[:-1], size)
+        keep = place < np.repeat(prefix(size), size)
+        cols = [every[order][keep].view(np.int64), np.asarray(batch.column("rep"))[owner[keep]], size[owner[keep]].astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["s", "rep", "n"])
 
-    return map_batches(rows.select("doc_id", "text"), each, "s long, rep long, n int")
+    return map_batches(_with_sets(sets, ids), each, "s long, rep long, n int")
 
 
 def shared(entries: DataFrame) -> DataFrame:
     """entries whose pivot another text has too, with hot: whether more than CROWD have it.
 
     One shuffle by pivot; a sorted stream tells group sizes with at most CROWD rows in hand, however large a group is.
+    Pivots known to be crowded (part above 0) are dealt over tasks.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["s", "rep", "n", "k"]
+        names = ["s", "rep", "n", "k", "part"]
         held, crowded = None, None  # rows of the group that goes on; the pivot whose crowd is known already
         for batch in batches:
             rows = [batch.column(c).to_numpy() for c in names]
@@ -160,25 +192,25 @@ def shared(entries: DataFrame) -> DataFrame:
             pivots = rows[0]
             starts = np.flatnonzero(np.append(True, pivots[1:] != pivots[:-1])) if len(pivots) else np.zeros(0, np.int64)
             size = np.diff(np.append(starts, len(pivots)))
-            hot = (size > CROWD) | (pivots[starts] == crowded if crowded is not None else False)
+            hot = (size > CROWD) | (rows[4][starts] > 0) | (pivots[starts] == crowded if crowded is not None else False)
             keep = (size > 1) | hot
             held = None
             if len(size) and not hot[-1]:
                 held, keep[-1] = [r[starts[-1] :] for r in rows], False
             crowded = pivots[-1] if len(size) and hot[-1] else None
             at = np.repeat(keep, size)
-            yield pa.RecordBatch.from_arrays([*(pa.array(r[at]) for r in rows), pa.array(np.repeat(hot, size)[at])], names=[*names, "hot"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(r[at]) for r in rows[:4]), pa.array(np.repeat(hot, size)[at])], names=[*names[:4], "hot"])
         if held is not None and len(held[0]) > 1:
-            yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in held), pa.array(np.zeros(len(held[0]), bool))], names=[*names, "hot"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in held[:4]), pa.array(np.zeros(len(held[0]), bool))], names=[*names[:4], "hot"])
 
     bounded_batches(entries.sparkSession, rows=50_000)
-    return entries.repartition("s").sortWithinPartitions("s").mapInArrow(each, "s long, rep long, n int, k int, hot boolean")
+    return entries.repartition("s", "part").sortWithinPartitions("s").mapInArrow(each, "s long, rep long, n int, k int, hot boolean")
 
 
-def regions(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def regions(sets: DataFrame, reps: DataFrame) -> DataFrame:
     """s, rep, n: each class's first document in its regions, those that hold it alone left out."""
-    spark = docs.sparkSession
-    live = materialise(shared(shingles(docs, reps, False)), "live")
+    spark = sets.sparkSession
+    live = materialise(shared(shingles(sets, reps, False, crowded_sample(sets, reps))), "live")
     release(spark)
     crowd = live.where("hot").select("s").distinct()
     before = F.sum(F.col("hot").cast("int")).over(W.partitionBy("rep").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
@@ -195,11 +227,11 @@ def regions(docs: DataFrame, reps: DataFrame) -> DataFrame:
         return settled
     # The reserve does not reach: these texts are ordered over their whole sets, crowded pivots last.
     hot = materialise(crowd, "crowded")
-    whole = materialise(reordered(docs, ids, hot), "whole")
+    whole = materialise(reordered(sets, ids, hot), "whole")
     release(spark)
     # Their new pivots may meet texts that were alone there.
     fresh = materialise(whole.select("s").distinct(), "fresh")
-    alone = shingles(docs, reps.join(_hinted(ids), "rep", "left_anti"), False).join(_hinted(fresh, 1_000_000), "s", "left_semi").select("s", "rep", "n")
+    alone = shingles(sets, reps.join(_hinted(ids), "rep", "left_anti"), False).join(_hinted(fresh, 1_000_000), "s", "left_semi").select("s", "rep", "n")
     return settled.unionByName(whole).unionByName(alone).distinct()
 
 
@@ -227,34 +259,60 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
 
 
-def _meet(docs: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
+def _trips(rows: DataFrame) -> DataFrame:
+    """rep and its list of trips t, written; broadcast if there are few trips in all."""
+    trips = materialise(rows.groupBy("rep").agg(F.collect_list("t").alias("trips")), "trips")
+    total = trips.agg(F.sum(F.size("trips"))).first()[0] or 0
+    out = F.broadcast(trips) if total <= TRIPS else trips
+    out.scratch_path = trips.scratch_path
+    return out
+
+
+def _travel(sets: DataFrame, trips: DataFrame, fields: dict[str, pa.DataType], schema: str, part: Callable[[np.ndarray], np.ndarray] = lambda s: s) -> DataFrame:
+    """A row for every trip: its fields, x (the row), n and data (the set, or a part of it)."""
+
+    def sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every, edges = _read(batch.column("data"))
+            cols, held, at = {c: [] for c in fields}, ([], [], []), 0
+            for k, (x, trip) in enumerate(zip(batch.column("rep").to_pylist(), batch.column("trips").to_pylist(), strict=True)):
+                own = every[edges[k] : edges[k + 1]]
+                data = part(own).tobytes()
+                for t in trip:
+                    for c in fields:
+                        cols[c].append(t[c])
+                    for h, v in zip(held, (x, len(own), data), strict=True):
+                        h.append(v)
+                    at += len(data) + 64
+                    if at > 8 << 20:  # what leaves at once stays small, however many trips a text has
+                        yield _trip_batch(cols, held, fields)
+                        cols, held, at = {c: [] for c in fields}, ([], [], []), 0
+            if held[0]:
+                yield _trip_batch(cols, held, fields)
+
+    rows = sets.select(F.col("row").alias("rep"), "data").join(trips, "rep").select("rep", "data", "trips")
+    bounded_batches(sets.sparkSession)
+    return rows.mapInArrow(sending, f"{schema}, x long, n long, data binary")
+
+
+def _trip_batch(cols: dict[str, list], held: tuple[list, list, list], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    own = [pa.array(held[0], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.binary())]
+    return pa.RecordBatch.from_arrays([*(pa.array(cols[c], t) for c, t in fields.items()), *own], names=[*fields, "x", "n", "data"])
+
+
+def _meet(sets: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
     """x, p, common, joint of the pairs (x, p); of sketches, only of those that leave a link open (sizes 0 then).
 
     Each set travels to its pivot once a pair; the pairs of a hot pivot are salted.
     """
-    spark = docs.sparkSession
     load = pairs.groupBy("p").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
-    ask = pairs.join(load, "p").select(F.col("x").alias("doc_id"), "p", F.pmod(F.xxhash64("x"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
-    give = load.select(F.col("p").alias("doc_id"), "p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    trips = ask.unionByName(give).groupBy("doc_id").agg(F.collect_list(F.struct("p", "salt", "role")).alias("trips"))
-    trips = materialise(trips, "trips")
-    rows = docs.join(_hinted(trips), "doc_id").select("doc_id", "text", "trips")
-
-    def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out = []
-        for at, buf, offsets in tx.chunks(batch.column("text")):
-            part = batch.slice(at, len(offsets) - 1)
-            cols = ([], [], [], [], [], [])
-            for doc, trip, s in zip(part.column("doc_id").to_pylist(), part.column("trips").to_pylist(), shingle_sets(buf, offsets), strict=True):
-                data = (s if whole else sketch(s)).tobytes()
-                for t in trip:
-                    for c, v in zip(cols, (t["p"], t["salt"], t["role"], doc, len(s), data), strict=True):
-                        c.append(v)
-            out.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["p", "salt", "role", "x", "n", "data"]))
-        return out
-
-    sent = map_batches(rows, send, "p long, salt int, role int, x long, n long, data binary")
-    bounded_batches(spark)
+    load = materialise(load, "load")
+    trip = lambda salt, role: F.struct("p", salt.cast("int").alias("salt"), F.lit(role).alias("role")).alias("t")
+    ask = split_join(pairs, load, ["p"]).select(F.col("x").alias("rep"), trip(F.pmod(F.xxhash64("x"), "salts"), 1))
+    give = load.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(F.col("p").alias("rep"), trip(F.col("salt"), 0))
+    trips = _trips(ask.unionByName(give))
+    fields = {"p": pa.int64(), "salt": pa.int32(), "role": pa.int32()}
+    sent = _travel(sets, trips, fields, "p long, salt int, role int", (lambda s: s) if whole else sketch)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pivot, size = None, None, 0
@@ -273,51 +331,88 @@ def _meet(docs: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["x", "p", "common", "joint"])
 
     ordered = sent.repartition("p", "salt").sortWithinPartitions("p", "salt", "role")
-    return materialise(ordered.mapInArrow(compare, "x long, p long, common long, joint long"), "measured")
+    out = materialise(ordered.mapInArrow(compare, "x long, p long, common long, joint long"), "measured")
+    discard(sets.sparkSession, trips.scratch_path)
+    return out
 
 
-def measure(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (x, p) that sketches don't rule out, with common and joint sizes of the whole sets, exactly."""
-    open_ = _meet(docs, pairs, False).select("x", "p")
-    release(docs.sparkSession)
-    out = _meet(docs, open_, True)
-    release(docs.sparkSession)
+def measure(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (x, p) that sketches don't rule out, with common and joint sizes of the whole sets, exactly. pairs: written."""
+    open_ = _meet(sets, pairs, False)
+    out = _meet(sets, materialise(open_.select("x", "p"), "open"), True)
+    release(sets.sparkSession, open_)
     return out
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, label (the smallest id reachable) of the linked ids: minimum labels spread, then jump to their label's label."""
     edges = materialise(links.select(F.col("x").alias("a"), F.col("p").alias("b")).union(links.select("p", "x")), "edges")
+    dealt, give, on = split_keys(edges, ["b"], LEAST)
     state = materialise(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")), "labels")
     while True:
-        spread = edges.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        spread = dealt.join(give(state.withColumnRenamed("id", "b")), on).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         new = state.join(spread, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        # Many ids share a label, which is an id of its own: the jump is a look-up of labels in the labels.
+        new = materialise(new, "near")
         jump = state.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        new = materialise(new.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+        new = materialise(split_join(new, jump, ["label"], "left", LEAST).select("id", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
         changed = new.where("old <> label").limit(1).count()
         state = new.select("id", "label")
         if not changed:
             return state
 
 
-def _counts(block: np.ndarray, owner: np.ndarray, own: np.ndarray, texts: int) -> np.ndarray:
-    """How many shingles of the set own each text of a block has; block: all their shingles, sorted, owner: whose."""
-    lo, hi = np.searchsorted(block, own, "left"), np.searchsorted(block, own, "right")
-    lo, hi = lo[hi > lo], hi[hi > lo]
-    if not len(lo):
-        return np.zeros(texts, np.int64)
-    size = hi - lo
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-    return np.bincount(owner[at], minlength=texts)
+class Block:
+    """Sets that sit in a task; common() counts what a visitor has in common with each of them.
 
+    Shingles of many of the sets are rows of a table of bytes, the others a sorted list.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], np.repeat(np.arange(len(sets)), self.size)[order]
+        starts = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+        held = np.diff(np.append(starts, len(every)))
+        dense = held >= DENSE
+        most = DENSE_BYTES // max(1, len(sets))
+        if dense.sum() > most:
+            dense &= held > np.sort(held)[-most]
+        self.crowded = every[starts[dense]]
+        self.table = np.zeros((len(self.crowded), len(sets)), np.uint8)
+        at = np.repeat(dense, held)
+        self.table[np.repeat(np.arange(len(self.crowded)), held[dense]), owner[at]] = 1
+        self.rest, self.owner = every[~at], owner[~at]
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.size), np.int64)
+        if len(self.crowded):
+            at = np.minimum(np.searchsorted(self.crowded, own), len(self.crowded) - 1)
+            at = at[self.crowded[at] == own]
+            for k in range(0, len(at), 255):
+                out += np.add.reduce(self.table[at[k : k + 255]], axis=0, dtype=np.uint8)
+        lo, hi = np.searchsorted(self.rest, own, "left"), np.searchsorted(self.rest, own, "right")
+        lo, hi = lo[hi > lo], hi[hi > lo]
+        if len(lo):
+            size = hi - lo
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+            out += np.bincount(self.owner[at], minlength=len(out))
+        return out
+
+    def linked(self, own: np.ndarray) -> np.ndarray:
+        """Which of the sets link with own."""
+        common = self.common(own)
+        return common * 100 >= (self.size + len(own) - common) * PERCENT
 
-def blocks(docs: DataFrame, named: DataFrame) -> DataFrame:
+
+def blocks(sets: DataFrame, named: DataFrame) -> DataFrame:
     """Links (x, p) between different components inside large regions, enough to connect what they connect.
 
     named: rep, n, p (the region), d (distance to p or null), label, main. Texts outside the main component form blocks,
     ring by ring of d; all texts of the region meet the blocks of the rings within their window.
     """
-    spark = docs.sparkSession
+    spark = sets.sparkSession
     reach = (100 - PERCENT) / 100 + 1e-9
     named = named.withColumn("ring", F.coalesce(F.floor(F.col("d") * 10), F.lit(-1)).cast("int"))
     askers = named.where("label <> main")
@@ -331,51 +426,29 @@ def blocks(docs: DataFrame, named: DataFrame) -> DataFrame:
     within = F.col("d").isNull() | (F.col("to") < 0) | F.col("to").between(F.floor((F.col("d") - reach) * 10), F.floor((F.col("d") + reach) * 10))
     come = named.join(to.withColumnRenamed("p", "_p"), (F.col("p") == F.col("_p")) & within)
     come = come.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", trip(F.col("block"), F.pmod(F.xxhash64("rep", F.lit(7)), "salts"), 1).alias("t"))
-    trips = materialise(sit.unionByName(come).groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("t").alias("trips")), "trips")
-    rows = docs.join(_hinted(trips), "doc_id").select("doc_id", "text", "trips")
+    trips = _trips(sit.unionByName(come))
     fields = {"p": pa.int64(), "ring": pa.int32(), "block": pa.int32(), "salt": pa.int32(), "role": pa.int32(), "label": pa.int64()}
-
-    def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at, buf, offsets in tx.chunks(batch.column("text")):
-            part = batch.slice(at, len(offsets) - 1)
-            for doc, trip, own in zip(part.column("doc_id").to_pylist(), part.column("trips").to_pylist(), shingle_sets(buf, offsets), strict=True):
-                data = own.tobytes()
-                step = max(1, (8 << 20) // max(1, len(data)))  # a text with many trips leaves in parts
-                for k in range(0, len(trip), step):
-                    some = trip[k : k + step]
-                    cols = [pa.array([t[c] for t in some], kind) for c, kind in fields.items()]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array([doc] * len(some), pa.int64()), pa.array([data] * len(some), pa.binary())], names=[*fields, "x", "data"])
-
-    def sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from send(batch)
-
-    bounded_batches(spark)
-    sent = rows.mapInArrow(sending, "p long, ring int, block int, salt int, role int, label long, x long, data binary")
+    sent = _travel(sets, trips, fields, "p long, ring int, block int, salt int, role int, label long")
     cell = ["p", "ring", "block", "salt"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets, ids, labels, index, joined = None, [], [], [], None, set()
+        key, held, ids, labels, block, joined = None, [], [], [], None, set()
         for batch in batches:
             found = ([], [])
-            for p, ring, block, salt, role, label, x, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (p, ring, block, salt):
-                    key, sets, ids, labels, index, joined = (p, ring, block, salt), [], [], [], None, set()
+            for p, ring, place, salt, role, label, x, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (p, ring, place, salt):
+                    key, held, ids, labels, block, joined = (p, ring, place, salt), [], [], [], None, set()
                 own = np.frombuffer(data, np.uint64)
                 if role == 0:
-                    sets.append(own)
+                    held.append(own)
                     ids.append(x)
                     labels.append(label)
                     continue
-                if not sets:
+                if not held:
                     continue
-                if index is None:
-                    size = np.array([len(s) for s in sets])
-                    every = np.concatenate(sets)
-                    order = np.argsort(every, kind="stable")
-                    index, owner, groups = every[order], np.repeat(np.arange(len(sets)), size)[order], np.array(labels)
-                common = _counts(index, owner, own, len(sets))
-                for k in np.flatnonzero((common * 100 >= (size + len(own) - common) * PERCENT) & (groups != label)).tolist():
+                if block is None:
+                    block, groups = Block(held), np.array(labels)
+                for k in np.flatnonzero(block.linked(own) & (groups != label)).tolist():
                     both = (labels[k], label)  # one link joins two components
                     if both not in joined:
                         joined.add(both)
@@ -384,6 +457,7 @@ def blocks(docs: DataFrame, named: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["x", "p"])
 
     out = materialise(sent.repartition(*cell).sortWithinPartitions(*cell, "role").mapInArrow(compare, "x long, p long"), "block_links")
+    discard(spark, trips.scratch_path)
     release(spark)
     return out
 
@@ -405,17 +479,17 @@ def _unlike(asks: DataFrame, done: DataFrame) -> DataFrame:
     return asks.join(done, ["x", "p"], "left_anti")
 
 
-def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(sets: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (x, p) that connect all components, and their labels. reps: rep, each class's first document."""
-    spark = docs.sparkSession
-    table = materialise(regions(docs, reps), "regions")
+    spark = sets.sparkSession
+    table = materialise(regions(sets, reps), "regions")
     release(spark)
     piv = table.groupBy("s").agg(F.min(F.struct("rep", "n")).alias("v"), F.count("*").alias("cnt")).where("cnt > 1")
-    table = materialise(table.join(piv.select("s", "cnt", F.col("v.rep").alias("p"), F.col("v.n").alias("pn")), "s"), "pivoted")
+    table = materialise(split_join(table, piv.select("s", "cnt", F.col("v.rep").alias("p"), F.col("v.n").alias("pn")), ["s"]), "pivoted")
     good = F.col("common") * 100 >= F.col("joint") * PERCENT
     first = table.where((F.col("rep") != F.col("p")) & _fit(F.col("n"), F.col("pn"))).select(F.col("rep").alias("x"), "p").distinct()
     first = materialise(first, "first")
-    tested = measure(docs, first)
+    tested = measure(sets, first)
     found = tested.where(good).select("x", "p")
     labels = components(found)
     far = tested.select(F.col("x").alias("rep"), "p", (1 - F.col("common") / F.col("joint")).alias("d"))
@@ -442,11 +516,12 @@ def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
             drawn = large.groupBy("p").agg(F.array(*drawn).alias("vs")).select("p", F.explode("vs").alias("v"))
             wide = large.join(drawn, "p").where((F.col("label") != F.col("v.label")) & _fit(F.col("n"), F.col("v.n"))).select(F.col("rep").alias("x"), F.col("v.rep").alias("p"))
             asks = asks.unionByName(wide) if asks is not None else wide
-        again = measure(docs, materialise(_unlike(asks.distinct(), done), "asks"))
+        asks = materialise(_unlike(asks.distinct(), done), "asks")
+        again = measure(sets, asks)
         done, asks = done.unionByName(again.select("x", "p")), None
         found = materialise(found.unionByName(again.where(good).select("x", "p")), "links")
         labels = components(found)
-    found = materialise(found.unionByName(blocks(docs, materialise(_large(crowds, labels), "large"))), "links")
+    found = materialise(found.unionByName(blocks(sets, materialise(_large(crowds, labels), "large"))), "links")
     labels = components(found)
     named = materialise(_labelled(named.drop("label"), labels).select("s", "rep", "n", "p", "d", "label"), "open")
     # What is left in small regions: pairs of different components within the triangle window of their region's pivot.
@@ -454,87 +529,124 @@ def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     window = F.abs(F.col("a.d") - F.col("b.d")) <= (100 - PERCENT) / 100 + 1e-9
     apart = (F.col("a.s") == F.col("b.s")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label")) & _fit(F.col("a.n"), F.col("b.n")) & F.coalesce(window, F.lit(True))
     rest = a.join(b, apart).select(F.col("b.rep").alias("x"), F.col("a.rep").alias("p")).distinct()
-    last = measure(docs, materialise(_unlike(rest, done), "rest"))
+    last = measure(sets, materialise(_unlike(rest, done), "rest"))
     found = materialise(found.unionByName(last.where(good).select("x", "p")), "links")
     return found, components(found)
 
 
-def degrees(docs: DataFrame, members: DataFrame) -> DataFrame:
+def degrees(sets: DataFrame, members: DataFrame) -> DataFrame:
     """rep, n_links: with how many other classes each class links. members: rep, n, label of all classes that have a link.
 
-    All links of a class are inside its component: its texts sit in blocks there, and every text of the component meets
-    every block once. Only counts leave.
+    All links of a class are inside its component. Where that has two classes they link; in larger ones its texts sit in
+    blocks, and every text of the component meets every block once. Only counts leave.
     """
-    spark = docs.sparkSession
+    spark = sets.sparkSession
+    members = materialise(members, "members")
     load = members.groupBy("label").agg(
-        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"), F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts")
+        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"), F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts"), F.count("*").alias("classes")
     )
-    placed = members.join(materialise(load, "load"), "label")
+    placed = materialise(split_join(members, materialise(load, "load"), ["label"]), "placed")
+    pairs = placed.where("classes = 2").select("rep", F.lit(1).cast("long").alias("n_links"))
+    placed = placed.where("classes > 2")
     trip = lambda block, salt, role: F.struct("label", block.cast("int").alias("block"), salt.cast("int").alias("salt"), F.lit(role).alias("role")).alias("t")
-    sit = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("rep", trip(F.pmod(F.xxhash64("rep"), "blocks"), F.col("salt"), 0))
-    come = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", trip(F.col("block"), F.pmod(F.xxhash64("rep", F.lit(7)), "salts"), 1))
-    trips = materialise(sit.unionByName(come).groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("t").alias("trips")), "trips")
-    rows = docs.join(_hinted(trips), "doc_id").select("doc_id", "text", "trips")
+    # A component of one block and task sits there and needs no visits; its texts travel once (role 2).
+    alone = (F.col("blocks") == 1) & (F.col("salts") == 1)
+    only = placed.where(alone).select("rep", trip(F.lit(0), F.lit(0), 2))
+    large = placed.where(~alone)
+    sit = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("rep", trip(F.pmod(F.xxhash64("rep"), "blocks"), F.col("salt"), 0))
+    come = large.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", trip(F.col("block"), F.pmod(F.xxhash64("rep", F.lit(7)), "salts"), 1))
+    trips = _trips(only.unionByName(sit).unionByName(come))
     fields = {"label": pa.int64(), "block": pa.int32(), "salt": pa.int32(), "role": pa.int32()}
     cell = ["label", "block", "salt"]
+    sent = _travel(sets, trips, fields, "label long, block int, salt int, role int")
 
-    def sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, buf, offsets in tx.chunks(batch.column("text")):
-                part = batch.slice(at, len(offsets) - 1)
-                for doc, trip, own in zip(part.column("doc_id").to_pylist(), part.column("trips").to_pylist(), shingle_sets(buf, offsets), strict=True):
-                    data = own.tobytes()
-                    step = max(1, (8 << 20) // max(1, len(data)))  # a text with many trips leaves in parts
-                    for k in range(0, len(trip), step):
-                        some = trip[k : k + step]
-                        cols = [pa.array([t[c] for t in some], kind) for c, kind in fields.items()]
-                        yield pa.RecordBatch.from_arrays([*cols, pa.array([doc] * len(some), pa.int64()), pa.array([data] * len(some), pa.binary())], names=[*fields, "x", "data"])
+    def counts(held: list[np.ndarray], ids: list[int]) -> Iterator[tuple[int, int]]:
+        """What the texts of a cell of their own link with; each links with itself."""
+        block = Block(held) if held else None
+        for x, own in zip(ids, held, strict=True):
+            yield x, int(block.linked(own).sum()) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets, ids, index = None, [], [], None
+        key, held, ids, block, own_cell = None, [], [], None, False
         for batch in batches:
-            found = ([], [])
-            for label, block, salt, role, x, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (label, block, salt):
-                    key, sets, ids, index = (label, block, salt), [], [], None
+            found = []
+            for label, place, salt, role, x, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (label, place, salt):
+                    found.extend(counts(held, ids) if own_cell else ())
+                    key, held, ids, block, own_cell = (label, place, salt), [], [], None, role == 2
                 own = np.frombuffer(data, np.uint64)
-                if role == 0:
-                    sets.append(own)
+                if role != 1:
+                    held.append(own)
                     ids.append(x)
                     continue
-                if not sets:
+                if not held:
                     continue
-                if index is None:
-                    size, every = np.array([len(s) for s in sets]), np.concatenate(sets)
-                    order = np.argsort(every, kind="stable")
-                    index, owner, names = every[order], np.repeat(np.arange(len(sets)), size)[order], np.array(ids)
-                common = _counts(index, owner, own, len(sets))
-                found[0].append(x)
-                found[1].append(int(((common * 100 >= (size + len(own) - common) * PERCENT) & (names != x)).sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["rep", "n_links"])
-
-    bounded_batches(spark)
-    sent = rows.mapInArrow(sending, "label long, block int, salt int, role int, x long, data binary")
+                if block is None:
+                    block, names = Block(held), np.array(ids)
+                found.append((x, int((block.linked(own) & (names != x)).sum())))
+            yield _degree_batch(found)
+        if own_cell:
+            yield _degree_batch(list(counts(held, ids)))
+
     counted = sent.repartition(*cell).sortWithinPartitions(*cell, "role").mapInArrow(count, "rep long, n_links long")
-    out = materialise(counted.groupBy("rep").agg(F.sum("n_links").alias("n_links")), "degrees")
+    out = materialise(counted.groupBy("rep").agg(F.sum("n_links").alias("n_links")).unionByName(pairs), "degrees")
+    discard(spark, trips.scratch_path)
     release(spark)
     return out
 
 
+def _degree_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["rep", "n_links"])
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. doc_id, n_shingles, class_id (first document of equal sets), component_id.
+    """docs: doc_id, text. doc_id, n_shingles, component_id, class_id (first document of equal sets), n_links, text_hash, row, component.
+
+    A row each. n_links counts all other classes that the row's class links with. text_hash (of the text) and doc_id name
+    a row's kind, row tells equal rows apart, and component is the same for all rows that links connect.
+    """
+    sets = set_table(docs.selectExpr("cast(doc_id as long) doc_id", "text"))
+    key = ["n", "fp1", "fp2"]
+    classes = materialise(sets.where("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min("doc_id").alias("class_id")), "classes")
+    _, labels = links(sets, classes.select("rep"))
+    linked = materialise(classes.join(labels, F.col("rep") == F.col("id")).select("rep", "n", "class_id", "label"), "linked")
+    degree = degrees(sets, linked.select("rep", "n", "label"))
+    named = materialise(linked.groupBy("label").agg(F.min("class_id").alias("component_id")), "named")
+    linked = split_join(linked, named, ["label"]).select("rep", "label", "component_id").join(degree, "rep")
+    known = materialise(classes.join(linked, "rep", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("class_id")).otherwise(F.col("component_id"))), "known")
+    out = split_join(sets.select("row", "doc_id", "text_hash", *key), known, key, "left")
+    empty = F.col("n") == 0
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), *[F.when(empty, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("component_id", "class_id")],
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash", "row", F.coalesce("label", "rep", "row").alias("component"),
+    )
+
 
-    n_links counts all other classes that the document's class links with.
+def one_of_each(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of every component one row stays: the smallest doc_id's (rows without one come last). found: jaccard_join(), written.
+
+    doc_id and text_hash of the kinds of rows of which none stays, and of those of which one of several equal rows does.
     """
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null")
-    own = materialise(profiles(docs), "profiles")
-    classes = materialise(own.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
-    _, labels = links(docs, materialise(classes.select("rep").distinct(), "reps"))
-    degree = degrees(docs, classes.join(labels, F.col("rep") == F.col("id")).select("rep", "n", "label"))
-    known = classes.join(labels, F.col("rep") == F.col("id"), "left").drop("id").join(degree, "rep", "left")
-    out = own.select("doc_id", "n", "fp1", "fp2").join(known, ["n", "fp1", "fp2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    order = F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "text_hash", "row")
+    kept = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.row").alias("row"), F.lit(1).alias("kept"))
+    kinds = found.join(kept, "row", "left").groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"), F.count("kept").alias("kept"))
+    kinds = materialise(kinds.where("kept < rows"), "kinds")
+    return kinds.where("kept = 0").select("doc_id", "text_hash"), kinds.where("kept > 0").select("doc_id", "text_hash")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component."""
+    gone, several = one_of_each(materialise(jaccard_join(docs), "joined"))
+    out = without(docs, gone)
+    if not several.limit(1).count():
+        return out
+    # Equal rows (doc_id and text) of which one stays: they are few kinds, and go through a shuffle of their own.
+    rest = without(out, several)
+    rows = whole_rows(out).withColumn("_d", F.col("row.doc_id").cast("long")).withColumn("_t", F.xxhash64("row.text"))
+    same = F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("text_hash"))
+    equal = rows.join(several, same).dropDuplicates(["_d", "_t"]).select("row.*")
+    return rest.unionByName(equal)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")

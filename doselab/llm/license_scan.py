@@ -5,8 +5,10 @@ counted over all documents; each template is looked up by its highest-IDF words.
 file vote for (template, file position - template position); places on which at least two votes agree are
 verified: the template's words must be found there by IDF weight, and its mandatory key phrases must stand there.
 
-Defined results: null and empty texts have no words, no labels and score 0; repeated rows each get a row; extra
-columns are ignored. There is no shuffle but of the vocabulary counts, whose number the templates bound.
+Defined results: null and empty texts have no words, no labels and score 0; very long texts are scanned whole; of
+templates of one label the best counts; repeated rows each get a row, a null doc_id stays null; an empty table gives an
+empty result; extra columns of any name are ignored. There is no shuffle but of the vocabulary counts, whose number the
+templates bound.
 """
 
 from __future__ import annotations
@@ -134,7 +136,10 @@ def _frequencies(docs: DataFrame, index: Index) -> tuple[dict[int, int], int]:
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """Per document the places of the base phrases, labels and the best template's coverage. docs: doc_id, text."""
+    """Per document the places of the base phrases, labels and score. docs: doc_id, text.
+
+    The score is the best coverage of a label's wording: 1 for a base phrase, a template's share of IDF weight, 0 without labels.
+    """
     index = Index(*_frequencies(docs, Index()))
 
     def scan(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
@@ -150,14 +155,15 @@ def license_scan(docs: DataFrame) -> DataFrame:
                 for p in at[row[at] == row[at + len(phrase) - 1]].tolist():
                     places[row[p]].append(p - int(first[row[p]]))
                     base[row[p]].add(label)
-            labels, score = [set(b) for b in base], np.zeros(n)
+            # A base phrase stands there word for word: full coverage.
+            labels, score = [set(b) for b in base], np.array([1.0 if b else 0.0 for b in base])
             slot = np.minimum(np.searchsorted(index.anchors, words), len(index.anchors) - 1)
             rare = np.flatnonzero(index.anchors[slot] == words)
             bound = np.searchsorted(rare, first)
             for i in np.flatnonzero(np.diff(bound)).tolist():
                 found = index.scan(words[first[i] : first[i + 1]], rare[bound[i] : bound[i + 1]] - first[i])
                 labels[i] |= found.keys()
-                score[i] = max(found.values(), default=0.0)
+                score[i] = max(score[i], *found.values()) if found else score[i]
             text = lambda sets: pa.array([",".join(sorted(s)) for s in sets], pa.string())
             cols = [batch.column("doc_id").slice(row0, n), pa.array(np.diff(first), pa.int64()), pa.array([len(p) for p in places], pa.int64()), pa.array([min(p) if p else None for p in places], pa.int64()), pa.array([max(p) if p else None for p in places], pa.int64()), text(base), text(labels), pa.array(np.minimum(score, 1.0))]
             out.append(pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")]))

@@ -6,21 +6,24 @@ merge-join all runs bucket by bucket without moving them again; keys found in no
 ``FAN`` runs of one level are compacted into one of the next. Only positions to drop go back to the texts.
 Everything is DataFrame operations.
 
-Defined results: null and empty texts are one empty line; rows without doc_id take no part and keep their lines;
-rows that share a doc_id are one document (each keeps its own row); an empty table gives an empty result; extra
-columns are kept by deduplicate_lines().
+Defined results: null and empty texts are one empty line; texts of any length are split whole (a row's lines are one
+array); rows without doc_id take no part and keep their lines; rows that share a doc_id are one document, whose lines
+none of its rows loses to another, but each row loses and keeps lines of its own text alone; repeated rows each keep
+theirs; an empty table gives an empty result; extra columns of any name are kept by deduplicate_lines().
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doselab.llm.common import materialise, scratch, small
+from doselab.llm.common import HEAVY_KEYS, HEAVY_ROWS, discard, materialise, scratch, small, whole_rows
 
-BATCHES, FAN, MIN_POINTS = 4, 2, 10
+#: Batches at least, documents a batch from there on, keys in a bucket of a run; runs that are compacted at once.
+BATCHES, PER_BATCH, PER_BUCKET, FAN, MIN_POINTS = 4, 50_000_000, 20_000_000, 2, 10
 #: Fixed values of the contract: what is stripped from a line's ends.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,15 +43,19 @@ class Runs:
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets = spark, buckets
         self.levels: list[tuple[int, str]] = []
-        self.names: list[str] = []
+        self.paths: dict[str, str] = {}
 
     def write(self, keys: DataFrame) -> str:
         """keys as a bucketed, sorted table."""
-        name = f"doselab_run_{uuid.uuid4().hex}"
-        (keys.repartition(self.buckets, "h1").write.option("path", scratch(self.spark, "run")).bucketBy(self.buckets, "h1").sortBy("h1", "h2").format("parquet").saveAsTable(name))
-        self.names.append(name)
+        name, path = f"doselab_run_{uuid.uuid4().hex}", scratch(self.spark, "run")
+        self.paths[name] = path
+        (keys.repartition(self.buckets, "h1").write.option("path", path).bucketBy(self.buckets, "h1").sortBy("h1", "h2").format("parquet").saveAsTable(name))
         return name
 
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(self.spark, self.paths.pop(name))
+
     def first_seen(self, own: str) -> DataFrame:
         """A batch's keys with the earliest document of any run, null where no run has the key."""
         found = self.spark.table(own)
@@ -58,55 +65,76 @@ class Runs:
             found = found.hint("merge").join(run, ["h1", "h2"], "left")
             seen.append(F.col(f"_r{k}"))
         before = F.coalesce(*seen) if seen else F.lit(None).cast("long")
-        return found.select("h1", "h2", "first", "last", before.alias("before"))
+        return found.select("h1", "h2", "first", "last", "n", before.alias("before"))
 
     def add(self, keys: DataFrame) -> None:
         self.levels.append((0, self.write(keys)))
         while len(self.levels) >= FAN and len({level for level, _ in self.levels[-FAN:]}) == 1:
-            level = self.levels[-1][0]
+            old = self.levels[-FAN:]
             merged = None
-            for _, name in self.levels[-FAN:]:
+            for _, name in old:
                 part = self.spark.table(name)
                 merged = part if merged is None else merged.unionByName(part)
-            self.levels[-FAN:] = [(level + 1, self.write(merged))]
+            self.levels[-FAN:] = [(old[0][0] + 1, self.write(merged))]
+            for _, name in old:
+                self.drop(name)
 
     def close(self) -> None:
-        for name in self.names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for name in list(self.paths):
+            self.drop(name)
 
 
-def drops(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """doc_id and the sorted positions of the lines it loses, for documents that lose any."""
+def drops(docs: DataFrame, batches: int | None = None) -> DataFrame:
+    """doc_id, _own (the text's hash) and the sorted positions of the lines that such a row loses, if it loses any."""
     spark = docs.sparkSession
     key = F.transform(lines_of(F.col("text")), line_key)
-    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(key).alias("pos", "key")).where(F.length("key") >= MIN_POINTS)
-    cuts = docs.where("doc_id is not null").select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
+    docs = docs.where("doc_id is not null")
+    batches = batches or max(BATCHES, math.ceil(docs.count() / PER_BATCH))
+    cuts = docs.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
     batch = F.lit(0)
     for cut in cuts:
         batch = batch + (F.col("doc_id") > F.lit(cut)).cast("int")
+    lines = docs.select("doc_id", F.xxhash64("text").alias("_own"), F.posexplode(key).alias("pos", "key")).where(F.length("key") >= MIN_POINTS)
     path = scratch(spark, "lines")
-    lines.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), batch.alias("batch")).write.partitionBy("batch").parquet(path)
-    table = spark.read.schema("doc_id long, pos int, h1 long, h2 long, batch int").parquet(path)
-    runs = Runs(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines.select("doc_id", "_own", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), batch.alias("batch")).write.partitionBy("batch").parquet(path)
+    table = spark.read.schema("doc_id long, _own long, pos int, h1 long, h2 long, batch int").parquet(path)
+    size = table.count()
+    runs = Runs(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PER_BUCKET)))
     out = scratch(spark, "drops")
-    for b in range(batches):
-        part = table.where(F.col("batch") == b)
-        own = runs.write(part.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-        seen = materialise(runs.first_seen(own), "seen")
-        twice = seen.where("before is not null or last > first").select("h1", "h2", F.coalesce("before", "first").alias("first"))
-        twice = F.broadcast(twice) if small(twice) else twice
-        part.join(twice, ["h1", "h2"]).where("doc_id > first").select("doc_id", "pos").write.mode("append").parquet(out)
-        if b + 1 < batches:
-            runs.add(seen.where("before is null").select("h1", "h2", "first"))
-    runs.close()
-    lost = spark.read.schema("doc_id long, pos int").parquet(out).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("_lost"))
-    return materialise(lost, "lost")
+    keys = ["h1", "h2"]
+    try:
+        for b in range(batches):
+            part = table.where(F.col("batch") == b)
+            own = runs.write(part.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")))
+            seen = materialise(runs.first_seen(own), "seen")
+            twice = seen.where("before is not null or last > first").select(*keys, F.coalesce("before", "first").alias("first"), "n")
+            if small(twice):
+                found = part.join(F.broadcast(twice.drop("n")), keys)
+            else:
+                # The few keys that hold a large share of all lines (under HEAVY_KEYS of them) are looked up, the rest merged.
+                common = F.col("n") > max(HEAVY_ROWS, size // HEAVY_KEYS)
+                heavy = F.broadcast(twice.where(common).drop("n"))
+                found = part.join(heavy, keys).unionByName(part.join(heavy.select(*keys), keys, "left_anti").join(twice.where(~common).drop("n").hint("merge"), keys))
+            found.where("doc_id > first").select("doc_id", "_own", "pos").write.mode("append").parquet(out)
+            if b + 1 < batches:
+                runs.add(seen.where("before is null").select(*keys, "first"))
+            runs.drop(own)
+            discard(spark, seen.scratch_path)
+    finally:
+        runs.close()
+    lost = spark.read.schema("doc_id long, _own long, pos int").parquet(out).groupBy("doc_id", "_own").agg(F.sort_array(F.collect_set("pos")).alias("_lost"))
+    lost = materialise(lost, "lost")
+    discard(spark, path)
+    discard(spark, out)
+    return lost
 
 
 def _with_drops(docs: DataFrame) -> DataFrame:
+    """row (docs' columns) and _lost (null: nothing)."""
     lost = drops(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = whole_rows(docs).withColumn("doc_id", F.col("row.doc_id").cast("long")).withColumn("_own", F.xxhash64("row.text"))
     # One shuffle of the texts at every size: the documents that lose lines grow with the corpus.
-    return docs.join(lost.withColumnRenamed("doc_id", "_doc").hint("merge"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    return rows.join(lost.hint("merge"), ["doc_id", "_own"], "left").select("row", "_lost")
 
 
 def _kept(text: Column, lost: Column) -> Column:
@@ -121,18 +149,18 @@ def _kept(text: Column, lost: Column) -> Column:
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
     """docs with text rewritten; the other columns and their order stay."""
-    out = _with_drops(docs)
-    return out.withColumn("text", F.when(F.col("_lost").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("_lost")))).select(*docs.columns)
+    text = F.when(F.col("_lost").isNull(), F.col("row.text")).otherwise(_kept(F.col("row.text"), F.col("_lost")))
+    return _with_drops(docs).select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = _with_drops(docs)
+    out = _with_drops(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    text = F.col("row.text")
     return out.select(
-        "doc_id",
-        F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
+        F.col("row.doc_id").alias("doc_id"),
+        F.size(lines_of(text)).cast("long").alias("n_lines"),
         F.when(F.col("_lost").isNull(), F.lit(0)).otherwise(F.size("_lost")).cast("long").alias("n_dropped"),
-        F.sha2(F.encode(_kept(F.col("text"), F.col("_lost")), "UTF-8"), 256).alias("kept_sha256"),
+        F.sha2(F.encode(_kept(text, F.col("_lost")), "UTF-8"), 256).alias("kept_sha256"),
     )
 
 

@@ -4,11 +4,12 @@ Documents become token pieces of at most ``LENGTH`` ids. Only the histogram of p
 whatever the input) comes to the driver. There, from the longest pieces down, single, pair and triple sums of the
 lengths still available are looked up for combinations that fill a gap exactly, and each is consumed as often as
 its counts allow; what is left goes best-fit. The plan has a few entries per length. Pieces take their places by
-their rank within a length: ranks come from counts per (length, salt), so a length that holds a third of all
-pieces is split over ``SALTS`` groups.
+their rank within a length: ranks come from counts per (length, salt), and a length has as many salts as its count
+asks for.
 
-Defined results: null and empty texts are one piece of the closing id alone; repeated rows are packed each; an
-empty table gives an empty result; extra columns are ignored.
+Defined results: null and empty texts are one piece of the closing id alone; very long texts are cut into pieces;
+pieces of equal length are interchangeable and take their places in the order of a hash, doc_id and piece; repeated
+rows are packed each; a null doc_id stays null; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doselab.llm import textnp as tx
-from doselab.llm.common import map_batches, materialise
+from doselab.llm.common import map_batches, materialise, small
 from doselab.llm.tokens import Encoder
 
-LENGTH, SALTS, CLOSING = 2048, 64, 0
+#: Longest sequence; pieces of one length that a task ranks; the id that closes a document.
+LENGTH, PER_SALT, CLOSING = 2048, 200_000, 0
 
 
 def pieces(docs: DataFrame, encoder: Encoder, length: int = LENGTH) -> DataFrame:
@@ -98,7 +100,8 @@ def plan_packing(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[
                         pair_sums = np.rint(np.fft.irfft(np.fft.rfft(here, 4 * length) ** 2, 4 * length))[: length + 1] > 0
                     third = np.arange(1, gap - 1)
                     third = third[(counts[third] > 0) & pair_sums[gap - third]]
-                    for c in third[np.argsort(-counts[third], kind="stable")][:64].tolist():
+                    # Sums that may be out of date are tried a few times only; after that all are tried against fresh ones.
+                    for c in third[np.argsort(-counts[third], kind="stable")][: None if fresh else 64].tolist():
                         counts[c] -= 1
                         a, b, n = _pair(counts, gap - c)
                         counts[c] += 1
@@ -152,14 +155,16 @@ def _places(plan: list[tuple[int, list[int]]]) -> np.ndarray:
 
 def pack(table: DataFrame, length: int = LENGTH) -> DataFrame:
     """table (with a column length) with sequence_id and offset. It is read three times, so it should be written."""
-    salted = table.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    groups = materialise(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "lengths")
-    plan = plan_packing({r[0]: r[1] for r in groups.groupBy("length").agg(F.sum("_n")).collect()}, length)
+    histogram = {r[0]: r[1] for r in table.groupBy("length").agg(F.count("*")).collect()}
+    plan = plan_packing(histogram, length)
     places = _places(plan)
-    # At most length * SALTS rows of four numbers, whatever the input: broadcast.
+    salts = F.element_at(F.array(*[F.lit(-(-histogram.get(k, 1) // PER_SALT)) for k in range(length + 1)]), (F.col("length") + 1).cast("int"))
+    salted = table.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts).cast("int"))
+    groups = materialise(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "lengths")
     base = groups.withColumn("_base", F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
+    base = F.broadcast(base) if small(groups) else base
     order = W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(order)).join(F.broadcast(base), ["length", "_salt"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_base"))
+    ranked = salted.withColumn("_rank", F.row_number().over(order)).join(base, ["length", "_salt"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_base"))
     names = [c for c in table.columns]
     fields = ", ".join(f"`{c}` {t}" for c, t in table.dtypes)
     span = 1 << 44

@@ -4,9 +4,11 @@ Each document becomes a vector of transformed statistics. Per class, count, mean
 over all labelled training rows; covariances are shrunk towards the pooled diagonal; a score is the logistic of
 the difference of Mahalanobis log densities, from Cholesky factors that are computed once.
 
-Defined results: null and empty texts have all-zero statistics and get a score like any other; with no labelled
-training rows, or one class only, every score is that class's share (0.5 without any); null labels are left out;
-repeated rows each get a row (and count each in training); extra columns are ignored.
+Defined results: null and empty texts have all-zero statistics and get a score like any other; very long texts are
+measured whole; equal texts get equal scores; with no labelled training rows, or one class only, every score is that
+class's share (0.5 without any); null labels and labels without doc_id are left out; repeated rows each get a row (and
+count each in training), as do rows that share a doc_id; an empty table gives an empty result; extra columns of any name
+are ignored.
 """
 
 from __future__ import annotations
@@ -82,15 +84,15 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def feature_table(docs: DataFrame) -> DataFrame:
-    """doc_id and x, written once: training and scoring read it."""
+    """doc_id, text_hash and x; written once, as training and scoring read it."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = [features(buf, offsets) for _, buf, offsets in tx.chunks(batch.column("text"))]
         x = np.concatenate(x) if x else np.zeros((0, len(FEATURES)))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "x"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), lists], names=["doc_id", "text_hash", "x"])
 
-    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), each, "doc_id long, x array<double>")
+    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) text_hash", "text"), each, "doc_id long, text_hash long, x array<double>")
 
 
 class Model:
@@ -138,13 +140,13 @@ def fit(table: DataFrame, labels: DataFrame) -> Model:
 def score(table: DataFrame, model: Model) -> DataFrame:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.asarray(batch.column("x").flatten()).reshape(-1, len(FEATURES))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(model.score(x))], names=["doc_id", "text_hash", "score"])
 
-    return map_batches(table, each, "doc_id long, score double")
+    return map_batches(table, each, "doc_id long, text_hash long, score double")
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score. docs: doc_id, text. labels: doc_id, label, the rows to learn from."""
+    """doc_id, text_hash, score of every row. docs: doc_id, text. labels: doc_id, label, the rows to learn from."""
     table = materialise(feature_table(docs), "features")
     return score(table, fit(table, labels.selectExpr("cast(doc_id as long) doc_id", "cast(label as int) label")))
 

@@ -3,8 +3,9 @@
 Rolling hashes over several n-gram lengths mark words inside duplicated n-grams; the measure is the share of
 word characters that duplicated n-grams and duplicated lines cover. Rows pass through once; there is no shuffle.
 
-Defined results: null text counts as empty (no words, base_failed true, kept false); repeated rows each get their
-own row; extra columns are ignored; an empty table gives an empty result.
+Defined results: null text counts as empty (no words, base_failed true, kept false); very long texts are measured whole;
+a share equal to its limit passes; repeated rows each get their own row, a null doc_id stays null; extra columns of any
+name are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,9 +6,10 @@ distance one (with transpositions) over bytes; the product is determinised lazil
 of a chunk at once. Each hit's context window tells quotation (quote marks, verbs of speech) from abuse; a
 logistic model over the hits gives the score. Whole texts are scanned and there is no shuffle of them.
 
-Defined results: null and empty texts have no hits and get the score of a text without hits; without labelled
-rows of both classes every score is the toxic share (0 without any); null labels are left out; repeated rows each
-get a row; extra columns are ignored.
+Defined results: null and empty texts have no hits and get the score of a text without hits; very long texts are
+scanned whole; equal texts get equal scores; without labelled rows of both classes every score is the toxic share (0
+without any); null labels are left out; labelled rows that tie for the sample are taken by hash and doc_id; repeated rows
+each get a row; an empty table gives an empty result; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from doselab.llm import textnp as tx
 from doselab.llm.common import held_out, map_batches, materialise
 
-#: Labelled documents of each class to learn from, and entries of the lexicon, at most.
-SAMPLE, LEXICON = 4000, 1500
+#: Labelled documents of each class to learn from at most.
+SAMPLE = 4000
 #: Letters of the stems tried; the shortest word that a misspelling may stand for; words on each side of a hit.
 STEMS, FUZZY_FROM, WINDOW = (4, 5, 6), 5, 8
 #: What a misspelt hit counts of a plain one.
@@ -176,12 +177,13 @@ def learn_lexicon(rows: DataFrame) -> tuple[list[bytes], list[bytes]]:
     # Chance that all of a unit's documents are toxic, against as many units as there may be: share ** toxic * 1e6 < 0.01.
     least = max(3, math.ceil(8 * math.log(10) / -math.log(share)))
     rate = F.col("toxic") / n[1] / (F.col("toxic") / n[1] + F.col("clean") / n[0])
-    best = counts.where((F.col("toxic") >= F.least(F.lit(least), F.lit(max(3, n[1] // 4)))) & (rate >= PRECISION)).orderBy(F.desc(F.col("toxic") - 2 * F.col("clean")), "unit").limit(LEXICON).collect()
+    # Units of the sample's toxic texts alone: bounded by SAMPLE.
+    best = counts.where((F.col("toxic") >= F.least(F.lit(least), F.lit(max(3, n[1] // 4)))) & (rate >= PRECISION)).select("unit").collect()
     return _confirmed(rows, [bytes(r[0]) for r in best], least)
 
 
 def _confirmed(rows: DataFrame, units: list[bytes], least: int) -> tuple[list[bytes], list[bytes]]:
-    """Of the units (LEXICON at most) those that toxic texts use in enough different contexts.
+    """Of the units those that toxic texts use in enough different contexts.
 
     Copies of one text repeat its words between the same neighbours and so count once. A stem must also begin
     enough different words, and gives way to a longer one that says as much.

@@ -2,13 +2,16 @@
 
 Pages are written as gzip-compressed WARC records, a member each, into archives in the shared folder; records whose
 payload another record of the same digest keeps are revisits. Each archive is read back record by record, its
-payloads are verified, and its captures form a run sorted by URL key and timestamp. Runs are dealt by key range and
-every range merges its slices of them with a loser tree, which gives capture histories in one global order. An
-archive counts only if the task that wrote it was committed, so lost executors and repeated tasks do no harm.
-
-Defined results: null html is an empty payload; a null url has an empty key; rows without page_id are responses;
-rows that share a page_id are each written, with one decision; an empty table gives an empty index; extra columns
-are ignored. Pages bring no time of capture: it is page_id seconds after 2024-01-01T00:00:00Z.
+payloads are verified, and its captures form a run: a file in the shared folder, sorted by URL key and timestamp. While
+there are more than ``FAN_IN`` runs, groups of them are merged into longer ones. Then the keys are cut into ranges, and
+each range's task opens all runs where the range begins and merges them with a loser tree, which gives capture histories
+in one global order. A merge holds one row group (``GROUP`` rows) of every run, whatever the runs' length. Archives and
+runs count only if the task that wrote them was committed, so lost executors and repeated tasks do no harm.
+
+Defined results: null html is an empty payload, very long html a record of its own; a null url has an empty key; rows
+without page_id are responses; rows that share a page_id are each written and decided by their own payload, and of equal
+payloads all records of the largest page_id are responses; an empty table gives an empty index; extra columns are ignored.
+Pages bring no time of capture: it is page_id seconds after 2024-01-01T00:00:00Z.
 """
 
 from __future__ import annotations
@@ -19,18 +22,21 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from doselab.llm.common import bounded_batches, materialise, scratch, small
+from doselab.llm.common import bounded_batches, materialise, scratch, small, split_join
 
 #: Payloads under this are never revisits; an archive is closed after so many bytes.
 MIN_REVISIT, ARCHIVE_BYTES = 1000, 64 << 20
+#: Runs that one merge opens; rows in a run's row group; captures in a range of the last merge; keys of a run that ranges are cut from.
+FAN_IN, GROUP, PER_RANGE, MARKS = 64, 500, 200_000, 64
 EPOCH = dt.datetime(2024, 1, 1)
 INDEX = "urlkey string, timestamp string, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, archive string, offset long, length long, run string"
 _NAMES = [x.split()[0] for x in INDEX.split(", ")]
@@ -141,14 +147,75 @@ def _page(name: str) -> int | None:
     return int(n) if (n := name[len("<urn:x-page:") : -1]) else None
 
 
+def _order(row: tuple) -> str:
+    """The row's place: URL key, timestamp, page (none first), archive and offset, as text that sorts alike."""
+    page = "0" if row[2] is None else f"1{row[2] + (1 << 63):020d}"
+    return f"{row[0]}\0{row[1]}\0{page}\0{row[7]}\0{row[8]:020d}"
+
+
+_TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+_RUN_SCHEMA = pa.schema([("place", pa.string()), *zip(_NAMES, _TYPES, strict=True)])
+RUNS = "run string, rows long, marks array<string>"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
+
+
+def write_run(folder: str, rows: Iterator[tuple]) -> tuple[str, int, list[str]]:
+    """A run of sorted rows in a file of row groups: its path, its rows, and MARKS of its places at even distances."""
+    path, n, marks, step, group = f"{folder}/{uuid.uuid4().hex}.parquet", 0, [], 1, []
+    fs, at = file_system(path)
+    with fs.open_output_stream(at, compression=None) as stream, pq.ParquetWriter(stream, _RUN_SCHEMA) as out:
+
+        def flush() -> None:
+            if group:
+                places = [_order(r) for r in group]
+                cols = [pa.array(places, pa.string()), *(pa.array(c, t) for c, t in zip(zip(*group, strict=True), _TYPES, strict=True))]
+                out.write_table(pa.Table.from_arrays(cols, schema=_RUN_SCHEMA))
+                group.clear()
+
+        for row in rows:
+            if n % step == 0:
+                marks.append(_order(row))
+                if len(marks) == 2 * MARKS:
+                    marks, step = marks[::2], 2 * step
+            group.append(row)
+            n += 1
+            if len(group) == GROUP:
+                flush()
+        flush()
+    return path, n, marks
+
+
+def read_run(path: str, low: str | None = None, high: str | None = None) -> Iterator[tuple]:
+    """The rows of a run with low <= place < high, one row group at a time; groups outside are skipped by their statistics."""
+    fs, at = file_system(path)
+    with fs.open_input_file(at) as stream:
+        run = pq.ParquetFile(stream)
+        for k in range(run.num_row_groups):
+            known = run.metadata.row_group(k).column(0).statistics
+            if known is not None and known.has_min_max:
+                if low is not None and known.max < low:
+                    continue
+                if high is not None and known.min >= high:
+                    return
+            for place, *row in zip(*(c.to_pylist() for c in run.read_row_group(k).columns), strict=True):
+                if (low is None or place >= low) and (high is None or place < high):
+                    yield tuple(row)
+
+
 def index_archives(archives: DataFrame) -> DataFrame:
-    """Reads the archives back; each gives a run of captures sorted by URL key, timestamp and page."""
+    """Reads the archives back; each gives a run. RUNS: the runs, their rows and some of their places."""
+    folder = scratch(archives.sparkSession, "runs")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = file_system(folder)
+        fs.create_dir(top)
         for batch in batches:
             for archive in batch.column("archive").to_pylist():
                 fs, path = file_system(archive)
-                rows = []
+                rows = []  # one archive's captures: ARCHIVE_BYTES bounds them
                 with fs.open_input_stream(path, compression=None) as stream:
                     for offset, length, fields, block in read_archive(stream):
                         http, _, payload = block.partition(b"\r\n\r\n")
@@ -161,22 +228,15 @@ def index_archives(archives: DataFrame) -> DataFrame:
                         refers = _page(fields["WARC-Refers-To"]) if kind == "revisit" else None
                         rows.append((url_key(fields["WARC-Target-URI"]), re.sub(r"\D", "", fields["WARC-Date"]), page_id, kind, digest, size, refers, archive, offset, length, archive))
                 rows.sort(key=_order)
-                for k in range(0, len(rows), 5000):
-                    yield _batch(rows[k : k + 5000])
+                yield _run_rows([write_run(folder, iter(rows))])
 
     n = max(1, archives.count())
-    return materialise(archives.repartition(n, "archive").mapInArrow(index, INDEX), "runs")
+    return materialise(archives.repartition(n, "archive").mapInArrow(index, RUNS), "runs")
 
 
-_TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
-
-
-def _order(row: tuple) -> tuple:
-    return row[0], row[1], row[2] is not None, row[2] or 0, row[7], row[8]
+def _run_rows(found: list[tuple]) -> pa.RecordBatch:
+    cols = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["run", "rows", "marks"])
 
 
 class LoserTree:
@@ -214,44 +274,75 @@ class LoserTree:
             self.winner = w
 
 
-def merge_runs(index: DataFrame) -> DataFrame:
-    """The captures in global order of URL key and timestamp: ranges in partition order, each merged from its runs."""
+def join_runs(runs: DataFrame) -> DataFrame:
+    """Groups of up to FAN_IN runs merged into one longer run each."""
+    spark = runs.sparkSession
+    folder = scratch(spark, "runs")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = defaultdict(list)
+        fs, top = file_system(folder)
+        fs.create_dir(top)
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs[row[-1]].append(row)
-        for rows in runs.values():
-            # A slice of a run arrives in its order; a sort of sorted rows costs one pass and makes sure.
-            rows.sort(key=_order)
-        out = []
-        for row in LoserTree([iter(r) for r in runs.values()]):
-            out.append(row)
-            if len(out) == 5000:
-                yield _batch(out)
-                out = []
-        if out:
-            yield _batch(out)
-
-    return index.repartitionByRange(F.col("urlkey"), F.col("timestamp"), F.col("page_id")).mapInArrow(merge, INDEX)
+            for paths in batch.column("paths").to_pylist():
+                yield _run_rows([write_run(folder, iter(LoserTree([read_run(p) for p in paths])))])
+
+    groups = -(-runs.count() // FAN_IN)
+    # Ranks deal the runs into groups of even size; the window's rows are one a run.
+    dealt = runs.select("run", ((F.row_number().over(W.orderBy("run")) - 1) % groups).alias("_g"))
+    grouped = dealt.groupBy("_g").agg(F.sort_array(F.collect_list("run")).alias("paths"))
+    return materialise(grouped.repartition(groups, "_g").select("paths").mapInArrow(merge, RUNS), "runs")
+
+
+def merge_runs(runs: DataFrame) -> DataFrame:
+    """The captures in global order of URL key and timestamp: ranges in partition order, each merged from its slices of all runs."""
+    spark = runs.sparkSession
+    while runs.count() > FAN_IN:
+        runs = join_runs(runs)
+    # At most FAN_IN runs with 2 * MARKS places each.
+    known = [(r[0], r[1], r[2]) for r in runs.collect()]
+    paths, rows = sorted(r[0] for r in known if r[1]), sum(r[1] for r in known)
+    marks = sorted(m for r in known for m in r[2])
+    n = max(1, min(len(marks), max(spark.sparkContext.defaultParallelism, -(-rows // PER_RANGE))))
+    cuts = [None, *(marks[len(marks) * k // n] for k in range(1, n)), None]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                low, high, out = cuts[k], cuts[k + 1], []
+                if low is not None and low == high:
+                    continue
+                for row in LoserTree([read_run(p, low, high) for p in paths]):
+                    out.append(row)
+                    if len(out) == 5000:
+                        yield _batch(out)
+                        out = []
+                if out:
+                    yield _batch(out)
+
+    return spark.range(0, n, 1, n).mapInArrow(merge, INDEX)
+
+
+def _digests(pages: DataFrame) -> DataFrame:
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    return pages.withColumn("digest", F.sha1(payload)).withColumn("size", F.octet_length(payload))
 
 
 def decide_revisits(pages: DataFrame) -> DataFrame:
-    """page_id and refers_to of the pages whose payload a larger page_id keeps."""
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    seen = materialise(pages.where("page_id is not null").select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")).where(F.col("size") >= MIN_REVISIT), "digests")
+    """page_id, digest and refers_to of the pages whose payload a larger page_id keeps."""
+    seen = _digests(pages.where("page_id is not null")).select("page_id", "digest", "size").where(F.col("size") >= MIN_REVISIT)
+    seen = materialise(seen, "digests")
     keep = seen.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_least")).where("_least < refers_to").drop("_least")
     keep = materialise(keep, "kept")
-    found = seen.join(F.broadcast(keep) if small(keep) else keep, ["digest", "size"]).where("page_id < refers_to")
-    return materialise(found.select("page_id", "refers_to").distinct(), "revisits")
+    found = seen.join(F.broadcast(keep), ["digest", "size"]) if small(keep) else split_join(seen, keep, ["digest", "size"])
+    return materialise(found.where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct(), "revisits")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Write, read back, index and merge. pages: page_id, url, html."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     revisits = decide_revisits(pages)
-    decided = pages.join(F.broadcast(revisits) if small(revisits) else revisits, "page_id", "left")
+    # By page and payload: rows that share a page_id may differ, and rows without one spread by their payload.
+    decided = _digests(pages).join(F.broadcast(revisits) if small(revisits) else revisits, ["page_id", "digest"], "left")
     return merge_runs(index_archives(write_archives(decided)))
 
 
