@@ -503,10 +503,12 @@ def links(sets: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Recursion: in small regions a second pivot from a component other than the first's, in large ones several a round.
     other = named.where("label > _a").groupBy("s").agg(F.min(F.struct("rep", "n", "label")).alias("v"))
     asks = named.join(other, "s").where((F.col("label") != F.col("v.label")) & _fit(F.col("n"), F.col("v.n"))).select(F.col("rep").alias("x"), F.col("v.rep").alias("p"))
-    done, asking = first, None
+    done, asking, crowded = first, None, _some(crowds)
     for turn in range(ROUNDS):
-        large = materialise(_large(crowds, labels).where(F.col("asking") > BLOCK), "large")
-        now = large.agg(F.sum((F.col("label") != F.col("main")).cast("long"))).first()[0] or 0
+        now = 0
+        if crowded:
+            large = materialise(_large(crowds, labels).where(F.col("asking") > BLOCK), "large")
+            now = large.agg(F.sum((F.col("label") != F.col("main")).cast("long"))).first()[0] or 0
         more = bool(now) and (asking is None or now < 0.9 * asking)
         if turn and not more:
             break
@@ -517,20 +519,37 @@ def links(sets: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
             wide = large.join(drawn, "p").where((F.col("label") != F.col("v.label")) & _fit(F.col("n"), F.col("v.n"))).select(F.col("rep").alias("x"), F.col("v.rep").alias("p"))
             asks = asks.unionByName(wide) if asks is not None else wide
         asks = materialise(_unlike(asks.distinct(), done), "asks")
-        again = measure(sets, asks)
-        done, asks = done.unionByName(again.select("x", "p")), None
-        found = materialise(found.unionByName(again.where(good).select("x", "p")), "links")
-        labels = components(found)
-    found = materialise(found.unionByName(blocks(sets, materialise(_large(crowds, labels), "large"))), "links")
-    labels = components(found)
+        if _some(asks):
+            again = measure(sets, asks)
+            done = done.unionByName(again.select("x", "p"))
+            found, labels = _joined(found, again.where(good).select("x", "p"), labels)
+        asks = None
+    if crowded:
+        large = materialise(_large(crowds, labels), "large")
+        if _some(large):
+            found, labels = _joined(found, blocks(sets, large), labels)
     named = materialise(_labelled(named.drop("label"), labels).select("s", "rep", "n", "p", "d", "label"), "open")
     # What is left in small regions: pairs of different components within the triangle window of their region's pivot.
     a, b = named.alias("a"), named.alias("b")
     window = F.abs(F.col("a.d") - F.col("b.d")) <= (100 - PERCENT) / 100 + 1e-9
     apart = (F.col("a.s") == F.col("b.s")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label")) & _fit(F.col("a.n"), F.col("b.n")) & F.coalesce(window, F.lit(True))
     rest = a.join(b, apart).select(F.col("b.rep").alias("x"), F.col("a.rep").alias("p")).distinct()
-    last = measure(sets, materialise(_unlike(rest, done), "rest"))
-    found = materialise(found.unionByName(last.where(good).select("x", "p")), "links")
+    rest = materialise(_unlike(rest, done), "rest")
+    if _some(rest):
+        found, labels = _joined(found, measure(sets, rest).where(good).select("x", "p"), labels)
+    return found, labels
+
+
+def _some(df: DataFrame) -> bool:
+    return bool(df.limit(1).count())
+
+
+def _joined(found: DataFrame, new: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links with the new ones, and the labels of their components."""
+    new = materialise(new, "new")
+    if not _some(new):
+        return found, labels
+    found = materialise(found.unionByName(new), "links")
     return found, components(found)
 
 
