@@ -18,8 +18,9 @@ the region's main component are dealt by their distance to the pivot (rings) int
 travels to the blocks within its window, and one lookup counts what it has in common with a whole block. No link between
 different texts is lost; nothing is capped.
 
-Texts are tokenised once: their sets are written with a row number, and all that follows reads sets. Shingles that a
-sample shows to be crowded are known as such and need not meet; other keys with many rows are split over tasks.
+All texts are tokenised once: the first shingles of their sets in hash order (about three tenths, as pivots and as
+sketches) are written with a row number; whole sets are made again for the few texts whose sketches leave a link open.
+Shingles that a sample shows to be crowded are known as such and need not meet; other keys with many rows are split over tasks.
 
 Defined results: texts without words or null have no shingles and link with nothing; texts of fewer words than a
 shingle are one shingle; texts of any length are whole sets; rows are texts of their own: those that share a doc_id link
@@ -80,27 +81,68 @@ def _fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def set_table(docs: DataFrame) -> DataFrame:
-    """row (a number of its own), doc_id, text_hash, n, fp1, fp2 (the set's fingerprint), data (the sorted set)."""
-
-    def each(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-        out = []
-        for at, buf, offsets in tx.chunks(batch.column("text")):
-            sets = list(shingle_sets(buf, offsets))
-            size = np.array([len(s) for s in sets], np.int64)
-            every = np.concatenate(sets)
-            edges = np.concatenate([[0], np.cumsum(size)])
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tx.mix(every ^ _TWO), dtype=np.uint64)])
-            folds = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(tx.mix(every + _TWO))])
-            fp = [(sums[edges[1:]] - sums[edges[:-1]]).view(np.int64), (folds[edges[1:]] ^ folds[edges[:-1]]).view(np.int64)]
-            data = pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer((edges * 8).astype(np.int32)), pa.py_buffer(every)])
-            cols = [batch.column("doc_id").slice(at, len(sets)), batch.column("text_hash").slice(at, len(sets)), pa.array(size), *map(pa.array, fp), data]
-            out.append(pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "n", "fp1", "fp2", "data"]))
-        return out
+def reserve(n: np.ndarray) -> np.ndarray:
+    """How many pivots a text of n shingles brings: its first ones and half as many in reserve."""
+    return np.minimum(n, prefix(n) + prefix(n) // 2 + 4)
+
+
+def sketched(n: int | np.ndarray) -> int | np.ndarray:
+    """How many shingles a sketch of a set of n holds: the first seventh in hash order and a few more."""
+    return n // 7 + 8
+
+
+def _binary(parts: list[np.ndarray]) -> pa.Array:
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in parts])]) * 8
+    return pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.concatenate(parts))])
+
+
+class Texts:
+    """The texts of docs (doc_id, text): table (row, a number of its own, doc_id, text_hash, n, fp1, fp2, data) and whole()."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    sets = map_batches(rows, each, "doc_id long, text_hash long, n long, fp1 long, fp2 long, data binary")
-    return materialise(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+        def each(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+            out = []
+            for at, buf, offsets in tx.chunks(batch.column("text")):
+                sets = list(shingle_sets(buf, offsets))
+                size = np.array([len(s) for s in sets], np.int64)
+                every, edges = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tx.mix(every ^ _TWO), dtype=np.uint64)])
+                folds = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(tx.mix(every + _TWO))])
+                fp = [(sums[edges[1:]] - sums[edges[:-1]]).view(np.int64), (folds[edges[1:]] ^ folds[edges[:-1]]).view(np.int64)]
+                first = np.minimum(size, np.maximum(reserve(size), sketched(size)))
+                data = _binary([s[:k] for s, k in zip(sets, first.tolist(), strict=True)])
+                cols = [batch.column("doc_id").slice(at, len(sets)), batch.column("text_hash").slice(at, len(sets)), pa.array(size), *map(pa.array, fp), data]
+                out.append(pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "n", "fp1", "fp2", "data"]))
+            return out
+
+        found = map_batches(self.docs, each, "doc_id long, text_hash long, n long, fp1 long, fp2 long, data binary")
+        self.table = materialise(found.withColumn("row", F.monotonically_increasing_id()), "heads")
+        self.spark = docs.sparkSession
+        # Whole sets are found again by doc_id and text; where rows agree in both, one of them is kept for that.
+        if _some(self.table.groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).where("c > 1")):
+            self.docs = materialise(self.docs.dropDuplicates(["doc_id", "text_hash"]), "kinds")
+
+    def heads(self, ids: DataFrame) -> DataFrame:
+        """rep, n, data (the first shingles) of the rows in ids (column rep)."""
+        return self.table.select(F.col("row").alias("rep"), "n", "data").join(_hinted(ids.select("rep"), 1_000_000), "rep")
+
+    def whole(self, ids: DataFrame) -> DataFrame:
+        """rep, n, data (the whole set) of the rows in ids (column rep)."""
+        kinds = self.table.select(F.col("row").alias("rep"), F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).join(_hinted(ids.select("rep"), 1_000_000), "rep")
+        same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))
+        rows = self.docs.join(F.broadcast(kinds) if small(ids, 1_000_000) else kinds, same).select("rep", "text")
+
+        def each(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+            out = []
+            for at, buf, offsets in tx.chunks(batch.column("text")):
+                sets = list(shingle_sets(buf, offsets))
+                cols = [batch.column("rep").slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), _binary(sets)]
+                out.append(pa.RecordBatch.from_arrays(cols, names=["rep", "n", "data"]))
+            return out
+
+        return map_batches(rows, each, "rep long, n long, data binary")
 
 
 def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,47 +160,41 @@ def _hinted(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if (small(df, limit) if limit else small(df)) else df
 
 
-def _with_sets(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep, data of the rows in ids (column rep)."""
-    return sets.select(F.col("row").alias("rep"), "data").join(_hinted(ids.select("rep"), 1_000_000), "rep")
-
-
-def shingles(sets: DataFrame, ids: DataFrame, whole: bool, known: np.ndarray | None = None) -> DataFrame:
-    """s, rep, n, k (place in hash order), part of the rows in ids (column rep): whole sets or what they bring.
+def shingles(rows: DataFrame, whole: bool, known: np.ndarray | None = None) -> DataFrame:
+    """s, rep, n, k (place in hash order), part of rows (rep, n, data): whole sets or what they bring.
 
     part is 0, or tells the rows of a pivot in known apart.
     """
-    share = sets.sparkSession.sparkContext.broadcast(known if known is not None else np.zeros(0, np.uint64))
+    share = rows.sparkSession.sparkContext.broadcast(known if known is not None else np.zeros(0, np.uint64))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         every, edges = _read(batch.column("data"))
-        owner, size = np.asarray(batch.column("rep")), np.diff(edges)
-        first = prefix(size)
-        held = size if whole else np.minimum(size, first + first // 2 + 4)
+        owner, size = np.asarray(batch.column("rep")), np.asarray(batch.column("n"))
+        held = size if whole else reserve(size)
         place = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
         s = every[np.repeat(edges[:-1], held) + place]
         part = np.where(np.isin(s, share.value), np.repeat(owner % PARTS + 1, held), 0) if len(share.value) else np.zeros(len(s), np.int64)
         cols = [s.view(np.int64), np.repeat(owner, held), np.repeat(size, held).astype(np.int32), place.astype(np.int32), part.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["s", "rep", "n", "k", "part"])
 
-    return map_batches(_with_sets(sets, ids), each, "s long, rep long, n int, k int, part int")
+    return map_batches(rows, each, "s long, rep long, n int, k int, part int")
 
 
-def crowded_sample(sets: DataFrame, ids: DataFrame) -> np.ndarray:
+def crowded_sample(texts: Texts, ids: DataFrame) -> np.ndarray:
     """Pivots that more than CROWD of SAMPLE texts bring, so surely crowded. SAMPLE bounds what comes to the driver."""
     some = ids.orderBy(F.xxhash64("rep")).limit(SAMPLE)
-    found = shingles(sets, some, False).groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("s").toPandas()
+    found = shingles(texts.heads(some), False).groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("s").toPandas()
     return np.sort(found["s"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def reordered(sets: DataFrame, ids: DataFrame, hot: DataFrame) -> DataFrame:
+def reordered(texts: Texts, ids: DataFrame, hot: DataFrame) -> DataFrame:
     """s, rep, n: the first pivots of the rows in ids (column rep) over their whole sets, those in hot (s) last."""
     if not small(hot, CROWDED_ROWS):
-        entries = shingles(sets, ids, True).drop("part").join(hot.withColumn("hot", F.lit(1)), "s", "left")
+        entries = shingles(texts.whole(ids), True).drop("part").join(hot.withColumn("hot", F.lit(1)), "s", "left")
         # By place k, as everywhere: s is a signed long here, and its order is another one than that of the unsigned hashes.
         order = F.row_number().over(W.partitionBy("rep").orderBy(F.col("hot").asc_nulls_first(), "k"))
         return entries.withColumn("_r", order).where(F.col("_r") <= prefix(F.col("n"))).select("s", "rep", "n")
-    last = sets.sparkSession.sparkContext.broadcast(np.sort(hot.toPandas()["s"].to_numpy().astype(np.int64).view(np.uint64)))
+    last = texts.spark.sparkContext.broadcast(np.sort(hot.toPandas()["s"].to_numpy().astype(np.int64).view(np.uint64)))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         every, edges = _read(batch.column("data"))
@@ -172,7 +208,7 @@ def reordered(sets: DataFrame, ids: DataFrame, hot: DataFrame) -> DataFrame:
         cols = [every[order][keep].view(np.int64), np.asarray(batch.column("rep"))[owner[keep]], size[owner[keep]].astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["s", "rep", "n"])
 
-    return map_batches(_with_sets(sets, ids), each, "s long, rep long, n int")
+    return map_batches(texts.whole(ids), each, "s long, rep long, n int")
 
 
 def shared(entries: DataFrame) -> DataFrame:
@@ -207,10 +243,10 @@ def shared(entries: DataFrame) -> DataFrame:
     return entries.repartition("s", "part").sortWithinPartitions("s").mapInArrow(each, "s long, rep long, n int, k int, hot boolean")
 
 
-def regions(sets: DataFrame, reps: DataFrame) -> DataFrame:
+def regions(texts: Texts, reps: DataFrame) -> DataFrame:
     """s, rep, n: each class's first document in its regions, those that hold it alone left out."""
-    spark = sets.sparkSession
-    live = materialise(shared(shingles(sets, reps, False, crowded_sample(sets, reps))), "live")
+    spark = texts.spark
+    live = materialise(shared(shingles(texts.heads(reps), False, crowded_sample(texts, reps))), "live")
     release(spark)
     crowd = live.where("hot").select("s").distinct()
     before = F.sum(F.col("hot").cast("int")).over(W.partitionBy("rep").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
@@ -227,17 +263,17 @@ def regions(sets: DataFrame, reps: DataFrame) -> DataFrame:
         return settled
     # The reserve does not reach: these texts are ordered over their whole sets, crowded pivots last.
     hot = materialise(crowd, "crowded")
-    whole = materialise(reordered(sets, ids, hot), "whole")
+    whole = materialise(reordered(texts, ids, hot), "whole")
     release(spark)
     # Their new pivots may meet texts that were alone there.
     fresh = materialise(whole.select("s").distinct(), "fresh")
-    alone = shingles(sets, reps.join(_hinted(ids), "rep", "left_anti"), False).join(_hinted(fresh, 1_000_000), "s", "left_semi").select("s", "rep", "n")
+    alone = shingles(texts.heads(reps.join(_hinted(ids), "rep", "left_anti")), False).join(_hinted(fresh, 1_000_000), "s", "left_semi").select("s", "rep", "n")
     return settled.unionByName(whole).unionByName(alone).distinct()
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """The first seventh of a set in hash order (and a few more)."""
-    return s[: len(s) // 7 + 8]
+def sketch(s: np.ndarray, n: int) -> np.ndarray:
+    """The part of a set, or of its first shingles, that its sketch is; n: the set's size."""
+    return s[: sketched(n)]
 
 
 def may_link(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> bool:
@@ -268,20 +304,19 @@ def _trips(rows: DataFrame) -> DataFrame:
     return out
 
 
-def _travel(sets: DataFrame, trips: DataFrame, fields: dict[str, pa.DataType], schema: str, part: Callable[[np.ndarray], np.ndarray] = lambda s: s) -> DataFrame:
-    """A row for every trip: its fields, x (the row), n and data (the set, or a part of it)."""
+def _travel(rows: DataFrame, trips: DataFrame, fields: dict[str, pa.DataType], schema: str, part: Callable[[np.ndarray, int], np.ndarray] = lambda s, n: s) -> DataFrame:
+    """A row for every trip: its fields, x (the row), n and data (the set, or a part of it). rows: rep, n, data."""
 
     def sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every, edges = _read(batch.column("data"))
             cols, held, at = {c: [] for c in fields}, ([], [], []), 0
-            for k, (x, trip) in enumerate(zip(batch.column("rep").to_pylist(), batch.column("trips").to_pylist(), strict=True)):
-                own = every[edges[k] : edges[k + 1]]
-                data = part(own).tobytes()
+            for k, (x, n, trip) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "trips")), strict=True)):
+                data = part(every[edges[k] : edges[k + 1]], n).tobytes()
                 for t in trip:
                     for c in fields:
                         cols[c].append(t[c])
-                    for h, v in zip(held, (x, len(own), data), strict=True):
+                    for h, v in zip(held, (x, n, data), strict=True):
                         h.append(v)
                     at += len(data) + 64
                     if at > 8 << 20:  # what leaves at once stays small, however many trips a text has
@@ -290,9 +325,8 @@ def _travel(sets: DataFrame, trips: DataFrame, fields: dict[str, pa.DataType], s
             if held[0]:
                 yield _trip_batch(cols, held, fields)
 
-    rows = sets.select(F.col("row").alias("rep"), "data").join(trips, "rep").select("rep", "data", "trips")
-    bounded_batches(sets.sparkSession)
-    return rows.mapInArrow(sending, f"{schema}, x long, n long, data binary")
+    bounded_batches(rows.sparkSession)
+    return rows.join(trips, "rep").select("rep", "n", "data", "trips").mapInArrow(sending, f"{schema}, x long, n long, data binary")
 
 
 def _trip_batch(cols: dict[str, list], held: tuple[list, list, list], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -300,7 +334,7 @@ def _trip_batch(cols: dict[str, list], held: tuple[list, list, list], fields: di
     return pa.RecordBatch.from_arrays([*(pa.array(cols[c], t) for c, t in fields.items()), *own], names=[*fields, "x", "n", "data"])
 
 
-def _meet(sets: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
+def _meet(texts: Texts, pairs: DataFrame, whole: bool) -> DataFrame:
     """x, p, common, joint of the pairs (x, p); of sketches, only of those that leave a link open (sizes 0 then).
 
     Each set travels to its pivot once a pair; the pairs of a hot pivot are salted.
@@ -312,7 +346,7 @@ def _meet(sets: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
     give = load.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(F.col("p").alias("rep"), trip(F.col("salt"), 0))
     trips = _trips(ask.unionByName(give))
     fields = {"p": pa.int64(), "salt": pa.int32(), "role": pa.int32()}
-    sent = _travel(sets, trips, fields, "p long, salt int, role int", (lambda s: s) if whole else sketch)
+    sent = _travel(texts.whole(trips), trips, fields, "p long, salt int, role int") if whole else _travel(texts.heads(trips), trips, fields, "p long, salt int, role int", sketch)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pivot, size = None, None, 0
@@ -332,15 +366,15 @@ def _meet(sets: DataFrame, pairs: DataFrame, whole: bool) -> DataFrame:
 
     ordered = sent.repartition("p", "salt").sortWithinPartitions("p", "salt", "role")
     out = materialise(ordered.mapInArrow(compare, "x long, p long, common long, joint long"), "measured")
-    discard(sets.sparkSession, trips.scratch_path)
+    discard(texts.spark, trips.scratch_path)
     return out
 
 
-def measure(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def measure(texts: Texts, pairs: DataFrame) -> DataFrame:
     """The pairs (x, p) that sketches don't rule out, with common and joint sizes of the whole sets, exactly. pairs: written."""
-    open_ = _meet(sets, pairs, False)
-    out = _meet(sets, materialise(open_.select("x", "p"), "open"), True)
-    release(sets.sparkSession, open_)
+    open_ = _meet(texts, pairs, False)
+    out = _meet(texts, open_.select("x", "p"), True)
+    release(texts.spark, open_)
     return out
 
 
@@ -406,13 +440,13 @@ class Block:
         return common * 100 >= (self.size + len(own) - common) * PERCENT
 
 
-def blocks(sets: DataFrame, named: DataFrame) -> DataFrame:
+def blocks(texts: Texts, named: DataFrame) -> DataFrame:
     """Links (x, p) between different components inside large regions, enough to connect what they connect.
 
     named: rep, n, p (the region), d (distance to p or null), label, main. Texts outside the main component form blocks,
     ring by ring of d; all texts of the region meet the blocks of the rings within their window.
     """
-    spark = sets.sparkSession
+    spark = texts.spark
     reach = (100 - PERCENT) / 100 + 1e-9
     named = named.withColumn("ring", F.coalesce(F.floor(F.col("d") * 10), F.lit(-1)).cast("int"))
     askers = named.where("label <> main")
@@ -428,7 +462,7 @@ def blocks(sets: DataFrame, named: DataFrame) -> DataFrame:
     come = come.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", trip(F.col("block"), F.pmod(F.xxhash64("rep", F.lit(7)), "salts"), 1).alias("t"))
     trips = _trips(sit.unionByName(come))
     fields = {"p": pa.int64(), "ring": pa.int32(), "block": pa.int32(), "salt": pa.int32(), "role": pa.int32(), "label": pa.int64()}
-    sent = _travel(sets, trips, fields, "p long, ring int, block int, salt int, role int, label long")
+    sent = _travel(texts.whole(trips), trips, fields, "p long, ring int, block int, salt int, role int, label long")
     cell = ["p", "ring", "block", "salt"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,17 +513,17 @@ def _unlike(asks: DataFrame, done: DataFrame) -> DataFrame:
     return asks.join(done, ["x", "p"], "left_anti")
 
 
-def links(sets: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(texts: Texts, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (x, p) that connect all components, and their labels. reps: rep, each class's first document."""
-    spark = sets.sparkSession
-    table = materialise(regions(sets, reps), "regions")
+    spark = texts.spark
+    table = materialise(regions(texts, reps), "regions")
     release(spark)
     piv = table.groupBy("s").agg(F.min(F.struct("rep", "n")).alias("v"), F.count("*").alias("cnt")).where("cnt > 1")
     table = materialise(split_join(table, piv.select("s", "cnt", F.col("v.rep").alias("p"), F.col("v.n").alias("pn")), ["s"]), "pivoted")
     good = F.col("common") * 100 >= F.col("joint") * PERCENT
     first = table.where((F.col("rep") != F.col("p")) & _fit(F.col("n"), F.col("pn"))).select(F.col("rep").alias("x"), "p").distinct()
     first = materialise(first, "first")
-    tested = measure(sets, first)
+    tested = measure(texts, first)
     found = tested.where(good).select("x", "p")
     labels = components(found)
     far = tested.select(F.col("x").alias("rep"), "p", (1 - F.col("common") / F.col("joint")).alias("d"))
@@ -520,14 +554,14 @@ def links(sets: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
             asks = asks.unionByName(wide) if asks is not None else wide
         asks = materialise(_unlike(asks.distinct(), done), "asks")
         if _some(asks):
-            again = measure(sets, asks)
+            again = measure(texts, asks)
             done = done.unionByName(again.select("x", "p"))
             found, labels = _joined(found, again.where(good).select("x", "p"), labels)
         asks = None
     if crowded:
         large = materialise(_large(crowds, labels), "large")
         if _some(large):
-            found, labels = _joined(found, blocks(sets, large), labels)
+            found, labels = _joined(found, blocks(texts, large), labels)
     named = materialise(_labelled(named.drop("label"), labels).select("s", "rep", "n", "p", "d", "label"), "open")
     # What is left in small regions: pairs of different components within the triangle window of their region's pivot.
     a, b = named.alias("a"), named.alias("b")
@@ -536,7 +570,7 @@ def links(sets: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = a.join(b, apart).select(F.col("b.rep").alias("x"), F.col("a.rep").alias("p")).distinct()
     rest = materialise(_unlike(rest, done), "rest")
     if _some(rest):
-        found, labels = _joined(found, measure(sets, rest).where(good).select("x", "p"), labels)
+        found, labels = _joined(found, measure(texts, rest).where(good).select("x", "p"), labels)
     return found, labels
 
 
@@ -553,13 +587,13 @@ def _joined(found: DataFrame, new: DataFrame, labels: DataFrame) -> tuple[DataFr
     return found, components(found)
 
 
-def degrees(sets: DataFrame, members: DataFrame) -> DataFrame:
+def degrees(texts: Texts, members: DataFrame) -> DataFrame:
     """rep, n_links: with how many other classes each class links. members: rep, n, label of all classes that have a link.
 
     All links of a class are inside its component. Where that has two classes they link; in larger ones its texts sit in
     blocks, and every text of the component meets every block once. Only counts leave.
     """
-    spark = sets.sparkSession
+    spark = texts.spark
     members = materialise(members, "members")
     load = members.groupBy("label").agg(
         F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"), F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts"), F.count("*").alias("classes")
@@ -577,7 +611,7 @@ def degrees(sets: DataFrame, members: DataFrame) -> DataFrame:
     trips = _trips(only.unionByName(sit).unionByName(come))
     fields = {"label": pa.int64(), "block": pa.int32(), "salt": pa.int32(), "role": pa.int32()}
     cell = ["label", "block", "salt"]
-    sent = _travel(sets, trips, fields, "label long, block int, salt int, role int")
+    sent = _travel(texts.whole(trips), trips, fields, "label long, block int, salt int, role int")
 
     def counts(held: list[np.ndarray], ids: list[int]) -> Iterator[tuple[int, int]]:
         """What the texts of a cell of their own link with; each links with itself."""
@@ -624,16 +658,16 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     A row each. n_links counts all other classes that the row's class links with. text_hash (of the text) and doc_id name
     a row's kind, row tells equal rows apart, and component is the same for all rows that links connect.
     """
-    sets = set_table(docs.selectExpr("cast(doc_id as long) doc_id", "text"))
+    texts = Texts(docs.selectExpr("cast(doc_id as long) doc_id", "text"))
     key = ["n", "fp1", "fp2"]
-    classes = materialise(sets.where("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min("doc_id").alias("class_id")), "classes")
-    _, labels = links(sets, classes.select("rep"))
+    classes = materialise(texts.table.where("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min("doc_id").alias("class_id")), "classes")
+    _, labels = links(texts, classes.select("rep"))
     linked = materialise(classes.join(labels, F.col("rep") == F.col("id")).select("rep", "n", "class_id", "label"), "linked")
-    degree = degrees(sets, linked.select("rep", "n", "label"))
+    degree = degrees(texts, linked.select("rep", "n", "label"))
     named = materialise(linked.groupBy("label").agg(F.min("class_id").alias("component_id")), "named")
     linked = split_join(linked, named, ["label"]).select("rep", "label", "component_id").join(degree, "rep")
     known = materialise(classes.join(linked, "rep", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("class_id")).otherwise(F.col("component_id"))), "known")
-    out = split_join(sets.select("row", "doc_id", "text_hash", *key), known, key, "left")
+    out = split_join(texts.table.select("row", "doc_id", "text_hash", *key), known, key, "left")
     empty = F.col("n") == 0
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), *[F.when(empty, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("component_id", "class_id")],
