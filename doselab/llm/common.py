@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,13 +51,13 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
     """Keep Arrow batches small, however long the texts: a worker holds one batch at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None], schema: str) -> DataFrame:
     """fn over every Arrow batch."""
     bounded_batches(df.sparkSession)
 
@@ -65,7 +65,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | l
         for batch in batches:
             out = fn(batch)
             if out is not None:
-                yield from out if isinstance(out, list) else [out]
+                yield from [out] if isinstance(out, pa.RecordBatch) else out
 
     return df.mapInArrow(each, schema)
 

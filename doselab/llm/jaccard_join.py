@@ -52,7 +52,9 @@ LEAST = 100_000
 #: Texts that crowded pivots are looked for in beforehand; parts that these are dealt in; rows from which lists of trips are shuffled.
 SAMPLE, PARTS, TRIPS = 20_000, 1024, 200_000
 #: Texts of a block from which a shingle is counted in a table of bytes; bytes of that table at most.
-DENSE, DENSE_BYTES = 16, 64 << 20
+DENSE, DENSE_BYTES = 16, 32 << 20
+#: Bytes of sets that are looked at together.
+PART_BYTES = 512 << 10
 _TWO = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -124,25 +126,35 @@ class Texts:
         if _some(self.table.groupBy("doc_id", "text_hash").agg(F.count("*").alias("c")).where("c > 1")):
             self.docs = materialise(self.docs.dropDuplicates(["doc_id", "text_hash"]), "kinds")
 
-    def heads(self, ids: DataFrame) -> DataFrame:
-        """rep, n, data (the first shingles) of the rows in ids (column rep)."""
-        return self.table.select(F.col("row").alias("rep"), "n", "data").join(_hinted(ids.select("rep"), 1_000_000), "rep")
+    def heads(self, side: DataFrame, few: bool) -> DataFrame:
+        """rep, n, data (the first shingles) of the rows in side (column rep), with side's other columns; few: to be broadcast."""
+        return self.table.select(F.col("row").alias("rep"), "n", "data").join(F.broadcast(side) if few else side, "rep")
 
-    def whole(self, ids: DataFrame) -> DataFrame:
-        """rep, n, data (the whole set) of the rows in ids (column rep)."""
-        kinds = self.table.select(F.col("row").alias("rep"), F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).join(_hinted(ids.select("rep"), 1_000_000), "rep")
+    def whole(self, side: DataFrame, few: bool) -> DataFrame:
+        """heads(), with whole sets as data and without n. side: rep and at most a column trips."""
+        kinds = self.table.select(F.col("row").alias("rep"), F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).join(F.broadcast(side) if few else side, "rep")
         same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))
-        rows = self.docs.join(F.broadcast(kinds) if small(ids, 1_000_000) else kinds, same).select("rep", "text")
+        names = side.columns
+        rows = self.docs.join(F.broadcast(kinds) if few else kinds, same).select(*names, "text")
 
-        def each(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-            out = []
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for at, buf, offsets in tx.chunks(batch.column("text")):
                 sets = list(shingle_sets(buf, offsets))
-                cols = [batch.column("rep").slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), _binary(sets)]
-                out.append(pa.RecordBatch.from_arrays(cols, names=["rep", "n", "data"]))
-            return out
+                own = [batch.column(c).slice(at, len(sets)) for c in names]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), _binary(sets)], names=[*names, "n", "data"])
 
-        return map_batches(rows, each, "rep long, n long, data binary")
+        fields = ", ".join(f"{c} {t}" for c, t in side.dtypes)
+        return map_batches(rows, each, f"{fields}, n long, data binary")
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about PART_BYTES of data."""
+    edges = np.frombuffer(batch.column("data").buffers()[1], np.int32)[batch.column("data").offset :][: batch.num_rows + 1].astype(np.int64) if batch.num_rows else np.zeros(1, np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = min(batch.num_rows, max(at + 1, int(np.searchsorted(edges, edges[at] + PART_BYTES, "right")) - 1))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,15 +179,16 @@ def shingles(rows: DataFrame, whole: bool, known: np.ndarray | None = None) -> D
     """
     share = rows.sparkSession.sparkContext.broadcast(known if known is not None else np.zeros(0, np.uint64))
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        every, edges = _read(batch.column("data"))
-        owner, size = np.asarray(batch.column("rep")), np.asarray(batch.column("n"))
-        held = size if whole else reserve(size)
-        place = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
-        s = every[np.repeat(edges[:-1], held) + place]
-        part = np.where(np.isin(s, share.value), np.repeat(owner % PARTS + 1, held), 0) if len(share.value) else np.zeros(len(s), np.int64)
-        cols = [s.view(np.int64), np.repeat(owner, held), np.repeat(size, held).astype(np.int32), place.astype(np.int32), part.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["s", "rep", "n", "k", "part"])
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for some in _parts(batch):
+            every, edges = _read(some.column("data"))
+            owner, size = np.asarray(some.column("rep")), np.asarray(some.column("n"))
+            held = size if whole else reserve(size)
+            place = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+            s = every[np.repeat(edges[:-1], held) + place]
+            part = np.where(np.isin(s, share.value), np.repeat(owner % PARTS + 1, held), 0) if len(share.value) else np.zeros(len(s), np.int64)
+            cols = [s.view(np.int64), np.repeat(owner, held), np.repeat(size, held).astype(np.int32), place.astype(np.int32), part.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["s", "rep", "n", "k", "part"])
 
     return map_batches(rows, each, "s long, rep long, n int, k int, part int")
 
@@ -183,32 +196,34 @@ def shingles(rows: DataFrame, whole: bool, known: np.ndarray | None = None) -> D
 def crowded_sample(texts: Texts, ids: DataFrame) -> np.ndarray:
     """Pivots that more than CROWD of SAMPLE texts bring, so surely crowded. SAMPLE bounds what comes to the driver."""
     some = ids.orderBy(F.xxhash64("rep")).limit(SAMPLE)
-    found = shingles(texts.heads(some), False).groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("s").toPandas()
+    found = shingles(texts.heads(some, True), False).groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("s").toPandas()
     return np.sort(found["s"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def reordered(texts: Texts, ids: DataFrame, hot: DataFrame) -> DataFrame:
     """s, rep, n: the first pivots of the rows in ids (column rep) over their whole sets, those in hot (s) last."""
+    few = small(ids)
     if not small(hot, CROWDED_ROWS):
-        entries = shingles(texts.whole(ids), True).drop("part").join(hot.withColumn("hot", F.lit(1)), "s", "left")
+        entries = shingles(texts.whole(ids, few), True).drop("part").join(hot.withColumn("hot", F.lit(1)), "s", "left")
         # By place k, as everywhere: s is a signed long here, and its order is another one than that of the unsigned hashes.
         order = F.row_number().over(W.partitionBy("rep").orderBy(F.col("hot").asc_nulls_first(), "k"))
         return entries.withColumn("_r", order).where(F.col("_r") <= prefix(F.col("n"))).select("s", "rep", "n")
     last = texts.spark.sparkContext.broadcast(np.sort(hot.toPandas()["s"].to_numpy().astype(np.int64).view(np.uint64)))
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        every, edges = _read(batch.column("data"))
-        size = np.diff(edges)
-        owner = np.repeat(np.arange(len(size)), size)
-        behind = np.isin(every, last.value)
-        # A stable sort by (text, crowded) keeps hash order inside both parts.
-        order = np.argsort(owner * 2 + behind, kind="stable")
-        place = np.arange(len(every)) - np.repeat(edges[:-1], size)
-        keep = place < np.repeat(prefix(size), size)
-        cols = [every[order][keep].view(np.int64), np.asarray(batch.column("rep"))[owner[keep]], size[owner[keep]].astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["s", "rep", "n"])
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for some in _parts(batch):
+            every, edges = _read(some.column("data"))
+            size = np.diff(edges)
+            owner = np.repeat(np.arange(len(size)), size)
+            behind = np.isin(every, last.value)
+            # A stable sort by (text, crowded) keeps hash order inside both parts.
+            order = np.argsort(owner * 2 + behind, kind="stable")
+            place = np.arange(len(every)) - np.repeat(edges[:-1], size)
+            keep = place < np.repeat(prefix(size), size)
+            cols = [every[order][keep].view(np.int64), np.asarray(some.column("rep"))[owner[keep]], size[owner[keep]].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["s", "rep", "n"])
 
-    return map_batches(texts.whole(ids), each, "s long, rep long, n int")
+    return map_batches(texts.whole(ids, few), each, "s long, rep long, n int")
 
 
 def shared(entries: DataFrame) -> DataFrame:
@@ -246,7 +261,7 @@ def shared(entries: DataFrame) -> DataFrame:
 def regions(texts: Texts, reps: DataFrame) -> DataFrame:
     """s, rep, n: each class's first document in its regions, those that hold it alone left out."""
     spark = texts.spark
-    live = materialise(shared(shingles(texts.heads(reps), False, crowded_sample(texts, reps))), "live")
+    live = materialise(shared(shingles(texts.heads(reps, small(reps, 1_000_000)), False, crowded_sample(texts, reps))), "live")
     release(spark)
     crowd = live.where("hot").select("s").distinct()
     before = F.sum(F.col("hot").cast("int")).over(W.partitionBy("rep").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
@@ -267,7 +282,8 @@ def regions(texts: Texts, reps: DataFrame) -> DataFrame:
     release(spark)
     # Their new pivots may meet texts that were alone there.
     fresh = materialise(whole.select("s").distinct(), "fresh")
-    alone = shingles(texts.heads(reps.join(_hinted(ids), "rep", "left_anti")), False).join(_hinted(fresh, 1_000_000), "s", "left_semi").select("s", "rep", "n")
+    others = materialise(reps.join(_hinted(ids), "rep", "left_anti"), "others")
+    alone = shingles(texts.heads(others, small(others, 1_000_000)), False).join(_hinted(fresh, 1_000_000), "s", "left_semi").select("s", "rep", "n")
     return settled.unionByName(whole).unionByName(alone).distinct()
 
 
@@ -295,17 +311,15 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
 
 
-def _trips(rows: DataFrame) -> DataFrame:
-    """rep and its list of trips t, written; broadcast if there are few trips in all."""
+def _trips(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """rep and its list of trips t, written, and whether there are few trips in all."""
     trips = materialise(rows.groupBy("rep").agg(F.collect_list("t").alias("trips")), "trips")
     total = trips.agg(F.sum(F.size("trips"))).first()[0] or 0
-    out = F.broadcast(trips) if total <= TRIPS else trips
-    out.scratch_path = trips.scratch_path
-    return out
+    return trips, total <= TRIPS
 
 
-def _travel(rows: DataFrame, trips: DataFrame, fields: dict[str, pa.DataType], schema: str, part: Callable[[np.ndarray, int], np.ndarray] = lambda s, n: s) -> DataFrame:
-    """A row for every trip: its fields, x (the row), n and data (the set, or a part of it). rows: rep, n, data."""
+def _travel(rows: DataFrame, fields: dict[str, pa.DataType], schema: str, part: Callable[[np.ndarray, int], np.ndarray] = lambda s, n: s) -> DataFrame:
+    """A row for every trip: its fields, x (the row), n and data (the set, or a part of it). rows: rep, n, data, trips."""
 
     def sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,14 +333,14 @@ def _travel(rows: DataFrame, trips: DataFrame, fields: dict[str, pa.DataType], s
                     for h, v in zip(held, (x, n, data), strict=True):
                         h.append(v)
                     at += len(data) + 64
-                    if at > 8 << 20:  # what leaves at once stays small, however many trips a text has
+                    if at > 4 << 20:  # what leaves at once stays small, however many trips a text has
                         yield _trip_batch(cols, held, fields)
                         cols, held, at = {c: [] for c in fields}, ([], [], []), 0
             if held[0]:
                 yield _trip_batch(cols, held, fields)
 
     bounded_batches(rows.sparkSession)
-    return rows.join(trips, "rep").select("rep", "n", "data", "trips").mapInArrow(sending, f"{schema}, x long, n long, data binary")
+    return rows.select("rep", "n", "data", "trips").mapInArrow(sending, f"{schema}, x long, n long, data binary")
 
 
 def _trip_batch(cols: dict[str, list], held: tuple[list, list, list], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -344,9 +358,9 @@ def _meet(texts: Texts, pairs: DataFrame, whole: bool) -> DataFrame:
     trip = lambda salt, role: F.struct("p", salt.cast("int").alias("salt"), F.lit(role).alias("role")).alias("t")
     ask = split_join(pairs, load, ["p"]).select(F.col("x").alias("rep"), trip(F.pmod(F.xxhash64("x"), "salts"), 1))
     give = load.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(F.col("p").alias("rep"), trip(F.col("salt"), 0))
-    trips = _trips(ask.unionByName(give))
+    trips, few = _trips(ask.unionByName(give))
     fields = {"p": pa.int64(), "salt": pa.int32(), "role": pa.int32()}
-    sent = _travel(texts.whole(trips), trips, fields, "p long, salt int, role int") if whole else _travel(texts.heads(trips), trips, fields, "p long, salt int, role int", sketch)
+    sent = _travel(texts.whole(trips, few), fields, "p long, salt int, role int") if whole else _travel(texts.heads(trips, few), fields, "p long, salt int, role int", sketch)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pivot, size = None, None, 0
@@ -460,9 +474,9 @@ def blocks(texts: Texts, named: DataFrame) -> DataFrame:
     within = F.col("d").isNull() | (F.col("to") < 0) | F.col("to").between(F.floor((F.col("d") - reach) * 10), F.floor((F.col("d") + reach) * 10))
     come = named.join(to.withColumnRenamed("p", "_p"), (F.col("p") == F.col("_p")) & within)
     come = come.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", trip(F.col("block"), F.pmod(F.xxhash64("rep", F.lit(7)), "salts"), 1).alias("t"))
-    trips = _trips(sit.unionByName(come))
+    trips, few = _trips(sit.unionByName(come))
     fields = {"p": pa.int64(), "ring": pa.int32(), "block": pa.int32(), "salt": pa.int32(), "role": pa.int32(), "label": pa.int64()}
-    sent = _travel(texts.whole(trips), trips, fields, "p long, ring int, block int, salt int, role int, label long")
+    sent = _travel(texts.whole(trips, few), fields, "p long, ring int, block int, salt int, role int, label long")
     cell = ["p", "ring", "block", "salt"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -608,10 +622,10 @@ def degrees(texts: Texts, members: DataFrame) -> DataFrame:
     large = placed.where(~alone)
     sit = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("rep", trip(F.pmod(F.xxhash64("rep"), "blocks"), F.col("salt"), 0))
     come = large.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rep", trip(F.col("block"), F.pmod(F.xxhash64("rep", F.lit(7)), "salts"), 1))
-    trips = _trips(only.unionByName(sit).unionByName(come))
+    trips, few = _trips(only.unionByName(sit).unionByName(come))
     fields = {"label": pa.int64(), "block": pa.int32(), "salt": pa.int32(), "role": pa.int32()}
     cell = ["label", "block", "salt"]
-    sent = _travel(texts.whole(trips), trips, fields, "label long, block int, salt int, role int")
+    sent = _travel(texts.whole(trips, few), fields, "label long, block int, salt int, role int")
 
     def counts(held: list[np.ndarray], ids: list[int]) -> Iterator[tuple[int, int]]:
         """What the texts of a cell of their own link with; each links with itself."""
