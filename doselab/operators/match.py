@@ -58,6 +58,19 @@ def _first(places: Column) -> Column:
     return F.get(places, F.lit(0))
 
 
+def _any_text(words: Column, *values: str) -> Column:
+    """Whether a word has one of these forms: one light pass that spares most sentences the windows."""
+    return F.exists(words, lambda w: _true(_low(w).isin(*values)))
+
+
+def _any_lemma(words: Column, values: list[str]) -> Column:
+    return _true(F.arrays_overlap(words["lemma"], F.array(*map(F.lit, values))))
+
+
+def _within(guard: Column, value: Column) -> Column:
+    return F.when(guard, value)
+
+
 def window(words: Column, *tests: Test, also: Callable[[Column], Column] | None = None) -> Column:
     """Kernel 1: the first index from which consecutive words pass the tests in turn."""
 
@@ -110,12 +123,13 @@ def is_comparative(w: Column) -> Column:
 def aann(words: Column, text: Column) -> Column:
     plural: Test = lambda w: (w["upos"] == "NOUN") & (feature(w["feats"], "Number") == "Plur")
     head = lambda i: F.get(words, i)["head"] == F.get(words, i + 3)["id"]
-    i = window(words, both(form("a", "an"), upos("DET")), upos("ADJ"), upos("NUM"), plural, also=head)
+    i = _within(_true(F.array_contains(words["upos"], "NUM")) & _any_text(words, "a", "an"), window(words, both(form("a", "an"), upos("DET")), upos("ADJ"), upos("NUM"), plural, also=head))
     return _let(i, lambda i: _hit(i, i + 4))
 
 
 def comparative_correlative(words: Column, text: Column) -> Column:
-    starts = _places(words, 2, lambda i: (_low(F.get(words, i)) == "the") & is_comparative(F.get(words, i + 1)))
+    # Without a comma word there is no pair; the loose form looks at the text alone.
+    starts = _within(_true(F.array_contains(words["text"], ",")), _places(words, 2, lambda i: (_low(F.get(words, i)) == "the") & is_comparative(F.get(words, i + 1))))
     loose = _true(F.regexp_like(F.lower(text), F.lit(CORRELATIVE)))
 
     def span(starts: Column) -> Column:
@@ -128,7 +142,7 @@ def comparative_correlative(words: Column, text: Column) -> Column:
 
 
 def tough_movement(words: Column, text: Column) -> Column:
-    i = window(words, lemma("be"), lemma(*TOUGH), lemma("to"), upos("VERB"))
+    i = _within(_any_lemma(words, TOUGH) & _any_lemma(words, ["to"]), window(words, lemma("be"), lemma(*TOUGH), lemma("to"), upos("VERB")))
     return _let(i, lambda i: _hit(i, i + 4))
 
 
@@ -137,7 +151,8 @@ def resultative(words: Column, text: Column) -> Column:
         child = lambda test: F.get(F.filter(words, lambda w: (w["head"] == v["id"]) & _true(test(w))), F.lit(0))["id"]
         return F.struct(v["id"].alias("v"), child(lambda w: w["deprel"] == "obj").alias("o"), child(lambda w: (w["deprel"] == "xcomp") & (w["upos"] == "ADJ")).alias("x"))
 
-    verbs = F.transform(F.filter(words, lambda w: _true(w["upos"] == "VERB")), parts)
+    some = _true(F.array_contains(words["deprel"], "obj")) & _true(F.array_contains(words["deprel"], "xcomp"))
+    verbs = _within(some, F.transform(F.filter(words, lambda w: _true(w["upos"] == "VERB")), parts))
     first = F.get(F.filter(verbs, lambda p: p["o"].isNotNull() & p["x"].isNotNull()), F.lit(0))
     return _let(first, lambda f: _hit(F.least(f["v"], f["o"], f["x"]) - 1, F.greatest(f["v"], f["o"], f["x"])))
 
@@ -147,7 +162,7 @@ def existential_there(words: Column, text: Column) -> Column:
         w = F.get(words, i)
         return _true(w["deprel"] == "expl") | ((i == 0) & _true(w["upos"].isin("PRON", "DET", "ADV")))
 
-    i = window(words, form("there"), lemma("be"), upos("NOUN", "PROPN", "PRON", "NUM", "DET"), also=expletive)
+    i = _within(_any_text(words, "there"), window(words, form("there"), lemma("be"), upos("NOUN", "PROPN", "PRON", "NUM", "DET"), also=expletive))
     return _let(i, lambda i: _hit(i, i + 3))
 
 
@@ -177,7 +192,7 @@ def subject_to_object_raising(words: Column, text: Column) -> Column:
         near, far = _true(marker(w(2)) & verb(w(3))), _true(marker(w(3)) & verb(w(4)))
         return head[0](w(0)) & head[1](w(1)) & (near | far)
 
-    i = _first(_places(words, 4, at))
+    i = _within(_any_lemma(words, RAISING) & _any_lemma(words, ["to"]), _first(_places(words, 4, at)))
 
     def span(i: Column) -> Column:
         near = _true(marker(F.get(words, i + 2)) & verb(F.get(words, i + 3)))

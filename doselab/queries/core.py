@@ -259,6 +259,10 @@ corpus AS (
 )"""
 
 
+def audits(spark: SparkSession, sf: str) -> DataFrame:
+    return dose.dose_audit(dose.keep_positives(V.positives(spark, sf), cells(spark)), _fillers(spark, sf))
+
+
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     kept = dose.keep_positives(V.positives(spark, sf), cells(spark))
     rows = V.records(spark, sf)
@@ -280,8 +284,7 @@ FROM kept k LEFT JOIN fillers f ON f.sent_id = k.sent_id GROUP BY k.construction
     R, P, _CELLS, _KEPT, _FILLERS,
 )
 def dose_audit(spark: SparkSession, sf: str) -> DataFrame:
-    kept = dose.keep_positives(V.positives(spark, sf), cells(spark))
-    out = dose.dose_audit(kept, _fillers(spark, sf))
+    out = audits(spark, sf)
     pairs = F.array_join(F.transform(F.map_entries("replacement_assignments"), lambda e: F.concat(e["key"], F.lit(">"), e["value"].cast("string"))), ",")
     return out.select("construction", "dose", "n_positive_total", "n_kept", "n_removed", "n_replaced", "n_unmatched", "kept_positive_words", F.array_join(F.col("kept_positive_ids").cast("array<string>"), ",").alias("kept_ids"), pairs.alias("assignments"))
 
@@ -289,10 +292,10 @@ def dose_audit(spark: SparkSession, sf: str) -> DataFrame:
 _OBSERVED = "observed AS (" + " UNION ALL ".join(f"SELECT construction, dose, count(*) AS observed FROM corpus WHERE construction = '{c}' AND regexp_matches(lower(text), '{p}') GROUP BY construction, dose" for c, p in V.PATTERNS.items()) + ")"
 
 
-@query(
-    "SELECT a.construction, a.dose, a.expected, coalesce(o.observed, 0) AS observed, a.expected = coalesce(o.observed, 0) AS pass FROM (SELECT construction, dose, CASE dose WHEN 'all' THEN count(*) ELSE least(try_cast(dose AS BIGINT), count(*)) END AS expected FROM kept GROUP BY construction, dose) a LEFT JOIN observed o ON o.construction = a.construction AND o.dose = a.dose",
-    R, P, _CELLS, _KEPT, _FILLERS, _CORPUS, _OBSERVED,
-)
+SANITY_SQL = "SELECT a.construction, a.dose, a.expected, coalesce(o.observed, 0) AS observed, a.expected = coalesce(o.observed, 0) AS pass FROM (SELECT construction, dose, CASE dose WHEN 'all' THEN count(*) ELSE least(try_cast(dose AS BIGINT), count(*)) END AS expected FROM kept GROUP BY construction, dose) a LEFT JOIN observed o ON o.construction = a.construction AND o.dose = a.dose"
+
+
+@query(SANITY_SQL, R, P, _CELLS, _KEPT, _FILLERS, _CORPUS, _OBSERVED)
 def dose_sanity(spark: SparkSession, sf: str) -> DataFrame:
     """Hits counted anew in every generated corpus. Fillers of a plain-text construction may hold it; the report shows it."""
     rows = corpus(spark, sf)

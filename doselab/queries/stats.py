@@ -14,7 +14,7 @@ from doselab.plans.design import FULL, SEEDS, Design
 from doselab.queries import core
 from doselab.queries import views as V
 from doselab.queries.core import query
-from doselab.sources import readers
+from doselab.sources import artefacts, readers
 
 DESIGN = Design()
 CODES = DESIGN.constructions
@@ -374,3 +374,65 @@ def decision(spark: SparkSession, sf: str) -> DataFrame:
     models = analysis.closed_form_models(series(spark).where("is_core")).unionByName(curves.curve_models(series(spark).where("is_core")))
     sil = analysis.silhouette(_clusters(spark, (2,)))
     return analysis.decision(fits(spark), models, results(spark), sil)
+
+
+@query("SELECT model_construction, dose, seed, eval_construction, accuracy, row_number() OVER (ORDER BY model_construction, dose, seed, eval_construction) AS place FROM results", RES)
+def ordered_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the table of results in the order of construction, dose and seed; the design bounds them."""
+    from pyspark.sql import Window as W
+
+    return results(spark).withColumn("place", F.row_number().over(W.orderBy("model_construction", "dose", "seed", "eval_construction")).cast("bigint"))
+
+
+@query("SELECT construction, row_number() OVER (ORDER BY E0 DESC, construction) AS place FROM (SELECT eval_construction AS construction, round(avg(accuracy), 8) AS E0 FROM results WHERE model_construction = eval_construction AND dose = '0' GROUP BY 1)", RES)
+def e0_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Constructions by their dose-0 accuracy, highest first."""
+    from pyspark.sql import Window as W
+
+    out = analysis.indirect_evidence(results(spark), CODES).withColumn("E0", F.round("E0", 8))
+    return out.select("construction", F.row_number().over(W.orderBy(F.desc("E0"), "construction")).cast("bigint").alias("place"))
+
+
+@query("SELECT dose_value FROM series WHERE construction = 'aann' AND NOT isinf(dose_value) INTERSECT SELECT dose_value FROM series WHERE construction = 'resultative'", RES, _SERIES)
+def shared_doses(spark: SparkSession, sf: str) -> DataFrame:
+    s = series(spark)
+    return artefacts.shared_doses(s.where("construction = 'aann'"), s.where("construction = 'resultative'"))
+
+
+@query("SELECT round(sum(length(text))::DOUBLE / sum(len(regexp_extract_all(text, '\\S+'))), 8) AS tokens_per_word FROM (SELECT text FROM records ORDER BY sent_id LIMIT 2000)", V.RECORDS)
+def tokens_per_word(spark: SparkSession, sf: str) -> DataFrame:
+    """Characters stand in for the tokens of an outside tokenizer."""
+    out = artefacts.tokens_per_word(V.records(spark, sf), F.length("text"), T.space_count(F.col("text")), "sent_id")
+    return out.select(F.round("tokens_per_word", 8).alias("tokens_per_word"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 = 1 AS done FROM orders")
+def run_complete(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("o_orderkey") % 4
+    manifest = F.when(n == 0, "{cut off").when(n == 1, '{"perplexity": 21.5}').when(n == 2, '{"loss": 3}').otherwise('{"perplexity": "NaN"}')
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", artefacts.run_complete(manifest).alias("done"))
+
+
+@query(f"SELECT construction || '_dose-' || dose AS cell, count(*) AS n_positive_total, count(*) FILTER (WHERE kept) AS n_kept FROM kept GROUP BY construction, dose", V.RECORDS, V.POSITIVES, core._CELLS, core._KEPT)
+def audit_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Audits as JSON documents, read again."""
+    rows = artefacts.audit_json(core.audits(spark, sf))
+    return rows.select("cell", *[F.get_json_object("value", f"$.{c}").cast("bigint").alias(c) for c in ("n_positive_total", "n_kept")])
+
+
+@query(core.SANITY_SQL.replace("SELECT a.construction, a.dose,", "SELECT a.construction || '_dose-' || a.dose AS cell,", 1), V.RECORDS, V.POSITIVES, core._CELLS, core._KEPT, core._FILLERS, core._CORPUS, core._OBSERVED)
+def sanity_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The sanity document of all cells, read again."""
+    doc = artefacts.sanity_json(core.dose_sanity(spark, sf))
+    parsed = doc.select(F.explode(F.from_json("value", "map<string,struct<expected:bigint,observed:bigint,pass:boolean>>")).alias("cell", "v"))
+    return parsed.select("cell", "v.expected", "v.observed", "v.pass")
+
+
+@query("SELECT sent_id AS sentence_id, text AS sentence_text, filter_label, '' AS human_label FROM (SELECT *, row_number() OVER (PARTITION BY filter_label ORDER BY md5('42:' || sent_id), sent_id) AS r FROM flagged) WHERE r <= 200", V.RECORDS, core._LABELLED)
+def audit_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    return artefacts.audit_sheet(evaluation.audit_sample(core._flagged(spark, sf))).drop("notes")
+
+
+@query()
+def decision_report(spark: SparkSession, sf: str) -> DataFrame:
+    return artefacts.report_lines(decision(spark, sf))

@@ -10,7 +10,7 @@ from doselab.functions import scalars as S
 from doselab.functions import text as T
 from doselab.operators import analysis, curves, dose, evaluation, lm, match
 from doselab.plans.design import Design
-from doselab.plans.runner import Stage, exit_code, run_stages, summary
+from doselab.plans import runner
 from doselab.sources import readers, writers
 
 TOY = ["the cat sat on the mat", "the dog sat on the rug", "a cat ran in the park"]
@@ -132,13 +132,21 @@ def test_runner(tmp_path):
     def fail():
         raise ValueError("no")
 
-    ran = []
-    stages = [Stage("a", lambda: ran.append("a")), Stage("b", fail), Stage("c", lambda: ran.append("c"), requires=["b"]), Stage("d", lambda: ran.append("d"), is_done=lambda: True), Stage("e", lambda: ran.append("e"), requires=["d"])]
-    out = run_stages(stages, tmp_path / "s.json")
-    assert {k: v.status for k, v in out.items()} == {"a": "done", "b": "failed", "c": "blocked", "d": "skipped", "e": "done"}
-    assert exit_code(out) == 1 and summary(out)["done"] == 2 and json.loads((tmp_path / "s.json").read_text())["b"]["status"] == "failed"
-    assert run_stages(stages, force=["d"], only=["d", "e"])["d"].status == "done"
-    assert run_stages(stages, only=["e"])["e"].status == "done"
+    ran, step = [], runner.Step
+    plan = {"c": step(lambda: ran.append("c"), needs=("b",)), "e": step(lambda: ran.append("e"), needs=("d",)), "a": step(lambda: ran.append("a")), "b": step(fail), "d": step(lambda: ran.append("d"), lambda: True)}
+    out = runner.run(plan, tmp_path / "j")
+    assert {k: v.state for k, v in out.items()} == {"a": "made", "b": "broken", "c": "waiting", "d": "present", "e": "made"}
+    assert ran == ["a", "e"] and "ValueError: no" in out["b"].why and out["c"].why == "for b"
+    assert runner.status_code(out) == 1 and runner.tally(out)["made"] == 2
+    with open(tmp_path / "j", "a") as lines:
+        lines.write('{"step": "a", "st')
+    assert runner.read_journal(tmp_path / "j") == out
+    assert runner.run(plan, again=["d"], only=["d", "e"])["d"].state == "made"
+    assert runner.run(plan, only=["e"])["e"].state == "made" and runner.run(plan, only=["c"])["c"].state == "waiting"
+    with pytest.raises(KeyError, match="zz"):
+        runner.run({"a": step(fail, needs=("zz",))})
+    with pytest.raises(ValueError, match="a, b"):
+        runner.run({"a": step(fail, needs=("b",)), "b": step(fail, needs=("a",))})
 
 
 def test_stream(spark, tmp_path):
