@@ -53,6 +53,8 @@ LEAST = 100_000
 SAMPLE, PARTS, TRIPS = 20_000, 1024, 200_000
 #: Texts of a block from which a shingle is counted in a table of bytes; bytes of that table at most.
 DENSE, DENSE_BYTES = 16, 32 << 20
+#: Blocks on a side that a component's texts are dealt in when its links are counted, while blocks have so many texts.
+SIDES, LEAST_BLOCK = 16, 128
 #: Bytes of sets that are looked at together.
 PART_BYTES = 512 << 10
 _TWO = np.uint64(0xD6E8FEB86659FD93)
@@ -609,9 +611,9 @@ def degrees(texts: Texts, members: DataFrame) -> DataFrame:
     """
     spark = texts.spark
     members = materialise(members, "members")
-    load = members.groupBy("label").agg(
-        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"), F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts"), F.count("*").alias("classes")
-    )
+    # Up to SIDES squared cells of LEAST_BLOCK texts or more, then as many as blocks of BLOCK texts make.
+    side = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.count("*") / SIDES)))
+    load = members.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / side)).cast("int").alias("blocks"), F.ceil(F.count("*") / side).cast("int").alias("salts"), F.count("*").alias("classes"))
     placed = materialise(split_join(members, materialise(load, "load"), ["label"]), "placed")
     pairs = placed.where("classes = 2").select("rep", F.lit(1).cast("long").alias("n_links"))
     placed = placed.where("classes > 2")
