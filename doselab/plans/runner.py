@@ -92,7 +92,8 @@ def read_journal(journal: str | Path) -> dict[str, Outcome]:
             entry = json.loads(line)
         except json.JSONDecodeError:
             continue
-        out[entry.pop("step")] = Outcome(**entry)
+        name = entry.pop("step")
+        out[name] = Outcome(**entry)
     return out
 
 
