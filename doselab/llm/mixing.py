@@ -58,10 +58,10 @@ def _rate(tilt: Column, x: Column) -> Column:
 def tilts(cells: DataFrame, sources: DataFrame) -> DataFrame:
     """source, tilt, full: the dual's root for each source. cells: source, size, n. sources: source, words, target, mean.
 
-    A Newton step that leaves the bracket of the root is replaced by its middle, as is every third step, so the brackets
-    close; it ends when every source is close, or its bracket holds no further number.
+    A Newton step that leaves the bracket of the root is replaced by its middle, as is every third step after the first
+    sixteen, so the brackets close; it ends when every source is close, or its bracket holds no further number.
     """
-    state = sources.select("source", "target", "mean", (F.col("target") >= MOST * F.col("words")).alias("full"), F.lit(0.0).alias("tilt"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"), F.lit(float("inf")).alias("error"))
+    state = sources.select("source", "target", "mean", (F.col("target") >= MOST * F.col("words")).alias("full"), F.lit(0.0).alias("tilt"), F.lit(-1e4).alias("low"), F.lit(1e4).alias("high"), F.lit(float("inf")).alias("error"))
     state = materialise(state, "tilts")
     open_, turn = (F.col("error") > CLOSE) & (F.col("high") - F.col("low") > 1e-14 * (1 + F.abs("tilt"))), 0
     while True:
@@ -77,7 +77,7 @@ def tilts(cells: DataFrame, sources: DataFrame) -> DataFrame:
         high = F.when(gap > 0, F.col("high")).otherwise(F.col("tilt"))
         step = F.col("tilt") + F.try_divide(gap, F.col("_slope"))
         summed = summed.select("source", "target", "mean", "full", "tilt", low.alias("low"), high.alias("high"), step.alias("_step"), F.when(F.col("full") | (F.col("target") <= 0), 0.0).otherwise(F.abs(gap) / F.col("target")).alias("error"))
-        inside = (F.col("_step") > F.col("low")) & (F.col("_step") < F.col("high")) & F.lit(turn % 3 > 0)
+        inside = (F.col("_step") > F.col("low")) & (F.col("_step") < F.col("high")) & F.lit(turn <= 16 or turn % 3 > 0)
         summed = summed.withColumn("tilt", F.when(F.col("error") <= CLOSE, F.col("tilt")).when(inside, F.col("_step")).otherwise((F.col("low") + F.col("high")) / 2)).drop("_step")
         state = materialise(summed.select(*state.columns), "tilts")
         if not state.where(open_).limit(1).count():
