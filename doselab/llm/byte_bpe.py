@@ -31,7 +31,7 @@ from doselab.llm.common import map_batches
 #: Characters of a part (more where no safe boundary comes); white-space runs from which on the matcher is not asked.
 PART, RUN = 1 << 16, 4096
 #: The white space of the pattern's \s (Unicode White_Space).
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SAFE = re.compile(
     rf"(?<=[^{WHITE}])(?=[{WHITE}])"
     r"|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
@@ -80,7 +80,7 @@ class RankEncoder:
         for run in _LONG.finditer(text):
             end = run.end() if run.end() == len(text) else run.end() - 1
             out += [library.encode_ordinary(p) for p in parts(text[at : run.start()])]
-            out.append(library.encode_single_token(text[run.start() : end]) if end - run.start() == 1 else library._core_bpe.encode_single_piece(text[run.start() : end].encode()))
+            out.append(library._core_bpe.encode_single_piece(text[run.start() : end].encode()))
             at = end
         out += [library.encode_ordinary(p) for p in parts(text[at:])]
         return np.concatenate([np.array(x, "<u4") for x in out])
