@@ -10,8 +10,8 @@ once.
 2. The distinct segments of all blocks are tokenised by both and cut into groups where tokens of both end.
 3. Alignments join back to the blocks on the segment; hot segments come once a block and are split besides. Documents are
    composed in their block: counts, groups in order, and the id pairs that each document links.
-4. Pairs are counted over documents, first in blocks. Every distinct segment sums the counts of its links, and these
-   sums join back to the blocks as the alignments did.
+4. Pairs are counted over documents, first in blocks. The counts join back to the blocks' pairs, and each document sums those of
+   its links through its segments.
 
 No step holds more than one block or one segment's tokens (one document, if it is longer than a batch).
 
@@ -28,18 +28,21 @@ import itertools
 import os
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doselab.llm.common import bounded_batches, map_batches, materialise, split_join
 
 #: The white space that may begin a segment, and what stands for a space in pieces.
 CANDIDATES, SPACE_MARK = " \t\n", "▁"
+#: Rows and bytes of a block at most (a longer text is a block of its own).
+BLOCK = 4000, 8 << 20
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -78,8 +81,8 @@ class Pair:
         # Byte-level letters: bytes that print stand for themselves, the others for the letters from U+0100 on, in order.
         letters = set(ByteLevel.alphabet())
         own = [b for b in range(256) if chr(b) in letters]
-        self.byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(own)))}
-        self.a_size: dict[int, int] = {}
+        byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(own)))}
+        self.a_bytes = [bytes(byte.get(c, 0) for c in self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
         listed = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [self._piece(i, p) for i, p in enumerate(listed)]
         self.starts = check_vocabularies([p for i, p in enumerate(listed) if not self.b.is_byte(i)])
@@ -103,9 +106,6 @@ class Pair:
         # Other white space before a segment's would be part of its run: such texts take the exact pattern.
         return self.exact.split(text) if self.other.search(text) else self.plain.findall(text)
 
-    def a_bytes(self, token: int) -> bytes:
-        return bytes(self.byte[c] for c in self.a.id_to_token(token))
-
     def tokens(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """The ids of both tokenizers for each segment."""
         b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
@@ -113,34 +113,26 @@ class Pair:
             # Before white space other than a space, the space that B puts first stays a token of its own. B puts none before nothing.
             yield x.ids, [self.mark] if s == " " else y if s[0] == " " else y[1:] if y[:1] == [self.mark] else []
 
-    def align(self, segment: str, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """Groups of ids between offsets where tokens of both end; None where bytes differ from the segment's."""
+    def align(self, segment: str, a: list[int], b: list[int]) -> str | None:
+        """The ids in groups between offsets where tokens of both end, as text; None where bytes differ from the segment's."""
         raw = segment.encode()
-        size = self.a_size
-        if b"".join([self.b_bytes[i] for i in b]) != raw or b"".join([self.a_bytes(i) for i in a]) != raw:
+        own, other = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        if b"".join(own) != raw or b"".join(other) != raw:
             return None
-        for i in a:
-            if i not in size:
-                size[i] = len(self.a_bytes(i))
         if len(a) == 1 or len(b) == 1:
-            return [(a, b)]
-        out, i, j, at_a, at_b, from_a, from_b = [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b and i < len(a):
-                at_a += size[a[i]]
-                i += 1
-            else:
-                at_b += len(self.b_bytes[b[j]])
-                j += 1
-            if at_a == at_b:
-                out.append((a[from_a:i], b[from_b:j]))
-                from_a, from_b = i, j
-        return out
+            return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
+        ends_a, ends_b = list(itertools.accumulate(map(len, own))), list(itertools.accumulate(map(len, other)))
+        out, i, j = [], 0, 0
+        for end in sorted(set(ends_a) & set(ends_b)):
+            k, m = ends_a.index(end, i) + 1, ends_b.index(end, j) + 1
+            out.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
+            i, j = k, m
+        return ";".join(out)
 
 
 def _blocks(docs: DataFrame, pair: Pair) -> DataFrame:
     """block; ids: doc_id of each text; sizes: its number of segments (0: no tokens); places: numbers of its segments; segments."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, *BLOCK)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -172,90 +164,92 @@ def _blocks(docs: DataFrame, pair: Pair) -> DataFrame:
 
 
 def _aligned(segments: DataFrame, pair: Pair) -> DataFrame:
-    """segment, fine (bytes agree), n_a, n_b, n_groups, groups (as text), a, b (ids of all links, in order)."""
-    schema = "segment string, fine boolean, n_a int, n_b int, n_groups int, groups string, a array<int>, b array<int>"
+    """segment, groups: `a1,a2|b1;a3|b2,b3` of ids in order; null where the bytes of tokens differ from the segment's."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         pair.open()
         listed = batch.column("segment").to_pylist()
-        rows = []
-        for s, (a, b) in zip(listed, pair.tokens(listed), strict=True):
-            groups = pair.align(s, a, b)
-            if groups is None:
-                rows.append((False, 0, 0, 0, "", [], []))
-                continue
-            text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
-            rows.append((True, len(a), len(b), len(groups), text, [i for x, y in groups for i in x for _ in y], [j for x, y in groups for _ in x for j in y]))
-        kinds = [pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        return pa.RecordBatch.from_arrays([batch.column("segment"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["segment", "fine", "n_a", "n_b", "n_groups", "groups", "a", "b"])
+        found = [pair.align(s, a, b) for s, (a, b) in zip(listed, pair.tokens(listed), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(found, pa.string())], names=["segment", "groups"])
 
-    return map_batches(segments, each, schema)
+    return map_batches(segments, each, "segment string, groups string")
 
 
 def _texts(block: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
-    """doc_ids, sizes and places of a block of one row."""
+    """doc_ids, bounds of texts within places, and places of a block of one row."""
     places = np.frombuffer(zlib.decompress(block.column("places")[0].as_py()), "<u4")
-    return block.column("ids")[0].as_py(), np.array(block.column("sizes")[0].as_py(), np.int64), places
-
+    return block.column("ids")[0].as_py(), np.concatenate([[0], np.cumsum(np.array(block.column("sizes")[0].as_py(), np.int64))]), places
 
-def _by_place(side: pa.Table) -> pa.Table:
-    return side.take(np.argsort(np.asarray(side.column("place"))))
 
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The sum of values between consecutive bounds."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return total[bounds[1:]] - total[bounds[:-1]]
 
-def _sum_per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return sums[bounds[1:]] - sums[bounds[:-1]]
 
-
-_COMPOSED = "block long, fine array<boolean>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, a array<int>, b array<int>, n array<long>"
+_COMPOSED = "block long, good array<boolean>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, links binary, own binary, times binary, a array<int>, b array<int>, n array<long>"
 
 
 def _compose(block: pa.Table, side: pa.Table) -> pa.Table:
-    """Of each text its counts and the hash of its groups; of the block's id pairs how many texts link them."""
-    _, sizes, places = _texts(block)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    side = _by_place(side)
-    column = lambda name: np.asarray(side.column(name), np.int64)
-    a, b = (side.column(c).combine_chunks() for c in ("a", "b"))
-    links = np.asarray(side.column("a").combine_chunks().value_lengths(), np.int64) if len(side) else np.zeros(0, np.int64)
-    fine = np.asarray(side.column("fine").to_pylist(), bool)
-    good = (_sum_per_text(~fine[places], bounds) == 0) & (sizes > 0)
-    groups = side.column("groups").to_pylist()
-    sha = [hashlib.sha256(";".join([groups[i] for i in places[bounds[k] : bounds[k + 1]].tolist()]).encode()).hexdigest() if good[k] else "" for k in range(len(sizes))]
-    sums = {c: np.where(good, _sum_per_text(v[places], bounds), 0) for c, v in {"n_a": column("n_a"), "n_b": column("n_b"), "n_groups": column("n_groups"), "n_links": links}.items()}
-    # Pairs as numbers; the distinct (text, segment) occurrences of good texts, then the distinct (text, pair) ones.
-    pairs, own = np.unique((np.asarray(a.flatten(), np.int64) << 32) | np.asarray(b.flatten(), np.int64), return_inverse=True)
-    first = np.concatenate([[0], np.cumsum(links)])
-    counts = np.zeros(len(pairs), np.int64)
-    for at in range(0, len(sizes), 256):  # keeps scratch small
+    """Of each text its counts and the hash of its groups; of each segment its linked pairs (how many, their numbers in the
+    block, how often each); of each pair of the block how many texts link it."""
+    ids, bounds, places = _texts(block)
+    order = np.argsort(np.asarray(side.column("place")))
+    groups = side.column("groups").take(pa.array(order)).to_pylist()
+    number = defaultdict(itertools.count().__next__)
+    counts, own, times = [], [], []
+    for text in groups:
+        n_a = n_b = n_links = 0
+        before = len(own)
+        parts = text.split(";") if text else []
+        for part in parts:
+            x, y = part.split("|")
+            x, y = x.split(","), y.split(",")
+            if len(x) * len(y) <= 64:
+                own += [number[i, j] for i in x for j in y]
+            else:  # the same ids again and again: each pair once, with how often
+                found = [(number[i, j], m * n) for i, m in Counter(x).items() for j, n in Counter(y).items()]
+                times += [1] * (len(own) - len(times)) + [n for _, n in found]
+                own += [k for k, _ in found]
+            n_a, n_b, n_links = n_a + len(x), n_b + len(y), n_links + len(x) * len(y)
+        counts.append((n_a, n_b, len(parts), n_links, text is None, len(own) - before))
+    times += [1] * (len(own) - len(times))
+    counts, own, times = np.array(counts, np.int64).reshape(-1, 6), np.array(own, np.int64), np.array(times, np.int64)
+    links = counts[:, 5]
+    good = (_sums(counts[places, 4], bounds) == 0) & (np.diff(bounds) > 0)
+    sha = [hashlib.sha256(";".join([groups[i] for i in places[bounds[k] : bounds[k + 1]].tolist()]).encode()).hexdigest() if good[k] else "" for k in range(len(ids))]
+    sums = [np.where(good, _sums(counts[places, c], bounds), 0) for c in range(4)]
+    first, held = np.cumsum(links) - links, np.zeros(len(number), np.int64)
+    for at in range(0, len(ids), 256):  # keeps scratch small
         rows = np.flatnonzero(good[at : at + 256]) + at
         spans = [np.unique(places[bounds[k] : bounds[k + 1]]) for k in rows.tolist()]
-        if not spans:
-            continue
-        text, segment = np.repeat(np.arange(len(rows)), [len(x) for x in spans]), np.concatenate(spans)
-        size = links[segment]
-        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        found = own[np.repeat(first[segment], size) + inner]
-        seen = np.unique(np.repeat(text, size) * len(pairs) + found)
-        counts += np.bincount(seen % max(len(pairs), 1), minlength=len(pairs))
-    held = counts > 0
-    pairs, counts = pairs[held], counts[held]
-    row = [block.column("at")[0].as_py(), good.tolist(), *(sums[c].tolist() for c in ("n_a", "n_b", "n_groups", "n_links")), sha, pairs >> 32, pairs & 0xFFFFFFFF, counts]
-    kinds = [pa.int64(), pa.list_(pa.bool_()), *[pa.list_(pa.int64())] * 4, pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-    return pa.table([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["block", "fine", "n_a", "n_b", "n_groups", "n_links", "sha", "a", "b", "n"])
+        if spans:
+            text, segment = np.repeat(np.arange(len(rows)), [len(x) for x in spans]), np.concatenate(spans)
+            size = links[segment]
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            seen = np.unique(np.repeat(text, size) * len(number) + own[np.repeat(first[segment], size) + inner])
+            held += np.bincount(seen % max(len(number), 1), minlength=len(number))
+    a, b = (np.array([int(pair[c]) for pair in number], np.int32) for c in (0, 1))
+    pack = lambda x: zlib.compress(x.astype("<i8").tobytes(), 1)
+    row = [block.column("at")[0].as_py(), good, *sums, sha, pack(links), pack(own), pack(times), a, b, held]
+    kinds = [pa.int64(), pa.list_(pa.bool_()), *[pa.list_(pa.int64())] * 4, pa.list_(pa.string()), *[pa.binary()] * 3, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return pa.table([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in _COMPOSED.split(", ")])
 
 
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
 def _finish(block: pa.Table, side: pa.Table) -> pa.Table:
-    """A row a text: what was composed, and the sums of its segments' scores."""
-    ids, sizes, places = _texts(block)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    good = np.array(block.column("fine")[0].as_py(), bool)
-    side = _by_place(side)
-    scores = [np.where(good, _sum_per_text(np.asarray(side.column(c), np.int64)[places], bounds), 0) for c in ("n_best", "count_sum")]
+    """A row a text: what was composed, and the sums of its links' counts."""
+    ids, bounds, places = _texts(block)
+    links, own, times = (np.frombuffer(zlib.decompress(block.column(c)[0].as_py()), "<i8") for c in ("links", "own", "times"))
+    good = np.array(block.column("good")[0].as_py(), bool)
+    edges = np.concatenate([[0], np.cumsum(links)])
+    scores = []
+    for name in ("top", "n"):
+        of_pair = np.zeros(len(side) and int(np.asarray(side.column("pair")).max()) + 1, np.int64)
+        of_pair[np.asarray(side.column("pair"))] = np.asarray(side.column(name))
+        scores.append(np.where(good, _sums(_sums(of_pair[own] * times, edges)[places], bounds), 0))
     composed = [pa.array(block.column(c)[0].as_py(), pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")]
     sha = pa.array(block.column("sha")[0].as_py(), pa.string())
     return pa.table([pa.array(ids, pa.int64()), *composed, *map(pa.array, scores), sha], names=[x.split()[0] for x in _RESULT.split(", ")])
@@ -269,17 +263,13 @@ def align(docs: DataFrame, pair: Pair) -> DataFrame:
     texts = blocks.select(F.col("block").alias("at"), "ids", "sizes", "places")
     joined = split_join(places, aligned, ["segment"]).drop("segment")
     composed = materialise(texts.groupBy("at").cogroup(joined.groupBy("block")).applyInArrow(_compose, _COMPOSED), "composed")
-    counted = composed.select(F.explode(F.arrays_zip("a", "b", "n")).alias("x")).groupBy("x.a", "x.b").agg(F.sum("x.n").alias("n"))
-    counted = materialise(counted, "pairs")
-    best = counted.groupBy("a").agg(F.max("n").alias("most"))
-    counted = counted.join(best, "a").select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("top"))
-    links = materialise(aligned.select("segment", F.explode(F.arrays_zip("a", "b")).alias("x")).select("segment", "x.a", "x.b").groupBy("segment", "a", "b").agg(F.count("*").alias("times")), "links")
-    scored = split_join(links, counted, ["a", "b"]).groupBy("segment").agg(F.sum(F.col("times") * F.col("top")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    # Segments of texts that don't agree may have no counted link.
-    scored = materialise(aligned.select("segment").join(scored, "segment", "left").fillna(0), "scored")
-    sums = split_join(places, scored, ["segment"]).drop("segment")
-    whole = texts.join(composed.select(F.col("block").alias("at"), "fine", "n_a", "n_b", "n_groups", "n_links", "sha"), "at")
-    return whole.groupBy("at").cogroup(sums.groupBy("block")).applyInArrow(_finish, _RESULT)
+    pairs = composed.select("block", F.posexplode(F.arrays_zip("a", "b", "n")).alias("pair", "x")).select("block", "pair", "x.*")
+    counted = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # As many rows an id of A as B has ids, at most.
+    counted = materialise(counted.withColumn("top", (F.col("n") == F.max("n").over(W.partitionBy("a"))).cast("long")), "counted")
+    counts = split_join(pairs.drop("n"), counted, ["a", "b"]).select("block", "pair", "n", "top")
+    whole = texts.join(composed.drop("a", "b", "n").withColumnRenamed("block", "at"), "at")
+    return whole.groupBy("at").cogroup(counts.groupBy("block")).applyInArrow(_finish, _RESULT)
 
 
 def public_pair() -> Pair:
