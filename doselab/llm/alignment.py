@@ -7,9 +7,10 @@ So the tokens of a text are those of its segments, one after another, and each d
 once.
 
 1. Each Arrow batch of documents becomes a block: its distinct segments, and each text as a sequence of their numbers.
-2. The distinct segments of all blocks are tokenised by both and cut into groups where tokens of both end.
-3. Alignments join back to the blocks on the segment; hot segments come once a block and are split besides. Documents are
-   composed in their block: counts, groups in order, and the id pairs that each document links.
+2. A block's distinct segments go to the task of their segment, which tokenises each once, with both tokenizers, cuts the tokens
+   into groups where tokens of both end, and packs the groups for each block. A hot segment comes once a block.
+3. Alignments join back to the blocks, where documents are composed: counts, groups in order, and the id pairs that each
+   document links.
 4. Pairs are counted over documents, first in blocks. The counts join back to the blocks' pairs, and each document sums those of
    its links through its segments.
 
@@ -37,12 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from doselab.llm.common import bounded_batches, map_batches, materialise, split_join
+from doselab.llm.common import bounded_batches, materialise, split_join
 
 #: The white space that may begin a segment, and what stands for a space in pieces.
 CANDIDATES, SPACE_MARK = " \t\n", "▁"
 #: Rows and bytes of a block at most (a longer text is a block of its own).
-BLOCK = 4000, 8 << 20
+BLOCK = 8000, 16 << 20
+#: Rows that a task packs for their blocks at once.
+PACKED = 200_000
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -163,16 +166,50 @@ def _blocks(docs: DataFrame, pair: Pair) -> DataFrame:
     return read.mapInArrow(each, "block long, ids array<long>, sizes array<long>, places binary, segments array<string>")
 
 
-def _aligned(segments: DataFrame, pair: Pair) -> DataFrame:
-    """segment, groups: `a1,a2|b1;a3|b2,b3` of ids in order; null where the bytes of tokens differ from the segment's."""
+def _aligned(places: DataFrame, pair: Pair) -> DataFrame:
+    """places (block, place, segment) as packs: per block some places, and for each the segment's groups, `a1,a2|b1;a3|b2,b3`.
+
+    Equal segments meet in one task and in order, so each is tokenised once; its rows stream by, at most one a block. Groups
+    are empty where the bytes of tokens differ from the segment's.
+    """
+    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = places.repartition(n, "segment").sortWithinPartitions("segment")
+    bounded_batches(places.sparkSession)
+
+    def pack(blocks: list[np.ndarray], at: list[np.ndarray], groups: list[str]) -> pa.RecordBatch:
+        block, place = np.concatenate(blocks), np.concatenate(at)
+        order = np.argsort(block, kind="stable")
+        edges = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
+        spans = [order[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        columns = [
+            pa.array(block[[x[0] for x in spans]], pa.int64()),
+            pa.array([zlib.compress(place[x].astype("<u4").tobytes(), 1) for x in spans], pa.binary()),
+            pa.array([zlib.compress("\n".join([groups[i] for i in x.tolist()]).encode(), 1) for x in spans], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "place", "groups"])
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair.open()
-        listed = batch.column("segment").to_pylist()
-        found = [pair.align(s, a, b) for s, (a, b) in zip(listed, pair.tokens(listed), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(found, pa.string())], names=["segment", "groups"])
-
-    return map_batches(segments, each, "segment string, groups string")
+        blocks, at, groups, last = [], [], [], ("", "")
+        for batch in batches:
+            coded = batch.column("segment").dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            new = [s for s in names if s != last[0]]
+            found = {s: pair.align(s, a, b) or "" for s, (a, b) in zip(new, pair.tokens(new), strict=True)} if new else {}
+            found.setdefault(*last)
+            texts = [found[s] for s in names]
+            groups += [texts[i] for i in coded.indices.to_pylist()]
+            blocks.append(np.asarray(batch.column("block"), np.int64))
+            at.append(np.asarray(batch.column("place"), np.int64))
+            if names:
+                last = names[-1], texts[-1]
+            if len(groups) >= PACKED:
+                yield pack(blocks, at, groups)
+                blocks, at, groups = [], [], []
+        if groups:
+            yield pack(blocks, at, groups)
+
+    return ordered.mapInArrow(each, "block long, place binary, groups binary")
 
 
 def _texts(block: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
@@ -194,8 +231,11 @@ def _compose(block: pa.Table, side: pa.Table) -> pa.Table:
     """Of each text its counts and the hash of its groups; of each segment its linked pairs (how many, their numbers in the
     block, how often each); of each pair of the block how many texts link it."""
     ids, bounds, places = _texts(block)
-    order = np.argsort(np.asarray(side.column("place")))
-    groups = side.column("groups").take(pa.array(order)).to_pylist()
+    packs = [np.frombuffer(zlib.decompress(x.as_py()), "<u4") for x in side.column("place")]
+    groups = [""] * sum(map(len, packs))
+    for at, texts in zip(packs, side.column("groups"), strict=True):
+        for i, text in zip(at.tolist(), zlib.decompress(texts.as_py()).decode().split("\n"), strict=True):
+            groups[i] = text
     number = defaultdict(itertools.count().__next__)
     counts, own, times = [], [], []
     for text in groups:
@@ -212,7 +252,7 @@ def _compose(block: pa.Table, side: pa.Table) -> pa.Table:
                 times += [1] * (len(own) - len(times)) + [n for _, n in found]
                 own += [k for k, _ in found]
             n_a, n_b, n_links = n_a + len(x), n_b + len(y), n_links + len(x) * len(y)
-        counts.append((n_a, n_b, len(parts), n_links, text is None, len(own) - before))
+        counts.append((n_a, n_b, len(parts), n_links, not text, len(own) - before))
     times += [1] * (len(own) - len(times))
     counts, own, times = np.array(counts, np.int64).reshape(-1, 6), np.array(own, np.int64), np.array(times, np.int64)
     links = counts[:, 5]
@@ -259,10 +299,8 @@ def align(docs: DataFrame, pair: Pair) -> DataFrame:
     """docs: doc_id, text. Per document n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     blocks = materialise(_blocks(docs, pair), "blocks")
     places = blocks.select("block", F.posexplode("segments").alias("place", "segment"))
-    aligned = materialise(_aligned(places.select("segment").distinct(), pair), "aligned")
     texts = blocks.select(F.col("block").alias("at"), "ids", "sizes", "places")
-    joined = split_join(places, aligned, ["segment"]).drop("segment")
-    composed = materialise(texts.groupBy("at").cogroup(joined.groupBy("block")).applyInArrow(_compose, _COMPOSED), "composed")
+    composed = materialise(texts.groupBy("at").cogroup(_aligned(places, pair).groupBy("block")).applyInArrow(_compose, _COMPOSED), "composed")
     pairs = composed.select("block", F.posexplode(F.arrays_zip("a", "b", "n")).alias("pair", "x")).select("block", "pair", "x.*")
     counted = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
     # As many rows an id of A as B has ids, at most.
