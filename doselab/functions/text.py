@@ -19,7 +19,7 @@ INSTANCE_STOPWORDS = (
     "my your his its our their not no"
 ).split()
 #: Fixed value: what is stripped from the ends of white-space tokens.
-EDGE_MARKS = ".,!?;:\"'()[]{}—–-`"
+EDGE_MARKS = ".,!?;:\"'()[]{}—–-"
 #: Fixed value: a word with at most one inner apostrophe.
 WORD = "[a-z]+(?:'[a-z]+)?"
 

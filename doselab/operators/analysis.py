@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doselab.functions import scalars as S
+from doselab.functions.special import correlation_p
 from doselab.functions.text import content_list, jaccard
 from doselab.operators import lm
 from doselab.plans.design import FULL, Design
@@ -157,12 +158,17 @@ def average_rank(rows: DataFrame, value: str, out: str = "rank", by: tuple[str,
 
 
 def correlations(rows: DataFrame, predictors: list[str], target: str) -> DataFrame:
-    """predictor, n, pearson, spearman; null with under 3 rows or without spread. rows: one a construction."""
+    """predictor, n, pearson, pearson_p, spearman, spearman_p; null with under 3 rows or without spread. rows: one a construction.
+
+    The p-values are two-sided, by Student's t.
+    """
     pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(p).cast("double").alias("x")) for p in predictors]))
     long = rows.select(F.col(target).cast("double").alias("y"), pairs.alias("p")).select("y", "p.*").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
     long = average_rank(average_rank(long, "x", "rx", ("predictor",)), "y", "ry", ("predictor",))
     spread = (F.max("x") > F.min("x")) & (F.max("y") > F.min("y")) & (F.count("*") >= 3)
-    return long.groupBy("predictor").agg(F.count("*").alias("n"), F.when(spread, F.corr("x", "y")).alias("pearson"), F.when(spread, F.corr("rx", "ry")).alias("spearman"))
+    out = long.groupBy("predictor").agg(F.count("*").alias("n"), F.when(spread, F.corr("x", "y")).alias("pearson"), F.when(spread, F.corr("rx", "ry")).alias("spearman"))
+    p = lambda c: correlation_p(F.col(c), F.col("n")).alias(f"{c}_p")
+    return out.select("predictor", "n", "pearson", p("pearson"), "spearman", p("spearman"))
 
 
 def strongest_predictor(corr: DataFrame, fallback: str) -> DataFrame:
@@ -213,6 +219,22 @@ def target_means(fits: DataFrame) -> DataFrame:
     return one("E0").join(one("E50"), "construction", "outer")
 
 
+def hill_plot(series: DataFrame) -> DataFrame:
+    """construction, seed, E0, Emax, E50, n, converged: the saturating curve by its linear form, log((y - E0) / (Emax - y)) on log dose.
+
+    E0 is the accuracy at the smallest dose, Emax the largest accuracy; points strictly between take part. A ladder with
+    under two of them, or whose line doesn't rise, has no E50 and n and isn't converged.
+    """
+    own = W.partitionBy("construction", "seed")
+    dose, y, low, top = F.col("dose_value"), F.col("accuracy"), F.col("_low"), F.col("_top")
+    rows = series.withColumn("_low", F.min_by("accuracy", "dose_value").over(own)).withColumn("_top", F.max("accuracy").over(own))
+    odds = F.when((y > low) & (y < top) & (dose > 0) & (dose < float("inf")), F.ln((y - low) / (top - y)))
+    rows = rows.withColumn("_o", odds).withColumn("_x", F.when(odds.isNotNull(), F.ln(dose)))
+    lines = rows.groupBy("construction", "seed").agg(F.first("_low").alias("E0"), F.first("_top").alias("Emax"), F.regr_slope("_o", "_x").alias("_m"), F.regr_intercept("_o", "_x").alias("_b"), F.count("_o").alias("_k"))
+    good = F.coalesce((F.col("_k") >= 2) & (F.col("_m") > 0), F.lit(False))
+    return lines.select("construction", "seed", "E0", "Emax", F.when(good, F.exp(-F.col("_b") / F.col("_m"))).alias("E50"), F.when(good, F.col("_m")).alias("n"), good.alias("converged"))
+
+
 def curve_features(fits: DataFrame) -> DataFrame:
     """construction, seed, E0, Emax, log_E50, n of converged fits."""
     return fits.where("converged").select("construction", "seed", "E0", "Emax", F.ln(F.greatest("E50", F.lit(1e-6))).alias("log_E50"), "n")

@@ -6,21 +6,23 @@ the base and a small table of substitutions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doselab.functions import scalars as S
+from doselab.operators.sizes import hinted
+from doselab.operators.stable import written
 
-#: Ids in a span of ranks: a task ranks the ids of one span of one pair of lengths.
-ID_SPAN = 100_000_000
+#: Pool rows in a chunk of the filler index: what one look-up may have to sort.
+CHUNK_BITS = 12
 
 
-def keep_positives(positives: DataFrame, cells: DataFrame) -> DataFrame:
-    """construction, dose, sent_id, kept. positives: construction, sent_id, ...; cells: construction, dose.
+def ladder(positives: DataFrame) -> DataFrame:
+    """positives (construction, sent_id, ...) with rank, from 1: the one shuffled order of a construction for all its doses.
 
-    One shuffled order for all doses of a construction, so the ladder is nested. The order is that of a hash, so its
-    first digits deal a construction into 4096 parts of even size: counts of parts run first, then ranks inside them.
+    The order is that of a hash, so its first digits deal a construction into 4096 parts of even size: counts of parts
+    run first, then ranks inside them.
     """
     keyed = positives.withColumn("_key", S.shuffle_key(F.col("sent_id"))).withColumn("_part", F.substring("_key", 1, 3))
     sums = keyed.groupBy("construction", "_part").agg(F.count("*").alias("_n"))
@@ -28,52 +30,78 @@ def keep_positives(positives: DataFrame, cells: DataFrame) -> DataFrame:
     before = sums.select("construction", "_part", (F.sum("_n").over(W.partitionBy("construction").orderBy("_part")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(W.partitionBy("construction", "_part").orderBy("_key", "sent_id"))
     ranked = keyed.withColumn("_inside", inside).join(before, ["construction", "_part"])
-    ranked = ranked.withColumn("rank", F.col("_before") + F.col("_inside")).drop("_key", "_part", "_before", "_inside")
+    return ranked.withColumn("rank", F.col("_before") + F.col("_inside")).drop("_key", "_part", "_before", "_inside")
+
+
+def keep_positives(positives: DataFrame, cells: DataFrame) -> DataFrame:
+    """construction, dose, sent_id, rank, kept. positives: construction, sent_id, ...; cells: construction, dose.
+
+    The first of the ladder stay, so what a dose keeps every higher dose keeps.
+    """
     keep = F.when(S.is_all(F.col("dose")), True).otherwise(F.col("rank") <= F.col("dose").try_cast("bigint"))
-    return ranked.join(F.broadcast(cells.select("construction", "dose")), "construction").withColumn("kept", keep)
+    return ladder(positives).join(hinted(cells.select("construction", "dose")), "construction").withColumn("kept", keep)
+
+
+def filler_index(pool: DataFrame) -> DataFrame:
+    """domain, chunk, len, ids: the pool in order of domain and id, cut into chunks of 4096 rows; of each length of a chunk
+    its ids, ascending. pool: sent_id, domain, n."""
+    rows = pool.select("domain", F.col("n").cast("bigint").alias("len"), F.col("sent_id").alias("id"))
+    placed = rows.repartitionByRange("domain", "id").sortWithinPartitions("domain", "id")
+    chunk = F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)
+    return written(placed.withColumn("chunk", chunk).groupBy("domain", "chunk", "len").agg(F.sort_array(F.collect_list("id")).alias("ids")), "fillers")
 
 
-def match_filler(slots: DataFrame, pool: DataFrame, pick: str = "hash", span: int = ID_SPAN) -> DataFrame:
+def match_filler(slots: DataFrame, pool: DataFrame, pick: str = "hash") -> DataFrame:
     """sent_id, filler_id (null without pool rows of the domain), tier, n_candidates, rank (from 0), delta.
 
     slots, pool: sent_id, domain, n. Candidates are the pool rows of the same domain within the narrow length band,
     else the wide one, else all; ordered by length difference and id, one is picked by the slot's hash (or the
-    nearest). Slots meet (domain, length) buckets, not rows: prefix counts over buckets in order of length
-    difference find the bucket that holds the picked place. The two buckets at equal difference are ranked together by
-    id, in spans of ids, once for each pair of lengths asked for. The work is slots times distinct lengths of a domain,
-    and pool rows times the pairs their length is in.
+    nearest). Slots never meet candidates. Counts by (domain, length) answer for each slot length that occurs how many
+    candidates there are up to each difference; the difference at which a slot's place lies leaves at most two
+    lengths. Their counts by chunk, summed in order of ids, are cut into blocks of places, and a slot's block is a key
+    that no domain or pair of lengths fills alone. The chunk found holds the filler among its ids of both lengths.
     """
-    pool = pool.select("domain", F.col("n").alias("len"), F.col("sent_id").alias("filler_id"))
-    buckets = pool.groupBy("domain", "len").agg(F.count("*").alias("c"))
-    slot = slots.select("sent_id", "domain", "n")
-    met = slot.join(buckets, "domain").withColumn("delta", F.abs(F.col("len") - F.col("n")))
-    tier = F.when(S.length_band(F.col("n"), F.col("len"), S.BANDS[0]), 1).when(S.length_band(F.col("n"), F.col("len"), S.BANDS[1]), 2).otherwise(3)
-    met = met.withColumn("t", tier)
-    own = W.partitionBy("sent_id")
-    met = met.withColumn("tier", F.min("t").over(own)).where(F.col("t") == F.col("tier"))
-    met = met.groupBy("sent_id", "domain", "n", "tier", "delta").agg(F.sum("c").alias("c"))
-    met = met.withColumn("n_candidates", F.sum("c").over(own)).withColumn("upto", F.sum("c").over(own.orderBy("delta")))
+    index = filler_index(pool)
+    hist = index.select("domain", "chunk", "len", F.size("ids").cast("bigint").alias("c"))
+    slot = slots.select("sent_id", "domain", F.col("n").cast("bigint").alias("n"))
     place = S.stable_index(F.col("sent_id"), F.col("n_candidates")) if pick == "hash" else F.lit(0).cast("bigint")
-    met = met.withColumn("place", place)
-    # The one difference at which the picked place lies, and the place among the ids there.
-    at = met.where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c"))).withColumn("first", F.col("upto") - F.col("c")).withColumn("place", F.col("place") - F.col("first"))
-    low, high = F.col("n") - F.col("delta"), F.col("n") + F.col("delta")
-    lens = F.array_distinct(F.array(low, high))
-    wanted = at.select("sent_id", "domain", "tier", "n_candidates", "place", "first", "delta", low.alias("low"), high.alias("high"), F.explode(lens).alias("len"))
-    in_band = F.when(F.col("tier") == 1, S.length_band((F.col("low") + F.col("high")) / 2, F.col("len"), S.BANDS[0])).when(F.col("tier") == 2, S.length_band((F.col("low") + F.col("high")) / 2, F.col("len"), S.BANDS[1])).otherwise(True)
-    # The two buckets at equal difference are merged once for every pair of lengths that is asked for, never for a slot.
-    wanted = wanted.where(in_band).groupBy("sent_id", "domain", "tier", "n_candidates", "place", "first", "delta").agg(F.min("len").alias("low"), F.max("len").alias("high"))
-    asked = wanted.select("domain", "low", "high").distinct().withColumn("len", F.explode(F.array_distinct(F.array("low", "high"))))
-    both = pool.join(asked, ["domain", "len"]).withColumn("_span", F.expr(f"filler_id div {span}"))
+    asks = written(_at_difference(slot, hist, place), "asks")
+    # Each pair of lengths that is asked for, with its counts by chunk.
     pair = ["domain", "low", "high"]
-    sums = both.groupBy(*pair, "_span").agg(F.count("*").alias("_c"))
-    sums = sums.withColumn("_base", F.sum("_c").over(W.partitionBy(*pair).orderBy("_span")) - F.col("_c")).drop("_c")
-    inside = F.row_number().over(W.partitionBy(*pair, "_span").orderBy("filler_id")) - 1
-    ranked = both.withColumn("_r", inside).join(sums, [*pair, "_span"]).select(*pair, (F.col("_base") + F.col("_r")).alias("place"), "filler_id")
-    found = wanted.join(ranked, [*pair, "place"]).select("sent_id", "filler_id", "tier", "n_candidates", (F.col("first") + F.col("place")).alias("rank"), "delta")
+    lens = asks.select(*pair).distinct().withColumn("len", F.explode(F.array_distinct(F.array("low", "high"))))
+    own = W.partitionBy(*pair)
+    runs = hist.join(hinted(lens), ["domain", "len"]).groupBy(*pair, "chunk").agg(F.sum("c").alias("c"))
+    runs = runs.withColumn("upto", F.sum("c").over(own.orderBy("chunk"))).withColumn("wide", F.ceil(F.sum("c").over(own) / F.count("*").over(own)).cast("bigint"))
+    runs = written(runs.withColumn("since", F.col("upto") - F.col("c")), "runs")
+    asks = asks.join(hinted(runs.groupBy(*pair).agg(F.first("wide").alias("wide"))), pair).withColumn("block", F.expr("place div wide")).drop("wide")
+    blocks = runs.select(*pair, "chunk", "since", "upto", F.explode(F.sequence(F.expr("since div wide"), F.expr("(upto - 1) div wide"))).alias("block"))
+    found = asks.join(blocks, [*pair, "block"]).where((F.col("place") >= F.col("since")) & (F.col("place") < F.col("upto")))
+    for name in ("low", "high"):
+        found = found.join(index.select("domain", "chunk", F.col("len").alias(name), F.col("ids").alias(f"_{name}")), ["domain", "chunk", name], "left")
+    none = F.array().cast("array<bigint>")
+    ids = F.sort_array(F.concat(F.coalesce("_low", none), F.when(F.col("low") == F.col("high"), none).otherwise(F.coalesce("_high", none))))
+    found = found.select("sent_id", F.element_at(ids, (F.col("place") - F.col("since") + 1).cast("int")).alias("filler_id"), "tier", "n_candidates", (F.col("first") + F.col("place")).alias("rank"), "delta")
     return slot.select("sent_id").join(found, "sent_id", "left")
 
 
+def _at_difference(slot: DataFrame, hist: DataFrame, place: Column) -> DataFrame:
+    """sent_id, domain, tier, n_candidates, first, delta, low, high, place: the length difference at which a slot's place lies,
+    how many candidates are nearer, the lengths at that difference, and the place among their ids."""
+    lengths = hist.groupBy("domain", "len").agg(F.sum("c").alias("c"))
+    # Distinct lengths of slots with distinct lengths of the pool: as many rows as a domain has pairs of lengths.
+    met = slot.select("domain", "n").distinct().join(hinted(lengths), "domain").withColumn("delta", F.abs(F.col("len") - F.col("n")))
+    tier = F.when(S.length_band(F.col("n"), F.col("len"), S.BANDS[0]), 1).when(S.length_band(F.col("n"), F.col("len"), S.BANDS[1]), 2).otherwise(3)
+    own = W.partitionBy("domain", "n")
+    met = met.withColumn("t", tier).withColumn("tier", F.min("t").over(own)).where(F.col("t") == F.col("tier"))
+    met = met.groupBy("domain", "n", "tier", "delta").agg(F.sum("c").alias("c"), F.min("len").alias("low"), F.max("len").alias("high"))
+    met = met.withColumn("upto", F.sum("c").over(own.orderBy("delta")))
+    plans = met.groupBy("domain", "n", "tier").agg(F.sum("c").alias("n_candidates"), F.sort_array(F.collect_list(F.struct("upto", "c", "delta", "low", "high"))).alias("_steps"))
+    out = slot.join(hinted(plans), ["domain", "n"]).withColumn("_place", place)
+    out = out.withColumn("_at", F.get(F.filter("_steps", lambda s: s["upto"] > F.col("_place")), F.lit(0)))
+    first = F.col("_at.upto") - F.col("_at.c")
+    return out.select("sent_id", "domain", "tier", "n_candidates", first.alias("first"), "_at.delta", "_at.low", "_at.high", (F.col("_place") - first).alias("place"))
+
+
 def match_filler_rows(slots: DataFrame, pool: DataFrame) -> DataFrame:
     """match_filler() in its plain form, over all pairs of a domain; for small pools and for tests."""
     own = W.partitionBy("sent_id")
@@ -91,6 +119,56 @@ def substitutions(kept: DataFrame, fillers: DataFrame) -> DataFrame:
     return removed.join(fillers.select(F.col("sent_id").alias("slot_id"), "filler_id"), "slot_id", "left").select("construction", "dose", "slot_id", "filler_id")
 
 
+def changes(ranked: DataFrame, fillers: DataFrame, pool: DataFrame) -> DataFrame:
+    """construction, rank, slot_id, sent_id, domain, text, sign: what the removal of each positive changes, once for all doses.
+
+    Its own row leaves (sign -1) and its filler comes (sign 1). ranked: ladder() with domain and text; pool: sent_id, domain, text.
+    """
+    out = ranked.select("construction", "rank", F.col("sent_id").alias("slot_id"), "sent_id", "domain", "text", F.lit(-1).alias("sign"))
+    new = ranked.select("construction", "rank", F.col("sent_id").alias("slot_id")).join(fillers.where("filler_id is not null").select(F.col("sent_id").alias("slot_id"), F.col("filler_id").alias("sent_id")), "slot_id")
+    new = new.join(pool.select("sent_id", "domain", "text"), "sent_id").withColumn("sign", F.lit(1))
+    return out.unionByName(new)
+
+
+def _numbered(cells: DataFrame) -> DataFrame:
+    return cells.select("construction", "dose", F.when(~S.is_all(F.col("dose")), F.col("dose").try_cast("bigint")).alias("_dose")).where("_dose is not null").distinct()
+
+
+def stepped(changed: DataFrame, cells: DataFrame) -> DataFrame:
+    """changed (construction, rank, ...) with step: the largest dose of the construction that leaves the rank out.
+
+    Every dose up to step has the change, so a change is counted once, not once a cell. Changes that no cell has go.
+    """
+    doses = _numbered(cells).groupBy("construction").agg(F.collect_set("_dose").alias("_doses"))
+    out = changed.join(hinted(doses), "construction").withColumn("step", F.array_max(F.filter("_doses", lambda d: d < F.col("rank"))))
+    return out.where("step is not null").drop("_doses")
+
+
+def by_cell(deltas: DataFrame, cells: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """construction, dose, keys and the sums of what the cell has of deltas (construction, step, keys, sums)."""
+    met = deltas.join(hinted(_numbered(cells)), "construction").where(F.col("step") >= F.col("_dose"))
+    return met.groupBy("construction", "dose", *keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def corpus_totals(base: DataFrame, changed: DataFrame, cells: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """construction, dose and sums over the rows of every cell's corpus, without building any: the base's sums, once, and the
+    signed sums of each cell's substitutions. sums: expressions over slot_id, sent_id, domain, text."""
+    once = base.withColumn("slot_id", F.col("sent_id")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"_{n}") for n, c in sums.items()])
+    moved = stepped(changed, cells).groupBy("construction", "step").agg(*[F.sum(F.col("sign") * c).alias(n) for n, c in sums.items()])
+    own = by_cell(moved, cells, [], list(sums))
+    out = cells.select("construction", "dose").distinct().join(own, ["construction", "dose"], "left").crossJoin(F.broadcast(once))  # one row
+    return out.select("construction", "dose", *[(F.col(f"_{n}") + F.coalesce(n, F.lit(0))).alias(n) for n in sums])
+
+
+def observed_hits(hits: DataFrame, changed: DataFrame, cells: DataFrame, hit: Column) -> DataFrame:
+    """construction, dose, observed: hits in every cell's corpus. hits: a row a hit of the base (construction); hit: whether a row of
+    changed (construction, text) is one of its construction."""
+    once = hits.groupBy("construction").agg(F.count("*").alias("_once"))
+    moved = stepped(changed, cells).where(hit).groupBy("construction", "step").agg(F.sum("sign").alias("observed"))
+    out = cells.select("construction", "dose").distinct().join(hinted(once), "construction", "left").join(by_cell(moved, cells, [], ["observed"]), ["construction", "dose"], "left")
+    return out.select("construction", "dose", (F.coalesce("_once", F.lit(0)) + F.coalesce("observed", F.lit(0))).alias("observed"))
+
+
 def dose_corpus(base: DataFrame, pool: DataFrame, subs: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """construction, dose, slot_id, sent_id, domain, text of every cell; order by slot_id is corpus order.
 
@@ -100,7 +178,7 @@ def dose_corpus(base: DataFrame, pool: DataFrame, subs: DataFrame, cells: DataFr
     """
     cells = (subs if cells is None else cells).select("construction", "dose").distinct()
     changed = subs.join(pool.select(F.col("sent_id").alias("filler_id"), F.col("domain").alias("_d"), F.col("text").alias("_t")), "filler_id", "left")
-    rows = base.select(F.col("sent_id").alias("slot_id"), "domain", "text").crossJoin(F.broadcast(cells))
+    rows = base.select(F.col("sent_id").alias("slot_id"), "domain", "text").crossJoin(hinted(cells))
     out = rows.join(changed.withColumn("_removed", F.lit(True)), ["construction", "dose", "slot_id"], "left")
     out = out.where(F.col("_removed").isNull() | F.col("filler_id").isNotNull())
     return out.select("construction", "dose", "slot_id", F.coalesce("filler_id", "slot_id").alias("sent_id"), F.coalesce("_d", "domain").alias("domain"), F.coalesce("_t", "text").alias("text"))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from doselab.functions import scalars as S
 from doselab.functions.text import content_set
+from doselab.operators import dose
+from doselab.operators.sizes import hinted
+from doselab.operators.stable import written
 
 #: What a detector's audit must reach; rows a class in an audit sample.
 PRECISION, RECALL, PER_CLASS = 0.90, 0.85, 200
@@ -66,6 +69,33 @@ def corpus_vocab(texts: DataFrame, *by: str) -> DataFrame:
     return texts.select(*by, F.explode(content_set(F.col("text"))).alias("w")).distinct()
 
 
+def cell_vocab(texts: DataFrame, changed: DataFrame, cells: DataFrame, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The content vocabularies of all cells as signed multisets: (w, c) of the base, (construction, dose, w, d) of each cell's changes.
+
+    A word is in a cell's vocabulary if c + d > 0, missing values being 0. asked: w; only these words, if given.
+    texts: text of the base; changed: dose.changes().
+    """
+    only = (lambda rows: rows) if asked is None else (lambda rows: rows.join(hinted(asked), "w", "left_semi"))
+    words = F.explode(content_set(F.col("text"))).alias("w")
+    base = only(texts.select(words)).groupBy("w").agg(F.count("*").alias("c"))
+    signed = only(dose.stepped(changed, cells).select("construction", "step", "sign", words)).groupBy("construction", "step", "w").agg(F.sum("sign").alias("d")).where("d <> 0")
+    return base, dose.by_cell(signed, cells, ["w"], ["d"])
+
+
+def seen_novel_cells(items: DataFrame, texts: DataFrame, changed: DataFrame, cells: DataFrame) -> DataFrame:
+    """items (construction, dose, sentence, ...) with group: seen if a content word is in the vocabulary of their cell's corpus, else novel.
+
+    Items of a cell without a corpus are novel. Words are looked up in the base's counts and in the cell's changes to them;
+    no cell's vocabulary is built.
+    """
+    keyed = written(items.withColumn("_n", F.monotonically_increasing_id()), "items")
+    words = keyed.join(hinted(cells.select("construction", "dose").distinct()), ["construction", "dose"], "left_semi").select("construction", "dose", "_n", F.explode(content_set(F.col("sentence"))).alias("w"))
+    base, moved = cell_vocab(texts, changed, cells, words.select("w").distinct())
+    found = words.join(base, "w", "left").join(moved, ["construction", "dose", "w"], "left")
+    hit = found.where(F.coalesce("c", F.lit(0)) + F.coalesce("d", F.lit(0)) > 0).select("_n").distinct().withColumn("_hit", F.lit(True))
+    return keyed.join(hit, "_n", "left").withColumn("group", F.when(F.col("_hit"), "seen").otherwise("novel")).drop("_n", "_hit")
+
+
 def seen_novel(items: DataFrame, vocab: DataFrame, by: list[str]) -> DataFrame:
     """items with group: seen if any content word is in the vocabulary of its cell (by-columns), else novel.
 

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from doselab.functions import scalars as S
 from doselab.functions.text import word_tokens
+from doselab.operators import dose, evaluation
 from doselab.operators.sizes import hinted
+from doselab.operators.stable import written
 
 #: Fixed values of the n-gram model: weights of orders 3, 2, 1, of the smoothed unigram, its add-k, the floor.
 WEIGHTS, BASE_WEIGHT, ADD_K, FLOOR = {3: 0.5, 2: 0.25, 1: 0.15}, 0.10, 0.01, 1e-12
@@ -89,3 +92,56 @@ def score_pairs(items: DataFrame, counts: DataFrame) -> DataFrame:
     scored = ngram_scores(keyed, counts, "_k").select("_k.*", "score")
     wide = scored.groupBy("item_id", "construction").pivot("side", ["good", "bad"]).agg(F.first("score"))
     return wide.withColumn("correct", (F.col("good") > F.col("bad")).cast("int"))
+
+
+def cell_sizes(words: DataFrame, moved: DataFrame, cells: DataFrame) -> DataFrame:
+    """construction, dose, total, vocab of every cell. words: w, c (counts of the base); moved: construction, dose, w, d (signed)."""
+    base = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("_t"), F.count("*").alias("_v"))
+    before, after = F.coalesce("c", F.lit(0)) > 0, F.coalesce("c", F.lit(0)) + F.col("d") > 0
+    delta = moved.join(words, "w", "left").groupBy("construction", "dose").agg(F.sum("d").alias("_dt"), F.sum(after.cast("int") - before.cast("int")).alias("_dv"))
+    out = cells.select("construction", "dose").distinct().join(delta, ["construction", "dose"], "left").crossJoin(F.broadcast(base))  # one row
+    return out.select("construction", "dose", (F.col("_t") + F.coalesce("_dt", F.lit(0))).alias("total"), (F.col("_v") + F.coalesce("_dv", F.lit(0))).alias("vocab"))
+
+
+def cell_scores(items: DataFrame, texts: DataFrame, changed: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+    """construction, dose, key, score: every item under the model of every cell's corpus.
+
+    One index of counts serves all cells: the base's, of which only unigrams and what follows the items' contexts are kept,
+    so the base is exploded once. A cell has signed changes to it, resolved where an item looks up a count. Rows are
+    items' positions by cells, which is the result's own size; nothing has a row a cell and a base count.
+    texts: text of the base; changed: dose.changes(); cells: construction, dose; items: key, text.
+    """
+    asked = written(grams(items, key), "asked")
+    contexts = hinted(asked.select("o", "ctx").distinct())
+    known = grams(texts).join(contexts, ["o", "ctx"], "left_semi").groupBy("o", "ctx", "w").agg(F.count("*").alias("c"))
+    known = written(known, "known")
+    signed = grams(dose.stepped(changed, cells), "construction", "step", "sign").join(contexts, ["o", "ctx"], "left_semi")
+    signed = signed.groupBy("construction", "step", "o", "ctx", "w").agg(F.sum("sign").alias("d")).where("d <> 0")
+    moved = written(dose.by_cell(signed, cells, ["o", "ctx", "w"], ["d"]), "moved")
+    cell = ["construction", "dose"]
+    sizes = cell_sizes(known.where("o = 0").select("w", "c"), moved.where("o = 0").select(*cell, "w", "d"), cells)
+    totals = known.where("o > 0").groupBy("o", "ctx").agg(F.sum("c").alias("t"))
+    shifts = moved.where("o > 0").groupBy(*cell, "o", "ctx").agg(F.sum("d").alias("dt"))
+    found = asked.join(known, ["o", "ctx", "w"], "left").join(totals, ["o", "ctx"], "left").crossJoin(hinted(sizes))
+    found = found.join(moved, [*cell, "o", "ctx", "w"], "left").join(shifts, [*cell, "o", "ctx"], "left")
+    zero = F.lit(0)
+    c, t = F.coalesce("c", zero) + F.coalesce("d", zero), F.coalesce("t", zero) + F.coalesce("dt", zero)
+    weight = F.when(F.col("o") == 3, WEIGHTS[3]).when(F.col("o") == 2, WEIGHTS[2]).when(F.col("o") == 1, WEIGHTS[1])
+    unigram = F.lit(BASE_WEIGHT) * (c + F.lit(ADD_K)) / (F.col("total") + F.lit(ADD_K) * F.greatest("vocab", F.lit(1)))
+    p = found.groupBy(*cell, key, "pos").agg(F.sum(F.when(F.col("o") == 0, unigram).otherwise(weight * F.coalesce(F.try_divide(c, t), F.lit(0.0)))).alias("p"))
+    return p.groupBy(*cell, key).agg((F.sum(F.ln(F.greatest("p", F.lit(FLOOR)))) / F.count("*")).alias("score"))
+
+
+def cell_accuracy(items: DataFrame, texts: DataFrame, changed: DataFrame, cells: DataFrame, seeds: list[int]) -> DataFrame:
+    """The table of results of the count model: model_construction, dose, seed, eval_construction, n_pairs, n_correct, accuracy, std_error.
+
+    The model has no seed: each seed gets the same row. items: item_id, construction, good_sentence, bad_sentence.
+    """
+    side = F.explode(F.create_map(F.lit("good"), "good_sentence", F.lit("bad"), "bad_sentence")).alias("side", "text")
+    keyed = items.select("item_id", F.col("construction").alias("eval_construction"), side).withColumn("_k", F.struct("item_id", "eval_construction", "side"))
+    # Scores that are equal but for the order of summing are ties, and ties are no hits.
+    scored = cell_scores(keyed, texts, changed, cells, "_k").select(F.col("construction").alias("model_construction"), "dose", "_k.*", F.round("score", 9).alias("score"))
+    cell = ["model_construction", "dose", "eval_construction"]
+    both = scored.groupBy(*cell, "item_id").agg(F.max(F.when(F.col("side") == "good", F.col("score"))).alias("_good"), F.max(F.when(F.col("side") == "bad", F.col("score"))).alias("_bad"))
+    out = evaluation.pair_accuracy(both.withColumn("correct", S.pair_correct(F.col("_good"), F.col("_bad"))), *cell)
+    return evaluation.seed_replicate(out, seeds)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from doselab.functions import scalars as S
 from doselab.functions import text as T
 from doselab.operators import dose, evaluation, lm, match, running
+from doselab.operators.stable import written
 from doselab.plans.design import Design
 from doselab.queries import views as V
 from doselab.sources import readers, writers
@@ -137,7 +138,7 @@ def content_tokens_set(spark: SparkSession, sf: str) -> DataFrame:
     return V.records(spark, sf).select("sent_id", F.array_join(F.sort_array(T.content_set(F.col("text"))), " ").alias("tokens"))
 
 
-_LIST = f"list_filter(list_transform(regexp_extract_all(lower(text), '\\S+'), lambda x: trim(x, '.,!?;:\"''()[]{{}}—–-`')), lambda x: x <> '' AND x NOT IN ({STOP2}))"
+_LIST = f"list_filter(list_transform(regexp_extract_all(lower(text), '\\S+'), lambda x: trim(x, '.,!?;:\"''()[]{{}}—–-')), lambda x: x <> '' AND x NOT IN ({STOP2}))"
 
 
 @query(f"SELECT sent_id, array_to_string({_LIST}, ' ') AS tokens FROM records", R)
@@ -263,15 +264,16 @@ def audits(spark: SparkSession, sf: str) -> DataFrame:
     return dose.dose_audit(dose.keep_positives(V.positives(spark, sf), cells(spark)), _fillers(spark, sf))
 
 
-def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    kept = dose.keep_positives(V.positives(spark, sf), cells(spark))
-    rows = V.records(spark, sf)
-    return dose.dose_corpus(V.base(rows), V.pool(rows), dose.substitutions(kept, _fillers(spark, sf)), cells(spark))
+def changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What each removable positive takes out and brings in; written, as several sums read it."""
+    return written(dose.changes(dose.ladder(V.positives(spark, sf)), _fillers(spark, sf), V.pool(V.records(spark, sf))), "changes")
 
 
-@query("SELECT construction, dose, count(*) AS n, count(*) FILTER (WHERE slot_id <> sent_id) AS replaced, sum(length(text))::BIGINT AS chars, sum(sent_id)::BIGINT AS ids FROM corpus GROUP BY construction, dose", R, P, _CELLS, _KEPT, _FILLERS, _CORPUS)
+@query("SELECT construction, dose, count(*) AS n, count(*) FILTER (WHERE slot_id <> sent_id) AS replaced, sum(length(text))::BIGINT AS chars, sum(sent_id % 1000003)::BIGINT AS ids FROM corpus GROUP BY construction, dose", R, P, _CELLS, _KEPT, _FILLERS, _CORPUS)
 def dose_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus(spark, sf).groupBy("construction", "dose").agg(F.count("*").alias("n"), F.count_if(F.col("slot_id") != F.col("sent_id")).alias("replaced"), F.sum(F.length("text")).alias("chars"), F.sum("sent_id").alias("ids"))
+    """Totals of every cell's corpus: the base's, once, corrected by substitutions."""
+    sums = {"n": F.lit(1), "replaced": (F.col("slot_id") != F.col("sent_id")).cast("int"), "chars": F.length("text"), "ids": F.col("sent_id") % 1000003}
+    return dose.corpus_totals(V.base(V.records(spark, sf)), changes(spark, sf), cells(spark), sums)
 
 
 @query(
@@ -297,13 +299,10 @@ SANITY_SQL = "SELECT a.construction, a.dose, a.expected, coalesce(o.observed, 0)
 
 @query(SANITY_SQL, R, P, _CELLS, _KEPT, _FILLERS, _CORPUS, _OBSERVED)
 def dose_sanity(spark: SparkSession, sf: str) -> DataFrame:
-    """Hits counted anew in every generated corpus. Fillers of a plain-text construction may hold it; the report shows it."""
-    rows = corpus(spark, sf)
-    hit = F.lit(False)
-    for c, p in V.PATTERNS.items():
-        hit = hit | ((F.col("construction") == c) & F.regexp_like(F.lower("text"), F.lit(p)))
-    observed = rows.where(hit).groupBy("construction", "dose").agg(F.count("*").alias("observed"))
-    audit = dose.keep_positives(V.positives(spark, sf), cells(spark)).groupBy("construction", "dose").agg(F.count("*").alias("n_positive_total"))
+    """Hits in every generated corpus. Fillers of a plain-text construction may hold it; the report shows it."""
+    positives = V.positives(spark, sf)
+    observed = dose.observed_hits(positives, changes(spark, sf), cells(spark), V.hit_of(F.col("construction"), F.col("text")))
+    audit = positives.groupBy("construction").agg(F.count("*").alias("n_positive_total")).join(cells(spark), "construction")
     return dose.dose_sanity(audit, observed)
 
 
@@ -388,6 +387,68 @@ def pair_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.pair_accuracy(rounded, "construction")
 
 
+#: Minimal pairs of the surrogate constructions, by item_id.
+CODES = list(V.PATTERNS)
+CELL_ITEMS = """
+items AS (
+  SELECT 'b' || item_id AS item_id, CASE item_id % 4 WHEN 0 THEN '{}' WHEN 1 THEN '{}' WHEN 2 THEN '{}' ELSE '{}' END AS construction, text AS good_sentence,
+         array_to_string(list_reverse(string_split(text, ' ')), ' ') AS bad_sentence FROM benchmark
+)""".format(*CODES)
+
+
+def cell_items(spark: SparkSession, sf: str) -> DataFrame:
+    code = F.element_at(F.array(*map(F.lit, CODES)), (F.expr("substr(item_id, 2)").cast("bigint") % 4 + 1).cast("int"))
+    return items(spark, sf).withColumn("construction", code)
+
+
+_CELL_SCORES = f"""
+sides AS (SELECT item_id, construction AS eval_construction, 'good' AS side, good_sentence AS text FROM items UNION ALL SELECT item_id, construction, 'bad', bad_sentence FROM items),
+ip AS (SELECT item_id, eval_construction, side, ['<s>', '<s>', '<s>'] || {TOK} || ['</s>'] AS p FROM sides),
+ig AS (SELECT item_id, eval_construction, side, k - 4 AS pos, o, array_to_string(p[k - o : k - 1], ' ') AS ctx, p[k] AS w FROM (SELECT *, unnest(range(4, len(p) + 1)) AS k FROM ip), (VALUES (0), (1), (2), (3)) AS t(o)),
+cg AS (
+  SELECT construction, dose, o, array_to_string(p[k - o : k - 1], ' ') AS ctx, p[k] AS w
+  FROM (SELECT construction, dose, p, unnest(range(4, len(p) + 1)) AS k FROM (SELECT construction, dose, ['<s>', '<s>', '<s>'] || {TOK} || ['</s>'] AS p FROM corpus)), (VALUES (0), (1), (2), (3)) AS t(o)
+),
+cc AS (SELECT construction, dose, o, ctx, w, count(*) AS c FROM cg WHERE (o, ctx) IN (SELECT o, ctx FROM ig) GROUP BY ALL),
+ct AS (SELECT construction, dose, o, ctx, sum(c) AS t FROM cc GROUP BY ALL),
+sized AS (SELECT construction, dose, sum(c) AS total, count(*) AS vocab FROM cc WHERE o = 0 GROUP BY ALL),
+prob AS (
+  SELECT s.construction, s.dose, item_id, eval_construction, side, pos, sum(CASE ig.o WHEN 0 THEN 0.1::DOUBLE * (coalesce(c, 0) + 0.01::DOUBLE) / (total + 0.01::DOUBLE * vocab) WHEN 1 THEN 0.15::DOUBLE * coalesce(c::DOUBLE / t, 0) WHEN 2 THEN 0.25::DOUBLE * coalesce(c::DOUBLE / t, 0) ELSE 0.5::DOUBLE * coalesce(c::DOUBLE / t, 0) END) AS p
+  FROM ig CROSS JOIN sized s LEFT JOIN cc ON cc.construction = s.construction AND cc.dose = s.dose AND cc.o = ig.o AND cc.ctx = ig.ctx AND cc.w = ig.w
+  LEFT JOIN ct ON ct.construction = s.construction AND ct.dose = s.dose AND ct.o = ig.o AND ct.ctx = ig.ctx GROUP BY ALL
+),
+scores AS (SELECT construction, dose, item_id, eval_construction, side, round(sum(ln(greatest(p, 1e-12))) / count(*), 9) AS score FROM prob GROUP BY ALL)"""
+
+
+def _base_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return V.base(V.records(spark, sf))
+
+
+@query("""
+SELECT model_construction, dose, seed, eval_construction, n_pairs, n_correct, round_even(a, 6) AS accuracy, round_even(sqrt(a * (1 - a) / n_pairs), 6) AS std_error FROM (
+  SELECT g.construction AS model_construction, g.dose, g.eval_construction, count(*)::INTEGER AS n_pairs, sum((g.score > b.score)::INTEGER)::INTEGER AS n_correct, avg((g.score > b.score)::INTEGER) AS a
+  FROM scores g JOIN scores b ON b.construction = g.construction AND b.dose = g.dose AND b.item_id = g.item_id AND b.side = 'bad' WHERE g.side = 'good' GROUP BY ALL
+) CROSS JOIN (VALUES (42), (43), (44)) AS s(seed)""", R, P, _CELLS, _KEPT, _FILLERS, _CORPUS, CELL_ITEMS, _CELL_SCORES)
+def ngram_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """From texts to the table of results: a count model for every (construction, dose), scored on all items."""
+    return lm.cell_accuracy(cell_items(spark, sf), _base_texts(spark, sf), changes(spark, sf), cells(spark), [42, 43, 44])
+
+
+@query("SELECT construction, dose, item_id, side, round(score, 4) AS score FROM scores", R, P, _CELLS, _KEPT, _FILLERS, _CORPUS, CELL_ITEMS, _CELL_SCORES)
+def ngram_cell_scores(spark: SparkSession, sf: str) -> DataFrame:
+    i = cell_items(spark, sf)
+    sides = i.select("item_id", F.lit("good").alias("side"), F.col("good_sentence").alias("text")).union(i.select("item_id", F.lit("bad"), "bad_sentence"))
+    out = lm.cell_scores(sides.withColumn("k", F.struct("item_id", "side")), _base_texts(spark, sf), changes(spark, sf), cells(spark), "k")
+    return out.select("construction", "dose", "k.*", F.round(F.round("score", 9), 4).alias("score"))
+
+
+@query(f"SELECT construction, dose, count(DISTINCT w) AS n_words FROM (SELECT construction, dose, unnest({TOK}) AS w FROM corpus) WHERE w NOT IN ({STOP1}) GROUP BY ALL", R, P, _CELLS, _KEPT, _FILLERS, _CORPUS)
+def cell_vocab(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct content words of every cell's corpus, from the base's counts and signed changes."""
+    base, moved = evaluation.cell_vocab(_base_texts(spark, sf), changes(spark, sf), cells(spark))
+    return lm.cell_sizes(written(base, "words"), moved, cells(spark)).select("construction", "dose", F.col("vocab").alias("n_words"))
+
+
 @query("SELECT o, count(*) AS kinds, sum(c)::BIGINT AS n FROM (SELECT o, ctx, w, sum(c) AS c FROM (SELECT o, ctx, w, c FROM counts UNION ALL SELECT o, ctx, w, -count(*) FROM grams WHERE sent_id % 7 = 0 GROUP BY o, ctx, w UNION ALL SELECT o, ctx, w, count(*) FROM grams WHERE sent_id % 7 = 1 GROUP BY o, ctx, w) GROUP BY o, ctx, w HAVING sum(c) <> 0) GROUP BY o", R, _GRAMS)
 def signed_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of a corpus in which some sentences make way for a second copy of others, from the base counts and signed changes."""
@@ -518,25 +579,11 @@ def ordered_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return V.records(spark, sf).groupBy("text").agg(F.min("sent_id").alias("sent_id")).select("sent_id", "text")
 
 
-def _design() -> Design:
-    return Design()
-
-
 _D = Design()
 _CELL_ROWS = [(c, str(d)) for c in _D.core for d in _D.core_doses] + [(c, str(d)) for c in _D.breadth for d in _D.breadth_doses] + [("full", "all")]
 _CELL_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{d}')" for c, d in _CELL_ROWS) + ") AS t(construction, dose)"
 
 
-@query(f"SELECT construction, dose, dose = 'all' AS is_all, try_cast(dose AS INTEGER) AS dose_num FROM ({_CELL_SQL})")
-def design_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return _design().cells(spark)
-
-
-@query(f"SELECT construction, dose, seed FROM ({_CELL_SQL}) CROSS JOIN (VALUES (42), (43), (44)) AS s(seed)")
-def design_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return _design().runs(spark).select("construction", "dose", "seed")
-
-
 @query("SELECT doc_id, (('0x' || substr(md5('42:' || doc_id), 1, 16))::UBIGINT % 977::UBIGINT)::BIGINT AS place FROM documents")
 def stable_index(spark: SparkSession, sf: str) -> DataFrame:
     return V.documents(spark, sf).select("doc_id", S.stable_index(F.col("doc_id"), F.lit(977)).alias("place"))
@@ -553,16 +600,6 @@ def length_band(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", *[S.length_band(F.lit(25), F.col("p_size"), b).alias(n) for n, b in (("near", 0.2), ("wide", 0.4))])
 
 
-@query(f"SELECT construction, dose, seed, format('ltgbert_{{}}_D{{}}_seed{{}}', construction, dose, seed) AS run FROM ({_CELL_SQL}) CROSS JOIN (VALUES (42), (43), (44)) AS s(seed)")
-def run_name(spark: SparkSession, sf: str) -> DataFrame:
-    return _design().runs(spark).select("construction", "dose", "seed", S.run_name(F.col("construction"), F.col("dose"), F.col("seed")).alias("run"))
-
-
-@query(f"SELECT construction, dose, CASE dose WHEN 'all' THEN 500 ELSE least(dose::INTEGER, 10) END::BIGINT AS expected FROM ({_CELL_SQL}) WHERE dose <> 'all'")
-def expected_count(spark: SparkSession, sf: str) -> DataFrame:
-    return _design().cells(spark).where("dose <> 'all'").select("construction", "dose", S.expected_count(F.col("dose"), F.lit(10).cast("bigint")).alias("expected"))
-
-
 _PART = "SELECT p_partkey, p_size::DOUBLE AS d FROM part"
 
 

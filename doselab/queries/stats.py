@@ -1,9 +1,7 @@
-"""Queries over a fixed table of results, and the joins and statistics of the analysis."""
+"""Queries over the table of results, and the joins and statistics of the analysis."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,46 +18,54 @@ DESIGN = Design()
 CODES = DESIGN.constructions
 
 
-def _rows() -> list[tuple]:
-    """Accuracies of every model on every construction: a saturating rise on its own, a faint one elsewhere."""
-    out = []
-    for c, train in enumerate(CODES):
-        for d in DESIGN.core_doses if train in DESIGN.core else DESIGN.breadth_doses:
-            for e, test in enumerate(CODES):
-                for seed in SEEDS:
-                    own = 0.32 * d / (d + 9 + 2 * c) if train == test else 0.01 * math.log10(d + 1)
-                    out.append((train, str(d), seed, test, round(0.5 + 0.01 * e + own + 0.004 * ((seed * 7 + c * 3 + d + e) % 5 - 2), 4)))
-    for e, test in enumerate(CODES):
-        out += [(FULL, "all", seed, test, round(0.86 + 0.008 * e + 0.003 * (seed % 3), 4)) for seed in SEEDS]
-    return out
-
-
-ROWS = _rows()
-SCHEMA = "model_construction string, dose string, seed int, eval_construction string, accuracy double"
-RES = "results AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c}, '{d}', {e}::DOUBLE)" for a, b, c, d, e in ROWS) + ") AS t(model_construction, dose, seed, eval_construction, accuracy))"
-COUNTS = {c: S.ATTESTED.get(c) for c in CODES}
+#: Order lines stand in for the outcomes of items: keys deal a line to a run and a test set, a hash of them is its good
+#: sentence's score, and the bar that it must pass falls with the run's dose. Both engines evaluate the same text.
+_CELL = f"(l_orderkey * 31 + l_linenumber * 7 + l_partkey) % {len(core._CELL_ROWS)}"
+_SCORE = "((l_partkey * 7919 + l_suppkey * 104729 + l_orderkey * 31 + l_linenumber * 1299721) % 1000) / 1000.0"
+_BAR = "(CASE WHEN model_construction = 'full' THEN 140 - 8 * e WHEN c = e THEN 500 - 10 * e - floor(320 * d / (d + 9 + 2 * c)) ELSE 500 - 10 * e - floor(d / 4) END) / 1000.0"
+_CODE_LIST = [(i, c) for i, c in enumerate(CODES)]
+RES = f"""
+runs AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{c}', '{d}', {CODES.index(c) if c in CODES else -1}, {'NULL' if d == 'all' else d}::DOUBLE)" for k, (c, d) in enumerate(core._CELL_ROWS))}) AS t(k, model_construction, dose, c, d)),
+log AS (
+  SELECT model_construction, dose, seed, t.code AS eval_construction, item_id, good, {_BAR} AS bad
+  FROM (SELECT {_CELL} AS k, 42 + l_linenumber % 3 AS seed, l_suppkey % {len(CODES)} AS e, l_orderkey AS item_id, {_SCORE} AS good FROM lineitem) l JOIN runs USING (k) JOIN (VALUES {", ".join(f"({i}, '{c}')" for i, c in _CODE_LIST)}) AS t(i, code) ON t.i = e
+),
+results AS (SELECT model_construction, dose, seed, eval_construction, round_even(avg((good > bad)::INTEGER), 6) AS accuracy FROM log GROUP BY ALL)"""
 _VALUE = "CASE WHEN lower(trim(dose)) = 'all' THEN CASE model_construction " + " ".join(f"WHEN '{c}' THEN {n}::DOUBLE" for c, n in S.ATTESTED.items()) + " END ELSE try_cast(dose AS DOUBLE) END"
 
 
-def results(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ROWS, SCHEMA)
+def outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """model_construction, dose, seed, eval_construction, item_id, good, bad: a row an order line."""
+    runs = [(k, c, d, CODES.index(c) if c in CODES else -1, None if d == "all" else float(d)) for k, (c, d) in enumerate(core._CELL_ROWS)]
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.expr(_CELL).alias("k"), F.expr("42 + l_linenumber % 3").cast("int").alias("seed"), F.expr(f"l_suppkey % {len(CODES)}").alias("e"), F.col("l_orderkey").alias("item_id"), F.expr(_SCORE).alias("good"))
+    # The design's cells and codes: a few rows each.
+    rows = rows.join(F.broadcast(spark.createDataFrame(runs, "k bigint, model_construction string, dose string, c int, d double")), "k")
+    rows = rows.join(F.broadcast(spark.createDataFrame(_CODE_LIST, "e bigint, eval_construction string")), "e")
+    return rows.select("model_construction", "dose", "seed", "eval_construction", "item_id", "good", F.expr(_BAR).alias("bad"))
+
+
+def results(spark: SparkSession, sf: str) -> DataFrame:
+    """model_construction, dose, seed, eval_construction, accuracy: the table of results over all outcomes."""
+    keys = ["model_construction", "dose", "seed", "eval_construction"]
+    return evaluation.pair_accuracy(outcomes(spark, sf).withColumn("correct", S.pair_correct(F.col("good"), F.col("bad"))), *keys).select(*keys, "accuracy")
 
 
 @query(f"SELECT model_construction, dose, seed, eval_construction, {_VALUE} AS value FROM results WHERE model_construction <> 'full'", RES)
 def dose_value(spark: SparkSession, sf: str) -> DataFrame:
-    rows = results(spark).where("model_construction <> 'full'")
+    rows = results(spark, sf).where("model_construction <> 'full'")
     return rows.select("model_construction", "dose", "seed", "eval_construction", S.dose_value(F.col("dose"), S.attested_count(F.col("model_construction"))).alias("value"))
 
 
-@query("SELECT DISTINCT model_construction AS c, CASE model_construction " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in (S.ATTESTED | {"aann": 77, "it_cleft": 12}).items()) + " END::BIGINT AS n FROM results WHERE model_construction <> 'full'", RES)
+@query("SELECT construction AS c, observed AS n FROM (" + core.SANITY_SQL + ") WHERE dose = 'all'", V.RECORDS, V.POSITIVES, core._CELLS, core._KEPT, core._FILLERS, core._CORPUS, core._OBSERVED)
 def sanity_counts(spark: SparkSession, sf: str) -> DataFrame:
-    doc = '{"aann_dose-all": {"expected": 80, "observed": 77, "pass": false}, "it_cleft": 12}'
-    return readers.sanity_counts(spark, CODES, doc).select(F.col("construction").alias("c"), "n")
+    """Attested counts as the sanity document of all cells has them; the document has an entry a cell of the design."""
+    doc = artefacts.sanity_json(core.dose_sanity(spark, sf)).first()["value"]
+    return readers.sanity_counts(spark, core.CODES, doc).where("n is not null").select(F.col("construction").alias("c"), "n")
 
 
 @query("SELECT model_construction, dose, seed, accuracy FROM results WHERE model_construction = eval_construction", RES)
 def self_eval_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.self_rows(results(spark)).select("model_construction", "dose", "seed", "accuracy")
+    return evaluation.self_rows(results(spark, sf)).select("model_construction", "dose", "seed", "accuracy")
 
 
 @query("""
@@ -67,7 +73,7 @@ SELECT construction, round(e0, 8) AS E0, round(coalesce(sd / sqrt(n), 0), 8) AS
   SELECT eval_construction AS construction, avg(accuracy) FILTER (WHERE model_construction = eval_construction AND dose = '0') AS e0, stddev_samp(accuracy) FILTER (WHERE model_construction = eval_construction AND dose = '0') AS sd,
     count(*) FILTER (WHERE model_construction = eval_construction AND dose = '0') AS n, avg(accuracy) FILTER (WHERE model_construction = 'full' AND dose = 'all') AS emax FROM results GROUP BY 1)""", RES)
 def indirect_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    out = analysis.indirect_evidence(results(spark), CODES)
+    out = analysis.indirect_evidence(results(spark, sf), CODES)
     return out.select("construction", *[F.round(c, 8).alias(c) for c in ("E0", "E0_se", "Emax", "direct_value")])
 
 
@@ -76,18 +82,18 @@ _CV = "CASE WHEN avg(accuracy) <> 0 THEN stddev_pop(accuracy) / avg(accuracy) EL
 
 @query(f"SELECT (SELECT round(avg(cv), 8) FROM (SELECT {_CV} FROM results WHERE model_construction = eval_construction GROUP BY model_construction, dose)) AS within_cv, (SELECT round(avg(cv), 8) FROM (SELECT {_CV} FROM results WHERE model_construction = eval_construction GROUP BY model_construction, seed)) AS between_cv", RES)
 def seed_dose_cv(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.seed_dose_cv(results(spark)).select(F.round("within_cv", 8).alias("within_cv"), F.round("between_cv", 8).alias("between_cv"))
+    return analysis.seed_dose_cv(results(spark, sf)).select(F.round("within_cv", 8).alias("within_cv"), F.round("between_cv", 8).alias("between_cv"))
 
 
 @query("SELECT model_construction AS construction, " + ", ".join(f"round(stddev_pop(accuracy) FILTER (WHERE dose = '{d}') / avg(accuracy) FILTER (WHERE dose = '{d}'), 8) AS d{d}" for d in (0, 4, 16, 64)) + " FROM results WHERE model_construction = eval_construction GROUP BY 1", RES)
 def seed_cv_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    out = analysis.seed_cv_matrix(results(spark), ["0", "4", "16", "64"])
+    out = analysis.seed_cv_matrix(results(spark, sf), ["0", "4", "16", "64"])
     return out.select("construction", *[F.round(d, 8).alias(f"d{d}") for d in ("0", "4", "16", "64")])
 
 
 @query("SELECT model_construction, " + ", ".join(f"round(avg(accuracy) FILTER (WHERE eval_construction = '{c}'), 8) AS {c}" for c in CODES) + " FROM results GROUP BY 1", RES)
 def collateral_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    out = analysis.collateral_matrix(results(spark), CODES)
+    out = analysis.collateral_matrix(results(spark, sf), CODES)
     return out.select("model_construction", *[F.round(c, 8).alias(c) for c in CODES])
 
 
@@ -102,7 +108,7 @@ _SLOPE = "CASE WHEN n >= 3 AND spread THEN round(b, 8) END AS slope, CASE WHEN n
 
 @query(f"SELECT train, eval, n, unresolved, {_SLOPE} FROM slopes", RES, _SLOPES)
 def transfer_slopes(spark: SparkSession, sf: str) -> DataFrame:
-    out = analysis.transfer_slopes(results(spark))
+    out = analysis.transfer_slopes(results(spark, sf))
     return out.select("train", "eval", "n", "unresolved", F.round("slope", 8).alias("slope"), F.round("std_error", 8).alias("std_error"))
 
 
@@ -111,7 +117,7 @@ _LIST = "codes AS (SELECT unnest([" + V.quoted(CODES) + "]) AS c)"
 
 @query(f"SELECT a.c AS train, b.c AS eval, s.slope, s.std_error FROM codes a CROSS JOIN codes b LEFT JOIN (SELECT train, eval, {_SLOPE} FROM slopes) s ON s.train = a.c AND s.eval = b.c", RES, _SLOPES, _LIST)
 def transfer_grid(spark: SparkSession, sf: str) -> DataFrame:
-    out = analysis.transfer_grid(results(spark), CODES)
+    out = analysis.transfer_grid(results(spark, sf), CODES)
     return out.select("train", "eval", F.round("slope", 8).alias("slope"), F.round("std_error", 8).alias("std_error"))
 
 
@@ -123,18 +129,18 @@ series AS (
 )"""
 
 
-def series(spark: SparkSession) -> DataFrame:
-    return analysis.shared_ceiling(results(spark), DESIGN)
+def series(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.shared_ceiling(results(spark, sf), DESIGN)
 
 
 @query("SELECT construction, seed, dose, CASE WHEN isinf(dose_value) THEN -1 ELSE dose_value END AS dose_value, accuracy, is_core FROM series", RES, _SERIES)
 def shared_ceiling(spark: SparkSession, sf: str) -> DataFrame:
-    return series(spark).withColumn("dose_value", F.when(F.col("dose_value") == float("inf"), -1.0).otherwise(F.col("dose_value")))
+    return series(spark, sf).withColumn("dose_value", F.when(F.col("dose_value") == float("inf"), -1.0).otherwise(F.col("dose_value")))
 
 
 @query("SELECT construction, seed, arg_min(accuracy, dose_value) AS E0, arg_max(accuracy, dose_value) AS Emax FROM series WHERE NOT is_core GROUP BY construction, seed", RES, _SERIES)
 def breadth_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.breadth_rows(series(spark)).drop("converged")
+    return analysis.breadth_rows(series(spark, sf)).drop("converged")
 
 
 _STEP = """
@@ -149,7 +155,7 @@ steps AS (SELECT * FROM splits WHERE nxt IS NOT NULL QUALIFY row_number() OVER (
 
 @query("SELECT construction, seed, (dose_value + nxt) / 2 AS threshold, round(low, 8) AS low, round(high, 8) AS high, round(rss, 6) AS rss FROM steps", RES, _SERIES, _STEP)
 def step_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    out = analysis.step_threshold(series(spark).where("is_core"))
+    out = analysis.step_threshold(series(spark, sf).where("is_core"))
     return out.select("construction", "seed", "threshold", *[F.round(c, 8).alias(c) for c in ("low", "high")], F.round("rss", 6).alias("rss"))
 
 
@@ -165,13 +171,13 @@ models AS (SELECT construction, seed, model, n_params, loglik, 2 * (k + 1) - 2 *
 
 @query("SELECT construction, seed, model, n_params, round(loglik, 5) AS loglik, round(aic, 5) AS aic, round(bic, 5) AS bic FROM models", RES, _SERIES, _STEP, _MODELS)
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    out = analysis.closed_form_models(series(spark).where("is_core"))
+    out = analysis.closed_form_models(series(spark, sf).where("is_core"))
     return out.select("construction", "seed", "model", "n_params", *[F.round(c, 5).alias(c) for c in ("loglik", "aic", "bic")])
 
 
 @query("SELECT construction, arg_min(model, aic) AS model, round(min(aic), 5) AS mean_aic FROM (SELECT construction, model, avg(aic) AS aic FROM models GROUP BY 1, 2) GROUP BY construction", RES, _SERIES, _STEP, _MODELS)
 def best_model(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.best_model(analysis.closed_form_models(series(spark).where("is_core"))).withColumn("mean_aic", F.round("mean_aic", 5))
+    return analysis.best_model(analysis.closed_form_models(series(spark, sf).where("is_core"))).withColumn("mean_aic", F.round("mean_aic", 5))
 
 
 def _instances(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,39 +209,50 @@ def neighbor_density(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.neighbor_density(rows, rows.groupBy("construction").agg(F.countDistinct("sent_id").alias("n"))).withColumn("density", F.round("density", 6))
 
 
-_FIT_ROWS = [(c, s, round(0.5 + 0.01 * i + 0.002 * (s % 3), 4), round(0.85 + 0.005 * i, 4), None if i > 4 else float(4 + 3 * i + s % 4), round(0.8 + 0.3 * i, 3), i <= 4) for i, c in enumerate(CODES) for s in SEEDS]
-_FITS = "fits AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}, {c}::DOUBLE, {d}::DOUBLE, {'NULL' if e is None else e}::DOUBLE, {f}::DOUBLE, {str(g).upper()})" for a, b, c, d, e, f, g in _FIT_ROWS) + ") AS t(construction, seed, E0, Emax, E50, n, converged))"
+_FITS = """
+ends AS (SELECT construction, seed, dose_value, accuracy AS y, arg_min(accuracy, dose_value) OVER w AS lo, max(accuracy) OVER w AS hi FROM series WINDOW w AS (PARTITION BY construction, seed)),
+inner_ AS (SELECT *, CASE WHEN y > lo AND y < hi AND dose_value > 0 AND NOT isinf(dose_value) THEN ln((y - lo) / (hi - y)) END AS odds FROM ends),
+fits AS (
+  SELECT construction, seed, E0, Emax, CASE WHEN good THEN exp(-b / m) END AS E50, CASE WHEN good THEN m END AS n, good AS converged FROM (
+    SELECT construction, seed, any_value(lo) AS E0, any_value(hi) AS Emax, regr_slope(odds, x) AS m, regr_intercept(odds, x) AS b, coalesce(count(odds) >= 2 AND regr_slope(odds, x) > 0, FALSE) AS good
+    FROM (SELECT *, CASE WHEN odds IS NOT NULL THEN ln(dose_value) END AS x FROM inner_) GROUP BY construction, seed))"""
 
 
-def fits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_FIT_ROWS, "construction string, seed int, E0 double, Emax double, E50 double, n double, converged boolean")
+def fits(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.hill_plot(series(spark, sf))
 
 
-@query("SELECT coalesce(a.construction, b.construction) AS construction, round(e0m, 8) AS E0_mean, round(e0s, 8) AS E0_std, round(e50m, 8) AS E50_mean, round(e50s, 8) AS E50_std FROM (SELECT construction, avg(E0) AS e0m, stddev_samp(E0) AS e0s FROM fits WHERE E0 IS NOT NULL GROUP BY 1) a FULL JOIN (SELECT construction, avg(E50) AS e50m, stddev_samp(E50) AS e50s FROM fits WHERE E50 IS NOT NULL GROUP BY 1) b ON a.construction = b.construction", _FITS)
+@query("SELECT coalesce(a.construction, b.construction) AS construction, round(e0m, 8) AS E0_mean, round(e0s, 8) AS E0_std, round(e50m, 8) AS E50_mean, round(e50s, 8) AS E50_std FROM (SELECT construction, avg(E0) AS e0m, stddev_samp(E0) AS e0s FROM fits WHERE E0 IS NOT NULL GROUP BY 1) a FULL JOIN (SELECT construction, avg(E50) AS e50m, stddev_samp(E50) AS e50s FROM fits WHERE E50 IS NOT NULL GROUP BY 1) b ON a.construction = b.construction", RES, _SERIES, _FITS)
 def targets_outer(spark: SparkSession, sf: str) -> DataFrame:
-    out = analysis.target_means(fits(spark))
+    out = analysis.target_means(fits(spark, sf))
     return out.select("construction", *[F.round(c, 8).alias(c) for c in ("E0_mean", "E0_std", "E50_mean", "E50_std")])
 
 
 _PRED = "pred AS (SELECT construction, avg(E0) AS y, avg(Emax) AS p1, -avg(n) AS p2, avg(n) * avg(n) + CASE WHEN construction LIKE 'i%' THEN 3 ELSE 0 END AS p3 FROM fits GROUP BY construction)"
 
 
-def _predictors(spark: SparkSession) -> DataFrame:
-    return fits(spark).groupBy("construction").agg(F.avg("E0").alias("y"), F.avg("Emax").alias("p1"), (-F.avg("n")).alias("p2"), (F.avg("n") * F.avg("n") + F.when(F.col("construction").like("i%"), 3).otherwise(0)).alias("p3"))
+def _predictors(spark: SparkSession, sf: str) -> DataFrame:
+    return fits(spark, sf).groupBy("construction").agg(F.avg("E0").alias("y"), F.avg("Emax").alias("p1"), (-F.avg("n")).alias("p2"), (F.avg("n") * F.avg("n") + F.when(F.col("construction").like("i%"), 3).otherwise(0)).alias("p3"))
+
 
+_RANKS = "ranked AS (SELECT predictor, x, y, rank() OVER (PARTITION BY predictor ORDER BY x) + (count(*) OVER (PARTITION BY predictor, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY predictor ORDER BY y) + (count(*) OVER (PARTITION BY predictor, y) - 1) / 2.0::DOUBLE AS ry FROM (SELECT 'p1' AS predictor, p1 AS x, y FROM pred UNION ALL SELECT 'p2', p2, y FROM pred UNION ALL SELECT 'p3', p3, y FROM pred) WHERE x IS NOT NULL AND y IS NOT NULL)"
 
-_RANKS = "ranked AS (SELECT predictor, x, y, rank() OVER (PARTITION BY predictor ORDER BY x) + (count(*) OVER (PARTITION BY predictor, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY predictor ORDER BY y) + (count(*) OVER (PARTITION BY predictor, y) - 1) / 2.0::DOUBLE AS ry FROM (SELECT 'p1' AS predictor, p1 AS x, y FROM pred UNION ALL SELECT 'p2', p2, y FROM pred UNION ALL SELECT 'p3', p3, y FROM pred))"
 
+# Student's t by its finite series for whole degrees of freedom.
+_SERIES_P = """
+CASE WHEN (n - 2) % 2 = 0 THEN 1 - abs({r}) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * pow(1 - {r} * {r}, k)))
+  ELSE 1 - 2 / pi() * (asin(abs({r})) + abs({r}) * sqrt(1 - {r} * {r}) * coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda k: exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow(1 - {r} * {r}, k))), 0)) END"""
 
-@query("SELECT predictor, count(*) AS n, round(corr(x, y), 8) AS pearson, round(corr(rx, ry), 8) AS spearman FROM ranked GROUP BY predictor", _FITS, _PRED, _RANKS)
+
+@query(f"SELECT predictor, n, round(pearson, 8) AS pearson, round({_SERIES_P.format(r='pearson')}, 8) AS pearson_p, round(spearman, 8) AS spearman, round({_SERIES_P.format(r='spearman')}, 8) AS spearman_p FROM (SELECT predictor, count(*) AS n, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM ranked GROUP BY predictor)", RES, _SERIES, _FITS, _PRED, _RANKS)
 def predictor_correlations(spark: SparkSession, sf: str) -> DataFrame:
-    out = analysis.correlations(_predictors(spark), ["p1", "p2", "p3"], "y")
-    return out.select("predictor", "n", F.round("pearson", 8).alias("pearson"), F.round("spearman", 8).alias("spearman"))
+    out = analysis.correlations(_predictors(spark, sf), ["p1", "p2", "p3"], "y")
+    return out.select("predictor", "n", *[F.round(c, 8).alias(c) for c in ("pearson", "pearson_p", "spearman", "spearman_p")])
 
 
-@query("SELECT predictor FROM (SELECT predictor, round(abs(corr(rx, ry)), 9) AS r FROM ranked GROUP BY predictor) ORDER BY r DESC, predictor DESC LIMIT 1", _FITS, _PRED, _RANKS)
+@query("SELECT predictor FROM (SELECT predictor, round(abs(corr(rx, ry)), 9) AS r FROM ranked GROUP BY predictor) ORDER BY r DESC, predictor DESC LIMIT 1", RES, _SERIES, _FITS, _PRED, _RANKS)
 def strongest_predictor(spark: SparkSession, sf: str) -> DataFrame:
-    corr = analysis.correlations(_predictors(spark), ["p1", "p2", "p3"], "y").withColumn("spearman", F.round("spearman", 9))
+    corr = analysis.correlations(_predictors(spark, sf), ["p1", "p2", "p3"], "y").withColumn("spearman", F.round("spearman", 9))
     return analysis.strongest_predictor(corr, "p1")
 
 
@@ -245,20 +262,20 @@ def avg_rank(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.average_rank(rows, "v", "rank", ("o_custkey",)).select("o_orderkey", "rank")
 
 
-@query("SELECT construction, seed, E0, Emax, round(ln(greatest(E50, 1e-6)), 8) AS log_E50, n FROM fits WHERE converged", _FITS)
+@query("SELECT construction, seed, E0, Emax, round(ln(greatest(E50, 1e-6)), 8) AS log_E50, n FROM fits WHERE converged", RES, _SERIES, _FITS)
 def curve_features(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.curve_features(fits(spark)).withColumn("log_E50", F.round("log_E50", 8))
+    return analysis.curve_features(fits(spark, sf)).withColumn("log_E50", F.round("log_E50", 8))
 
 
-@query("SELECT construction, seed, round((n - avg(n) OVER ()) / stddev_pop(n) OVER (), 8) AS n_z, round((E0 - avg(E0) OVER ()) / stddev_pop(E0) OVER (), 8) AS E0_z FROM fits WHERE converged", _FITS)
+@query("SELECT construction, seed, round((n - avg(n) OVER ()) / stddev_pop(n) OVER (), 8) AS n_z, round((E0 - avg(E0) OVER ()) / stddev_pop(E0) OVER (), 8) AS E0_z FROM fits WHERE converged", RES, _SERIES, _FITS)
 def zscore(spark: SparkSession, sf: str) -> DataFrame:
-    out = analysis.zscore(analysis.curve_features(fits(spark)), ["n", "E0"])
+    out = analysis.zscore(analysis.curve_features(fits(spark, sf)), ["n", "E0"])
     return out.select("construction", "seed", F.round("n_z", 8).alias("n_z"), F.round("E0_z", 8).alias("E0_z"))
 
 
-@query("SELECT round(avg(n), 8) AS mean_n, round(avg((Emax - E0) / nullif(Emax, 0)), 8) AS rel_gain FROM fits WHERE converged", _FITS)
+@query("SELECT round(avg(n), 8) AS mean_n, round(avg((Emax - E0) / nullif(Emax, 0)), 8) AS rel_gain FROM fits WHERE converged", RES, _SERIES, _FITS)
 def mean_hill_n(spark: SparkSession, sf: str) -> DataFrame:
-    good = fits(spark).where("converged")
+    good = fits(spark, sf).where("converged")
     return good.agg(F.round(F.avg("n"), 8).alias("mean_n"), F.round(F.avg(S.relative_gain(F.col("Emax"), F.col("E0"))), 8).alias("rel_gain"))
 
 
@@ -268,9 +285,9 @@ near AS (SELECT a.id, a.label, b.label AS l, avg(sqrt((a.E0 - b.E0) * (a.E0 - b.
 each_ AS (SELECT id, label, max(d) FILTER (WHERE label = l) AS a, min(d) FILTER (WHERE label <> l) AS b FROM near GROUP BY 1, 2)"""
 
 
-@query("SELECT 2 AS k, round(avg((b - a) / greatest(a, b)), 8) AS silhouette FROM each_", _FITS, _SIL)
+@query("SELECT 2 AS k, round(avg((b - a) / greatest(a, b)), 8) AS silhouette FROM each_", RES, _SERIES, _FITS, _SIL)
 def silhouette(spark: SparkSession, sf: str) -> DataFrame:
-    p = fits(spark).where("converged").select(F.lit(2).alias("k"), F.concat_ws("_", "construction", "seed").alias("id"), (F.col("n") > 1.5).cast("int").alias("label"), F.array("E0", "n").alias("x"))
+    p = fits(spark, sf).where("converged").select(F.lit(2).alias("k"), F.concat_ws("_", "construction", "seed").alias("id"), (F.col("n") > 1.5).cast("int").alias("label"), F.array("E0", "n").alias("x"))
     return analysis.silhouette(p).withColumn("silhouette", F.round("silhouette", 8))
 
 
@@ -284,7 +301,7 @@ def r_squared(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT model_construction, dose, seed, eval_construction FROM results r WHERE NOT EXISTS (SELECT 1 FROM results d WHERE d.seed = 42 AND d.model_construction = r.model_construction AND d.dose = r.dose AND d.seed = r.seed AND d.eval_construction = r.eval_construction)", RES)
 def resume_anti(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["model_construction", "dose", "seed", "eval_construction"]
-    return evaluation.resume(results(spark).select(*keys), results(spark).where("seed = 42"), keys)
+    return evaluation.resume(results(spark, sf).select(*keys), results(spark, sf).where("seed = 42"), keys)
 
 
 @query("SELECT construction, s AS seed, count(*) AS n FROM items CROSS JOIN (VALUES (42), (43), (44)) AS t(s) GROUP BY 1, 2", core._ITEMS)
@@ -293,33 +310,34 @@ def seed_replicate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _per_item(spark: SparkSession, sf: str) -> DataFrame:
-    rows = core.items(spark, sf).select(F.col("construction").alias("eval_construction"), F.when(F.length("item_id") % 5 == 0, F.lit("missing")).otherwise(F.col("item_id")).alias("item_id"), (F.length("good_sentence") % 3 > 0).cast("int").alias("correct"))
-    return rows.crossJoin(spark.createDataFrame([("4",), ("16",)], "dose string"))
+    """Outcomes of items by cell; some items' sentences are missing."""
+    rows = core.cell_items(spark, sf).select(F.col("construction").alias("eval_construction"), F.when(F.length("item_id") % 5 == 0, F.lit("missing")).otherwise(F.col("item_id")).alias("item_id"), (F.length("good_sentence") % 3 > 0).cast("int").alias("correct"))
+    return rows.join(core.cells(spark).withColumnRenamed("construction", "eval_construction"), "eval_construction")
 
 
-_PER = "per_item AS (SELECT construction AS eval_construction, CASE WHEN length(item_id) % 5 = 0 THEN 'missing' ELSE item_id END AS item_id, (length(good_sentence) % 3 > 0)::INTEGER AS correct, dose FROM items CROSS JOIN (VALUES ('4'), ('16')) AS d(dose)), sentences AS (SELECT p.*, coalesce(i.good_sentence, '') AS sentence FROM per_item p LEFT JOIN items i ON i.construction = p.eval_construction AND i.item_id = p.item_id)"
+_PER = "per_item AS (SELECT construction AS eval_construction, CASE WHEN length(item_id) % 5 = 0 THEN 'missing' ELSE item_id END AS item_id, (length(good_sentence) % 3 > 0)::INTEGER AS correct, dose FROM items CROSS JOIN cells), sentences AS (SELECT p.*, coalesce(i.good_sentence, '') AS sentence FROM per_item p LEFT JOIN items i ON i.construction = p.eval_construction AND i.item_id = p.item_id)"
 
 
-@query("SELECT eval_construction, item_id, dose, sentence FROM sentences", core._ITEMS, _PER)
+@query("SELECT eval_construction, item_id, dose, sentence FROM sentences", core._CELLS, core.CELL_ITEMS, _PER)
 def item_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.item_sentences(_per_item(spark, sf), core.items(spark, sf)).select("eval_construction", "item_id", "dose", "sentence")
+    return evaluation.item_sentences(_per_item(spark, sf), core.cell_items(spark, sf)).select("eval_construction", "item_id", "dose", "sentence")
 
 
 def _seen(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = evaluation.item_sentences(_per_item(spark, sf), core.items(spark, sf)).withColumnRenamed("eval_construction", "construction")
-    vocab = evaluation.corpus_vocab(V.records(spark, sf).withColumn("dose", F.lit("4")), "dose")
-    return evaluation.seen_novel(labelled, vocab, ["dose"])
+    labelled = evaluation.item_sentences(_per_item(spark, sf), core.cell_items(spark, sf)).withColumnRenamed("eval_construction", "construction")
+    return evaluation.seen_novel_cells(labelled, V.base(V.records(spark, sf)), core.changes(spark, sf), core.cells(spark))
 
 
-_SEEN = f"vocab AS (SELECT DISTINCT w FROM (SELECT unnest({core.TOK}) AS w FROM records) WHERE w NOT IN ({core.STOP1})), labelled AS (SELECT s.*, CASE WHEN dose = '4' AND EXISTS (SELECT 1 FROM (SELECT unnest(regexp_extract_all(lower(s.sentence), '[a-z]+(?:''[a-z]+)?')) AS w) x WHERE x.w IN (SELECT w FROM vocab)) THEN 'seen' ELSE 'novel' END AS grp FROM sentences s)"
+_CORPORA = (V.RECORDS, V.POSITIVES, core._CELLS, core._KEPT, core._FILLERS, core._CORPUS)
+_SEEN = f"vocab AS (SELECT DISTINCT construction, dose, w FROM (SELECT construction, dose, unnest({core.TOK}) AS w FROM corpus) WHERE w NOT IN ({core.STOP1})), hits AS (SELECT DISTINCT s.eval_construction, s.dose, s.item_id FROM (SELECT eval_construction, dose, item_id, unnest(regexp_extract_all(lower(sentence), '[a-z]+(?:''[a-z]+)?')) AS w FROM sentences) s JOIN vocab v ON v.construction = s.eval_construction AND v.dose = s.dose AND v.w = s.w), labelled AS (SELECT s.*, CASE WHEN h.item_id IS NULL THEN 'novel' ELSE 'seen' END AS grp FROM sentences s LEFT JOIN hits h ON h.eval_construction = s.eval_construction AND h.dose = s.dose AND h.item_id = s.item_id)"
 
 
-@query("SELECT eval_construction AS construction, item_id, dose, grp AS \"group\" FROM labelled", V.RECORDS, core._ITEMS, _PER, _SEEN)
+@query("SELECT eval_construction AS construction, item_id, dose, grp AS \"group\" FROM labelled", *_CORPORA, core.CELL_ITEMS, _PER, _SEEN)
 def seen_novel(spark: SparkSession, sf: str) -> DataFrame:
     return _seen(spark, sf).select("construction", "item_id", "dose", "group")
 
 
-@query("SELECT c.construction, c.dose, g.grp AS \"group\", count(l.item_id) AS n, round(coalesce(avg(l.correct), 0), 8) AS accuracy, round(coalesce(sqrt(avg(l.correct) * (1 - avg(l.correct)) / count(l.item_id)), 0), 8) AS std_error FROM (SELECT DISTINCT eval_construction AS construction, dose FROM labelled) c CROSS JOIN (VALUES ('seen'), ('novel')) AS g(grp) LEFT JOIN labelled l ON l.eval_construction = c.construction AND l.dose = c.dose AND l.grp = g.grp GROUP BY 1, 2, 3", V.RECORDS, core._ITEMS, _PER, _SEEN)
+@query("SELECT c.construction, c.dose, g.grp AS \"group\", count(l.item_id) AS n, round(coalesce(avg(l.correct), 0), 8) AS accuracy, round(coalesce(sqrt(avg(l.correct) * (1 - avg(l.correct)) / count(l.item_id)), 0), 8) AS std_error FROM (SELECT DISTINCT eval_construction AS construction, dose FROM labelled) c CROSS JOIN (VALUES ('seen'), ('novel')) AS g(grp) LEFT JOIN labelled l ON l.eval_construction = c.construction AND l.dose = c.dose AND l.grp = g.grp GROUP BY 1, 2, 3", *_CORPORA, core.CELL_ITEMS, _PER, _SEEN)
 def seen_novel_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     out = evaluation.seen_novel_accuracy(_seen(spark, sf))
     return out.select("construction", "dose", "group", "n", F.round("accuracy", 8).alias("accuracy"), F.round("std_error", 8).alias("std_error"))
@@ -330,50 +348,78 @@ def health_check(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.health_check(spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("status"), F.col("value").alias("perplexity")))
 
 
-@query("SELECT construction, dose, row_number() OVER (ORDER BY dose = 'all', dose, construction) AS place FROM (" + core._CELL_SQL + ")")
+@query("SELECT model_construction AS construction, dose, row_number() OVER (ORDER BY dose = 'all', dose, model_construction) AS place FROM (SELECT DISTINCT model_construction, dose FROM results)", RES)
 def all_last_order(spark: SparkSession, sf: str) -> DataFrame:
-    """all comes last; other doses sort as text."""
+    """The cells of the results, which the design bounds: all comes last, other doses sort as text."""
     from pyspark.sql import Window as W
 
-    return DESIGN.cells(spark).select("construction", "dose", F.row_number().over(W.orderBy("is_all", "dose", "construction")).cast("bigint").alias("place"))
+    found = results(spark, sf).select(F.col("model_construction").alias("construction"), "dose").distinct()
+    return found.withColumn("place", F.row_number().over(W.orderBy(S.is_all(F.col("dose")), "dose", "construction")).cast("bigint"))
+
+
+@query(f"SELECT construction, d.dose, d.dose = 'all' AS is_all, try_cast(d.dose AS INTEGER) AS dose_num, count(r.accuracy) AS n_results FROM ({core._CELL_SQL}) d LEFT JOIN results r ON r.model_construction = construction AND r.dose = d.dose GROUP BY ALL", RES)
+def design_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The design's cells, with how many results each has."""
+    found = results(spark, sf).groupBy(F.col("model_construction").alias("construction"), "dose").agg(F.count("accuracy").alias("n_results"))
+    return DESIGN.cells(spark).join(found, ["construction", "dose"], "left").fillna(0, ["n_results"])
+
+
+@query(f"SELECT construction, d.dose, s.seed, count(r.accuracy) AS n_results FROM ({core._CELL_SQL}) d CROSS JOIN (VALUES (42), (43), (44)) AS s(seed) LEFT JOIN results r ON r.model_construction = construction AND r.dose = d.dose AND r.seed = s.seed GROUP BY ALL", RES)
+def design_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The design's runs, with how many results each has: what is left to do has fewer than test sets."""
+    found = results(spark, sf).groupBy(F.col("model_construction").alias("construction"), "dose", "seed").agg(F.count("accuracy").alias("n_results"))
+    return DESIGN.runs(spark).select("construction", "dose", "seed").join(found, ["construction", "dose", "seed"], "left").fillna(0, ["n_results"])
+
+
+@query("SELECT DISTINCT model_construction AS construction, dose, seed, format('ltgbert_{}_D{}_seed{}', model_construction, dose, seed) AS run FROM results", RES)
+def run_name(spark: SparkSession, sf: str) -> DataFrame:
+    """The names of the runs in the results."""
+    runs = results(spark, sf).select(F.col("model_construction").alias("construction"), "dose", "seed").distinct()
+    return runs.withColumn("run", S.run_name(F.col("construction"), F.col("dose"), F.col("seed")))
+
+
+@query("SELECT construction, dose, CASE dose WHEN 'all' THEN n ELSE least(dose::INTEGER, n) END::BIGINT AS expected FROM (SELECT construction, count(*) AS n FROM positives GROUP BY construction) CROSS JOIN cells", V.RECORDS, V.POSITIVES, core._CELLS)
+def expected_count(spark: SparkSession, sf: str) -> DataFrame:
+    n = V.positives(spark, sf).groupBy("construction").agg(F.count("*").alias("n"))
+    return n.join(core.cells(spark), "construction").select("construction", "dose", S.expected_count(F.col("dose"), F.col("n")).alias("expected"))
 
 
 @query()
 def hill_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return curves.hill_fit(series(spark))
+    return curves.hill_fit(series(spark, sf))
 
 
 @query()
 def hill_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return curves.hill_bootstrap(series(spark))
+    return curves.hill_bootstrap(series(spark, sf))
 
 
 @query()
 def curve_models(spark: SparkSession, sf: str) -> DataFrame:
-    return curves.curve_models(series(spark).where("is_core"))
+    return curves.curve_models(series(spark, sf).where("is_core"))
 
 
-def _clusters(spark: SparkSession, ks: tuple[int, ...]) -> DataFrame:
-    rows = analysis.zscore(analysis.curve_features(fits(spark)), ["E0", "Emax", "log_E50", "n"]).withColumn("id", F.concat_ws("_", "construction", "seed"))
+def _clusters(spark: SparkSession, sf: str, ks: tuple[int, ...]) -> DataFrame:
+    rows = analysis.zscore(analysis.curve_features(fits(spark, sf)), ["E0", "Emax", "log_E50", "n"]).withColumn("id", F.concat_ws("_", "construction", "seed"))
     return curves.kmeans(rows, ["E0_z", "Emax_z", "log_E50_z", "n_z"], ks)
 
 
 @query()
 def kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    return _clusters(spark, (2, 3, 4)).select("k", "id", "label")
+    return _clusters(spark, sf, (2, 3, 4)).select("k", "id", "label")
 
 
 @query()
 def bootstrap_mean_ci(spark: SparkSession, sf: str) -> DataFrame:
-    own = results(spark).where("model_construction = eval_construction").withColumn("cell", F.concat_ws("_", "model_construction", "dose"))
+    own = results(spark, sf).where("model_construction = eval_construction").withColumn("cell", F.concat_ws("_", "model_construction", "dose"))
     return analysis.bootstrap_mean_ci(own, "cell", "accuracy")
 
 
 @query()
 def decision(spark: SparkSession, sf: str) -> DataFrame:
-    models = analysis.closed_form_models(series(spark).where("is_core")).unionByName(curves.curve_models(series(spark).where("is_core")))
-    sil = analysis.silhouette(_clusters(spark, (2,)))
-    return analysis.decision(fits(spark), models, results(spark), sil)
+    models = analysis.closed_form_models(series(spark, sf).where("is_core")).unionByName(curves.curve_models(series(spark, sf).where("is_core")))
+    sil = analysis.silhouette(_clusters(spark, sf, (2,)))
+    return analysis.decision(fits(spark, sf), models, results(spark, sf), sil)
 
 
 @query("SELECT model_construction, dose, seed, eval_construction, accuracy, row_number() OVER (ORDER BY model_construction, dose, seed, eval_construction) AS place FROM results", RES)
@@ -381,7 +427,7 @@ def ordered_results(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the table of results in the order of construction, dose and seed; the design bounds them."""
     from pyspark.sql import Window as W
 
-    return results(spark).withColumn("place", F.row_number().over(W.orderBy("model_construction", "dose", "seed", "eval_construction")).cast("bigint"))
+    return results(spark, sf).withColumn("place", F.row_number().over(W.orderBy("model_construction", "dose", "seed", "eval_construction")).cast("bigint"))
 
 
 @query("SELECT construction, row_number() OVER (ORDER BY E0 DESC, construction) AS place FROM (SELECT eval_construction AS construction, round(avg(accuracy), 8) AS E0 FROM results WHERE model_construction = eval_construction AND dose = '0' GROUP BY 1)", RES)
@@ -389,13 +435,13 @@ def e0_order(spark: SparkSession, sf: str) -> DataFrame:
     """Constructions by their dose-0 accuracy, highest first."""
     from pyspark.sql import Window as W
 
-    out = analysis.indirect_evidence(results(spark), CODES).withColumn("E0", F.round("E0", 8))
+    out = analysis.indirect_evidence(results(spark, sf), CODES).withColumn("E0", F.round("E0", 8))
     return out.select("construction", F.row_number().over(W.orderBy(F.desc("E0"), "construction")).cast("bigint").alias("place"))
 
 
 @query("SELECT dose_value FROM series WHERE construction = 'aann' AND NOT isinf(dose_value) INTERSECT SELECT dose_value FROM series WHERE construction = 'resultative'", RES, _SERIES)
 def shared_doses(spark: SparkSession, sf: str) -> DataFrame:
-    s = series(spark)
+    s = series(spark, sf)
     return artefacts.shared_doses(s.where("construction = 'aann'"), s.where("construction = 'resultative'"))
 
 

@@ -1,15 +1,17 @@
 """Deterministic views over the driver's tables that stand in for annotated corpora, and the same views in SQL.
 
-One record per line of a document; ``sent_id`` is doc_id * 100000 + position, which keeps corpus order without a
-global sort. Even blocks of twenty documents are the base corpus, odd ones the replacement pool. Annotations come
+One record per line of a document; ``sent_id`` is doc_id * 2^31 + position, which keeps corpus order without a
+global sort; no text has so many lines. Even blocks of twenty documents are the base corpus, odd ones the replacement pool. Annotations come
 from a small suffix tagger: a test surrogate, not a parser.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Room for the lines of a document in an id: a string has fewer bytes.
+LINES = 1 << 31
 TOKEN = "[a-z]+(?:'[a-z]+)?|[0-9]+|[.,!?;:]"
 #: Surrogate constructions over plain text; all have hits in invented prose.
 PATTERNS = {
@@ -27,12 +29,12 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """sent_id, doc_id, pos, domain, text: non-blank lines."""
     lines = documents(spark, sf).select("doc_id", F.col("source").alias("domain"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
-    return lines.where(F.length(F.trim("text")) > 0).select((F.col("doc_id") * 100000 + F.col("pos")).alias("sent_id"), "doc_id", "pos", "domain", "text")
+    return lines.where(F.length(F.trim("text")) > 0).select((F.col("doc_id") * LINES + F.col("pos")).alias("sent_id"), "doc_id", "pos", "domain", "text")
 
 
 RECORDS = """
 records AS (
-  SELECT doc_id * 100000 + (pos - 1) AS sent_id, doc_id, (pos - 1)::INTEGER AS pos, source AS domain, line AS text
+  SELECT doc_id * 2147483648 + (pos - 1) AS sent_id, doc_id, (pos - 1)::INTEGER AS pos, source AS domain, line AS text
   FROM (SELECT doc_id, source, string_split(text, chr(10)) AS a FROM documents), unnest(a) WITH ORDINALITY AS u(line, pos)
   WHERE length(trim(line)) > 0
 )"""
@@ -138,6 +140,14 @@ def hits(rows: DataFrame) -> DataFrame:
     return found.select("construction", "sent_id", "domain", "text", F.size(F.regexp_extract_all("text", F.lit("\\S+"), F.lit(0))).alias("n"))
 
 
+def hit_of(construction: Column, text: Column) -> Column:
+    """Whether text has a hit of its row's construction."""
+    out = F.lit(False)
+    for c, p in PATTERNS.items():
+        out = F.when(construction == c, F.regexp_like(F.lower(text), F.lit(p))).otherwise(out)
+    return out
+
+
 def positives(spark: SparkSession, sf: str) -> DataFrame:
     """hits() in the base corpus, for the filler and dose queries."""
     return hits(base(records(spark, sf)))

@@ -27,6 +27,7 @@ def test_text(spark):
     assert one(spark, T.normalize_space(t), t=" a\u00a0b \n c ") == "a b c"
     assert sorted(one(spark, T.content_set(t), t="The cat and the other cat")) == ["cat", "other"]
     assert one(spark, T.content_list(t), t="The cat, (and) the cat!") == ["cat", "cat"]
+    assert one(spark, T.content_list(t), t="`cat` (dog)`") == ["`cat`", "dog)`"]
     assert one(spark, T.feature(t, "Number"), t="Number=Plur|Person=3") == "Plur"
     assert one(spark, T.feature(t, "Case"), t="Number=Plur") is None
 

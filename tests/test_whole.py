@@ -24,7 +24,7 @@ def sf(spark, tmp_path_factory):
 
 def lines(sf, spark):
     """(doc_id, sent_id, text) of all records."""
-    return [(r.doc_id, r.doc_id * 100000 + k, t) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for k, t in enumerate(r.text.split("\n"))]
+    return [(r.doc_id, r.doc_id * V.LINES + k, t) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for k, t in enumerate(r.text.split("\n"))]
 
 
 def test_every_cell_has_a_corpus(spark, sf):
@@ -37,7 +37,7 @@ def test_every_cell_has_a_corpus(spark, sf):
         kept = total[c] if d == "all" else min(int(d), total[c])
         assert (r.n, r.replaced) == (len(base), total[c] - kept)
         if kept == total[c]:
-            assert (r.ids, r.chars) == (sum(i for _, i, _ in base), sum(len(t) for *_, t in base))
+            assert (r.ids, r.chars) == (sum(i % 1000003 for _, i, _ in base), sum(len(t) for *_, t in base))
     sane = {(r.construction, r.dose): r for r in core.dose_sanity(spark, sf).collect()}
     assert set(sane) == {(c, d) for c in V.PATTERNS for d in core.DOSES if total[c]}
     for (c, d), r in sane.items():
@@ -71,15 +71,29 @@ def test_models_are_fitted_on_all_documents(spark, sf):
     assert abs(got["b0"] - sum(ends) / 2) < 1e-5
 
 
-def test_vocabulary_of_all_documents(spark, sf):
-    words = {w for *_, t in lines(sf, spark) for w in re.findall(r"[a-z]+", t)}
+def test_vocabulary_of_every_cell(spark, sf):
+    """Items are looked up in the whole corpus of their own cell."""
+    base = [x for x in lines(sf, spark) if x[0] // 20 % 2 == 0]
+    words = {w for *_, t in base for w in re.findall(r"[a-z]+", t)}
     texts = {f"b{r.item_id}": r.text.split() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    got = {r.item_id: r.group for r in stats.seen_novel(spark, sf).where("dose = '4' and item_id <> 'missing'").collect()}
-    assert got == {i: "seen" if words & set(t) else "novel" for i, t in texts.items()} and set(got.values()) == {"seen", "novel"}
+    got = stats.seen_novel(spark, sf).where("item_id <> 'missing'").collect()
+    assert {r.dose for r in got} == set(core.DOSES)
+    assert {r.item_id: r.group for r in got if r.dose == "all"} == {i: "seen" if words & set(t) else "novel" for i, t in texts.items()}
+    assert {r.group for r in got} == {"seen", "novel"}
+    sizes = {(r.construction, r.dose): r.n_words for r in core.cell_vocab(spark, sf).collect()}
+    assert {n for (_, d), n in sizes.items() if d == "all"} == {len(words - set(T.OVERLAP_STOPWORDS))}
     n = {}
     for r in stats.seen_novel_accuracy(spark, sf).where("dose = '4'").collect():
         n[r.group] = n.get(r.group, 0) + r.n
-    assert n == {"seen": 5, "novel": 5}
+    assert sum(n.values()) == 10
+
+
+def test_a_document_of_very_many_lines(spark, tmp_path):
+    """Ids of lines stay apart, however many lines a document has."""
+    rows = [(1, "\n".join(["x"] * 100_001), "en", "web", 1), (2, "the last word", "en", "web", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = V.records(spark, str(tmp_path))
+    assert got.count() == 100_002 == got.select("sent_id").distinct().count()
 
 
 def test_readers_and_statistics_see_all_documents(spark, sf):
