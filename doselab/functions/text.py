@@ -62,4 +62,4 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def nonblank(text: Column) -> Column:
-    return F.size(space_tokens(text)) > 0
+    return F.regexp_like(text, F.lit("(?U)\\S"))

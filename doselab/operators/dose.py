@@ -45,7 +45,8 @@ def keep_positives(positives: DataFrame, cells: DataFrame) -> DataFrame:
 def filler_index(pool: DataFrame) -> DataFrame:
     """domain, chunk, len, ids: the pool in order of domain and id, cut into chunks of 4096 rows; of each length of a chunk
     its ids, ascending. pool: sent_id, domain, n."""
-    rows = pool.select("domain", F.col("n").cast("bigint").alias("len"), F.col("sent_id").alias("id"))
+    # Written narrow first: ranges are cut from a sample, which would read the texts a second time.
+    rows = written(pool.select("domain", F.col("n").cast("bigint").alias("len"), F.col("sent_id").alias("id")), "pool")
     placed = rows.repartitionByRange("domain", "id").sortWithinPartitions("domain", "id")
     chunk = F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)
     return written(placed.withColumn("chunk", chunk).groupBy("domain", "chunk", "len").agg(F.sort_array(F.collect_list("id")).alias("ids")), "fillers")
@@ -63,7 +64,7 @@ def match_filler(slots: DataFrame, pool: DataFrame, pick: str = "hash") -> DataF
     """
     index = filler_index(pool)
     hist = index.select("domain", "chunk", "len", F.size("ids").cast("bigint").alias("c"))
-    slot = slots.select("sent_id", "domain", F.col("n").cast("bigint").alias("n"))
+    slot = written(slots.select("sent_id", "domain", F.col("n").cast("bigint").alias("n")), "slots")
     place = S.stable_index(F.col("sent_id"), F.col("n_candidates")) if pick == "hash" else F.lit(0).cast("bigint")
     asks = written(_at_difference(slot, hist, place), "asks")
     # Each pair of lengths that is asked for, with its counts by chunk.

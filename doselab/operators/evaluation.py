@@ -120,15 +120,28 @@ def self_rows(results: DataFrame) -> DataFrame:
     return results.where(F.col("model_construction") == F.col("eval_construction"))
 
 
-def discover_runs(spark: SparkSession, root: str, constructions: list[str]) -> DataFrame:
-    """construction, dose, seed, path of the checkpoint folders under root that hold a configuration and weights."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+def runs_in(files: DataFrame, constructions: list[str], doses: list[str], seeds: list[int]) -> DataFrame:
+    """construction, dose, seed, path, named: the folders of a listing (path of files) that are runs.
+
+    A run's folder holds a configuration and weights. A canonical name of the design comes first (named); any other
+    name may still hold construction, dose and seed in this order; folders of neither kind are left out.
+    """
     parts = files.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("path"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"))
     folders = parts.groupBy("path").agg(F.bool_or(F.col("file") == "config.json").alias("c"), F.bool_or(F.col("file").isin("model.safetensors", "pytorch_model.bin")).alias("w")).where("c and w")
-    name = F.regexp_extract("path", "([^/]+)$", 1)
-    pattern = "(" + "|".join([*constructions, "full"]) + ").*?(?:dose[-_]?|D)(\\d+|all).*?seed[-_]?(\\d+)"
-    got = folders.select("path", *[F.regexp_extract(name, pattern, k).alias(c) for k, c in ((1, "construction"), (2, "dose"), (3, "seed"))])
-    return got.where("construction <> ''").select("construction", "dose", F.col("seed").cast("int").alias("seed"), "path").orderBy("construction", "dose", "seed")
+    spark = files.sparkSession
+    known = spark.createDataFrame([(c, str(d), s) for c in constructions for d in doses for s in seeds], "construction string, dose string, seed int")  # the design's size
+    known = known.select(S.run_name(F.col("construction"), F.col("dose"), F.col("seed")).alias("_name"), F.struct("construction", "dose", "seed").alias("_known"))
+    folders = folders.withColumn("_name", F.regexp_extract("path", "([^/]+)$", 1)).join(hinted(known), "_name", "left")
+    pattern = "(" + "|".join(sorted([*constructions, "full"], key=len, reverse=True)) + ").*?(?:dose[-_]?|D)(\\d+|all).*?seed[-_]?(\\d+)"
+    read = F.struct(*[F.regexp_extract("_name", pattern, k).alias(c) for k, c in ((1, "construction"), (2, "dose"))], F.regexp_extract("_name", pattern, 3).try_cast("int").alias("seed"))
+    out = folders.select("path", F.coalesce("_known", read).alias("r"), F.col("_known").isNotNull().alias("named")).where("r.construction <> ''")
+    return out.select("r.construction", "r.dose", "r.seed", "path", "named")
+
+
+def discover_runs(spark: SparkSession, root: str, constructions: list[str], doses: list[str] = ("0", "4", "16", "64", "all"), seeds: list[int] = (42, 43, 44)) -> DataFrame:
+    """runs_in() all files under root, in order of construction, dose and seed. Only names are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    return runs_in(files, list(constructions), list(doses), list(seeds)).orderBy("construction", "dose", "seed", "path")
 
 
 def health_check(runs: DataFrame, low: float = 15.0, high: float = 40.0) -> DataFrame:

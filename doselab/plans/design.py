@@ -53,6 +53,16 @@ class Design:
         return cells.crossJoin(spark.createDataFrame([(s,) for s in self.seeds], "seed int"))
 
 
+def definitions(spark: SparkSession, config: dict, constructions: list[str]) -> DataFrame:
+    """construction, definition: its name and example from a configuration of constructions; its code where that has none."""
+    rows = []
+    for code in constructions:
+        entry = config.get(code) or {}
+        name, example = entry.get("name", code), entry.get("example", "")
+        rows.append((code, f'{name}. Example: "{example}"' if example else name))
+    return spark.createDataFrame(rows, "construction string, definition string")
+
+
 def load_config(path: str | Path) -> dict:
     import yaml
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from doselab.functions import scalars as S
 from doselab.functions import text as T
 from doselab.operators import dose, evaluation, lm, match, running
-from doselab.operators.stable import written
+from doselab.operators.stable import scratch_path, written
 from doselab.plans.design import Design
 from doselab.queries import views as V
-from doselab.sources import readers, writers
+from doselab.sources import artefacts, readers, writers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -79,14 +79,21 @@ def conllu_words(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT (row_number() OVER (ORDER BY doc_id, pos))::BIGINT AS block_no, sent_id FROM records", R)
 def scan_conllu_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """All blocks of one text, split again; the file is built from all records in order."""
-    rows = V.records(spark, sf).select("doc_id", "sent_id", writers.conllu_block(F.col("sent_id"), F.col("domain"), F.col("text"), writers.plain_words(F.col("text"))).alias("b"))
-    # One file per document, blocks in order; block numbers then run over documents by counts, not by a global sort.
-    files = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_id", "b"))), lambda x: x["b"]), "\n").alias("value"))
-    parts = files.select("doc_id", F.filter(F.split("value", r"\n[ \t\r]*(?:\n[ \t\r]*)+", -1), lambda x: F.length(F.trim(x)) > 0).alias("blocks"))
-    offsets = running.totals(parts.select("doc_id", F.size("blocks").cast("bigint").alias("n")), "doc_id", "n", "before").select("doc_id", "before")
-    out = parts.join(offsets, "doc_id").select("before", F.posexplode("blocks").alias("pos", "block"))
-    return out.select((F.col("before") + F.col("pos") + 1).alias("block_no"), readers.header_value(F.col("block"), "sent_id").cast("bigint").alias("sent_id"))
+    """All records written as ordered CoNLL-U files and read again in splits; blocks are numbered over splits and files by counts."""
+    rows = V.records(spark, sf).select("sent_id", F.col("domain").alias("source_domain"), "text", writers.plain_words(F.col("text")).alias("words"))
+    path = scratch_path(spark, "conllu")
+    writers.write_conllu(rows, path)
+    blocks = readers.placed_blocks(spark, path, "\n", ())
+    return blocks.select(F.col("place").alias("block_no"), readers.header_value(F.col("block"), "sent_id").cast("bigint").alias("sent_id"))
+
+
+@query("SELECT sent_id, domain AS source_domain, trim(text) AS text, len(regexp_extract_all(text, '\\S+'))::INTEGER AS word_count FROM records", R)
+def scan_conllu(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files' metadata; no words are parsed."""
+    rows = V.records(spark, sf).select("sent_id", F.col("domain").alias("source_domain"), "text", writers.plain_words(F.col("text")).alias("words"))
+    path = scratch_path(spark, "conllu")
+    writers.write_conllu(rows, path)
+    return readers.scan_conllu(spark, path).select("sent_id", "source_domain", "text", "word_count")
 
 
 _ITEMS = """
@@ -266,7 +273,9 @@ def audits(spark: SparkSession, sf: str) -> DataFrame:
 
 def changes(spark: SparkSession, sf: str) -> DataFrame:
     """What each removable positive takes out and brings in; written, as several sums read it."""
-    return written(dose.changes(dose.ladder(V.positives(spark, sf)), _fillers(spark, sf), V.pool(V.records(spark, sf))), "changes")
+    positives = written(V.positives(spark, sf), "positives")
+    fillers = dose.match_filler(positives.select("sent_id", "domain", "n").distinct(), _pool(spark, sf))
+    return written(dose.changes(written(dose.ladder(positives), "ladder"), fillers, V.pool(V.records(spark, sf))), "changes")
 
 
 @query("SELECT construction, dose, count(*) AS n, count(*) FILTER (WHERE slot_id <> sent_id) AS replaced, sum(length(text))::BIGINT AS chars, sum(sent_id % 1000003)::BIGINT AS ids FROM corpus GROUP BY construction, dose", R, P, _CELLS, _KEPT, _FILLERS, _CORPUS)
@@ -442,6 +451,34 @@ def ngram_cell_scores(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("construction", "dose", "k.*", F.round(F.round("score", 9), 4).alias("score"))
 
 
+@query("""
+SELECT construction || '_dose-' || dose AS cell, count(*) AS n, sum(place * (sent_id % 1009))::BIGINT AS ids FROM (
+  SELECT construction, dose, sent_id, row_number() OVER (PARTITION BY construction, dose ORDER BY slot_id) AS place FROM (
+    SELECT construction, dose, slot_id, sent_id FROM corpus UNION ALL SELECT 'full', 'all', sent_id, sent_id FROM base)) GROUP BY ALL""", R, P, _CELLS, _KEPT, _FILLERS, _CORPUS)
+def cell_corpora(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cell's corpus and the full one as ordered CoNLL-U files, read back against their manifest."""
+    all_cells = cells(spark).union(spark.createDataFrame([("full", "all")], "construction string, dose string"))
+    positives = written(V.positives(spark, sf), "positives")
+    rows = V.records(spark, sf)
+    fillers = dose.match_filler(positives.select("sent_id", "domain", "n").distinct(), _pool(spark, sf))
+    out = dose.dose_corpus(V.base(rows), V.pool(rows), dose.substitutions(dose.keep_positives(positives, cells(spark)), fillers), all_cells)
+    path = scratch_path(spark, "corpora")
+    artefacts.write_cell_corpora(out.withColumnRenamed("domain", "source_domain").withColumn("words", writers.plain_words(F.col("text"))), path)
+    blocks = artefacts.read_cell_corpora(spark, path)
+    sent = readers.header_value(F.col("block"), "sent_id").cast("bigint")
+    return blocks.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.col("pos") * (sent % 1009)).alias("ids"))
+
+
+@query("SELECT fault, count(*) AS n FROM (SELECT CASE WHEN item_id % 7 = 3 THEN 'missing field ''bad_sentence''' WHEN item_id % 11 = 5 THEN 'no JSON' WHEN item_id % 13 = 1 THEN 'no object' END AS fault FROM benchmark) WHERE fault IS NOT NULL GROUP BY fault")
+def item_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Item files in which some lines are broken, by kind of fault; the reader itself stops at the first with its file and line."""
+    i, n = items(spark, sf), F.expr("substr(item_id, 2)").cast("bigint")
+    line = F.when(n % 7 == 3, F.to_json(F.struct("item_id", "construction", "good_sentence"))).when(n % 11 == 5, "{broken").when(n % 13 == 1, F.to_json(F.array("item_id"))).otherwise(F.to_json(F.struct("*")))
+    path = scratch_path(spark, "items")
+    i.select(line.alias("value")).write.text(path)
+    return readers.item_faults(readers.numbered_lines(spark, path)).groupBy("fault").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT construction, dose, count(DISTINCT w) AS n_words FROM (SELECT construction, dose, unnest({TOK}) AS w FROM corpus) WHERE w NOT IN ({STOP1}) GROUP BY ALL", R, P, _CELLS, _KEPT, _FILLERS, _CORPUS)
 def cell_vocab(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct content words of every cell's corpus, from the base's counts and signed changes."""

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from doselab.functions import scalars as S
 from doselab.functions import text as T
 from doselab.operators import analysis, curves, evaluation
+from doselab.operators.positions import first_rows
+from doselab.operators.stable import scratch_path, written
 from doselab.plans.design import FULL, SEEDS, Design
 from doselab.queries import core
 from doselab.queries import views as V
 from doselab.queries.core import query
-from doselab.sources import artefacts, readers
+from doselab.sources import artefacts, readers, writers
 
 DESIGN = Design()
 CODES = DESIGN.constructions
@@ -445,11 +447,45 @@ def shared_doses(spark: SparkSession, sf: str) -> DataFrame:
     return artefacts.shared_doses(s.where("construction = 'aann'"), s.where("construction = 'resultative'"))
 
 
-@query("SELECT round(sum(length(text))::DOUBLE / sum(len(regexp_extract_all(text, '\\S+'))), 8) AS tokens_per_word FROM (SELECT text FROM records ORDER BY sent_id LIMIT 2000)", V.RECORDS)
+@query("SELECT round(sum(length(text))::DOUBLE / sum(len(regexp_extract_all(text, '\\S+'))), 8) AS chars_per_word FROM (SELECT text FROM records ORDER BY sent_id LIMIT 2000)", V.RECORDS)
+def chars_per_word(spark: SparkSession, sf: str) -> DataFrame:
+    """The same ratio with characters as tokens, which SQL can express too."""
+    out = artefacts.tokens_per_word(V.records(spark, sf).select("sent_id", "text"), F.length("text"), T.space_count(F.col("text")), "sent_id")
+    return out.select(F.round("tokens_per_word", 8).alias("chars_per_word"))
+
+
+@query()
 def tokens_per_word(spark: SparkSession, sf: str) -> DataFrame:
-    """Characters stand in for the tokens of an outside tokenizer."""
-    out = artefacts.tokens_per_word(V.records(spark, sf), F.length("text"), T.space_count(F.col("text")), "sent_id")
-    return out.select(F.round("tokens_per_word", 8).alias("tokens_per_word"))
+    """Tokens of a public byte-level vocabulary by words, over the first 2000 sentences (the operator's sample)."""
+    import public_tokenizers
+
+    first = first_rows(V.records(spark, sf).select("sent_id", "text"), ["sent_id"], 2000)
+    counted = artefacts.token_counts(first, public_tokenizers.path("byte_bpe_50k.json"))
+    return artefacts.tokens_per_word(counted, F.col("n_tokens"), T.space_count(F.col("text")), "sent_id")
+
+
+@query("SELECT model_construction AS construction, dose, seed, '/models/' || CASE WHEN seed = 44 THEN model_construction || '-dose_' || dose || '-seed-44' ELSE format('ltgbert_{}_D{}_seed{}', model_construction, dose, seed) END AS path, seed <> 44 AS named FROM (SELECT DISTINCT model_construction, dose, seed FROM results) WHERE NOT (dose = '0' AND seed = 43)", RES)
+def discover_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs in a listing of files, made from the results: canonical and other names, and folders without a configuration."""
+    runs = results(spark, sf).select("model_construction", "dose", "seed").distinct()
+    c, d, s = (F.col(x) for x in ("model_construction", "dose", "seed"))
+    name = F.when(s == 44, F.concat(c, F.lit("-dose_"), d, F.lit("-seed-44"))).otherwise(S.run_name(c, d, s))
+    wanted = F.when((d == "0") & (s == 43), F.array(F.lit("model.safetensors"))).otherwise(F.array(F.lit("config.json"), F.lit("model.safetensors")))
+    files = runs.select(F.concat(F.lit("/models/"), name).alias("f"), F.explode(wanted).alias("x")).select(F.concat_ws("/", "f", "x").alias("path"))
+    return evaluation.runs_in(files, [*CODES, FULL], ["0", "4", "16", "64", "all"], SEEDS)
+
+
+@query("SELECT construction, dose, n_pairs, n_correct, n_items, n_pairs AS n_pending FROM (SELECT eval_construction AS construction, dose, count(*)::INTEGER AS n_pairs, sum(correct)::INTEGER AS n_correct, count(*) AS n_items FROM per_item GROUP BY ALL) WHERE dose NOT IN ('0', '4') UNION ALL SELECT eval_construction, dose, count(*)::INTEGER, sum(correct)::INTEGER, count(*), 0 FROM per_item WHERE dose IN ('0', '4') GROUP BY ALL", core._CELLS, core.CELL_ITEMS, _PER)
+def scored_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes appended in parts, one append dead between its two writes, and the whole run again: each group is there once."""
+    rows = core.cell_items(spark, sf).select("construction", "item_id", (F.length("good_sentence") % 3 > 0).cast("int").alias("correct")).join(core.cells(spark), "construction")
+    sink = writers.ScoredSink(spark, scratch_path(spark, "sink"), ["construction", "dose"], "construction string, dose string, item_id string, correct int")
+    sink.append(rows.where("dose in ('0', '4')"))
+    sink.write_items(rows.where("dose = '16'"))
+    pending = written(sink.pending(rows).groupBy("construction", "dose").agg(F.count("*").cast("int").alias("n_pending")), "pending")
+    sink.append(rows)
+    counts = sink.items().groupBy("construction", "dose").agg(F.count("*").alias("n_items"))
+    return sink.groups().join(counts, ["construction", "dose"]).join(pending, ["construction", "dose"], "left").fillna(0, ["n_pending"]).select("construction", "dose", "n_pairs", "n_correct", "n_items", "n_pending")
 
 
 @query("SELECT o_orderkey, o_orderkey % 4 = 1 AS done FROM orders")

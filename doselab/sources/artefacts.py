@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doselab import schemas
-from doselab.sources.readers import scan_csv
+from doselab.operators.positions import first_rows, positioned
+from doselab.operators.stable import written
+from doselab.sources.readers import placed_blocks, scan_csv
 from doselab.sources.writers import conllu_block
 
 
@@ -14,14 +17,33 @@ def cell_name(construction: Column, dose: Column) -> Column:
     return F.concat(construction, F.lit("_dose-"), dose)
 
 
+def _checksum(place: Column, block: Column) -> Column:
+    """A sum over rows that changes with any block and with its place."""
+    return F.sum(F.xxhash64(place.cast("long"), F.rtrim(block, F.lit(" \t\r\n"))).cast("decimal(38,0)")).cast("string")
+
+
 def write_cell_corpora(corpora: DataFrame, path: str) -> None:
-    """A folder of CoNLL-U text for each cell, in corpus order. corpora: construction, dose, slot_id, sent_id, source_domain, text, words.
+    """A folder of CoNLL-U text for each cell, in corpus order, and a manifest. corpora: construction, dose, slot_id, sent_id, source_domain, text, words.
 
-    Cells are dealt into ranges of slots, so that a large cell is several files whose names sort in corpus order.
+    Cells are dealt into ranges of slots, so that a large cell is several files whose names sort in corpus order. The manifest
+    has a row a cell: how many blocks, and a checksum over blocks and places. It is written last: a folder without one is unfinished.
     """
     block = conllu_block(F.col("sent_id"), F.col("source_domain"), F.col("text"), F.col("words"))
     rows = corpora.select(cell_name(F.col("construction"), F.col("dose")).alias("cell"), "slot_id", block.alias("value"))
-    rows.repartitionByRange("cell", "slot_id").sortWithinPartitions("cell", "slot_id").select("cell", "value").write.mode("overwrite").partitionBy("cell").text(path)
+    placed = written(positioned(rows, ["cell"], ["slot_id"]).select("cell", "pos", "value"), "placed")
+    placed.repartitionByRange("cell", "pos").sortWithinPartitions("cell", "pos").select("cell", "value").write.mode("overwrite").partitionBy("cell").text(f"{path}/corpora")
+    placed.groupBy("cell").agg(F.count("*").alias("n"), _checksum(F.col("pos"), F.col("value")).alias("checksum")).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_cell_corpora(spark: SparkSession, path: str) -> DataFrame:
+    """cell, pos, block of corpora that write_cell_corpora() wrote; raises where a cell's blocks or their order differ from the manifest."""
+    out = placed_blocks(spark, f"{path}/corpora", "\n", ("cell",)).select("cell", F.col("place").alias("pos"), "block")
+    told = spark.read.schema("cell string, n long, checksum string").json(f"{path}/manifest")
+    found = out.groupBy("cell").agg(F.count("*").alias("n"), _checksum(F.col("pos"), F.col("block")).alias("checksum"))
+    bad = told.join(found, ["cell", "n", "checksum"], "left_anti").select("cell").union(found.join(told, "cell", "left_anti").select("cell")).orderBy("cell").limit(5).collect()
+    if bad:
+        raise ValueError(f"corpora differ from their manifest: {', '.join(r['cell'] for r in bad)}")
+    return out
 
 
 def audit_json(audit: DataFrame) -> DataFrame:
@@ -52,9 +74,27 @@ def run_complete(manifest: Column, metric: str = "perplexity") -> Column:
     return F.coalesce(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
 
 
+def token_counts(sentences: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """sentences with n_tokens: ids of text by a tokenizer file, without special tokens; null for null."""
+    names = [c for c in sentences.columns if c != "n_tokens"]
+    fields = ", ".join(f"`{c}` {t}" for c, t in sentences.select(*names).dtypes)
+
+    def each(batches):
+        from tokenizers import Tokenizer
+
+        encode = Tokenizer.from_file(tokenizer)
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            found = encode.encode_batch([t or "" for t in texts], add_special_tokens=False)
+            counts = pa.array([None if t is None else len(e.ids) for t, e in zip(texts, found, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), counts], names=[*names, "n_tokens"])
+
+    return sentences.select(*names).mapInArrow(each, f"{fields}, n_tokens long")
+
+
 def tokens_per_word(sentences: DataFrame, tokens: Column, words: Column, order: str, first: int = 2000) -> DataFrame:
     """tokens_per_word over the first sentences in order: all tokens by all words, null without words. The limit is the operator's."""
-    some = sentences.orderBy(order).limit(first).agg(F.sum(tokens).alias("_t"), F.sum(words).alias("_w"))
+    some = first_rows(sentences, [order], first).agg(F.sum(tokens).alias("_t"), F.sum(words).alias("_w"))
     return some.select(F.try_divide(F.col("_t"), F.nullif("_w", F.lit(0))).alias("tokens_per_word"))
 
 
