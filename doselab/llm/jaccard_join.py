@@ -668,10 +668,11 @@ def _degree_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["rep", "n_links"])
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
+def jaccard_join(docs: DataFrame, count_links: bool = True) -> DataFrame:
     """docs: doc_id, text. doc_id, n_shingles, component_id, class_id (first document of equal sets), n_links, text_hash, row, component.
 
-    A row each. n_links counts all other classes that the row's class links with. text_hash (of the text) and doc_id name
+    A row each. n_links counts all other classes that the row's class links with; it is null if count_links is false, which
+    saves the texts' visits to their components' blocks. text_hash (of the text) and doc_id name
     a row's kind, row tells equal rows apart, and component is the same for all rows that links connect.
     """
     texts = Texts(docs.selectExpr("cast(doc_id as long) doc_id", "text"))
@@ -679,7 +680,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     classes = materialise(texts.table.where("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min("doc_id").alias("class_id")), "classes")
     _, labels = links(texts, classes.select("rep"))
     linked = materialise(classes.join(labels, F.col("rep") == F.col("id")).select("rep", "n", "class_id", "label"), "linked")
-    degree = degrees(texts, linked.select("rep", "n", "label"))
+    degree = degrees(texts, linked.select("rep", "n", "label")) if count_links else linked.select("rep", F.lit(None).cast("long").alias("n_links"))
     named = materialise(linked.groupBy("label").agg(F.min("class_id").alias("component_id")), "named")
     linked = split_join(linked, named, ["label"]).select("rep", "label", "component_id").join(degree, "rep")
     known = materialise(classes.join(linked, "rep", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("class_id")).otherwise(F.col("component_id"))), "known")
@@ -687,7 +688,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     empty = F.col("n") == 0
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), *[F.when(empty, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("component_id", "class_id")],
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_hash", "row", F.coalesce("label", "rep", "row").alias("component"),
+        (F.coalesce("n_links", F.lit(0)) if count_links else F.col("n_links")).cast("long").alias("n_links"), "text_hash", "row", F.coalesce("label", "rep", "row").alias("component"),
     )
 
 
@@ -705,7 +706,7 @@ def one_of_each(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one row of each component."""
-    gone, several = one_of_each(materialise(jaccard_join(docs), "joined"))
+    gone, several = one_of_each(materialise(jaccard_join(docs, count_links=False), "joined"))
     out = without(docs, gone)
     if not several.limit(1).count():
         return out

@@ -151,6 +151,23 @@ def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(table, fit(table, labels.selectExpr("cast(doc_id as long) doc_id", "cast(label as int) label")))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is least or more, all columns as they are; texts are scored where they are read, and not shuffled."""
+    table = materialise(feature_table(docs), "features")
+    model = fit(table, labels.selectExpr("cast(doc_id as long) doc_id", "cast(label as int) label"))
+    names = docs.columns
+    places = [f"_{k}" for k in range(len(names))]
+    at = places[names.index("text")]
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = [features(buf, offsets) for _, buf, offsets in tx.chunks(batch.column(at))]
+        return batch.filter(pa.array(model.score(np.concatenate(x)) >= least)) if x else batch
+
+    # Columns travel under numbers: extra ones may have any name.
+    numbered = docs.toDF(*places)
+    return map_batches(numbered, each, ", ".join(f"{p} {t}" for p, t in numbered.dtypes)).toDF(*names)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     train = labels.where(~held_out(F.col("doc_id"), 3, 1)).select("doc_id", F.col("quality").alias("label"))

@@ -36,5 +36,5 @@ def test_stages(spark, tmp_path):
 
 
 def test_registered():
-    assert [q.split("_")[0] for q in sorted(queries.queries(), key=lambda q: int(q[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in sorted(queries.queries(), key=lambda q: int(q[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
