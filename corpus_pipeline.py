@@ -16,19 +16,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doselab.llm.common import held_out, materialise, without
+from doselab.llm.common import held_out, materialise
 from doselab.llm.jaccard_join import deduplicate
 from doselab.llm.line_dedup import deduplicate_lines
 from doselab.llm.mixing import repeat
 from doselab.llm.packing import best_fit_packing, public_encoder
-from doselab.llm.quality_classifier import quality_classifier
+from doselab.llm.quality_classifier import good_documents
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is under 0.5 go; a tie at 0.5 stays. It learns from the labels of op8's training rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     train = labels.where(~held_out(F.col("doc_id"), 3, 1)).select("doc_id", F.col("quality").alias("label"))
-    return without(docs, quality_classifier(docs, train).where("score < 0.5"))
+    return good_documents(docs, train)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
