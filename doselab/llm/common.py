@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -57,6 +58,21 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def freed(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn, at whose end the worker gives freed memory back to the system: Spark keeps idle workers beside the running ones."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return each
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None], schema: str) -> DataFrame:
     """fn over every Arrow batch."""
     bounded_batches(df.sparkSession)
@@ -67,7 +83,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | I
             if out is not None:
                 yield from [out] if isinstance(out, pa.RecordBatch) else out
 
-    return df.mapInArrow(each, schema)
+    return df.mapInArrow(freed(each), schema)
 
 
 def held_out(doc_id: Column, modulus: int, rest: int) -> Column:

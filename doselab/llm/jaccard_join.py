@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doselab.llm import textnp as tx
-from doselab.llm.common import bounded_batches, discard, map_batches, materialise, release, small, split_join, split_keys, whole_rows, without
+from doselab.llm.common import bounded_batches, discard, freed, map_batches, materialise, release, small, split_join, split_keys, whole_rows, without
 
 #: Words in a shingle; similarity in hundredths; texts at a pivot from which on it comes last; texts per salt.
 WORDS, PERCENT, CROWD, PER_SALT = 5, 80, 64, 64
@@ -257,7 +257,7 @@ def shared(entries: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in held[:4]), pa.array(np.zeros(len(held[0]), bool))], names=[*names[:4], "hot"])
 
     bounded_batches(entries.sparkSession, rows=50_000)
-    return entries.repartition("s", "part").sortWithinPartitions("s").mapInArrow(each, "s long, rep long, n int, k int, hot boolean")
+    return entries.repartition("s", "part").sortWithinPartitions("s").mapInArrow(freed(each), "s long, rep long, n int, k int, hot boolean")
 
 
 def regions(texts: Texts, reps: DataFrame) -> DataFrame:
@@ -342,7 +342,7 @@ def _travel(rows: DataFrame, fields: dict[str, pa.DataType], schema: str, part:
                 yield _trip_batch(cols, held, fields)
 
     bounded_batches(rows.sparkSession)
-    return rows.select("rep", "n", "data", "trips").mapInArrow(sending, f"{schema}, x long, n long, data binary")
+    return rows.select("rep", "n", "data", "trips").mapInArrow(freed(sending), f"{schema}, x long, n long, data binary")
 
 
 def _trip_batch(cols: dict[str, list], held: tuple[list, list, list], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -381,7 +381,7 @@ def _meet(texts: Texts, pairs: DataFrame, whole: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["x", "p", "common", "joint"])
 
     ordered = sent.repartition("p", "salt").sortWithinPartitions("p", "salt", "role")
-    out = materialise(ordered.mapInArrow(compare, "x long, p long, common long, joint long"), "measured")
+    out = materialise(ordered.mapInArrow(freed(compare), "x long, p long, common long, joint long"), "measured")
     discard(texts.spark, trips.scratch_path)
     return out
 
@@ -506,7 +506,7 @@ def blocks(texts: Texts, named: DataFrame) -> DataFrame:
                         found[1].append(ids[k])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["x", "p"])
 
-    out = materialise(sent.repartition(*cell).sortWithinPartitions(*cell, "role").mapInArrow(compare, "x long, p long"), "block_links")
+    out = materialise(sent.repartition(*cell).sortWithinPartitions(*cell, "role").mapInArrow(freed(compare), "x long, p long"), "block_links")
     discard(spark, trips.scratch_path)
     release(spark)
     return out
@@ -657,7 +657,7 @@ def degrees(texts: Texts, members: DataFrame) -> DataFrame:
         if own_cell:
             yield _degree_batch(list(counts(held, ids)))
 
-    counted = sent.repartition(*cell).sortWithinPartitions(*cell, "role").mapInArrow(count, "rep long, n_links long")
+    counted = sent.repartition(*cell).sortWithinPartitions(*cell, "role").mapInArrow(freed(count), "rep long, n_links long")
     out = materialise(counted.groupBy("rep").agg(F.sum("n_links").alias("n_links")).unionByName(pairs), "degrees")
     discard(spark, trips.scratch_path)
     release(spark)
