@@ -395,8 +395,14 @@ def measure(texts: Texts, pairs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, label (the smallest id reachable) of the linked ids: minimum labels spread, then jump to their label's label."""
-    edges = materialise(links.select(F.col("x").alias("a"), F.col("p").alias("b")).union(links.select("p", "x")), "edges")
+    """id, label (the smallest id reachable) of the linked ids: minimum labels spread, then jump to their label's label.
+
+    A text that links with several pivots keeps its link to the smallest; the others hang on that pivot instead. This connects the
+    same ids, and the texts of a large group, which share their pivots, leave each such pair of pivots once.
+    """
+    stars = links.withColumn("m", F.min("p").over(W.partitionBy("x")))
+    thin = stars.select(F.col("x").alias("a"), F.col("m").alias("b")).union(stars.where("p <> m").select("m", "p")).distinct()
+    edges = materialise(thin.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*"), "edges")
     dealt, give, on = split_keys(edges, ["b"], LEAST)
     state = materialise(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")), "labels")
     while True:
