@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import base64
 import itertools
+import json
 
 import numpy as np
 
 from doselab.llm import textnp as tx
 
-CACHE = 400_000
+CACHE = 200_000
 _LETTER, _DIGIT, _SPACE, _OTHER = 1, 2, 3, 4
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _CLASS[0x80:] = _LETTER
@@ -68,12 +69,10 @@ class Encoder:
         return {"args": self.args, "ready": False}
 
     def _open(self) -> None:
-        from tokenizers import Tokenizer
-
         path, ranks, pattern = self.args
-        self.full = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.full.get_added_tokens_decoder().values()]
-        self.fast = None
+        with open(path, encoding="utf-8") as file:
+            self.special = [t["content"].encode() for t in json.load(file)["added_tokens"]]
+        self._full, self.fast = None, None
         if ranks:
             import tiktoken
 
@@ -83,6 +82,15 @@ class Encoder:
         self._forget()
         self.ready = True
 
+    @property
+    def full(self):
+        """The tokenizer file itself, opened where a text asks for it."""
+        if self._full is None:
+            from tokenizers import Tokenizer
+
+            self._full = Tokenizer.from_file(self.args[0])
+        return self._full
+
     def _forget(self) -> None:
         self.slot: dict[int, int] = {}
         self.size = np.zeros(1 << 12, np.int64)
