@@ -241,9 +241,9 @@ def _fillers(spark: SparkSession, sf: str) -> DataFrame:
     return dose.match_filler(V.positives(spark, sf).select("sent_id", "domain", "n").distinct(), _pool(spark, sf)).select("sent_id", "filler_id", "tier", "n_candidates")
 
 
-@query("SELECT construction, dose, sent_id, kept FROM kept", R, P, _CELLS, _KEPT)
+@query("SELECT construction, dose, sent_id, kept FROM kept", R, V.HITS, "positives AS (SELECT * FROM hits)", _CELLS, _KEPT)
 def keep_positives(spark: SparkSession, sf: str) -> DataFrame:
-    return dose.keep_positives(V.positives(spark, sf), cells(spark)).select("construction", "dose", "sent_id", "kept")
+    return dose.keep_positives(V.hits(V.records(spark, sf)), cells(spark)).select("construction", "dose", "sent_id", "kept")
 
 
 @query("SELECT sent_id, filler_id, tier::INTEGER AS tier, n_candidates FROM fillers", R, P, _FILLERS)
@@ -582,9 +582,9 @@ def corpus_vocab(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.corpus_vocab(V.records(spark, sf)).agg(F.count("*").alias("n"))
 
 
-@query("SELECT construction, count(*) AS n FROM (SELECT DISTINCT construction, sent_id FROM positives WHERE construction IN ('and_the', 'be_to')) GROUP BY construction", R, P)
+@query("SELECT construction, count(*) AS n FROM (SELECT DISTINCT construction, sent_id FROM hits WHERE construction IN ('and_the', 'be_to')) GROUP BY construction", R, V.HITS)
 def union_all(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.positives(spark, sf)
+    rows = V.hits(V.records(spark, sf))
     return rows.where("construction = 'and_the'").unionByName(rows.where("construction = 'be_to'")).groupBy("construction").agg(F.count("*").alias("n"))
 
 
