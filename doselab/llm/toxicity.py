@@ -29,7 +29,7 @@ from doselab.llm.common import held_out, map_batches, materialise
 #: Labelled documents of each class to learn from at most.
 SAMPLE = 4000
 #: Letters of the stems tried; the shortest word that a misspelling may stand for; words on each side of a hit.
-STEMS, FUZZY_FROM, WINDOW = (4, 5, 6), 5, 8
+STEMS, FUZZY_FROM, WINDOW = (4, 5, 6, 7), 5, 8
 #: What a misspelt hit counts of a plain one.
 MISSPELT = 0.75
 #: How often a lexicon entry's documents are toxic, at least.
@@ -153,9 +153,13 @@ class Automaton:
 
 
 def _units(text: bytes) -> set[bytes]:
-    """What a text may contribute to the lexicon: its words and, marked by a leading *, their stems."""
+    """What a text may contribute to the lexicon: its words and, marked by a leading *, the stems of two or more of them.
+
+    One word may begin with a stem by chance, where words are made of few syllables.
+    """
     words = set(_WORD.findall(text.translate(_LOWER.tobytes())))
-    return {w for w in words if 3 <= len(w) <= 40} | {b"*" + w[:n] for w in words for n in STEMS if len(w) > n}
+    stems = Counter(w[:n] for w in words for n in STEMS if len(w) > n)
+    return {w for w in words if 3 <= len(w) <= 40} | {b"*" + u for u, n in stems.items() if n > 1}
 
 
 def learn_lexicon(rows: DataFrame) -> tuple[list[bytes], list[bytes]]:
@@ -210,6 +214,20 @@ def _confirmed(rows: DataFrame, units: list[bytes], least: int) -> tuple[list[by
     return sorted(u for u in kept if u[:1] != b"*"), sorted(longest)
 
 
+def _repeated(row: np.ndarray, entry: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For each hit, whether its row holds a second, different word that hits the same entry."""
+    order = np.lexsort((words, entry, row))
+    r, e, w = row[order], entry[order], words[order]
+    new_group = np.ones(len(order), bool)
+    new_group[1:] = (r[1:] != r[:-1]) | (e[1:] != e[:-1])
+    new_word = new_group.copy()
+    new_word[1:] |= w[1:] != w[:-1]
+    group = np.cumsum(new_group) - 1
+    out = np.zeros(len(order), bool)
+    out[order] = np.bincount(group, weights=new_word)[group] > 1
+    return out
+
+
 def context_features(buf: np.ndarray, offsets: np.ndarray, automaton: Automaton) -> np.ndarray:
     """Per row: exact, misspelt and stem hits outside quotation, hits within it, share of words hit, densest window."""
     n = len(offsets) - 1
@@ -226,6 +244,8 @@ def context_features(buf: np.ndarray, offsets: np.ndarray, automaton: Automaton)
     entry, errors = entry[back], errors[back]
     row = np.repeat(np.arange(n), np.diff(first))
     hit = np.flatnonzero(entry > 0)
+    # As in learning, a stem counts where two different words have it.
+    hit = hit[(entry[hit] <= len(automaton.entries)) | _repeated(row[hit], entry[hit], words[hit])]
     quotes = np.concatenate([[0], np.cumsum(_QUOTE[buf])])
     speech = np.isin(words, _SPEECH)
     low, high = np.maximum(hit - WINDOW, first[row[hit]]), np.minimum(hit + WINDOW, first[row[hit] + 1] - 1)

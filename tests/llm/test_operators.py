@@ -308,6 +308,49 @@ def test_toxicity(spark):
     assert toxicity.toxicity(table(spark, odd), train.limit(0)).select("score").distinct().count() == 1
 
 
+def test_toxic_stems(spark):
+    """A stem marks a text that holds two different words of it; one such word says nothing. Long and repeated texts count whole."""
+    rng = random.Random(8)
+    parts = ["ta", "re", "mi", "so", "lu", "ne"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(2, 4)))
+    rows, labels = [], []
+    for i in range(240):
+        words = [word() for _ in range(60)]
+        tails = rng.sample([a + b + c for a in parts for b in parts for c in parts], 3)
+        for t in tails if i % 4 == 0 else tails[: i % 2]:
+            words[rng.randrange(60)] = "gromut" + t
+        rows.append((i, " ".join(words), "a"))
+        labels.append((i, int(i % 4 == 0)))
+    long = " ".join(word() for _ in range(60000))
+    odd = [(900, f"{long} gromutmi {long} gromutsolu gromutrere", "a"), (901, long, "a"), (902, rows[0][1], "b"), (902, rows[0][1], "b")]
+    labels = spark.createDataFrame(labels, "doc_id long, label int")
+    train = labels.where("doc_id % 5 <> 0")
+    got = toxicity.toxicity(table(spark, [*rows, *odd]), train).collect()
+    score = {r.doc_id: r for r in got}
+    assert len(got) == 244 and {r.score for r in got if r.doc_id == 902} == {score[0].score}
+    # A text whose three words fell on each other's places may hold fewer than two.
+    stems = {i: len(set(re.findall(r"gromut\w+", t))) for i, t, _ in rows}
+    assert all((score[i].score >= 0.5) == (stems[i] > 1) for i in range(240) if i % 5 == 0)
+    assert score[900].hits == 3 and score[901].hits == 0 and score[901].score < 0.5
+
+
+def test_hits_by_hand():
+    """Hits of words, misspellings and stems against a plain count."""
+    rng = random.Random(9)
+    auto = toxicity.Automaton([b"idiot", b"scum"], [b"moron"])
+    auto.entries = [b"idiot", b"scum"]
+    pool = ["idiot", "idoit", "scum", "scam", "moronic", "moronly", "moron", "fine", "words", "1d10t"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(9))) for _ in range(200)] + ["", "moronic moronic", "moronic moronly moronic"]
+    joined = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    x = toxicity.context_features(np.frombuffer(joined, np.uint8), offsets, auto)
+    for t, row in zip(texts, np.expm1(x[:, :4]), strict=True):
+        w = t.split()
+        stem = {v for v in w if v.startswith("moron") and v != "moron"} | ({"moron"} & set(w))
+        plain, wrong = sum(v in ("idiot", "scum") for v in w), sum(v in ("idoit", "1d10t") for v in w)
+        assert np.allclose(row, [plain + toxicity.MISSPELT * wrong, wrong, sum(v in stem for v in w) if len(stem) > 1 else 0, 0]), t
+
+
 def test_automaton_against_edit_distance():
     def distance(a, b):
         d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
