@@ -1,20 +1,20 @@
 """License scan over a positional rare-token index.
 
-Every template's words are indexed with their positions. Document frequencies of the licence vocabulary are
-counted over all documents; each template is looked up by its highest-IDF words. Occurrences of those words in a
-file vote for (template, file position - template position); places on which at least two votes agree are
-verified: the template's words must be found there by IDF weight, and its mandatory key phrases must stand there.
-
-Defined results: null and empty texts have no words, no labels and score 0; very long texts are scanned whole; of
-templates of one label the best counts; repeated rows each get a row, a null doc_id stays null; an empty table gives an
-empty result; extra columns of any name are ignored. There is no shuffle but of the vocabulary counts, whose number the
-templates bound.
+Every template's words are indexed with their positions and weighed by IDF, counted over all documents. A place where a
+template stands has ``COVERAGE`` of its weight, so of the template's words of highest IDF that weigh more than the rest
+may lack two must stand there: only these are posted. A file's licence words are looked up from the highest IDF
+down; their postings, as file position minus template position, are intersected: places on which two of them agree up
+to ``SLACK`` are verified, by the weight of the words found and by the mandatory key phrases. No place is missed by that.
+
+Defined results: null and empty texts have no words, no labels and score 0; very long texts are scanned whole, window by
+window; of templates of one label the best counts; repeated rows each get a row, a null doc_id stays null; an empty table
+gives an empty result; extra columns of any name are ignored. There is no shuffle but of the vocabulary counts, whose
+number the templates bound.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,41 @@ from doselab.llm.common import map_batches
 
 #: Fixed values of the contract: a phrase's words and its label.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Label, wording, mandatory key phrases. The wordings are those of the public licences' own notices.
+#: The public licences' own texts.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
+or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT
+OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_3 = f"""{BSD_2} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
+FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this
+software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product,
+an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly
+marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any
+source distribution."""
+#: Label, wording, mandatory key phrases: whole licences and the notices that files carry in their stead.
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license"]),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ["apache org licenses"]),
@@ -45,10 +79,14 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
     ("reserved", "all rights reserved", ["all rights reserved"]),
+    ("mit-full", MIT, ["permission is hereby granted free of charge", "the software is provided as is"]),
+    ("bsd-2-clause", f"{BSD_2} {BSD_WARRANTY}", ["redistribution and use in source and binary forms", "redistributions in binary form must reproduce"]),
+    ("bsd-3-clause", f"{BSD_3} {BSD_WARRANTY}", ["redistribution and use in source and binary forms", "endorse or promote products derived from this software"]),
+    ("isc-full", ISC, ["with or without fee is hereby granted", "the software is provided as is"]),
+    ("zlib", ZLIB, ["altered source versions must be plainly marked as such"]),
 ]
-#: Words per template that are looked up, two at least, others only with this share of its highest IDF; words of
-#: slack in relative positions; weight share that must be found.
-ANCHORS, RARE, SLACK, COVERAGE = 6, 0.6, 2, 0.75
+#: Words of slack in relative positions; weight share that must be found; words of a window, and places times words verified at once.
+SLACK, COVERAGE, STEP, AT_ONCE = 2, 0.75, 1 << 18, 1 << 20
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -68,7 +106,10 @@ def phrase_starts(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The templates with their IDF weights; small and fixed, sent with the tasks."""
+    """The templates with their IDF weights; small and fixed, sent with the tasks.
+
+    postings: word -> (template, position) where the word is one of those of which ``need[template]`` must stand at a place.
+    """
 
     def __init__(self, frequency: dict[int, int] | None = None, n_docs: int = 0):
         self.base = [(label, _hashes(p)) for p, label in BASE_PHRASES.items()]
@@ -76,41 +117,71 @@ class Index:
         self.vocabulary = np.unique(np.concatenate([t for _, t, _ in self.templates]))
         counts = np.array([(frequency or {}).get(i, 0) for i in range(len(self.vocabulary))], float)
         self.idf = np.log((n_docs + 1) / (counts + 1)) + 1e-3
-        self.weights, self.postings = [], defaultdict(list)
+        self.weights, self.need, postings = [], [], {}
         for i, (_, words, _) in enumerate(self.templates):
-            w = self.idf[np.searchsorted(self.vocabulary, words)]
+            own = np.searchsorted(self.vocabulary, words)
+            w = self.idf[own]
             self.weights.append(w)
-            rare = sorted({*words.tolist()}, key=lambda h: (-self.idf[np.searchsorted(self.vocabulary, tx.U64(h))], h))
-            rare = [h for k, h in enumerate(rare) if k < 2 or k < ANCHORS and self.idf[np.searchsorted(self.vocabulary, tx.U64(h))] >= RARE * w.max()]
-            for h in rare:
-                self.postings[h] += [(i, int(p)) for p in np.flatnonzero(words == tx.U64(h))]
-        self.anchors = np.array(sorted(self.postings), tx.U64)
-
-    def scan(self, words: np.ndarray, at: np.ndarray) -> dict[str, float]:
-        """Labels with their coverage. words: one file's; at: where its anchors stand."""
-        votes = defaultdict(set)
-        for p in at.tolist():
-            for i, t in self.postings[int(words[p])]:
-                votes[i].add((p - t, t))
-        found: dict[str, float] = {}
-        for i, places in votes.items():
-            if len(places) < 2:
+            posted, two = 0.0, False
+            for v in sorted({*own.tolist()}, key=lambda v: (-self.idf[v], v)):
+                places = np.flatnonzero(own == v)
+                posted += float(w[places].sum())
+                postings.setdefault(v, []).extend((i, int(t)) for t in places)
+                # Without one place of the highest weight the posted ones still outweigh what may be lacking. The margin is for rounding.
+                if two := posted - w.max() > (1 - COVERAGE) * w.sum() * (1 + 1e-9):
+                    break
+            self.need.append(2 if two else 1)
+        posted = np.array(sorted(postings), np.int64)
+        self.anchors, self.anchor_idf = self.vocabulary[posted], self.idf[posted]
+        self.postings = [postings[v] for v in posted.tolist()]
+        self.longest = max(len(t) for _, t, _ in self.templates)
+
+    def places(self, at: np.ndarray, anchor: np.ndarray) -> dict[int, np.ndarray]:
+        """Template -> places on which enough of the file's rarest licence words agree. at, anchor: where which anchor stands."""
+        order = np.argsort(anchor, kind="stable")
+        held, first = np.unique(anchor[order], return_index=True)
+        stands = np.split(at[order], first[1:])
+        offsets: dict[int, list[np.ndarray]] = {}
+        for k in np.lexsort((held, -self.anchor_idf[held])).tolist():
+            for i, t in self.postings[held[k]]:
+                offsets.setdefault(i, []).append(stands[k] - t)
+        out = {}
+        for i, lists in offsets.items():
+            if len(lists) < self.need[i]:
                 continue
-            label, template, keys = self.templates[i]
-            order = sorted(places)
-            offsets = np.array([o for o, _ in order])
-            low, high = np.searchsorted(offsets, offsets - SLACK), np.searchsorted(offsets, offsets + SLACK, "right")
-            for o in dict.fromkeys(offsets[high - low >= 2].tolist()):
-                hit = np.zeros(len(template), bool)
-                for d in range(-SLACK, SLACK + 1):
-                    p = np.arange(len(template)) + o + d
-                    ok = (p >= 0) & (p < len(words))
-                    hit[ok] |= words[p[ok]] == template[ok]
-                share = float((hit * self.weights[i]).sum() / self.weights[i].sum())
-                if share >= COVERAGE and share > found.get(label, 0):
-                    part = words[max(0, o - SLACK) : o + len(template) + SLACK]
-                    if all(len(phrase_starts(part, k)) for k in keys):
-                        found[label] = share
+            votes = np.sort(np.concatenate(lists))
+            near = np.unique(np.concatenate([votes + d for d in range(-SLACK, SLACK + 1)]))
+            agree = np.searchsorted(votes, near + SLACK, "right") - np.searchsorted(votes, near - SLACK)
+            out[i] = near[agree >= self.need[i]]
+        return out
+
+    def verify(self, words: np.ndarray, i: int, places: np.ndarray) -> float:
+        """The best share of the template's weight at places where all its key phrases stand; 0 if that is under ``COVERAGE``."""
+        _, template, keys = self.templates[i]
+        best, n = 0.0, len(template)
+        for k in range(0, len(places), max(1, AT_ONCE // n)):
+            o = places[k : k + max(1, AT_ONCE // n)]
+            hit = np.zeros((len(o), n), bool)
+            for d in range(-SLACK, SLACK + 1):
+                p = o[:, None] + np.arange(n) + d
+                hit |= (words[np.clip(p, 0, len(words) - 1)] == template) & (p >= 0) & (p < len(words))
+            share = (hit * self.weights[i]).sum(1) / self.weights[i].sum()
+            for x in np.flatnonzero(share >= COVERAGE).tolist():
+                part = words[max(0, o[x] - SLACK) : max(0, o[x] + n + SLACK)]
+                if share[x] > best and all(len(phrase_starts(part, key)) for key in keys):
+                    best = float(share[x])
+        return best
+
+    def scan(self, words: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> dict[str, float]:
+        """Labels with their coverage. words: one file's; at, anchor: where which anchor stands, by place."""
+        found: dict[str, float] = {}
+        # Words that agree on a place stand within a template's length and slack, so in one window.
+        for low in range(0, len(words), STEP):
+            a, b = np.searchsorted(at, [low, low + STEP + self.longest + 2 * SLACK])
+            for i, places in self.places(at[a:b], anchor[a:b]).items() if b > a else ():
+                share = self.verify(words, i, places)
+                if share:
+                    found[self.templates[i][0]] = max(share, found.get(self.templates[i][0], 0.0))
         return found
 
 
@@ -161,7 +232,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
             rare = np.flatnonzero(index.anchors[slot] == words)
             bound = np.searchsorted(rare, first)
             for i in np.flatnonzero(np.diff(bound)).tolist():
-                found = index.scan(words[first[i] : first[i + 1]], rare[bound[i] : bound[i + 1]] - first[i])
+                at = rare[bound[i] : bound[i + 1]]
+                found = index.scan(words[first[i] : first[i + 1]], at - first[i], slot[at])
                 labels[i] |= found.keys()
                 score[i] = max(score[i], *found.values()) if found else score[i]
             text = lambda sets: pa.array([",".join(sorted(s)) for s in sets], pa.string())

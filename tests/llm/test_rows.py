@@ -1,6 +1,7 @@
 """Rows that share ids, nulls, ties and clashing names; and the operators whose fields SQL can't express, by brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -113,6 +114,51 @@ def test_license_fields(spark):
         assert set(base) <= set(r.labels.split(",")) | {""} and (r.score == 1.0 if base else 0 <= r.score <= 1) and (r.score > 0) == bool(r.labels)
 
 
+def test_license_places_by_brute_force():
+    """Labels and shares against every place of every template, in texts made of licences with words changed, lost and added."""
+    rng = random.Random(12)
+    index = license_scan.Index({i: rng.choice([0, 1, 5, 40, 90]) for i in range(len(license_scan.Index().vocabulary))}, 100)
+    filler = [w for _, t, _ in license_scan.TEMPLATES for w in re.findall("[0-9a-z]+", t.lower())] + ["other", "words"] * 20
+    hits = 0
+    for _ in range(25):
+        words = [rng.choice(filler) for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(3)):
+            notice = re.findall("[0-9a-z]+", rng.choice(license_scan.TEMPLATES)[1].lower())
+            for _ in range(rng.randrange(1 + len(notice) // 5)):
+                k = rng.randrange(len(notice))
+                notice[k : k + rng.randrange(2)] = [rng.choice(filler)] * rng.randrange(2)
+            words += notice + [rng.choice(filler) for _ in range(rng.randrange(9))]
+        file = license_scan._hashes(" ".join(words))
+        slot = np.minimum(np.searchsorted(index.anchors, file), len(index.anchors) - 1)
+        at = np.flatnonzero(index.anchors[slot] == file)
+        want = {}
+        for (label, template, keys), weight in zip(index.templates, index.weights, strict=True):
+            for o in range(-len(template) - 2, len(file) + 2):
+                part = file[max(0, o - 2) : max(0, o + len(template) + 2)].tolist()
+                hit = [any(0 <= o + k + d < len(file) and file[o + k + d] == w for d in range(-2, 3)) for k, w in enumerate(template)] if set(part) & set(template.tolist()) else [False]
+                share = float(weight[np.array(hit)].sum() / weight.sum()) if len(hit) == len(template) else 0.0
+                if share >= license_scan.COVERAGE and all(any(part[j : j + len(k)] == k.tolist() for j in range(len(part))) for k in keys):
+                    want[label] = max(want.get(label, 0.0), share)
+        got = index.scan(file, at, slot[at])
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want), words
+        hits += len(want)
+    assert hits > 10
+
+
+def test_license_windows(monkeypatch):
+    """Windows change nothing, wherever their borders fall."""
+    index = license_scan.Index({}, 50)
+    file = license_scan._hashes("some words " * 9 + license_scan.MIT + " and more " * 9 + "all rights reserved" + " license" * 500 + license_scan.ZLIB)
+    slot = np.minimum(np.searchsorted(index.anchors, file), len(index.anchors) - 1)
+    at = np.flatnonzero(index.anchors[slot] == file)
+    whole = index.scan(file, at, slot[at])
+    assert {"mit", "mit-full", "reserved", "zlib"} <= whole.keys()
+    for step in (90, 300):
+        monkeypatch.setattr(license_scan, "STEP", step)
+        monkeypatch.setattr(license_scan, "AT_ONCE", 50 * step)
+        assert index.scan(file, at, slot[at]) == whole
+
+
 def test_quality_by_formula(spark):
     """Scores against the log densities written out with plain matrix algebra."""
     rows, labels = _labelled(spark, 5)
