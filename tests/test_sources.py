@@ -172,3 +172,34 @@ def test_chosen_constructions(spark):
     assert match.match_all(rows, ["it_cleft"]).columns == ["sent_id", "text", "words", "it_cleft"]
     with pytest.raises(KeyError, match="zz"):
         match.positives(rows, ["zz"])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_are_read_by_patterns(spark):
+    """A block is not split for each header and field; headers, ranges, empty nodes and line ends stay as they were."""
+    blocks = {
+        "# sent_id = 7\n# text = a = b \n# text= c\n1\ta-b\t_\tX\t_\tK=V\t2\tdep\t_\t_\n1-2\tx\n1.1\ty\n#no\n \n2\t-": ("7", "c", 2),
+        "# sent_id =\r\n1\tq\r\n2\tr\r\n# text = late": ("", None, 2),
+        "#text=only": (None, "only", 0),
+        "1\tno head\n# text = x": (None, None, 1),
+        "# x\n#\tsent_id = ä\U0001f600 1\n": ("ä\U0001f600 1", None, 0),
+    }
+    rows = spark.createDataFrame([(k, b) for k, b in enumerate(blocks)], "k int, block string")
+    out = rows.select("k", readers.header_value(F.col("block"), "sent_id"), readers.header_value(F.col("block"), "text"), readers.token_count(F.col("block")), readers.conllu_words(F.col("block")).alias("words"))
+    got = out.orderBy("k").collect()
+    assert [tuple(r)[1:4] for r in got] == list(blocks.values())
+    assert [tuple(w) for w in got[0]["words"]] == [(1, "a-b", None, "X", None, "K=V", 2, "dep"), (2, "-", None, None, None, None, None, None)]
+    assert [[tuple(r)[1:] for r in readers.word_rows(rows, "k").where(F.col("k") == k).collect()] for k in range(5)] == [[tuple(w) for w in r["words"]] for r in got]
+    plan = _plan(out)
+    assert plan.count("split(") == 1 and "sent_id" in plan
+
+
+def test_sorted_blocks_are_made_where_they_are_written(spark, tmp_path):
+    table = spark.createDataFrame([(3, "d", " one  two"), (1, "d", "é")], "sent_id long, source_domain string, text string")
+    for name, rows in (("plain", table), ("words", table.withColumn("words", writers.plain_words(F.col("text"))))):
+        writers.write_conllu(rows, str(tmp_path / name))
+    texts = ["".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*"))) for name in ("plain", "words")]
+    assert texts[0] == texts[1] and "\n2\ttwo" + "\t_" * 8 in texts[0]
