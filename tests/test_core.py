@@ -160,3 +160,20 @@ def test_stream(spark, tmp_path):
         stream = read_sentences(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
         stream_positives(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert [r.construction for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["existential_there"]
+
+
+def test_longer_ngrams_give_the_shorter_ones(spark):
+    """Counts of all orders come from one count of the longest; each key's own with by-columns."""
+    texts = spark.createDataFrame([(k % 2, t) for k, t in enumerate([*TOY, "", "it's", "a a a a a a"])], "k int, text string")
+    for by in ([], ["k"]):
+        counts = lm.ngram_counts(texts, *by)
+        want = lm.grams(texts, *by).groupBy(*by, "o", "ctx", "w").agg(F.count("*").alias("c"))
+        assert counts.columns == want.columns and sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect()))
+    assert "inline(" not in lm.ngram_counts(texts)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_count_the_texts_once(spark):
+    """The plan that scores reads counts, not texts."""
+    texts = spark.createDataFrame([(t,) for t in TOY], "raw string").select(F.concat("raw", F.lit(" zqmarker")).alias("text"))
+    out = lm.ngram_scores(spark.createDataFrame([(1, TOY[0])], "k int, text string"), lm.ngram_counts(texts), "k")
+    assert "zqmarker" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 1
