@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from doselab import schemas
 from doselab.functions import text as T
-from doselab.operators import evaluation, match, positions
+from doselab.operators import dose, evaluation, match, positions
 from doselab.plans.design import definitions
 from doselab.sources import artefacts, readers, writers
 
@@ -203,3 +203,16 @@ def test_sorted_blocks_are_made_where_they_are_written(spark, tmp_path):
         writers.write_conllu(rows, str(tmp_path / name))
     texts = ["".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*"))) for name in ("plain", "words")]
     assert texts[0] == texts[1] and "\n2\ttwo" + "\t_" * 8 in texts[0]
+
+
+def test_sentences_move_before_they_are_copied_to_cells(spark):
+    """A slot meets its changes once, not once a cell."""
+    row = lambda *rows: spark.createDataFrame([(i, "d", t) for i, t in rows], "sent_id long, domain string, text string")
+    base, pool = row((1, "a"), (2, "b"), (3, "c")), row((7, "x"), (8, "y"))
+    subs = spark.createDataFrame([("p", "0", 1, 7), ("p", "0", 2, None), ("q", "0", 1, 8)], "construction string, dose string, slot_id long, filler_id long")
+    cells = spark.createDataFrame([("p", "0"), ("q", "0"), ("p", "all")], "construction string, dose string")
+    out = dose.dose_corpus(base, pool, subs, cells)
+    got = {c: [(r.slot_id, r.sent_id, r.text) for r in sorted(out.collect()) if (r.construction, r.dose) == c] for c in (("p", "0"), ("q", "0"), ("p", "all"))}
+    assert got == {("p", "0"): [(1, 7, "x"), (3, 3, "c")], ("q", "0"): [(1, 8, "y"), (2, 2, "b"), (3, 3, "c")], ("p", "all"): [(1, 1, "a"), (2, 2, "b"), (3, 3, "c")]}
+    plan = _plan(out)
+    assert plan.index("Join Cross") < plan.index("Join LeftOuter")
