@@ -189,13 +189,18 @@ def surface_predictability(instances: DataFrame, key: str = "sent_id") -> DataFr
 
     The numerator runs over word tokens, the divisor counts content tokens.
     """
-    counts = lm.unigram_counts(instances, "construction")
-    total = counts.groupBy("construction").agg(F.sum("c").alias("total"))
-    size = F.greatest(F.lit(1), F.size(content_list(F.col("text"))))
-    tokens = instances.select("construction", key, size.alias("_n"), F.explode_outer(lm.word_tokens(F.col("text"))).alias("w"))
-    scored = tokens.join(counts, ["construction", "w"], "left").join(F.broadcast(total), "construction")
-    each = scored.groupBy("construction", key, "_n").agg(F.coalesce(F.sum(F.ln(F.col("c") / F.col("total"))), F.lit(0.0)).alias("lp"))
-    return each.groupBy("construction").agg(F.avg(F.col("lp") / F.col("_n")).alias("surface"))
+    # The divisor first, in a projection of its own: beside the generator it would be worked out once a word.
+    sized = instances.select("construction", key, F.greatest(F.lit(1), F.size(content_list(F.col("text")))).alias("_n"), lm.word_tokens(F.col("text")).alias("_w"))
+    # A word's share of all means is ln(count / total) times its sum of 1 / _n, so words meet their counts in one aggregate. A row
+    # without a word (its key and _n) stands for each instance.
+    tokens = sized.select("construction", key, "_n", F.explode(F.concat("_w", F.array(F.lit(None).cast("string")))).alias("w"))
+    word = F.col("w").isNotNull()
+    own = [F.when(~word, F.col(c)).alias(f"_{c}") for c in (key, "_n")]
+    counted = tokens.groupBy("construction", "w", *own).agg(F.count("*").alias("c"), F.sum(1 / F.col("_n")).alias("share"))
+    # By construction: a handful of rows, each of sums.
+    sums = {"_lp": F.sum(F.when(word, F.ln("c") * F.col("share"))), "_share": F.sum(F.when(word, F.col("share"))), "_total": F.sum(F.when(word, F.col("c"))), "_instances": F.count_if(~word)}
+    found = counted.groupBy("construction").agg(*[c.alias(n) for n, c in sums.items()])
+    return found.select("construction", (F.coalesce(F.col("_lp") - F.col("_share") * F.ln("_total"), F.lit(0.0)) / F.col("_instances")).alias("surface"))
 
 
 def neighbor_density(instances: DataFrame, counts: DataFrame) -> DataFrame:
