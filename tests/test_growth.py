@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from doselab.functions import text as T
 from doselab.operators import analysis, match
-from doselab.queries import core
+from doselab.queries import core, stats
 from doselab.queries import views as V
 
 
@@ -79,3 +79,16 @@ def test_feature(spark):
     rows = [("Number=Plur|Case=Nom", "Plur"), ("Case=Nom|Number=Sing", "Sing"), ("XNumber=Plur", None), ("Number=", None), ("Number", None), (None, None), ("_", None), ("Number=a=b", "a=b")]
     for r in spark.createDataFrame(rows, "feats string, want string").select("want", T.feature(F.col("feats"), "Number").alias("got")).collect():
         assert r.got == r.want
+
+
+def test_audits_search_texts_once(spark, tmp_path, monkeypatch):
+    """The audit's plan reads hits that are written; before, each of its readers searched all texts again."""
+    rows = [(i, f"the faster cat {i}\nthe dog is ready to go" if i % 3 else "a quick dog runs", "web") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = core.keep_positives(spark, str(tmp_path))
+    audit = stats.audit_json(spark, str(tmp_path))
+    assert "RLIKE" not in plan(kept) and "RLIKE" not in plan(audit)
+    assert plan(audit).count("from_json") + plan(audit).count("jsontostructs") <= 1 and "get_json_object" not in plan(audit)
+    hits = {c: sum(bool(re.search(p, line)) for i, t, _ in rows if i // 20 % 2 == 0 for line in t.split("\n")) for c, p in V.PATTERNS.items()}
+    got = {r.cell: (r.n_positive_total, r.n_kept) for r in audit.collect()}
+    assert got == {f"{c}_dose-{d}": (n, n if d == "all" else min(int(d), n)) for c, n in hits.items() if n for d in core.DOSES}
