@@ -55,6 +55,8 @@ SAMPLE, PARTS, TRIPS = 20_000, 1024, 200_000
 DENSE, DENSE_BYTES = 16, 32 << 20
 #: Blocks on a side that a component's texts are dealt in when its links are counted, while blocks have so many texts.
 SIDES, LEAST_BLOCK = 16, 128
+#: Bits that mark a row which others are to meet, and bitmaps of marks (4 KB each) at most.
+MARK_BITS, MARK_BITMAPS = 8, 8192
 #: Bytes of sets that are looked at together.
 PART_BYTES = 512 << 10
 _TWO = np.uint64(0xD6E8FEB86659FD93)
@@ -130,14 +132,19 @@ class Texts:
 
     def heads(self, side: DataFrame, few: bool) -> DataFrame:
         """rep, n, data (the first shingles) of the rows in side (column rep), with side's other columns; few: to be broadcast."""
-        return self.table.select(F.col("row").alias("rep"), "n", "data").join(F.broadcast(side) if few else side, "rep")
+        rows = self.table.select(F.col("row").alias("rep"), "n", "data")
+        return rows.join(F.broadcast(side), "rep") if few else _marked(rows, F.xxhash64("rep"), side, F.xxhash64("rep")).join(side, "rep")
 
     def whole(self, side: DataFrame, few: bool) -> DataFrame:
         """heads(), with whole sets as data and without n. side: rep and at most a column trips."""
         kinds = self.table.select(F.col("row").alias("rep"), F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).join(F.broadcast(side) if few else side, "rep")
         same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))
         names = side.columns
-        rows = self.docs.join(F.broadcast(kinds) if few else kinds, same).select(*names, "text")
+        docs = self.docs
+        if not few:  # of the texts only those that are asked for are shuffled
+            kinds = materialise(kinds, "asked")
+            docs = _marked(docs, F.col("text_hash"), kinds, F.col("_t"))
+        rows = docs.join(F.broadcast(kinds) if few else kinds, same).select(*names, "text")
 
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for at, buf, offsets in tx.chunks(batch.column("text")):
@@ -169,6 +176,22 @@ def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data.view(np.uint64), (edges - edges[0]) // 8
 
 
+def _marked(rows: DataFrame, key: Column, side: DataFrame, wanted: Column) -> DataFrame:
+    """rows without most of those whose key (a hash) is no wanted key of side, before they are shuffled to meet it; none of side's goes.
+
+    Marks are a table of MARK_BITS bits a row of side, in bitmaps of 4 KB, of which up to MARK_BITMAPS are broadcast.
+    """
+    side = side.select(F.abs(wanted % (1 << 62)).alias("_h"))
+    bits = min(MARK_BITMAPS << 15, max(1, side.count()) * MARK_BITS)
+    place = F.col("_h") % bits
+    marks = side.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    own = F.abs(key % (1 << 62)) % bits
+    met = rows.withColumn("_place", own).join(F.broadcast(marks), F.bitmap_bucket_number("_place") == F.col("_bucket"))
+    bit = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def _hinted(df: DataFrame, limit: int | None = None) -> DataFrame:
     """df, broadcast if it is checked to be small."""
     return F.broadcast(df) if (small(df, limit) if limit else small(df)) else df
