@@ -115,3 +115,52 @@ def test_special_functions(spark):
     assert abs(p[0].p - 0.05) < 1e-4 and p[0].p == p[1].p and abs(p[2].p - 1) < 1e-12 and p[3].p == 0 and p[4].p is None and 0 <= p[5].p < 1e-200
     whole = spark.range(1, 8).select(special.log_gamma(F.col("id")).alias("v")).collect()
     assert all(abs(r.v - v) < 1e-12 for r, v in zip(whole, [0, 0, 0.693147180559945, 1.791759469228055, 3.178053830347946, 4.787491742782046, 6.579251212010101]))
+
+
+PLAIN = {"texts": ["wa wb wc", "", None, "wb wa wb wa zz", "it's the wa wa 9", "<s> wa"] + [f"wa x{chr(97 + i)}" for i in range(20)], "items": ["wa wb wc wd", "", "wa wa"]}
+
+
+def _counted(text, asked=None):
+    """(o, ctx, w) of a text's positions and (o, ctx, None) of the contexts before them; those that asked holds, and all words."""
+    p = ["<s>"] * 3 + re.findall(r"[a-z]+(?:'[a-z]+)?", text.lower()) + ["</s>"]
+    out = [(o, " ".join(p[i - o : i]), w) for i in range(3, len(p)) for o in range(4) for w in ([p[i], None] if o else [p[i]])]
+    return [g for g in out if asked is None or g[0] == 0 or g in asked]
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_counts_of_what_is_asked(spark, limit):
+    """By the items' index and by joins: the same counts as a plain count, by the columns asked for."""
+    asked = {g for t in PLAIN["items"] for g in _counted(t)}
+    want = {}
+    for i, t in enumerate(PLAIN["texts"]):
+        for g in _counted(t, asked) if t is not None else ():
+            want[i % 2, *g] = want.get((i % 2, *g), 0) + 1
+    texts = spark.createDataFrame([(i % 2, t) for i, t in enumerate(PLAIN["texts"])], "side int, text string").repartition(3)
+    items = lm.grams(spark.createDataFrame([(t,) for t in PLAIN["items"]], "text string"))
+    sums = lambda df, *by: {tuple(r[:-1]): r[-1] for r in df.groupBy(*by, "o", "ctx", "w").agg(F.sum("c").alias("c")).collect()}
+    assert sums(lm.asked_counts(texts, items, "side", limit=limit), "side") == want
+    both = {}
+    for (_, *g), c in want.items():
+        both[tuple(g)] = both.get(tuple(g), 0) + c
+    assert sums(lm.asked_counts(texts, items, limit=limit)) == both
+    # No item at all, no text at all.
+    assert {g[0] for g in sums(lm.asked_counts(texts, items.limit(0), limit=limit))} == {0}
+    assert sums(lm.asked_counts(texts.limit(0), items, limit=limit)) == {}
+
+
+def test_cells_keep_only_what_is_asked(spark, corpora, monkeypatch):
+    """What else follows an item's context is part of its total and no row of its own: tables grow with items and words."""
+    base, _, _, cells, _, changed, _ = corpora
+    kept = {}
+
+    def seen(df, name):
+        kept[name] = df.cache()
+        return kept[name]
+
+    monkeypatch.setattr(lm, "written", seen)
+    items = spark.createDataFrame([(1, "wa the")], "k int, text string")
+    lm.cell_scores(items, base, changed, cells, "k").collect()
+    asked = {g for g in _counted("wa the") if g[0]}
+    for name in ("known", "moved"):
+        got = {(r.o, r.ctx, r.w) for r in kept[name].where("o > 0").select("o", "ctx", "w").distinct().collect()}
+        assert got and got <= asked, name
