@@ -164,3 +164,23 @@ def test_cells_keep_only_what_is_asked(spark, corpora, monkeypatch):
     for name in ("known", "moved"):
         got = {(r.o, r.ctx, r.w) for r in kept[name].where("o > 0").select("o", "ctx", "w").distinct().collect()}
         assert got and got <= asked, name
+
+
+def test_scores_copy_only_asked_words_to_cells(spark, corpora, monkeypatch):
+    """Changed words that no item holds count for a cell's size only; scores by joins are those by the index."""
+    base, _, _, cells, _, changed, _ = corpora
+    kept, counted = {}, lm.asked_counts
+
+    def seen(df, name):
+        kept[name] = df.cache()
+        return kept[name]
+
+    items = spark.createDataFrame([(1, "wa the"), (2, "wb wb hit zzz")], "k int, text string")
+    few = cells.where("dose in ('2', 'all')")
+    scores = lambda: {tuple(r[:3]): r.score for r in lm.cell_scores(items, base, changed, few, "k").collect()}
+    monkeypatch.setattr(lm, "written", seen)
+    got = scores()
+    assert {r.w for r in kept["moved"].where("o = 0").select("w").distinct().collect()} <= {"wa", "the", "wb", "hit", "zzz", "</s>"}
+    monkeypatch.setattr(lm, "asked_counts", lambda *a: counted(*a, limit=0))
+    want = scores()
+    assert got.keys() == want.keys() and len(got) == 12 and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
