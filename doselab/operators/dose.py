@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doselab.functions import scalars as S
-from doselab.operators.sizes import hinted
+from doselab.operators.sizes import hinted, marked
 from doselab.operators.stable import written
 
 #: Pool rows in a chunk of the filler index: what one look-up may have to sort.
@@ -127,7 +127,9 @@ def changes(ranked: DataFrame, fillers: DataFrame, pool: DataFrame) -> DataFrame
     """
     out = ranked.select("construction", "rank", F.col("sent_id").alias("slot_id"), "sent_id", "domain", "text", F.lit(-1).alias("sign"))
     new = ranked.select("construction", "rank", F.col("sent_id").alias("slot_id")).join(fillers.where("filler_id is not null").select(F.col("sent_id").alias("slot_id"), F.col("filler_id").alias("sent_id")), "slot_id")
-    new = new.join(pool.select("sent_id", "domain", "text"), "sent_id").withColumn("sign", F.lit(1))
+    new = written(new, "new")
+    # The pool's texts are many times those that come.
+    new = new.join(marked(pool.select("sent_id", "domain", "text"), new, "sent_id"), "sent_id").withColumn("sign", F.lit(1))
     return out.unionByName(new)
 
 
