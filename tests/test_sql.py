@@ -27,6 +27,6 @@ def differing(spark, sf, name):
     return [r for r in want if r not in got], [r for r in got if r not in want], len(want) - len(got)
 
 
-@pytest.mark.parametrize("name", ["find_positives", "keep_positives", "audit_json"])
+@pytest.mark.parametrize("name", ["find_positives", "keep_positives", "audit_json", "expected_count"])
 def test_boundaries_are_those_of_sql(spark, sf, name):
     assert differing(spark, sf, name) == ([], [], 0)
