@@ -12,7 +12,7 @@ def sf(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("sql")
     ends = ["", "é", "ñ", "_", "9", "́", "-", "中"]
     hits = ["the faster", "a big red dogs", "is ready to go", "and the running", "the\tfaster", "the\x0bfaster", "a\x0bbig red dogs"]
-    rows = [(20 * i + j, f"{x}{h}{y} end", "web") for i, x in enumerate(ends) for j, (h, y) in enumerate((h, y) for h in hits for y in ends[:2] + ends[3:5])]
+    rows = [(k, f"{x}{h}{y} end", "web") for k, (x, h, y) in enumerate((x, h, y) for x in ends for h in hits for y in ends[:2] + ends[3:5])]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{top}/documents.parquet")
     return str(top)
 
